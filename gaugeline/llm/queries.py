@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeline.llm.common import documents
+from gaugeline.llm.common import documents, settle
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,5 +27,65 @@ def op5_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_frames(write_frames(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op5_seekable_frames)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.media import feature_text, fingerprint, to_wav
+
+    found = fingerprint(to_wav(documents(spark, sf_dir)))
+    return found.withColumn("feature", feature_text(F.col("codes"), F.col("times"))).drop("codes", "times")
+
+
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.mixing import mix, stops, word_count
+
+    sized = settle(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    mixed = mix(sized, stops(sized), F.col("size"))
+    return mixed.select("doc_id", "size", "_mix.source_size", "_mix.target", (F.col("size") * F.col("_mix.copies")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op4_media_columns, op5_seekable_frames, op8_pareto_mixing)}
+OP8_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), per_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM per_source
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+  FROM weighted
+), fill AS (
+  SELECT arg_min(level, source_size::DOUBLE / weight) AS level FROM levels WHERE level * weight < 2 * source_size
+), targets AS (
+  SELECT source, source_size, least(coalesce(fill.level * weight, 2.0 * source_size)::DOUBLE, (2 * source_size)::DOUBLE) AS target FROM levels, fill
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM targets
+), lefts AS (
+  SELECT *, target - certain * source_size AS "left" FROM parts
+), classes AS (
+  SELECT source, length(bin(size)) AS class, sum(size)::BIGINT AS words FROM sized GROUP BY ALL
+), rated AS (
+  SELECT c.*, l."left",
+    coalesce(sum(words) OVER (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS held,
+    sum(class * words) OVER (PARTITION BY c.source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS mass
+  FROM classes c JOIN lefts l ON c.source IS NOT DISTINCT FROM l.source
+), rates AS (
+  SELECT source, coalesce(arg_max(rate, class) FILTER (rate * class < 1), 0.0) AS rate
+  FROM (SELECT *, CASE WHEN mass > 0 THEN ("left" - held) / mass ELSE 0.0 END AS rate FROM rated) GROUP BY source
+), drawn AS (
+  SELECT s.*, l.source_size, l.target, l.certain, l."left", least(1.0::DOUBLE, rate * length(bin(size))) AS p,
+    (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM sized s JOIN lefts l ON s.source IS NOT DISTINCT FROM l.source JOIN rates r ON s.source IS NOT DISTINCT FROM r.source
+), ranked AS (
+  SELECT *, CASE WHEN size = 0 THEN NULL WHEN p >= 1 THEN 0.0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn
+), summed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM ranked WHERE q IS NOT NULL
+), stops AS (
+  SELECT source, max(q) AS stop FROM summed WHERE sofar + size / 2.0 <= "left" GROUP BY source
+)
+SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * (r.certain + CASE WHEN r.q <= s.stop THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ranked r LEFT JOIN stops s ON r.source IS NOT DISTINCT FROM s.source
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_pareto_mixing": OP8_SQL}
