@@ -135,10 +135,10 @@ def write_frames(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 
         zstd = zstandard.ZstdCompressor(level=1, write_content_size=True)
         for part in parts:
-            doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            doc_ids, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
                 sized, packed, crcs = [], [], []
-                for ids in encoder(tokenizer_path).ids(texts[a:b]):
+                for ids in encoder(tokenizer_path).ids(texts.slice(a, b - a)):
                     plain = np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
                     sized.append(len(plain) // width)
                     packed.append(zstd.compress(plain))

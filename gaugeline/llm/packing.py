@@ -128,10 +128,10 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_TYPES)
 
         for part in parts:
-            doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            doc_ids, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
                 found = []
-                for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer_path).ids(texts[a:b])):
+                for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer_path).ids(texts.slice(a, b - a))):
                     found.extend(packer.add(doc_id, np.concatenate([ids, end])))
                 if found:
                     yield rows(found)

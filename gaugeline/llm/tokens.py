@@ -8,17 +8,16 @@ table per Python worker; ids of a text are the ids of its pieces in order.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept per worker (some 180 MB); past this only the shorter half stays, as short words recur.
-MAX_PIECES = 800_000
-#: White space that is seldom seen: texts with it are encoded whole.
-_SELDOM = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: So are texts where a space has white space beside it.
-_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: Pieces kept per worker (some 350 MB); past this only the shorter half stays, as short words recur.
+MAX_PIECES = 1_600_000
+#: Texts that are encoded whole: empty, or with white space beside a space or at an end, or a seldom kind of it.
+_WHOLE = "^$|^\\s|\\s$| \\s|\\s |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Stands between new pieces while they are encoded together.
 _MARK = "\x01"
 
@@ -32,8 +31,6 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         one = lambda t: self._whole([t])[0]
-        #: Whether a piece keeps the space before it (byte-level kinds do).
-        self._keeps_space = one("a b") != one("a") + one("b")
         self._mark = one(" " + _MARK)
         self._ends = {c: np.asarray(one(c), dtype="<u4").tobytes() for c in ".,;:!?" if one("ab" + c) == one("ab") + one(c)}
         self._kept: dict[str, bytes] = {}
@@ -42,56 +39,76 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces that can be encoded apart, or None if only the whole text is safe."""
-        if text[0].isspace() or text[-1].isspace() or any(x in text for x in _BESIDE) or _SELDOM.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if self._keeps_space else [first, *rest]
-
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces together, a mark after each, and cut the ids at the marks."""
-        kept, together, apart, ended = self._kept, [], [], []
+        kept, together, first, ended = self._kept, [], [], []
         for p in pieces:
+            if p[0] == _MARK:
+                first.append(p)
+                continue
             if p[-1] in self._ends and p[-2:-1].isalpha():  # a letter, then one mark: two splits
                 ended.append(p)
                 p = p[:-1]
                 if p in kept:
                     continue
-            (apart if _MARK in p or (self._keeps_space and p[0] != " ") else together).append(p)
-        together, apart = list(dict.fromkeys(together)), list(dict.fromkeys(apart))
-        for p, ids in zip(apart, self._whole(apart) if apart else ()):
+            together.append(p)
+        together = list(dict.fromkeys(together))
+        for p, ids in zip(first, self._whole([p[1:] for p in first]) if first else ()):
             kept[p] = np.asarray(ids, dtype="<u4").tobytes()
-        glue, width = " " + _MARK + ("" if self._keeps_space else " "), len(self._mark)
+        width, glue = len(self._mark), f" {_MARK} "
         for i in range(0, len(together), 1000):
             part = together[i : i + 1000]
-            ids = np.asarray(self._whole([glue.join(part) + glue])[0], dtype="<u4")
+            text = glue + glue.join(part) + glue  # each piece has its space before it
+            ids = np.asarray(self._whole([text.rstrip(" ")])[0], dtype="<u4")
             ends = np.flatnonzero(ids == self._mark[-1]) + 1
-            if len(ends) != len(part):
+            if len(ends) != len(part) + 1:
                 raise ValueError("this tokenizer merges across spaces")
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist()):
+            raw, start = ids.tobytes(), int(ends[0])
+            for p, end in zip(part, ends[1:].tolist()):
                 kept[p] = raw[4 * start : 4 * (end - width)]
                 start = end
         for p in ended:
             kept[p] = kept[p[:-1]] + self._ends[p[-1]]
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
         kept = self._kept
         if len(kept) > MAX_PIECES:
             longest = int(np.median([len(p) for p in kept]))
             short = {p: ids for p, ids in kept.items() if len(p) < longest}
             kept.clear()
             kept.update(short)
-        cut = [self._pieces(t) if t else [] for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces}
-        self._learn([p for p in new if p not in kept])
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(np.asarray(self._whole([text])[0], dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(kept.__getitem__, pieces)), dtype="<u4"))
+        found = list(map(kept.get, pieces))
+        if new := [p for p, ids in zip(pieces, found) if ids is None]:
+            self._learn(new)
+            found = list(map(kept.__getitem__, pieces))
+        return found
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is the empty text.
+
+        Splitting and finding the distinct pieces are done on the Arrow column;
+        the ids of all texts are one gather from the ids of distinct pieces.
+        """
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.match_substring(texts, _MARK))
+        out: list = [None] * len(texts)
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[k] = np.asarray(self._whole([texts[int(k)].as_py()])[0], dtype="<u4")
+        at = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return out
+        # a piece stands for itself after a space; the first, which has none, is marked
+        split = pc.split_pattern(pc.binary_join_element_wise(_MARK, texts.filter(pc.invert(whole)), ""), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = self._ids_of_pieces(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        index = coded.indices.to_numpy()
+        each = sizes[index]
+        ends = np.cumsum(each)
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - each), each) + np.arange(ends[-1])]
+        cuts = ends[np.cumsum(pc.list_value_length(split).to_numpy()) - 1]
+        for k, start, end in zip(at, np.concatenate([[0], cuts[:-1]]), cuts):
+            out[k] = flat[start:end]
         return out
 
 
@@ -101,13 +118,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches(texts: list[str], chars: int = 2_000_000):
-    """Index ranges of about so many characters, so that memory stays bounded."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def batches(texts: pa.Array, size: int = 4_000_000):
+    """Index ranges of about so many bytes, so that memory stays bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        base = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield start, end
+        start = end
