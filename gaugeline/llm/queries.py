@@ -42,7 +42,13 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "_mix.source_size", "_mix.target", (F.col("size") * F.col("_mix.copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op4_media_columns, op5_seekable_frames, op8_pareto_mixing)}
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op4_media_columns, op5_seekable_frames, op8_pareto_mixing, op9_circulant_minhash)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
