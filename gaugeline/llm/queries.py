@@ -27,6 +27,12 @@ def op5_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_frames(write_frames(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=2))
 
 
+def op3_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.substrings import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.media import feature_text, fingerprint, to_wav
 
@@ -48,7 +54,7 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op4_media_columns, op5_seekable_frames, op8_pareto_mixing, op9_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op8_pareto_mixing, op9_circulant_minhash)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
