@@ -48,7 +48,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null and blank texts give an empty array."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1))
 
 

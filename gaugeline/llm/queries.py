@@ -40,6 +40,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("feature", feature_text(F.col("codes"), F.col("times"))).drop("codes", "times")
 
 
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.weighted import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.mixing import mix, stops, word_count
 
@@ -54,7 +60,7 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op8_pareto_mixing, op9_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op8_pareto_mixing, op9_circulant_minhash)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
