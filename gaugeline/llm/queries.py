@@ -46,6 +46,15 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))
 
 
+def op7_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.private import KINDS, find, span_text
+
+    found = find(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"))
+
+
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.mixing import mix, stops, word_count
 
@@ -60,7 +69,7 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op8_pareto_mixing, op9_circulant_minhash)}
+QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op7_bootstrapped_contexts, op8_pareto_mixing, op9_circulant_minhash)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
