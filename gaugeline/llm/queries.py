@@ -15,6 +15,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.quality import graded
+
+    return graded(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.packing import pack
 
@@ -69,7 +75,16 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op7_bootstrapped_contexts, op8_pareto_mixing, op9_circulant_minhash)}
+def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.toxicity import toxicity
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = toxicity(documents(spark, sf_dir), labels, F.col("toxic"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op7_bootstrapped_contexts, op8_pareto_mixing, op9_circulant_minhash, op10_noisy_channel_toxicity)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
