@@ -2,8 +2,9 @@
 
 Grades 0 .. K-1 share one weight vector over hashed text and K-1 ordered
 thresholds: P(grade > j) = 1 / (1 + exp(t_j - w.x)), t_1 < t_2 < ...  The text
-counts once for each word and once for its shape (letters and digits collapsed,
-signs kept), scaled by the square root of its length.  From the tails come the
+counts for each word the word, its shape (letters and digits collapsed, signs
+kept) and whether it repeats the word before, scaled by the square root of its
+length.  From the tails come the
 expected grade and the probability of at least a wanted grade.
 
 How it runs: the labelled sample is read into hashed places and dealt to a few
@@ -53,6 +54,10 @@ def _place(part: str) -> int:
     return xxhash.xxh32_intdigest(part) & (PLACES - 1)
 
 
+#: Whether a word is the one before it.
+_AGAIN, _NEW = _place("\x01again"), _place("\x01new")
+
+
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Places of words and shapes of texts on end, and the count of places of each text."""
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
@@ -60,8 +65,10 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = coded.dictionary.to_pylist()
     word = np.fromiter((_place(w.lower()) for w in words), dtype=np.int32, count=len(words))
     shape = np.fromiter((_place("\x00" + _shape(w)[:24]) for w in words), dtype=np.int32, count=len(words))
-    index = coded.indices.to_numpy()
-    return np.stack([word[index], shape[index]], axis=1).ravel(), 2 * pc.list_value_length(split).to_numpy().astype(np.int64)
+    index, counts = coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    again = np.concatenate([[False], index[1:] == index[:-1]]) if len(index) else np.empty(0, bool)
+    again[(np.cumsum(counts) - counts)[counts > 0]] = False
+    return np.stack([word[index], shape[index], np.where(again, _AGAIN, _NEW)], axis=1).astype(np.int32).ravel(), 3 * counts
 
 
 def linear(places: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
