@@ -1 +1 @@
-
+"""Whole plans: chains of operators, and the catalogue of queries."""
