@@ -2,9 +2,10 @@
 
 Each round is joins and minima over the edges; the edges of a round are written
 to the shared folder, so nothing is recomputed and nothing goes to the driver
-but one count and one checksum.  A node with very many edges is only ever an
-aggregation key (combined before the shuffle) and one side of a join that
-adaptive execution splits.
+but one count and one checksum.  A node with very many edges is an aggregation
+key (combined before the shuffle), then a key of a join; the minima are written
+first, so that both sides of that join are shuffles and adaptive execution can
+split the hot one.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from gaugeline.llm.common import settle
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "stars")
     return both.where("b > a").join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = settle(down.groupBy("a").agg(F.min("b").alias("least")), "stars")
     to_least = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return to_least.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 

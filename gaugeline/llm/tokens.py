@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per worker (some 350 MB); past this only the shorter half stays, as short words recur.
-MAX_PIECES = 1_600_000
+#: Pieces kept per worker (some 250 MB); past this only the shorter half stays, as short words recur.
+MAX_PIECES = 1_200_000
 #: Texts that are encoded whole: empty, or with white space beside a space or at an end, or a seldom kind of it.
 _WHOLE = "^$|^\\s|\\s$| \\s|\\s |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Stands between new pieces while they are encoded together.
@@ -101,11 +101,13 @@ class Encoder:
         split = pc.split_pattern(pc.binary_join_element_wise(_MARK, texts.filter(pc.invert(whole)), ""), " ")
         coded = split.flatten().dictionary_encode()
         pieces = self._ids_of_pieces(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
         index = coded.indices.to_numpy()
         each = sizes[index]
-        ends = np.cumsum(each)
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - each), each) + np.arange(ends[-1])]
+        ends = np.cumsum(each, dtype=np.int32)
+        where = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[index] - (ends - each), each)
+        where += np.arange(len(where), dtype=np.int32)
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")[where]
         cuts = ends[np.cumsum(pc.list_value_length(split).to_numpy()) - 1]
         for k, start, end in zip(at, np.concatenate([[0], cuts[:-1]]), cuts):
             out[k] = flat[start:end]
@@ -118,7 +120,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches(texts: pa.Array, size: int = 4_000_000):
+def batches(texts: pa.Array, size: int = 2_500_000):
     """Index ranges of about so many bytes, so that memory stays bounded."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
     start = 0
