@@ -27,8 +27,8 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool =
     """
     if k < 1:
         raise ValueError("k must be at least one")
-    q = queries.select("query_id", "cls", (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-1)).cast("long").alias("group"))
-    m = memory.select("item_id", "cls", (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-2)).cast("long").alias("group"))
+    q = queries.select("query_id", F.col("cls").alias("q_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-1)).cast("long").alias("group"))
+    m = memory.select("item_id", F.col("cls").alias("m_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-2)).cast("long").alias("group"))
     nq, nm = max(1, -(-q.count() // block)), max(1, -(-m.count() // block))
     q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
     m = m.withColumn("mb", F.pmod(F.xxhash64("item_id"), F.lit(nm))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -37,7 +37,7 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool =
         found = {"query_id": [], "item_id": [], "distance": []}
         if len(a) and len(b):
             b = b.sort_values("item_id")
-            far = 1.0 - np.stack(a["cls"]).astype(float) @ np.stack(b["cls"]).astype(float).T
+            far = 1.0 - np.stack(a["q_cls"]).astype(float) @ np.stack(b["m_cls"]).astype(float).T
             far[(a["stage"].to_numpy()[:, None] != b["stage"].to_numpy()) | (a["group"].to_numpy()[:, None] == b["group"].to_numpy())] = np.inf
             best = np.argsort(far, axis=1, kind="stable")[:, :k]
             kept = np.take_along_axis(far, best, axis=1)

@@ -1 +1 @@
-
+"""Reading recordings, decoding their messages, and writing results."""

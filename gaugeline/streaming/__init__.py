@@ -1 +1 @@
-
+"""The same rules on live streams."""
