@@ -1,13 +1,9 @@
-"""Sampling and alarm votes of live runs, with bounded state."""
+"""Sampling of live runs, with bounded state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def sample_stream(frames: DataFrame, period: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -19,32 +15,3 @@ def sample_stream(frames: DataFrame, period: str = "500 milliseconds", late: str
     rest = [c for c in frames.columns if c not in ("run_id", "ts")]
     first = F.min_by(F.struct("ts", *rest), F.col("ts")).alias("f")
     return frames.withWatermark("ts", late).groupBy("run_id", F.window("ts", period)).agg(first).select("run_id", "f.*")
-
-
-def vote_stream(scores: DataFrame, window: int = 8, votes: int = 6, idle_ms: int = 600_000) -> DataFrame:
-    """Alarms of a stream (run_id, index, epsilon): enough of the last ``window`` scores over one.
-
-    State is the last ``window`` votes of a run; a run that is idle is forgotten.
-    """
-    if not 1 <= votes <= window:
-        raise ValueError("votes must be from 1 to the window")
-    out = "run_id string, index long, epsilon double, alarm_raw boolean, alarm_filtered boolean"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [v == "1" for v in state.get[0]] if state.exists else []
-        for part in parts:
-            part = part.sort_values("index")
-            raw = (part["epsilon"] > 1).tolist()
-            alarms = []
-            for r in raw:
-                held = [*held, r][-window:]
-                alarms.append(sum(held) >= votes)
-            yield pd.DataFrame({"run_id": key[0], "index": part["index"], "epsilon": part["epsilon"], "alarm_raw": raw, "alarm_filtered": alarms})
-        state.update(("".join("1" if h else "0" for h in held),))
-        state.setTimeoutDuration(idle_ms)
-
-    rows = scores.select(F.col("run_id").cast("string").alias("run_id"), F.col("index").cast("long").alias("index"), F.col("epsilon").cast("double").alias("epsilon"))
-    return rows.groupBy("run_id").applyInPandasWithState(step, out, "votes string", "append", GroupStateTimeout.ProcessingTimeTimeout)
