@@ -52,6 +52,19 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN, -1))
 
 
+#: Rows of an Arrow batch of texts.  Spark's own default of 10,000 rows lets a
+#: batch of long documents outgrow what an executor has beside its heap.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to ARROW_ROWS rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*cols) if cols else df

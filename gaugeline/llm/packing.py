@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.tokens import batches, encoder
+from gaugeline.llm.tokens import MAX_PIECES, batches, encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -117,7 +117,7 @@ class Packer:
             yield from self._close(pieces)
 
 
-def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MAX_PIECES) -> DataFrame:
     """Pieces of all documents with their sequence and place in it (see SCHEMA)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int =
             doc_ids, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
                 found = []
-                for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer_path).ids(texts.slice(a, b - a))):
+                for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer_path, most_pieces).ids(texts.slice(a, b - a))):
                     found.extend(packer.add(doc_id, np.concatenate([ids, end])))
                 if found:
                     yield rows(found)

@@ -25,7 +25,7 @@ _MARK = "\x01"
 class Encoder:
     """Encodes texts; ``ids(texts)`` gives one uint32 array a text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_pieces: int):
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -34,6 +34,7 @@ class Encoder:
         self._mark = one(" " + _MARK)
         self._ends = {c: np.asarray(one(c), dtype="<u4").tobytes() for c in ".,;:!?" if one("ab" + c) == one("ab") + one(c)}
         self._kept: dict[str, bytes] = {}
+        self._most = most_pieces
         self.size = self._tok.get_vocab_size()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -72,7 +73,7 @@ class Encoder:
 
     def _ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
         kept = self._kept
-        if len(kept) > MAX_PIECES:
+        if len(kept) > self._most:
             longest = int(np.median([len(p) for p in kept]))
             short = {p: ids for p, ids in kept.items() if len(p) < longest}
             kept.clear()
@@ -114,10 +115,10 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=2)
+def encoder(path: str, most_pieces: int = MAX_PIECES) -> Encoder:
     """The worker's own encoder for a vocabulary file, loaded once."""
-    return Encoder(path)
+    return Encoder(path, most_pieces)
 
 
 def batches(texts: pa.Array, size: int = 2_500_000):
