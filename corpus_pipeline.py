@@ -8,17 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import minhash, mixing, packing, private, quality
-from gaugeline.llm.common import fresh_path
+from gaugeline.llm.common import fresh_path, small_batches
 from gaugeline.llm.queries import tokenizer_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject as poor."""
+    small_batches(spark)
     return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return minhash.kept_documents(docs)
 
 
@@ -34,7 +36,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in fixed windows."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    small_batches(spark)
+    # workers serve all stages, so the table of pieces that they keep is a small one
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), most_pieces=200_000)
 
 
 STAGES = [
