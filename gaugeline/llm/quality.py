@@ -38,6 +38,8 @@ from gaugeline.llm.tokens import batches
 PLACES = 1 << 17
 SHARDS = 6
 ROUNDS, EPOCHS, BATCH = 3, 2, 64
+#: Rows a shard goes through in a round, counting repeats.
+LEAST_ROWS = 4000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -93,7 +95,8 @@ def descend(places: np.ndarray, counts: np.ndarray, grades: np.ndarray, weights:
     past_w, past_t = np.full(len(w), 1e-3), np.full(len(t), 1e-3)
     ends = np.cumsum(counts)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    # small shards take more turns, so that a fit has enough steps
+    for _ in range(max(epochs, -(-LEAST_ROWS // max(1, len(counts))))):
         for chunk in np.array_split(rng.permutation(len(counts)), max(1, len(counts) // BATCH)):
             n = counts[chunk]
             at = np.repeat(ends[chunk] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())

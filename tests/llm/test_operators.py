@@ -1,0 +1,361 @@
+"""Each operator on odd documents, on an empty table, and against brute force."""
+
+import hashlib
+import io
+import itertools
+import re
+import wave
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeline.llm import components, frames, media, minhash, mixing, packing, private, quality, shingles, substrings, tokens, toxicity, weighted
+from gaugeline.llm.queries import tokenizer_file
+
+BYTES, WORDS = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
+
+
+def ids_of(path, text, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return np.array(t.encode(text, add_special_tokens=False).ids + [end], dtype="<u4")
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_pieces_give_the_same_ids(made_documents, path):
+    texts = [t for _, t in made_documents] + ["a  b", " a", "b ", "a\n b,c. d", "Hi, there.\nOk", "é b́ c", "Σας ΑΣ b", "don't 's a.b! c??", "́a b"]
+    for t, got in zip(texts, tokens.encoder(path).ids(pa.array(texts))):
+        assert got.tolist() == ids_of(path, t, 0)[:-1].tolist(), t[:50]
+
+
+def test_packing(odd_documents, no_documents, made_documents):
+    rows = packing.pack(odd_documents, BYTES).collect()
+    assert packing.pack(no_documents, BYTES).count() == 0
+    pieces = Counter()
+    for r in rows:
+        ids = ids_of(BYTES, dict(made_documents)[r["doc_id"]], 0)
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        pieces[r["doc_id"]] += r["length"]
+    n = Counter(d for d, _ in made_documents)
+    assert pieces == Counter({d: n[d] * len(ids_of(BYTES, t, 0)) for d, t in made_documents})
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(parts)))
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    assert sum(sum(n for _, n in p) < 1024 for p in by_sequence.values()) <= 3  # one a partition
+
+
+def test_level_array_takes_the_least_sum_of_squares():
+    rng = np.random.default_rng(0)
+    levels = packing.LevelArray(64)
+    for size in rng.integers(1, 64, 400):
+        sums = {}
+        for h in range(64 - size + 1):
+            if h and not levels.counts[h]:
+                continue
+            after = levels.counts.copy()
+            if h:
+                after[h] -= 1
+            if h + size < 64:
+                after[h + size] += 1
+            sums[h] = int((after[1:] ** 2).sum())
+        assert sums[levels.best_level(size)] == min(sums.values())
+        levels.place(("d", 0, np.zeros(size), size), int(size))
+
+
+def test_frames(spark, odd_documents, no_documents, made_documents, tmp_path):
+    manifest = frames.write_frames(odd_documents, WORDS, 2, shards=3, folder=f"file://{tmp_path}/f")
+    rows = frames.read_frames(manifest).orderBy("start").collect()
+    want, at = [], 0
+    for d, t in made_documents:
+        ids = ids_of(WORDS, t, 2)
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert [tuple(r) for r in rows] == want
+    path = manifest.orderBy("shard").first()["path"]
+    reader = frames.FrameReader(path)
+    assert reader.find(3)[0].tolist() == ids_of(WORDS, "a", 2).tolist() and reader.find(999) == []
+    import zstandard
+
+    raw = open(path.removeprefix("file://"), "rb").read()
+    plain = b"".join(reader.ids(k).tobytes() for k in range(len(reader.docs)))
+    with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True) as r:
+        assert r.read(len(plain)) == plain  # any zstandard reader takes the frames
+    broken = bytearray(raw)
+    broken[int(reader.entries["packed"][0]) - 2] ^= 1
+    (tmp_path / "bad").write_bytes(broken)
+    with pytest.raises(Exception):  # noqa: B017  by the stream's own check or ours
+        assert frames.FrameReader(f"file://{tmp_path}/bad").ids(0).tolist() == reader.ids(0).tolist()
+    assert frames.read_frames(frames.write_frames(no_documents, WORDS, 2)).count() == 0
+
+
+def repeats(texts, w=35):
+    words = [[x.decode() for x in t.encode().split()] for t in texts]
+    count = Counter(tuple(x[k : k + w]) for x in words for k in range(len(x) - w + 1))
+    for x in words:
+        gone = [False] * len(x)
+        for k in range(len(x) - w + 1):
+            if count[tuple(x[k : k + w])] > 1:
+                gone[k : k + w] = [True] * w
+        yield len(x), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(x, gone) if not g).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_repeats(spark, odd_documents, no_documents, made_documents, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    got = sorted(tuple(r) for r in substrings.remove_repeats(odd_documents).collect())
+    assert got == sorted((d, *x) for (d, _), x in zip(made_documents, repeats([t for _, t in made_documents])))
+    if group == 2:
+        assert substrings.remove_repeats(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("group", [3, 512])
+def test_repeats_of_random_texts(spark, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    rng = np.random.default_rng(group)
+    passages = [" ".join(f"{x}" for x in rng.integers(0, 50, rng.integers(20, 80))) for _ in range(12)]
+    texts = [" ".join([passages[rng.integers(12)], *(f"u{i}_{k}" for k in range(rng.integers(0, 30))), passages[rng.integers(12)]]) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [tuple(r)[1:] for r in substrings.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got == list(repeats(texts))
+
+
+def test_media(odd_documents, no_documents, made_documents):
+    rows = {r["doc_id"]: r for r in media.fingerprint(media.to_wav(odd_documents)).collect()}
+    assert media.fingerprint(media.to_wav(no_documents)).count() == 0
+    for d, t in made_documents:
+        raw = t.encode()
+        data = raw + bytes(-len(raw) % 64 if raw else 64)
+        r = rows[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        stored = media.wav_bytes(data)
+        with wave.open(io.BytesIO(stored)) as w:
+            assert w.readframes(w.getnframes()) == data and w.getsampwidth() == 1
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert rows[5]["codes"] == rows[6]["codes"] and len(rows[12]["codes"]) > 50
+
+
+def test_peaks_of_a_tone_and_shifted_pairs():
+    t = np.arange(6000)
+    rng = np.random.default_rng(2)
+    sound = np.clip(128 + 40 * np.sin(2 * np.pi * t * 32 / 256) * (t // 700 % 2) + 40 * np.sin(2 * np.pi * t * 100 / 256) * (t // 500 % 2) + rng.normal(0, 1, 6000), 0, 255).astype(np.uint8)
+    times, bins = media.band_peaks(sound.tobytes())
+    assert {32, 100} <= set(bins.tolist())
+    late = np.concatenate([np.full(20 * media.HOP, 128, np.uint8), sound])
+    a, b = (Counter(zip(*(x.tolist() for x in media.peak_pairs(*media.band_peaks(s.tobytes()))))) for s in (sound, late))
+    assert sum((Counter({(c, k + 20): n for (c, k), n in a.items()}) & b).values()) > 0.6 * sum(a.values())
+
+
+def jaccard(a, b):
+    a, b = Counter(a.lower().split()), Counter(b.lower().split())
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_weighted_sampling_is_unbiased(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = weighted.fingerprints(df, F.col("text"), "doc_id", samples=256).collect()
+    code = {r["doc_id"]: [r["fingerprint"][8 * k : 8 * k + 8] for k in range(256)] for r in got}
+    near = np.array([(np.mean([x == y for x, y in zip(code[i], code[j])]), jaccard(texts[i], texts[j])) for i in range(40) for j in range(i)])
+    assert abs((near[:, 0] - near[:, 1]).mean()) < 0.06 and np.sqrt(((near[:, 0] - near[:, 1]) ** 2).mean()) < 0.08
+
+
+def test_next_and_edited(odd_documents, no_documents, monkeypatch):
+    monkeypatch.setattr(weighted, "RANGE_ROWS", 4)
+    rows = weighted.compare_with_next(odd_documents).collect()
+    docs = [(r["doc_id"], r["text"] or "") for r in odd_documents.orderBy(F.desc("doc_id")).collect()]
+    want = Counter()
+    for k, (d, t) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        half = len(t) // 2
+        want[(d, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
+    prints = {}
+    for r in rows:
+        text = dict(docs)[r["doc_id"]]
+        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"] and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert weighted.compare_with_next(no_documents).count() == 0
+
+
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def spans(t):
+    def fits(k, m):
+        d = re.sub("[^0-9]", "", m)
+        total = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) if d else 1
+        return [True, k == 1 and all(int(x) <= 255 for x in m.split(".")), 12 <= len(d) <= 19 and total % 10 == 0, 9 <= len(d) <= 15][k]
+
+    found = sorted((m.start(), k, m.end()) for k, p in enumerate(PLAIN) for m in re.finditer(p, t) if fits(k, m.group()))
+    return ",".join(f"{private.KINDS[k]}:{a}:{b}" for a, k, b in found)
+
+
+def test_base_spans(spark, made_documents):
+    rng = np.random.default_rng(5)
+    signs = list("aB1234567890.._%+-@ ()xé\U0001f600 \n")
+    texts = [t for _, t in made_documents] + ["".join(rng.choice(signs, rng.integers(0, 90))) for _ in range(3000)]
+    texts += ["a@b.c_d@e.f g@h.i", "1.2.3.4.5.6.7.8", "4111-1111-1111-11114111", "5 " * 5000, "1" * 9000, "a" * 20000 + "@b.c", "+" + "1 " * 9, "0255.1.1.1", "00256.1.1.1", "1 " * 9000 + "4111111111111111"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", private.span_text(private.base_spans(F.col("t"))).alias("s"))
+    assert all(r["s"] == spans(r["t"]) for r in df.collect())
+
+
+def test_contexts_reveal_identifiers(spark, odd_documents, no_documents):
+    rows = [f"note {k} reach me at phone: +1 (555) 555-{1000 + k} today please" for k in range(30)]
+    rows += [f"reach me at phone: 555-{2000 + k} today thanks" for k in range(4)] + ["the 12345 cats", "the 9x9 dogs"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in private.find(df).collect()}
+    assert all([s["kind"] for s in got[k]["added"]] == [3] for k in range(30, 34)) and not got[34]["added"] and not got[35]["added"]
+    assert rows[30][got[30]["added"][0]["start"] : got[30]["added"][0]["end"]] == "555-2000"
+    clean = {r["doc_id"]: r["text"] for r in private.redacted_documents(df).collect()}
+    assert clean[0] == "note 0 reach me at phone: <phone> today please" and clean[30] == "reach me at phone: <phone> today thanks" and clean[34] == rows[34]
+    out = private.redacted_documents(odd_documents)
+    assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
+    assert out.where("doc_id = 10").first()["text"] == "mail <email> or <phone>, <ip> and <card>!"
+    assert private.find(no_documents).count() == 0 and private.redacted_documents(no_documents).count() == 0
+
+
+def test_mixing(spark, odd_documents, no_documents):
+    rng = np.random.default_rng(8)
+    rows = [(i, ["a", "b", "c", None][min(3, int(rng.zipf(1.7)) - 1)], int(rng.integers(0, 60))) for i in range(900)] + [(5000, "a", 4000), (5000, "a", 4000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    ends = {r["source"]: r for r in mixing.stops(sized, buckets=16).collect()}
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    left, open_, target = 1.5 * sum(total.values()), dict(zip(["a", "b", "c", None], [3, 1, 2, 3])), {}
+    while True:  # share, cap, share the excess again
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        over = [s for s in open_ if share[s] > 2 * total[s]]
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 2 * total[s]
+            left -= target[s]
+            del open_[s]
+    assert all(np.isclose(ends[s]["target"], target[s]) and ends[s]["source_size"] == total[s] for s in total)
+    got = mixing.mix(sized, spark.createDataFrame(list(ends.values()), "source string, source_size long, target double, certain long, rate double, stop double"), F.col("size")).collect()
+    taken = Counter()
+    for r in got:
+        assert r["_mix"]["copies"] in (0, 1, 2)
+        taken[r["source"]] += r["size"] * r["_mix"]["copies"]
+    assert all(abs(taken[s] - target[s]) <= (4000 if s == "a" else 60) for s in total)
+    mixed = mixing.mixed_documents(odd_documents)
+    assert mixed.columns == odd_documents.columns and mixed.count() > 0 and mixing.mixed_documents(no_documents).count() == 0
+
+
+def test_near_duplicates(spark, odd_documents, no_documents, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = []
+    for _ in range(30):
+        base = [f"v{x}" for x in rng.integers(0, 4000, rng.integers(1, 120))]
+        for _ in range(rng.integers(1, 6)):
+            words = list(base)
+            for _ in range(rng.integers(0, 5)):
+                words[rng.integers(len(words))] = f"n{rng.integers(9999)}"
+            docs.append(" ".join(words))
+    docs += [r["text"] for r in odd_documents.orderBy("doc_id").collect()]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in docs]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(docs)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    want = [(i, len(s), root(i), root(i) == i) for i, s in enumerate(sets)]
+    for size in (3, 512):
+        monkeypatch.setattr(minhash, "BLOCK_MEMBERS", size)
+        assert [tuple(r) for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == want
+    kept = minhash.kept_documents(odd_documents)
+    assert kept.columns == odd_documents.columns and minhash.near_duplicates(no_documents).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]
+    parent = {}
+    for a, b in pairs:
+        members = parent.get(a, {a}) | parent.get(b, {b})
+        for m in members:
+            parent[m] = members
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: min(v) for k, v in parent.items() if len(v) > 1}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_circulant_signatures_estimate_jaccard():
+    rng = np.random.default_rng(9)
+    for overlap in (0, 50, 150, 300):
+        x = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        y = np.concatenate([x[:overlap], rng.integers(0, 1 << 63, 300 - overlap).astype(np.uint64)])
+        assert abs((minhash.signature(x) == minhash.signature(y)).mean() - overlap / (600 - overlap)) < 0.08
+    assert minhash.miss_chance() < 1e-5 and shingles.shingle_sets(pa.array([None, "a b", "A b"]))[1].tolist() == shingles.shingle_sets(pa.array(["A  b"]))[0].tolist()
+
+
+def test_quality(spark, odd_documents, no_documents, odd_labels):
+    rng = np.random.default_rng(4)
+    good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "over", "green", "hills"], 40))
+    make = [lambda: " ".join(w + "!!" for w in good().upper().split()), lambda: good() + " awful awful", lambda: good() + " fine day"]
+    rows = [(i, make[i % 3](), i % 3) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i < 400], "doc_id long, g int")
+    got = {r["doc_id"]: r for r in quality.graded(docs, labels, 3, F.col("g")).collect()}
+    held = [(g, got[i]) for i, _, g in rows if i >= 400]
+    assert np.mean([r["kept"] == (g > 0) for g, r in held]) > 0.98
+    assert np.mean([r["expected_grade"] for g, r in held if g == 2]) > np.mean([r["expected_grade"] for g, r in held if g == 1]) > np.mean([r["expected_grade"] for g, r in held if g == 0])
+    kept = quality.kept_documents(odd_documents, odd_labels)
+    assert kept.columns == odd_documents.columns
+    assert quality.graded(odd_documents, odd_labels).count() == odd_documents.count() and quality.graded(no_documents, odd_labels).count() == 0
+    assert quality.kept_documents(odd_documents, odd_labels.limit(0)).count() == odd_documents.count()
+
+
+def test_thresholds_stay_ordered():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=400)
+    places, counts, grades = np.where(x > 0, 1, 2).astype(np.int32), np.ones(400, np.int64), np.clip(np.digitize(x, [-0.5, 0.5]), 0, 2)
+    w, t = quality.descend(places, counts, grades, np.zeros(8), np.array([-0.5, 0.5]), 5, 0.3, 0)
+    assert t[0] < t[1] and w[1] > w[2] and (np.diff(quality.tails(np.array([0.3]), t), axis=1) <= 0).all()
+
+
+def test_decoding_disguises(spark):
+    text = " ".join(["the idiot and the stupid moron are worthless and pathetic in the garden of the house"] * 50)
+    model = toxicity.log_model(toxicity.trigram_counts(spark.createDataFrame([(text,), (None,)], "text string")))
+    r = toxicity.Restorer(model)
+    assert [r.word(w) for w in ("1d10t", "st*pid", "m0r0n", "idiooot", "p@thetic", "garden")][0::2] == ["idiot", "moron", "pathetic"]
+    assert r.word("idiooot") == "idiot" and r.word("garden") == "garden"
+    assert "moron" in r.spelled("you m o r o n go")
+
+
+def test_toxicity(spark, odd_documents, no_documents, odd_labels):
+    rng = np.random.default_rng(7)
+    calm = ["river", "stone", "green", "hills", "walk", "house", "garden"]
+    rows = []
+    for i in range(500):
+        words = list(rng.choice(calm, 30))
+        if i % 4 == 0:
+            words[rng.integers(30)] = "moron"
+        rows.append((i, " ".join(words)))
+    rows += [(1000, "green m0r0n hills"), (1001, "m o r o n in the garden"), (1002, "green hills"), (1003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, F.col("toxic")).collect()}
+    assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(300, 500)) and got[1000] > 0.5 and got[1001] > 0.5 and got[1002] < 0.5 and got[1003] < 0.5
+    scored = toxicity.toxicity(odd_documents, odd_labels, F.col("toxic"))
+    assert scored.count() == odd_documents.count() and scored.where("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.toxicity(no_documents, odd_labels, F.col("toxic")).count() == 0
