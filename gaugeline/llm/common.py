@@ -34,14 +34,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    costs no recomputation of what lies before.
+    costs no recomputation of what lies before.  ``few`` is for tables that are
+    small beside the texts (edges, sums): an eighth of the shuffle partitions
+    write them, as every file costs the store and the committer some work.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if few:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,9 +3,7 @@
 Each round is joins and minima over the edges; the edges of a round are written
 to the shared folder, so nothing is recomputed and nothing goes to the driver
 but one count and one checksum.  A node with very many edges is an aggregation
-key (combined before the shuffle), then a key of a join; the minima are written
-first, so that both sides of that join are shuffles and adaptive execution can
-split the hot one.
+key (combined before the shuffle), then a key of a join on rows of two numbers.
 """
 
 from __future__ import annotations
@@ -18,13 +16,13 @@ from gaugeline.llm.common import settle
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")), "stars")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
     return both.where("b > a").join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = settle(down.groupBy("a").agg(F.min("b").alias("least")), "stars")
+    least = down.groupBy("a").agg(F.min("b").alias("least"))
     to_least = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return to_least.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -35,14 +33,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ``edges`` has two columns of ids; loops and repeats do no harm.
     """
     a, b = edges.columns
-    pairs = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few=True)
     before = None
     for _ in range(rounds):
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == before or not now[0]:
             break
         before = now
-        pairs = settle(_small_star(_large_star(pairs)), "edges")
+        pairs = settle(_small_star(_large_star(pairs)), "edges", few=True)
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -154,12 +154,12 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     """doc_id, n_shingles, component_id and kept for every row."""
     sketch = settle(sketches(df, id_col, text_col), "sketches")
     # one document of each set; the smallest id stands for the class
-    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles")), "classes")
+    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles")), "classes", few=True)
     keyed = sketch.where("digest is not null").select(F.col("doc_id").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     # written, so that both sides of the join are shuffles and a hot key can be split
-    shared = settle(keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"), "shared-bands")
+    shared = settle(keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"), "shared-bands", few=True)
     ties = keyed.join(shared, "band").where("node <> least").select("node", "least").distinct()
-    clusters = settle(components(ties).join(classes.select("node", "n_shingles"), "node"), "clusters")
+    clusters = settle(components(ties).join(classes.select("node", "n_shingles"), "node"), "clusters", few=True)
     heavy = clusters.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     members = clusters.join(heavy, "component").select(F.col("component").alias("cluster"), "blocks", "node")
     texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))

@@ -292,11 +292,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     missing = -(1 << 63)  # stands for a null id in joins
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), F.col(text_col).alias("text"))
     surveyed = settle(survey(docs), "survey")
-    classes = settle(surveyed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("one"), F.count("*").alias("copies")), "equal-texts")
+    classes = settle(surveyed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("one"), F.count("*").alias("copies")), "equal-texts", few=True)
     anchored = surveyed.join(classes.select(F.col("one").alias("id")), "id", "left_semi").select("id", F.inline(F.arrays_zip("prefixes", "times")))
-    twice = settle(anchored.groupBy("prefixes").agg(F.sum("times").alias("leaves")).where("leaves > 1"), "prefixes")
+    twice = settle(anchored.groupBy("prefixes").agg(F.sum("times").alias("leaves")).where("leaves > 1"), "prefixes", few=True)
     wanted = anchored.select("id", "prefixes").join(twice, "prefixes").groupBy("id").agg(F.collect_list(F.struct("prefixes", (F.col("leaves") > GROUP).alias("hot"))).alias("found"))
-    wanted = settle(wanted.select("id", "found.prefixes", "found.hot"), "wanted")
+    wanted = settle(wanted.select("id", "found.prefixes", "found.hot"), "wanted", few=True)
     leaves = deal(docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "prefixes", "hot"))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = grow(leaves.repartition(partitions, "key").sortWithinPartitions("key"))
