@@ -98,7 +98,7 @@ def stops(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         .groupBy("source", "source_size", "target", "certain", "left")
         .agg(F.coalesce(F.max(F.when(F.col("fits"), F.struct("class", "rate")))["rate"], F.lit(0.0)).alias("rate"))
     )
-    rates = settle(rates, "mix-rates")
+    rates = settle(rates, "mix-rates", few=True)
     ranked = _by_source(sized, rates).select("source", "doc_id", "size", "left", _rank(F.col("doc_id"), F.least(F.lit(1.0), F.col("rate") * length_class(F.col("size"))), seed).alias("q")).where("q is not null and size > 0")
     ranked = ranked.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
@@ -109,13 +109,13 @@ def stops(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")))).alias("at"),
         F.max(F.when(F.col("upto") <= F.col("left"), F.col("last"))).alias("whole"),
     )
-    crossing = settle(crossing.select("source", "at.bucket", "at.before", "whole"), "mix-crossing")
+    crossing = settle(crossing.select("source", "at.bucket", "at.before", "whole"), "mix-crossing", few=True)
     inside = _by_source(ranked, crossing.where("bucket is not null").withColumnRenamed("bucket", "at")).where("bucket = at")
     in_order = W.partitionBy("source").orderBy("q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     drawn = inside.withColumn("sofar", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))).where(F.col("sofar") + F.col("size") / 2 <= F.col("left")).groupBy("source").agg(F.max("q").alias("inner"))
     ends = _by_source(_by_source(rates, crossing, "left"), drawn, "left")
     # written, so that its true size (a row a source) decides on broadcasting it
-    return settle(ends.select("source", "source_size", "target", "certain", "rate", F.greatest("whole", "inner").alias("stop")), "mix-stops")
+    return settle(ends.select("source", "source_size", "target", "certain", "rate", F.greatest("whole", "inner").alias("stop")), "mix-stops", few=True)
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

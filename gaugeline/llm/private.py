@@ -136,18 +136,18 @@ def bootstrap(mention: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     ``mention`` has instance, kind (null: unknown) and contexts.
     """
-    seen = settle(mention.select("instance", "kind", F.explode("contexts").alias("context")).where("length(context) > 1").distinct(), "contexts")
-    instances = settle(seen.groupBy("context").agg(F.countDistinct("instance").alias("all")), "context-sizes")
-    seeds = settle(seen.where("kind is not null").select("instance", "kind").distinct(), "seeds")
+    seen = settle(mention.select("instance", "kind", F.explode("contexts").alias("context")).where("length(context) > 1").distinct(), "contexts", few=True)
+    instances = settle(seen.groupBy("context").agg(F.countDistinct("instance").alias("all")), "context-sizes", few=True)
+    seeds = settle(seen.where("kind is not null").select("instance", "kind").distinct(), "seeds", few=True)
     known = seeds
     for _ in range(rounds):
         # distinct pairs, so that a passage copied a thousand times counts once
         held = seen.select("context", "instance").distinct().join(known, "instance").groupBy("context", "kind").agg(F.count("*").alias("known"))
-        good = settle(held.join(instances, "context").withColumn("score", F.col("known") / (F.col("all") + 1)).where((F.col("score") >= GOOD_CONTEXT) & (F.col("known") >= LEAST_KNOWN)).select("context", "kind", "score"), "good-contexts")
+        good = settle(held.join(instances, "context").withColumn("score", F.col("known") / (F.col("all") + 1)).where((F.col("score") >= GOOD_CONTEXT) & (F.col("known") >= LEAST_KNOWN)).select("context", "kind", "score"), "good-contexts", few=True)
         unknown = seen.where("kind is null").select("context", "instance").distinct()
         scored = unknown.join(good, "context").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         new = scored.where(F.col("score") >= GOOD_INSTANCE).groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        known = settle(seeds.unionByName(new.join(seeds.select("instance"), "instance", "left_anti")), "known")
+        known = settle(seeds.unionByName(new.join(seeds.select("instance"), "instance", "left_anti")), "known", few=True)
     return known.join(seeds.select("instance"), "instance", "left_anti")
 
 
@@ -163,7 +163,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def added_spans(mention: DataFrame) -> DataFrame:
     """doc_id and added spans, for documents that have any."""
     revealed = mention.where("kind is null").select("doc_id", "start", "end", "instance").join(bootstrap(mention), "instance")
-    return settle(revealed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")), "added-spans")
+    return settle(revealed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")), "added-spans", few=True)
 
 
 def span_text(spans: Column) -> Column:
