@@ -31,6 +31,8 @@ class Encoder:
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
         one = lambda t: self._whole([t])[0]
+        #: Whether case does not matter; pieces are kept in lower case then.
+        self._any_case = one("Ab CD") == one("ab cd")
         self._mark = one(" " + _MARK)
         self._ends = {c: np.asarray(one(c), dtype="<u4").tobytes() for c in ".,;:!?" if one("ab" + c) == one("ab") + one(c)}
         self._kept: dict[str, bytes] = {}
@@ -92,6 +94,8 @@ class Encoder:
         """
         texts = pc.fill_null(texts, "")
         whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.match_substring(texts, _MARK))
+        if self._any_case:  # a mark could join a lower-case letter that it does not join in upper case
+            whole = pc.or_(whole, pc.match_substring_regex(texts, "[\\x{300}-\\x{36f}]"))
         out: list = [None] * len(texts)
         for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
             out[k] = np.asarray(self._whole([texts[int(k)].as_py()])[0], dtype="<u4")
@@ -99,7 +103,8 @@ class Encoder:
         if not len(at):
             return out
         # a piece stands for itself after a space; the first, which has none, is marked
-        split = pc.split_pattern(pc.binary_join_element_wise(_MARK, texts.filter(pc.invert(whole)), ""), " ")
+        plain = texts.filter(pc.invert(whole))
+        split = pc.split_pattern(pc.binary_join_element_wise(_MARK, pc.ascii_lower(plain) if self._any_case else plain, ""), " ")
         coded = split.flatten().dictionary_encode()
         pieces = self._ids_of_pieces(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
