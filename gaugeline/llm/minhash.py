@@ -7,8 +7,10 @@ two permutations give all coordinates, and the K coordinates of one shingle are
 K neighbouring table entries: one contiguous read.
 
 How it runs
-1. Where texts lie: shingle sets, their digest, and band keys.  Documents with
-   equal sets form a class; one of each goes on.
+1. The rows are written with a key of their own, which stands for them from
+   here on: ids may be null or shared.  Where texts lie: shingle sets, their
+   digest, and band keys.  Rows with equal sets form a class; one of each goes
+   on.
 2. Band keys that several classes share tie each member to the least of them.
    Components of these ties are clusters: a link (Jaccard at or over the
    threshold) lies inside a cluster, but for the chance in ``miss_chance``.
@@ -25,7 +27,9 @@ Nothing is capped: large buckets and clusters only make more blocks.
 Defined results: null, empty and blank texts have no shingles, link with
 nothing and are kept; with fewer words than a shingle the whole sequence is
 one; repeated rows are one class; an empty table gives no rows; other columns
-are ignored; a row without doc_id takes the component of its class.
+are ignored.  Of each group exactly one row is kept: that of the least doc_id
+(a null one last, then any one row), and the group is named by that id, null
+where no row of it has one.
 """
 
 from __future__ import annotations
@@ -82,20 +86,25 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SKETCH = "_row long, doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_rows(df: DataFrame) -> DataFrame:
+    """The table written with a key of each row, _row."""
+    return settle(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def sketches(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            doc_ids, texts = part.columns
+            row, doc_ids, texts = part.columns
             for a, b in batches(texts):
                 sets = shingle_sets(texts.slice(a, b - a))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 bands = [_band_keys(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), doc_ids.slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_row", "doc_id", "n_shingles", "digest", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
+    return rows.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
 
 def _sets(df: DataFrame) -> DataFrame:
@@ -150,19 +159,20 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent
     return links
 
 
-def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    sketch = settle(sketches(df, id_col, text_col), "sketches")
-    # one document of each set; the smallest id stands for the class
-    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n_shingles")), "classes", few=True)
-    keyed = sketch.where("digest is not null").select(F.col("doc_id").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
+def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_row, doc_id, n_shingles, component_id and kept for every row of a table ``with_rows``."""
+    sketch = settle(sketches(rows, id_col, text_col), "sketches")
+    # one row of each set stands for the class; its first row may come to name the group
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes", few=True)
+    keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     # written, so that both sides of the join are shuffles and a hot key can be split
     shared = settle(keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"), "shared-bands", few=True)
     ties = keyed.join(shared, "band").where("node <> least").select("node", "least").distinct()
     clusters = settle(components(ties).join(classes.select("node", "n_shingles"), "node"), "clusters", few=True)
     heavy = clusters.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     members = clusters.join(heavy, "component").select(F.col("component").alias("cluster"), "blocks", "node")
-    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    texts = rows.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
     sets = _sets(texts.join(members.hint("shuffle_hash"), "node"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     paired = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -176,13 +186,22 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
 
     links = paired.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
     found = components(links)
-    of_class = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = classes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
+    firsts = of_class.groupBy("component").agg(F.min("first").alias("first"))
+    of_class = of_class.select("digest", "component").join(firsts, "component").select("digest", "first")
+    out = sketch.select("_row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = F.col("digest").isNull() | (F.col("first._row") == F.col("_row"))
+    return out.select("_row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row."""
+    return decided(with_rows(df.select(id_col, text_col)), percent, id_col, text_col).drop("_row")
 
 
 def kept_documents(df: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group, and all that link with nothing."""
-    gone = near_duplicates(df, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``df`` that stay: one row of each group, and all that link with nothing."""
+    rows = with_rows(df)
+    gone = decided(rows, percent).where("not kept").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*df.columns)

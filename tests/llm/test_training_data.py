@@ -286,6 +286,25 @@ def test_near_duplicates(spark, odd_documents, no_documents, monkeypatch):
     assert kept.columns == odd_documents.columns and minhash.near_duplicates(no_documents).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, ids that rows share, and repeated rows."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (1, base), (None, base), (None, base.replace("w30", "x30")), (None, "alone and without an id but never lost"), (None, None), (None, ""),
+        (2, "shared id first text of its own kind"), (2, base + " w60"), (2, "shared id other text that nothing is like"),
+        (3, "the same row twice over and over"), (3, "the same row twice over and over"),
+        (None, base.upper().replace("W", "v")), (None, base.replace("w", "v")), (None, base.replace("w", "v").replace("v10", "y10")),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(map(tuple, minhash.kept_documents(df).collect()))
+    v = [r for r in kept if r[1] and r[1].lower().startswith("v0 ")]
+    assert len(v) == 1 and v[0][0] is None and kept.pop(v[0]) == 1
+    assert kept == Counter([rows[0], *rows[3:7], *rows[8:10]])
+    got = minhash.near_duplicates(df)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == len(rows) and got.where("kept").count() == 8
+    assert got.where("component_id = 1").count() == 4
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]
