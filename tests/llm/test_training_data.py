@@ -143,6 +143,19 @@ def test_media(odd_documents, no_documents, made_documents):
     assert rows[5]["codes"] == rows[6]["codes"] and len(rows[12]["codes"]) > 50
 
 
+def test_short_recordings_and_ends_have_features():
+    feature = lambda t: tuple(x.tobytes() for x in media.peak_pairs(*media.band_peaks(media.payload(t))))
+    words = "stone river harbour winter letter garden window silver morning distance".split()
+    short = [*words, *(" ".join(words[:k]) for k in range(2, 11)), " ".join(words * 3), " ".join(words * 6)]
+    prints = [feature(t) for t in short]
+    assert all(codes for codes, _ in prints) and len(set(prints)) == len(short)
+    for repeats in (4, 5, 9, 40):
+        for cut in range(0, 128, 16):
+            text = " ".join(words * repeats)[cut:]
+            assert feature(text) != feature(text[:-16] + "QJXZ 0123 JQXZ 9")
+    assert media.band_peaks(bytes([128]) * 640)[0].size == 0 and feature(None) == feature("")
+
+
 def test_peaks_of_a_tone_and_shifted_pairs():
     t = np.arange(6000)
     rng = np.random.default_rng(2)
