@@ -3,7 +3,9 @@
 Words may be disguised: digits and signs for letters, letters stretched, words
 spelled out with spaces.  A disguised word is a lattice: each sign stands for
 itself or for letters it resembles, a repeated letter may be dropped, a gap
-between single letters is a word end or nothing.  The likeliest path under a
+between single letters is a word end or nothing.  Signs at a word's ends may be
+letters or mere marks, so the word is read with and without them.  Of a longer
+word runs of one sign are folded to two, and then overlapping parts are read.  The likeliest path under a
 character trigram model is found by the Viterbi algorithm; the model's counts
 come from all documents.  Original and restored words together are scored by
 a logistic model over a lexicon of words and word beginnings, chosen by the
@@ -43,11 +45,15 @@ _CODE[128:] = 27
 #: Letters that signs resemble.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "", "_": "", ".": "", "-": ""}
 _LOOK_COST, _DROP_COST, _JOIN_COST = math.log(0.3), math.log(0.3), math.log(0.7)
-#: Longer tokens are no words and stay as they are.
+#: Signs of a lattice; longer words are read in parts.
 LONGEST = 40
-_DISGUISED = re.compile(r"[a-z][^a-z\s]*[0-9@$!|+(€£*_.\-]+[a-z]|[0-9@$!|+(€£][a-z]|[a-z]{2}[0-9@$!|+(€£]$|(.)\1\1")
+#: A sign that stands for a letter, a mark between letters, or a repeated letter.
+_DISGUISED = re.compile(r"[0-9@$!|+(€£]|[a-z][*_.\-]+[a-z]|([^\W\d_])\1|(.)\2\2")
+_RUN = re.compile(r"(.)\1{2,}")
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_EDGES = " \t\r\n.,;:?\"'`~#%^&)]}{[<>=/\\"
+_EDGES = " \t\r\n.,;:?\"'`~#%^&)]}{[<>=/\\*_-"
+#: Signs at a word's ends that are marks or letters.
+_ENDS = "!|+$@(€£"
 LEXICON = 5_000
 LEAST_DOCS, LEAST_Z = 4, 3.0
 
@@ -124,15 +130,28 @@ class Restorer:
         self._kept: dict[str, str] = {}
 
     def word(self, word: str) -> str:
-        """A lower-case word without marks at its ends, restored."""
-        if len(word) > LONGEST or not _DISGUISED.search(word):
+        """A lower-case word without marks at its ends, restored; of a very long one the parts, with spaces."""
+        if not _DISGUISED.search(word):
             return word
+        if len(word) > LONGEST:
+            word = _RUN.sub(r"\1\1", word)
         if word not in self._kept:
             if len(self._kept) > 200_000:
                 self._kept.clear()
-            self._kept[word] = decode(list(word), self._model)
+            starts = range(0, max(1, len(word) - LONGEST // 2), LONGEST // 2)
+            self._kept[word] = " ".join(decode(list(word[a : a + LONGEST]), self._model) for a in starts)
         return self._kept[word]
 
+    def readings(self, token: str) -> list[str]:
+        """What a lower-case token may be: itself without marks, and restored with and without the signs at its ends."""
+        whole = token.strip(_EDGES)
+        bare = whole.strip(_EDGES + _ENDS)
+        forms = [bare]
+        if bare != whole:
+            heads = (whole, whole.lstrip("(" + _EDGES), whole.lstrip(_EDGES + _ENDS))
+            forms += [f for h in heads for f in (h, h.rstrip("!"), h.rstrip(_EDGES + _ENDS))]
+        return [w for w in dict.fromkeys([bare, *(r for f in dict.fromkeys(forms) for r in self.word(f).split())]) if w]
+
     def spelled(self, text: str) -> list[str]:
         """Words spelled out letter by letter with gaps, restored."""
         found = []
@@ -156,10 +175,7 @@ def _restored(texts: pa.Array, restorer: Restorer) -> Iterator[tuple[np.ndarray,
     texts = pc.utf8_lower(pc.fill_null(texts, ""))
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    words = []
-    for w in coded.dictionary.to_pylist():
-        w = w.strip(_EDGES + "!*_-|+$") if not w[-1:].isalnum() or not w[:1].isalnum() else w
-        words.append(list(dict.fromkeys([w, *restorer.word(w).split()])) if w else [])
+    words = [restorer.readings(w) for w in coded.dictionary.to_pylist()]
     spelled = {int(k): restorer.spelled(texts[int(k)].as_py()) for k in np.flatnonzero(pc.match_substring_regex(texts, r"(?:^|\s)\S[ \t]\S[ \t]\S(?:\s|$)").to_numpy(zero_copy_only=False))}
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     return owner, coded.indices.to_numpy(), words, spelled

@@ -374,6 +374,18 @@ def test_decoding_disguises(spark):
     assert "moron" in r.spelled("you m o r o n go")
 
 
+def test_every_form_of_disguise_is_read(spark):
+    text = " ".join(["the idiot and the stupid moron are worthless and pathetic as an ass in the garden of the house"] * 50)
+    r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(spark.createDataFrame([(text,)], "text string"))))
+    forms = {
+        "idiot": ["!d10t", "!diot", "iidiot", "idiot!!", "(!d10t)", "1d!0t", "!d!0t!", "id" + "i" * 60 + "ot", "!d" + "i" * 60 + "0t"],
+        "stupid": ["$tupid", "stuupid", "*$tup1d*", "$tupid!", "s" + "t" * 50 + "upid"],
+        "ass": ["a$$", "455", "a55", "@$$", "a$$!", "\"a$$\","],
+    }
+    assert {f: w for w, fs in forms.items() for f in fs if w not in r.readings(f)} == {}
+    assert any("stupid" in w for w in r.readings("st*pid-$tupid-" * 9)) and r.readings("garden.") == ["garden"] and r.readings("...") == []
+
+
 def test_toxicity(spark, odd_documents, no_documents, odd_labels):
     rng = np.random.default_rng(7)
     calm = ["river", "stone", "green", "hills", "walk", "house", "garden"]
