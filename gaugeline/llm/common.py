@@ -16,17 +16,19 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests on one machine) a folder of
-    our own is made and set.
+    Only a session on one machine (a local master) may have none: a folder of
+    our own is made and set there.  On a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="gaugeline-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/gaugeline-{spark.sparkContext.applicationId}"
 
 
@@ -38,16 +40,40 @@ def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    costs no recomputation of what lies before.  ``few`` is for tables that are
-    small beside the texts (edges, sums): an eighth of the shuffle partitions
-    write them, as every file costs the store and the committer some work.
+    costs no recomputation of what lies before.  ``release`` deletes it.
+    ``few`` is for sums and edges, rows of a few numbers: what all tasks have
+    computed is dealt evenly to an eighth as many files.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(df.sparkSession, name)
     if few:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that no plan reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.settled_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """The table written with a key of each row, _row, in buckets by that key.
+
+    Ids may be null or shared; the key is not.  Texts are shuffled once, here:
+    later joins by _row bring their small side to the buckets.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "rows")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    keyed = df.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
+    keyed.write.format("parquet").bucketBy(n, "_row").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def words_of(text: Column) -> Column:

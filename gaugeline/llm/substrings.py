@@ -5,30 +5,35 @@ words that repeats cover are removed.  All suffixes of a corpus are too many to
 sort, so the trees are sparse and partitioned:
 
 1. Each window is seen from its anchor: the leftmost least hash among its runs
-   of ``PREFIX`` words.  Equal windows have equal anchors at equal places, so
-   only suffixes that start at anchors (one word in ten) enter a tree, and only
-   anchors whose prefix occurs twice in the corpus.
-2. Suffixes are dealt out by prefix.  Groups by the short prefix that would
-   outgrow ``GROUP`` leaves get the longest prefix instead, the whole window:
-   there each group is one node, decided by its count, and equal windows are
-   combined before the shuffle, so that no hot group arrives anywhere.
+   of as many words as a prefix has.  Equal windows have equal anchors at equal
+   places, so only suffixes that start at anchors enter a tree (one word in ten
+   for the shortest prefix), and only those whose prefix occurs twice.
+2. Suffixes are dealt out by prefix.  Prefixes have variable lengths: where a
+   group would outgrow ``GROUP`` leaves, its windows, and these alone, are seen
+   anew from anchors with the next longer prefix of ``PREFIXES``.
 3. A task sorts the suffixes of many groups; the lengths of common prefixes of
    neighbours are the suffix trees.  Cutting a tree at depth ``WINDOW - d``
    gives the nodes whose leaves agree on the words right of the anchor; leaves
    of a node that also agree on the ``d`` words left of it are repeats.
+4. The longest prefix is the whole window: nothing is left of the tree but one
+   node, and its leaves are counted.  A batch of texts counts its own windows
+   first and sends one row for each; sums and a join that Spark can split for
+   hot keys do the rest.
 
-Documents with equal words enter once, and each such document of at least a
-window is a repeat throughout.
+Rows with equal words enter once, and each such row of at least a window is a
+repeat throughout.
 
-Texts are shuffled once, by doc_id; the shuffle serves finding leaves and
-removing words.  Memory of a task: a batch of texts, or ``CHUNK`` leaves.
-Words are compared by 32 bits a word inside a group that shares a 64-bit
-prefix, so 35 words agree by chance with odds far under 2**-64.
+Rows have a key of their own.  Texts are shuffled once, into buckets of that
+key; later passes bring prefixes and spans to the buckets.  Memory of a task: a
+batch of texts, or ``CHUNK`` leaves and one group.  A word stands for itself by
+32 bits inside a group that shares a 64-bit prefix hash, a whole window by 128
+bits: of 10**13 windows two that differ are taken as equal with a chance under
+10**-12.
 
 Defined results: null and blank texts have no words; the digest of no words is
 that of the empty string; documents under a window keep everything; repeated
 rows repeat each other; an empty table gives no rows; other columns are
-ignored.  doc_id is taken as a key: rows that share one share their text.
+ignored.  doc_id may be null or shared: every row is judged by its own text.
 """
 
 from __future__ import annotations
@@ -42,68 +47,119 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle
+from gaugeline.llm.common import settle, with_rows
 from gaugeline.llm.shingles import mixed, rolled, word_hashes
 from gaugeline.llm.tokens import batches
 
 WINDOW = 35
-PREFIX = 12
-GROUP = 512
+#: Words of a prefix, from the first try to the whole window.
+PREFIXES = (12, 24, WINDOW)
+#: Leaves of a group; longer prefixes split what is larger.
+GROUP = 4096
 CHUNK = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_WORD_FACTORS = np.random.default_rng(35).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORD_FACTORS = np.random.default_rng(35).integers(1, 1 << 63, size=(2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def anchors(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: document, prefix hash, anchor, nearest and farthest window start.
+def starts_of(counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places where windows start, in texts on end."""
+    n = np.maximum(counts - window + 1, 0)
+    return _ragged(np.cumsum(counts) - counts, n)
 
-    Positions count words of all texts on end; ``near`` and ``far`` are how many
-    words before the anchor the last and the first window of the run start.
+
+def anchors(hashes: np.ndarray, starts: np.ndarray, width: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: prefix hash, anchor, and first and last window start of the run.
+
+    Places count words of all texts on end.  Windows of two texts never share
+    an anchor, as both would have to hold it.
     """
     none = np.empty(0, dtype=np.int64)
-    if len(hashes) < window:
-        return none, none.astype(np.uint64), none, none, none
-    prefixes = rolled(hashes, PREFIX)
-    least = np.lib.stride_tricks.sliding_window_view(prefixes, window - PREFIX + 1).argmin(axis=1)
-    ends = np.repeat(np.cumsum(counts), counts)
-    starts = np.flatnonzero(np.arange(len(least)) + window <= ends[: len(least)])
-    at = starts + least[starts]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else none
-    last = np.concatenate([first[1:], [len(at)]]) - 1 if len(at) else none
-    doc = np.searchsorted(np.cumsum(counts), starts[first], side="right")
-    return doc, prefixes[at[first]], at[first], at[first] - starts[last], at[first] - starts[first]
+    if not len(starts):
+        return none.astype(np.uint64), none, none, none
+    prefixes = rolled(hashes, width)
+    least = np.lib.stride_tricks.sliding_window_view(prefixes, window - width + 1)
+    at = np.concatenate([starts[k : k + CHUNK] + least[starts[k : k + CHUNK]].argmin(axis=1) for k in range(0, len(starts), CHUNK)])
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    last = np.append(first[1:], len(at)) - 1
+    return prefixes[at[first]], at[first], starts[first], starts[last]
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _marked(owner: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(prefix.view(np.uint64) ^ mixed((owner + 1).astype(np.uint64) * _STEP))
 
 
-SURVEYED = "id long, n_words long, digest binary, kept binary, prefixes array<long>, times array<int>"
+def _among(owner: np.ndarray, prefix: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether the prefix is in the list of its text."""
+    of = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    return np.isin(_marked(owner, prefix), _marked(of, lists.flatten().to_numpy()))
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """Of each document its words' digests and the prefixes of its anchors with their counts."""
+def followed(hashes: np.ndarray, counts: np.ndarray, hot: list[pa.Array]) -> tuple[np.ndarray, ...]:
+    """Owner and anchors (see ``anchors``) of the windows whose shorter prefixes are all hot, with the prefix after these."""
+    starts, ends = starts_of(counts), np.cumsum(counts)
+    for level in range(len(hot) + 1):
+        prefix, at, first, last = anchors(hashes, starts, PREFIXES[level])
+        owner = np.searchsorted(ends, at, side="right")
+        if level < len(hot):
+            again = _among(owner, prefix, hot[level])
+            starts = _ragged(first[again], (last - first + 1)[again])
+    return owner, prefix, at, first, last
+
+
+def _counted(owner: np.ndarray, prefix: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+    """Of each text its distinct prefixes and how often each occurs."""
+    order = np.lexsort((prefix, owner))
+    owner, prefix = owner[order], prefix[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (prefix[1:] != prefix[:-1])])) if len(owner) else owner
+    times = np.diff(np.append(first, len(owner)))
+    cuts = np.searchsorted(owner[first], np.arange(texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(prefix[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32()))
+
+
+SURVEYED = "_row long, n_words long, digest binary, kept binary, prefixes array<long>, times array<int>"
+
+
+def _named(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def survey(rows: DataFrame) -> DataFrame:
+    """Of each row (_row, text) its words' digests and the prefixes of its anchors with their counts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, texts = part.columns
+            row, texts = part.columns
             for a, b in batches(texts):
                 some = texts.slice(a, b - a)
                 hashes, counts = word_hashes(some, lower=False)
-                doc, prefix, *_ = anchors(hashes, counts)
-                # distinct (document, prefix) with counts
-                order = np.lexsort((prefix, doc))
-                doc, prefix = doc[order], prefix[order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (prefix[1:] != prefix[:-1])])) if len(doc) else doc
-                times = np.diff(np.append(first, len(doc)))
-                cuts = np.searchsorted(doc[first], np.arange(len(some) + 1)).astype(np.int32)
+                owner, prefix, *_ = followed(hashes, counts, [])
                 kept, digests, at = [], [], 0
                 for n, text in zip(counts.tolist(), some.to_pylist()):
                     kept.append(hashlib.sha256(" ".join(_words(text)).encode("utf-8", "surrogatepass")).digest())
                     digests.append(hashlib.blake2b(hashes[at : at + n].tobytes(), digest_size=16).digest() if n else None)
                     at += n
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary()),
-                    pa.ListArray.from_arrays(cuts, pa.array(prefix[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
-                ], [c.split()[0] for c in SURVEYED.split(", ")])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), *_counted(owner, prefix, b - a)], _named(SURVEYED))
+
+    return rows.select("_row", "text").mapInArrow(run, SURVEYED)
 
-    return docs.mapInArrow(run, SURVEYED)
+
+def resurvey(joined: DataFrame, level: int) -> DataFrame:
+    """Of each row (_row, text, hot prefixes of all levels before) the prefixes of its windows that these leave, with counts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a, b in batches(part.column(1)):
+                row, texts, *hot = (c.slice(a, b - a) for c in part.columns)
+                owner, prefix, *_ = followed(*word_hashes(texts, lower=False), hot)
+                yield pa.RecordBatch.from_arrays([row, *_counted(owner, prefix, b - a)], ["_row", "prefixes", "times"])
+
+    return joined.select("_row", "text", *[f"hot{k}" for k in range(level)]).mapInArrow(run, "_row long, prefixes array<long>, times array<int>")
 
 
 def _words(text: str | None) -> list[str]:
@@ -111,88 +167,98 @@ def _words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
 
 
-#: Rows dealt out by key.  kind 0: a leaf, 1: a window to be counted, 2: a window
-#: known to repeat (a witness), 3: words known to be repeats.
-DEALT = "key long, kind byte, id long, at int, near int, far int, codes binary"
-SPANS = "id long, first int, past int"
-
+LEAVES = "key long, _row long, at int, near int, far int, codes binary"
+SPANS = "_row long, first int, past int"
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
+def leaves(joined: DataFrame, levels: int) -> DataFrame:
+    """Leaves of trees: anchors whose prefix is wanted, with the words around them.
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of runs of neighbouring positions of one document."""
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(doc) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(doc)) - 1 if len(doc) else first
-
+    ``joined`` has _row, text, and for each level but the last want{k} and hot{k}.
+    """
 
-def deal(joined: DataFrame) -> DataFrame:
-    """Leaves and windows of documents (id, text, prefixes, hot) whose prefixes occur twice in the corpus."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a, b in batches(part.column(1)):
+                row, texts, *lists = (c.slice(a, b - a) for c in part.columns)
+                hashes, counts = word_hashes(texts, lower=False)
+                base = np.cumsum(counts) - counts
+                for level in range(levels):
+                    owner, prefix, at, first, last = followed(hashes, counts, lists[levels : levels + level])
+                    wanted = np.flatnonzero(_among(owner, prefix, lists[level]))
+                    for k in range(0, len(wanted), CHUNK):
+                        x = wanted[k : k + CHUNK]
+                        lengths = last[x] + WINDOW - first[x]
+                        words = np.maximum(hashes[_ragged(first[x], lengths)] >> np.uint64(32), np.uint64(1)).astype("<u4")
+                        codes = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)), pa.py_buffer(words)])
+                        with np.errstate(over="ignore"):
+                            key = prefix[x] + np.uint64(level)
+                        numbers = [(at - base[owner])[x], (at - last)[x], (at - first)[x]]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), row.take(pa.array(owner[x])), *(pa.array(n.astype(np.int32)) for n in numbers), codes], _named(LEAVES))
+
+    lists = [f"{kind}{k}" for kind in ("want", "hot") for k in range(levels)]
+    return joined.select("_row", "text", *lists).mapInArrow(run, LEAVES)
+
+
+WHOLE = "key long, more long, times int, _row long, first int, past int"
+
+
+def whole_windows(joined: DataFrame, levels: int) -> DataFrame:
+    """Windows whose prefixes are all hot, counted in each batch of texts.
+
+    A window that a batch holds once has its row and place; one that it holds
+    more often has times 2 and none, and its places come as spans without a key.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a, b in batches(part.column(1)):
-                yield from dealt(*(c.slice(a, b - a) for c in part.columns))
-
-    def dealt(ids: pa.Array, texts: pa.Array, wanted: pa.Array, hots: pa.Array) -> Iterator[pa.RecordBatch]:
-        hashes, counts = word_hashes(texts, lower=False)
-        doc, prefix, at, near, far = anchors(hashes, counts)
-        base = np.cumsum(counts) - counts
-        of = np.repeat(np.arange(len(ids)), pc.list_value_length(wanted).to_numpy())
-        mark = lambda d, p: mixed(p.view(np.uint64) ^ mixed((d + 1).astype(np.uint64) * _STEP))
-        with np.errstate(over="ignore"):
-            known = mark(of, wanted.flatten().to_numpy())
-            mine = mark(doc, prefix)
-        order = np.argsort(known)
-        known, hot = known[order], hots.flatten().to_numpy(zero_copy_only=False)[order]
-        where = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
-        found = known[where] == mine if len(known) else np.zeros(len(mine), bool)
-        is_hot = found & hot[where] if len(known) else found
-        id_of = ids.to_numpy()
-
-        def rows(key, kind, d, place, near=None, far=None, codes=None):
-            zeros = np.zeros(len(key), dtype=np.int32)
-            cols = [key.view(np.int64), np.full(len(key), kind, dtype=np.int8), id_of[d], (place - base[d]).astype(np.int32), zeros if near is None else near.astype(np.int32), zeros if far is None else far.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(key), pa.binary()) if codes is None else codes], [c.split()[0] for c in DEALT.split(", ")])
-
-        leaf = np.flatnonzero(found & ~is_hot)
-        for k in range(0, len(leaf), CHUNK):
-            x = leaf[k : k + CHUNK]
-            lengths = far[x] + WINDOW - near[x]
-            words = np.maximum(hashes[_ragged(at[x] - far[x], lengths)] >> np.uint64(32), np.uint64(1)).astype("<u4")
-            codes = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)), pa.py_buffer(words)])
-            yield rows(prefix[x], 0, doc[x], at[x], near[x], far[x], codes)
-
-        x = np.flatnonzero(is_hot)
-        if not len(x):
-            return
-        runs = far[x] - near[x] + 1
-        start, owner = _ragged(at[x] - far[x], runs), np.repeat(doc[x], runs)
-        digest = np.empty(len(start), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(0, len(start), CHUNK):
-                words = hashes[start[k : k + CHUNK, None] + np.arange(WINDOW)]
-                digest[k : k + CHUNK] = mixed((words * _WORD_FACTORS[:WINDOW]).sum(axis=1, dtype=np.uint64))
-        _, one, which, times = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-        single = one[times == 1]
-        yield rows(digest[single], 1, owner[single], start[single])
-        witness = one[times > 1]
-        yield rows(digest[witness], 2, owner[witness], start[witness])
-        again = np.flatnonzero(times[which] > 1)
-        again = again[np.lexsort((start[again], owner[again]))]
-        first, last = _runs(owner[again], start[again])
-        d, s, e = owner[again][first], start[again][first], start[again][last]
-        yield rows(mixed(id_of[d].view(np.uint64) + s.astype(np.uint64)), 3, d, s, far=e - s + WINDOW)
-
-    return joined.mapInArrow(run, DEALT)
+                row, texts, *hot = (c.slice(a, b - a) for c in part.columns)
+                hashes, counts = word_hashes(texts, lower=False)
+                owner, _, _, start, last = followed(hashes, counts, hot)
+                n = last - start + 1
+                owner, start = np.repeat(owner, n), _ragged(start, n)
+                digest = np.empty((len(start), 2), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(0, len(start), CHUNK):
+                        words = hashes[start[k : k + CHUNK, None] + np.arange(WINDOW)]
+                        for side in range(2):
+                            digest[k : k + CHUNK, side] = mixed((mixed(words + np.uint64(side)) * _WORD_FACTORS[side]).sum(axis=1, dtype=np.uint64))
+                order = np.lexsort((digest[:, 1], digest[:, 0]))
+                new = np.concatenate([[True], (digest[order[1:]] != digest[order[:-1]]).any(axis=1)]) if len(order) else np.empty(0, bool)
+                times = np.diff(np.append(np.flatnonzero(new), len(order)))
+                one, often = order[new], np.empty(len(order), bool)
+                often[order] = np.repeat(times > 1, times)
+                again = np.flatnonzero(often)
+                again = again[np.lexsort((start[again], owner[again]))]
+                first, final = _runs(owner[again], start[again])
+                base = np.cumsum(counts) - counts
+
+                def out(key, more, seen, owner, start, past, placed):
+                    m = ~np.full(len(key), placed)
+                    cells = [pa.array(start.astype(np.int32), mask=m), pa.array(past.astype(np.int32), mask=m)]
+                    return pa.RecordBatch.from_arrays([key, more, pa.array(seen.astype(np.int32)), row.take(pa.array(owner, mask=m)), *cells], _named(WHOLE))  # noqa: B023
+
+                for seen, x in ((1, one[times == 1]), (2, one[times > 1])):
+                    at = start[x] - base[owner[x]]
+                    yield out(*(pa.array(digest[x, side].view(np.int64)) for side in range(2)), np.full(len(x), seen), owner[x], at, at + WINDOW, seen == 1)
+                d, s, e = owner[again][first], start[again][first], start[again][final]
+                nothing = pa.nulls(len(d), pa.int64())
+                yield out(nothing, nothing, np.zeros(len(d)), d, s - base[d], e - base[d] + WINDOW, True)
+
+    return joined.select("_row", "text", *[f"hot{k}" for k in range(levels)]).mapInArrow(run, WHOLE)
+
+
+def _runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of runs of neighbouring places of one text."""
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)]) if len(owner) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(owner)) - 1 if len(owner) else first
 
 
 def repeats_among(key: np.ndarray, near: np.ndarray, far: np.ndarray, codes: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of leaves grouped by key: leaf, and the nearest and farthest start of each run of repeats."""
-    n, reach = len(key), window - PREFIX
+    n, reach = len(key), window - PREFIXES[0]
     offsets = np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset : codes.offset + n + 1].astype(np.int64) // 4
     flat = np.append(np.frombuffer(codes.buffers()[2], dtype="<u4"), np.uint32(0))
     end = len(flat) - 1
@@ -226,7 +292,7 @@ def repeats_among(key: np.ndarray, near: np.ndarray, far: np.ndarray, codes: pa.
 
 
 def grow(dealt: DataFrame) -> DataFrame:
-    """Spans of words that repeats cover, from rows sorted by key in each partition."""
+    """Spans of words that repeats cover, from leaves sorted by key in each partition."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -234,80 +300,97 @@ def grow(dealt: DataFrame) -> DataFrame:
         for part in parts:
             held.append(part)
             size += len(part)
+            # a group is bounded, so the last one that is held back is small
             if size >= CHUNK:
                 table = pa.Table.from_batches(held).combine_chunks()
                 key = table["key"].chunk(0).to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield from spans(table.slice(0, cut))
+                    yield spans(table.slice(0, cut))
                 held, size = table.slice(cut).to_batches(), len(table) - cut
         if size:
-            yield from spans(pa.Table.from_batches(held))
+            yield spans(pa.Table.from_batches(held))
 
-    def spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def spans(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        kind = table["kind"].to_numpy()
-        col = lambda t, c: t[c].to_numpy()
-
-        def out(i, first, past):
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(first, pa.int32()), pa.array(past, pa.int32())], ["id", "first", "past"])
-
-        if len(leaves := table.filter(pa.array(kind == 0))):
-            leaves = leaves.combine_chunks()
-            near, far, at = (col(leaves, c).astype(np.int64) for c in ("near", "far", "at"))
-            leaf, nearest, farthest = repeats_among(col(leaves, "key"), near, far, leaves["codes"].chunk(0))
-            yield out(col(leaves, "id")[leaf], at[leaf] - farthest, at[leaf] - nearest + WINDOW)
-        if len(windows := table.filter(pa.array((kind == 1) | (kind == 2)))):
-            _, which, times = np.unique(col(windows, "key"), return_inverse=True, return_counts=True)
-            more = (col(windows, "kind") == 1) & (times[which] > 1)
-            at = col(windows, "at")[more]
-            yield out(col(windows, "id")[more], at, at + WINDOW)
-        if len(sure := table.filter(pa.array(kind == 3))):
-            yield out(col(sure, "id"), col(sure, "at"), col(sure, "at") + col(sure, "far"))
+        near, far, at = (table[c].to_numpy().astype(np.int64) for c in ("near", "far", "at"))
+        leaf, nearest, farthest = repeats_among(table["key"].to_numpy(), near, far, table["codes"].chunk(0))
+        return pa.RecordBatch.from_arrays([table["_row"].chunk(0).take(pa.array(leaf)), pa.array((at[leaf] - farthest).astype(np.int32)), pa.array((at[leaf] - nearest + WINDOW).astype(np.int32))], _named(SPANS))
 
     return dealt.mapInArrow(run, SPANS)
 
 
 def _remove(joined: DataFrame) -> DataFrame:
-    """id, n_removed and the digest of kept words of documents (id, text, spans)."""
+    """_row, n_removed and the digest of kept words of rows (_row, text, spans)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             removed, kept = [], []
             for text, spans in zip(part.column(1), part.column(2)):
                 words = _words(text.as_py())
-                depth = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(depth, [s["first"] for s in spans.as_py()], 1)
-                np.add.at(depth, [s["past"] for s in spans.as_py()], -1)
+                first, past = (spans.values.field(k).to_numpy() for k in range(2))
+                depth = np.bincount(first, minlength=len(words) + 1) - np.bincount(past, minlength=len(words) + 1)
                 gone = np.cumsum(depth[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept.append(hashlib.sha256(" ".join(w for w, g in zip(words, gone) if not g).encode("utf-8", "surrogatepass")).digest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_removed", "kept"])
-
-    return joined.mapInArrow(run, "id long, n_removed long, kept binary")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["_row", "n_removed", "left"])
+
+    return joined.select("_row", "text", "spans").mapInArrow(run, "_row long, n_removed long, left binary")
+
+
+def _split(surveyed: DataFrame, name: str) -> DataFrame:
+    """_row, want and hot: of each row the prefixes that occur again, those of small groups and those of groups to split."""
+    each = surveyed.select("_row", F.inline(F.arrays_zip("prefixes", "times")))
+    # written, so that a prefix in very many rows is a hot key that Spark can split
+    twice = settle(each.groupBy("prefixes").agg(F.sum("times").alias("leaves")).where("leaves > 1"), name)
+    found = each.select("_row", "prefixes").join(twice, "prefixes").withColumn("is_hot", F.col("leaves") > GROUP)
+    lists = [F.coalesce(F.collect_list(F.when(hot, F.col("prefixes"))), F.array().cast("array<long>")) for hot in (~F.col("is_hot"), F.col("is_hot"))]
+    return settle(found.groupBy("_row").agg(lists[0].alias("want"), lists[1].alias("hot")), f"{name}-of-rows")
+
+
+def repeated_spans(rows: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """_row, first and past (words) of what repeats cover, among rows of different texts (_row, text)."""
+    texts, levels = rows.select("_row", "text"), 0
+    lists = None
+    found: DataFrame | None = surveyed
+    for level in range(len(PREFIXES) - 1):
+        of_rows = _split(found, f"prefixes-{PREFIXES[level]}").withColumnsRenamed({"want": f"want{level}", "hot": f"hot{level}"})
+        lists = of_rows if lists is None else lists.join(of_rows, "_row", "left")
+        levels = level + 1
+        again = lists.where(F.size(f"hot{level}") > 0)
+        if again.isEmpty():
+            again = None
+            break
+        if levels < len(PREFIXES) - 1:
+            found = settle(resurvey(texts.join(again.hint("shuffle_hash"), "_row"), levels), f"windows-{PREFIXES[levels]}")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    any_wanted = F.lit(False)
+    for k in range(levels):
+        any_wanted = any_wanted | (F.coalesce(F.size(f"want{k}"), F.lit(0)) > 0)
+    dealt = leaves(texts.join(lists.where(any_wanted).hint("shuffle_hash"), "_row"), levels)
+    spans = grow(dealt.repartition(partitions, "key").sortWithinPartitions("key"))
+    if again is None:
+        return spans
+    whole = settle(whole_windows(texts.join(again.hint("shuffle_hash"), "_row"), levels), "whole-windows")
+    repeated = settle(whole.where("times > 0").groupBy("key", "more").agg(F.sum("times").alias("n")).where("n > 1").select("key", "more"), "repeated-windows")
+    once = whole.where("times = 1").join(repeated, ["key", "more"], "left_semi")
+    columns = _named(SPANS)
+    return spans.unionByName(once.select(*columns)).unionByName(whole.where("times = 0").select(*columns))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    missing = -(1 << 63)  # stands for a null id in joins
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(missing)).alias("id"), F.col(text_col).alias("text"))
-    surveyed = settle(survey(docs), "survey")
-    classes = settle(surveyed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("one"), F.count("*").alias("copies")), "equal-texts", few=True)
-    anchored = surveyed.join(classes.select(F.col("one").alias("id")), "id", "left_semi").select("id", F.inline(F.arrays_zip("prefixes", "times")))
-    twice = settle(anchored.groupBy("prefixes").agg(F.sum("times").alias("leaves")).where("leaves > 1"), "prefixes", few=True)
-    wanted = anchored.select("id", "prefixes").join(twice, "prefixes").groupBy("id").agg(F.collect_list(F.struct("prefixes", (F.col("leaves") > GROUP).alias("hot"))).alias("found"))
-    wanted = settle(wanted.select("id", "found.prefixes", "found.hot"), "wanted", few=True)
-    leaves = deal(docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "prefixes", "hot"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = grow(leaves.repartition(partitions, "key").sortWithinPartitions("key"))
-    by_doc = spans.groupBy("id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
-    removed = _remove(docs.join(by_doc.hint("shuffle_hash"), "id").select("id", "text", "spans")).withColumnsRenamed({"kept": "left"})
-    removed = removed.dropDuplicates(["id"])
-    out = surveyed.join(removed, "id", "left").join(classes.select("digest", "copies"), "digest", "left")
+    rows = with_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    surveyed = settle(survey(rows), "survey")
+    classes = settle(surveyed.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("one"), F.count("*").alias("copies")), "equal-texts")
+    different = surveyed.join(classes.select(F.col("one").alias("_row")), "_row", "left_semi")
+    by_row = repeated_spans(rows, different).groupBy("_row").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    removed = _remove(rows.join(by_row.hint("shuffle_hash"), "_row"))
+    out = rows.select("_row", "doc_id").join(surveyed.select("_row", "n_words", "digest", "kept"), "_row").join(removed, "_row", "left").join(classes.select("digest", "copies"), "digest", "left")
     whole = F.coalesce((F.col("copies") > 1) & (F.col("n_words") >= WINDOW), F.lit(False))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
-        F.when(F.col("id") != missing, F.col("id")).alias("doc_id"),
+        "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, nothing).otherwise(F.lower(F.hex(F.coalesce("left", "kept")))).alias("kept_sha256"),
