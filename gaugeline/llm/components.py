@@ -1,9 +1,12 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round is joins and minima over the edges; the edges of a round are written
-to the shared folder, so nothing is recomputed and nothing goes to the driver
-but one count and one checksum.  A node with very many edges is an aggregation
-key (combined before the shuffle), then a key of a join on rows of two numbers.
+Each round is joins and minima over the edges; edges and minima of a round are
+written to the shared folder, so nothing is recomputed and nothing goes to the
+driver but one count and one checksum.  A node with very many edges is an
+aggregation key, combined before the shuffle.  Where minima are joined to edges
+only nodes with a smaller neighbour take part, and the written minima let Spark
+broadcast them where they are few and split the edges of a hot node where they
+are many.
 """
 
 from __future__ import annotations
@@ -11,20 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle
+from gaugeline.llm.common import release, settle
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return both.where("b > a").join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges from larger neighbours to each node's least neighbour or itself, and the written minima."""
+    # edges are (greater, less): the node's own value is its minimum unless it has a smaller neighbour
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("least")), "minima", few=True)
+    up = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a", "left")
+    return up.select(F.col("b").alias("a"), F.coalesce("least", "a").alias("b")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    to_least = down.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return to_least.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges from each node and its smaller neighbours to the least of them, and the written minima."""
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), "minima", few=True)
+    # a node with one smaller neighbour keeps that edge as it is
+    to_least = edges.join(least.where("n > 1"), "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return to_least.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), least
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,7 +46,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        pairs = settle(_small_star(_large_star(pairs)), "edges", few=True)
+        large, first = _large_star(pairs)
+        starred = settle(large, "edges", few=True)
+        small, second = _small_star(starred)
+        settled = settle(small, "edges", few=True)
+        release(pairs, first, starred, second)
+        pairs = settled
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -14,13 +14,19 @@ How it runs
 2. Band keys that several classes share tie each member to the least of them.
    Components of these ties are clusters: a link (Jaccard at or over the
    threshold) lies inside a cluster, but for the chance in ``miss_chance``.
-3. The sets of clustered classes go, by cluster, to tasks that compare all
-   members: an estimate from long signatures first, then exact intersections.
-   A cluster over a bounded weight is cut into blocks, and each pair of blocks
-   is a task of its own.  A task emits no pairs but a spanning forest of its
-   true links: fewer rows than it has members.
-4. Components of the forests are the answer.  No link between compared classes
-   is lost by the forests, since leaving one out needs a path of others.
+3. A cluster of more than a block is tied anew by narrower bands, which part
+   texts that only share a template (their midpoint is at 0.58).  Of each
+   member the tie of most bands is verified exactly; what the verified ties
+   join needs no more comparing.  So of a large group of near copies one part
+   is settled, and only the rest is compared, with each other and with it.
+   Where that rest outgrows a block too, members meet by narrow buckets instead
+   of by cluster, if that copies fewer of them.
+4. The sets of what is left of a cluster go to tasks that compare: an estimate
+   from long signatures first, then exact intersections.  What outgrows a block
+   is cut, and each pair of blocks is a task of its own.  A task emits no pairs
+   but a spanning forest of its true links: fewer rows than it has members.
+5. Components of verified ties and forests are the answer.  No link between
+   compared classes is lost, since leaving one out needs a path of others.
 
 Nothing is capped: large buckets and clusters only make more blocks.
 
@@ -44,31 +50,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle
+from gaugeline.llm.common import settle, with_rows
 from gaugeline.llm.components import components
 from gaugeline.llm.shingles import mixed, shingle_sets
 from gaugeline.llm.tokens import batches
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 4
+#: Bands within clusters of more than a block; a link at 0.75 is missed with 1.6e-6.
+NARROW_BANDS, NARROW_ROWS = 230, 10
 #: Coordinates of the estimate that precedes an exact comparison, and how far
-#: under the threshold it may be: five standard deviations.
+#: under the threshold it may be: five standard deviations (3e-7 a pair at it).
 LONG = 512
 MARGIN = 0.096
+#: Members that meet one copy of their leader's set.
+LED = 256
 #: Shingles and members of a block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 512
 
 
-def miss_chance(similarity: float = 0.75) -> float:
+def miss_chance(similarity: float = 0.75, bands: int = BANDS, rows: int = ROWS) -> float:
     """The chance that no band of two sets agrees: 5e-6 at the threshold."""
-    return (1 - similarity**ROWS) ** BANDS
+    return (1 - similarity**rows) ** bands
 
 
 @lru_cache(maxsize=1)
 def _shifts() -> np.ndarray:
-    """Row i holds the table values that slot i meets under LONG shifts."""
+    """Row i holds the table values that slot i meets under as many shifts as there are coordinates."""
+    most = max(LONG, BANDS * ROWS, NARROW_BANDS * NARROW_ROWS)
     table = np.random.default_rng(20240229).permutation(SLOTS).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:LONG]]), LONG)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:most]]), most)
 
 
 def signature(shingles: np.ndarray, coordinates: int = LONG) -> np.ndarray:
@@ -77,23 +88,18 @@ def signature(shingles: np.ndarray, coordinates: int = LONG) -> np.ndarray:
     return np.minimum.reduce([rows[slots[a : a + 2048]].min(axis=0) for a in range(0, len(slots), 2048)])
 
 
-def _band_keys(shingles: np.ndarray) -> np.ndarray:
-    bands = signature(shingles, BANDS * ROWS).reshape(BANDS, ROWS).astype(np.uint64)
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    values = signature(shingles, bands * rows).reshape(bands, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, r])
+        key = np.arange(1, bands + 1, dtype=np.uint64)
+        for r in range(rows):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, r])
     return key.view(np.int64)
 
 
 SKETCH = "_row long, doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def with_rows(df: DataFrame) -> DataFrame:
-    """The table written with a key of each row, _row."""
-    return settle(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-
 def sketches(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -101,30 +107,44 @@ def sketches(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for a, b in batches(texts):
                 sets = shingle_sets(texts.slice(a, b - a))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                bands = [_band_keys(s) if len(s) else None for s in sets]
+                bands = [band_keys(s, BANDS, ROWS) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([row.slice(a, b - a), doc_ids.slice(a, b - a), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["_row", "doc_id", "n_shingles", "digest", "bands"])
 
     return rows.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """Columns cluster, blocks and node, and the shingles of each text as bytes."""
+def _sets(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """node and the shingles of its text as bytes; if ``narrow`` the keys of its narrow bands too."""
+    fields = ["node", "grams", "bands"][: 3 if narrow else 2]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(3)
-            for a, b in batches(texts):
-                grams = [s.tobytes() for s in shingle_sets(texts.slice(a, b - a))]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(a, b - a) for k in range(3)), pa.array(grams, pa.binary())], ["cluster", "blocks", "node", "grams"])
+            node, texts = part.columns
+            for a, b in batches(texts, 1_000_000):
+                sets = shingle_sets(texts.slice(a, b - a))
+                columns = [node.slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())]
+                if narrow:
+                    columns.append(pa.array([band_keys(s, NARROW_BANDS, NARROW_ROWS) for s in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, fields)
+
+    return df.select("node", "text").mapInArrow(run, "node long, grams binary" + (", bands array<long>" if narrow else ""))
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at or over the threshold."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
-    return df.select("cluster", "blocks", "node", "text").mapInArrow(run, "cluster long, blocks long, node long, grams binary")
 
+def forest(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, joined: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different blocks (of one block: all).
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets of different blocks (of one block: all)."""
+    Sets with an equal ``joined`` are known to be of one component.
+    """
     n = np.array([len(s) for s in sets])
-    short = np.stack([signature(s) for s in sets]).astype(np.uint16)
-    parent = list(range(len(sets)))
+    short = np.stack([signature(s, LONG) for s in sets]).astype(np.uint16)
+    first = {}
+    parent = [first.setdefault(v, k) for k, v in enumerate(joined.tolist())]
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -137,7 +157,7 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent
     for i in range(len(sets) - 1):
         # sizes first: a link needs the smaller set to be that share of the larger
         later = np.arange(i + 1, len(sets))
-        fit = 100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])
+        fit = (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])) & (joined[later] != joined[i])
         if not alone:
             fit &= block[later] != block[i]
         later = later[fit]
@@ -151,41 +171,104 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent
     for k in np.argsort(-likeness, kind="stable"):
         x, y = int(a[k]), int(b[k])
         p, q = root(x), root(y)
-        if p != q:
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * common >= percent * (n[x] + n[y] - common):
-                parent[p] = q
-                links.append((int(nodes[x]), int(nodes[y])))
+        if p != q and linked(sets[x], sets[y], percent):
+            parent[p] = q
+            links.append((int(nodes[x]), int(nodes[y])))
     return links
 
 
+def _ties(keyed: DataFrame) -> DataFrame:
+    """node, least and bands: the least node of each bucket, and in how many bands it is that."""
+    # written, so that both sides of the join are shuffles and a hot key can be split
+    shared = settle(keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"), "shared-bands")
+    return keyed.join(shared, "band").where("node <> least").groupBy("node", "least").agg(F.count("*").alias("bands"))
+
+
+def _weighed(members: DataFrame, *by: str) -> DataFrame:
+    """How many blocks the members of each group fill."""
+    return members.groupBy(*by).agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
+
+
+def _verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the ties (node, leader) those that are links."""
+    leaders = settle(ties.groupBy("leader").agg(F.ceil(F.count("*") / LED).alias("parts")), "leaders", few=True)
+    asked = ties.join(leaders, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    held = sets.select(F.col("node").alias("leader"), F.col("grams").alias("theirs")).join(leaders, "leader").select("leader", "theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = asked.join(held, ["leader", "part"]).join(sets.select("node", "grams"), "node")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            same = [linked(*(np.frombuffer(x.as_py(), dtype=np.uint64) for x in pair), percent) for pair in zip(part.column(2), part.column(3))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return pairs.select("node", "leader", "grams", "theirs").mapInArrow(run, "a long, b long")
+
+
+MEMBER = ("cluster", "own", "others", "joined", "node")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of groups that still have several parts, with the blocks of the largest part (main) and of the rest.
+
+    ``members`` has cluster, joined (the part), node and n_shingles.
+    """
+    sizes = members.groupBy("cluster", "joined").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("joined", F.struct("n", -F.col("joined"))).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    known = settle(members.join(settle(main, "largest-parts", few=True), "cluster").withColumn("settled", F.col("joined") == F.col("most")), "mixed-members")
+    blocks = _weighed(known, "cluster", "settled").groupBy("cluster").agg(F.max(F.when(~F.col("settled"), F.col("blocks"))).alias("rest"), F.max(F.when(F.col("settled"), F.col("blocks"))).alias("main"))
+    # the settled part meets the rest alone
+    others = F.when(F.col("settled"), F.col("rest")).otherwise(F.col("rest") + F.col("main"))
+    return known.join(settle(blocks, "mixed-blocks", few=True), "cluster").withColumn("others", others)
+
+
+def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links of members of heavy clusters, and what is still to be compared (MEMBER)."""
+    banded = sets.select("node", F.explode("bands").alias("band"))
+    ties = settle(_ties(banded), "narrow-ties")
+    best = ties.groupBy("node").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("leader"))
+    sure = settle(_verified(best, sets, percent), "verified-ties", few=True)
+    parts = settle(heavy.join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node")), "parts")
+    clusters = _mixed(components(ties.select("node", "least")).withColumnRenamed("component", "cluster").join(parts, "node"))
+    wide = clusters.where("rest > 1").select("node", F.col("cluster").alias("home"))
+    buckets = _mixed(banded.join(wide, "node").join(parts, "node").withColumnRenamed("band", "cluster"))
+    copies = [df.groupBy(F.col(by).alias("home")).agg(F.sum("others").alias(name)) for df, by, name in ((clusters, "cluster", "whole"), (buckets, "home", "cut"))]
+    cut = settle(copies[0].join(wide.select("home").distinct(), "home").join(copies[1], "home", "left").where("coalesce(cut, 0) < whole").select("home"), "cut-clusters", few=True)
+    groups = clusters.withColumnRenamed("cluster", "home").join(cut, "home", "left_anti").withColumn("cluster", F.col("home"))
+    groups = groups.unionByName(buckets.join(cut, "home", "left_semi"), allowMissingColumns=True)
+    own = F.when(F.col("settled"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")
+
+
 def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, doc_id, n_shingles, component_id and kept for every row of a table ``with_rows``."""
     sketch = settle(sketches(rows, id_col, text_col), "sketches")
     # one row of each set stands for the class; its first row may come to name the group
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes", few=True)
+    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes")
     keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
-    # written, so that both sides of the join are shuffles and a hot key can be split
-    shared = settle(keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least"), "shared-bands", few=True)
-    ties = keyed.join(shared, "band").where("node <> least").select("node", "least").distinct()
-    clusters = settle(components(ties).join(classes.select("node", "n_shingles"), "node"), "clusters", few=True)
-    heavy = clusters.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
-    members = clusters.join(heavy, "component").select(F.col("component").alias("cluster"), "blocks", "node")
+    clusters = settle(components(_ties(keyed).select("node", "least")).join(classes.select("node", "n_shingles"), "node"), "clusters")
+    heavy = settle(_weighed(clusters, "component").where("blocks > 1").select("component"), "heavy-clusters", few=True)
     texts = rows.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
-    sets = _sets(texts.join(members.hint("shuffle_hash"), "node"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    paired = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grams")
+    light = clusters.join(heavy, "component", "left_anti")
+    light = light.select(F.col("component").alias("cluster"), F.lit(0).cast("long").alias("own"), F.lit(1).cast("long").alias("others"), F.col("node").alias("joined"), "node")
+    members = _sets(texts.join(light.select("node").hint("shuffle_hash"), "node")).join(light, "node").select(*MEMBER, "grams")
+    sure = None
+    if not heavy.isEmpty():
+        large = settle(clusters.join(heavy, "component", "left_semi").select("node", "n_shingles"), "heavy-nodes")
+        sets = settle(_sets(texts.join(large.select("node"), "node"), narrow=True), "heavy-sets")
+        sure, parted = _parted(large, sets, percent)
+        members = members.unionByName(parted.join(sets.select("node", "grams"), "node").select(*MEMBER, "grams"))
+    paired = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    paired = paired.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "joined", "node", "grams")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node")
+        group = group.sort_values("node")
         sets = [np.frombuffer(g, dtype=np.uint64) for g in group["grams"]]
-        links = forest(group["node"].to_numpy(), sets, group["own"].to_numpy(), percent)
+        links = forest(group["node"].to_numpy(), sets, group["own"].to_numpy(), group["joined"].to_numpy(), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     links = paired.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
-    found = components(links)
+    found = components(links if sure is None else links.unionByName(sure))
     of_class = classes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     firsts = of_class.groupBy("component").agg(F.min("first").alias("first"))
     of_class = of_class.select("digest", "component").join(firsts, "component").select("digest", "first")

@@ -117,12 +117,23 @@ def test_repeats(spark, odd_documents, no_documents, made_documents, monkeypatch
         assert substrings.remove_repeats(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("group", [3, 512])
+def test_rows_of_one_id_or_none_keep_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    texts = [(None, a), (None, b), (5, a + " tail"), (7, c), (1, a), (1, b + " end"), (1, " ".join(f"d{k}" for k in range(50))), (None, None), (None, c + " more")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in substrings.remove_repeats(df).collect())
+    assert got == Counter((d, *x) for (d, _), x in zip(texts, repeats([t or "" for _, t in texts])))
+
+
+@pytest.mark.parametrize("group", [1, 3, 9, 512])
 def test_repeats_of_random_texts(spark, monkeypatch, group):
+    """Small groups send prefixes through all their lengths."""
     monkeypatch.setattr(substrings, "GROUP", group)
     rng = np.random.default_rng(group)
     passages = [" ".join(f"{x}" for x in rng.integers(0, 50, rng.integers(20, 80))) for _ in range(12)]
-    texts = [" ".join([passages[rng.integers(12)], *(f"u{i}_{k}" for k in range(rng.integers(0, 30))), passages[rng.integers(12)]]) for i in range(80)]
+    # beginnings in common, so that longer prefixes part what shorter ones do not
+    passages += [" ".join(passages[0].split()[:20] + [f"{x}" for x in rng.integers(0, 50, 30)]) for _ in range(12)]
+    texts = [" ".join([passages[rng.integers(24)], *(f"u{i}_{k}" for k in range(rng.integers(0, 30))), passages[rng.integers(24)]]) for i in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = [tuple(r)[1:] for r in substrings.remove_repeats(df).orderBy("doc_id").collect()]
     assert got == list(repeats(texts))
@@ -292,13 +303,45 @@ def test_near_duplicates(spark, odd_documents, no_documents, monkeypatch):
             a, b = sorted((root(i), root(j)))
             parent[b] = a
     want = [(i, len(s), root(i), root(i) == i) for i, s in enumerate(sets)]
-    for size in (3, 512):
+    for size in (2, 3, 512):
         monkeypatch.setattr(minhash, "BLOCK_MEMBERS", size)
         assert [tuple(r) for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == want
     kept = minhash.kept_documents(odd_documents)
     assert kept.columns == odd_documents.columns and minhash.near_duplicates(no_documents).count() == 0
 
 
+def test_near_copies_and_templates_take_near_linear_work(spark, monkeypatch):
+    """A large group of near copies, and texts that share the same half."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"t{x}" for x in rng.integers(0, 100_000, n)]
+    base, half = word(100), word(60)
+    near = []
+    for _ in range(120):
+        words = list(base)
+        words[rng.integers(100)] = f"n{rng.integers(9999)}"
+        near.append(" ".join(words))
+    docs = near + [" ".join(half + word(40)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 10)
+    seen = spark.sparkContext.accumulator(0)
+    plain = minhash.forest
+
+    def counting(nodes, *args):
+        seen.add(len(nodes))
+        return plain(nodes, *args)
+
+    monkeypatch.setattr(minhash, "forest", counting)
+    rows = minhash.near_duplicates(df).orderBy("doc_id").collect()
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for t in docs]
+    groups = {}
+    for i, j in itertools.combinations(range(240), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            merged = groups.get(i, {i}) | groups.get(j, {j})
+            groups.update(dict.fromkeys(merged, merged))
+    assert [r["component_id"] for r in rows] == [min(groups.get(i, {i})) for i in range(240)]
+    assert seen.value < 3 * 240  # all pairs of blocks would bring 12 * 240
+
+
 def test_one_row_of_each_group_stays(spark):
     """Null ids, ids that rows share, and repeated rows."""
     base = " ".join(f"w{k}" for k in range(60))
