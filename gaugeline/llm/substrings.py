@@ -55,7 +55,7 @@ WINDOW = 35
 #: Words of a prefix, from the first try to the whole window.
 PREFIXES = (12, 24, WINDOW)
 #: Leaves of a group; longer prefixes split what is larger.
-GROUP = 4096
+GROUP = 1024
 CHUNK = 60_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_FACTORS = np.random.default_rng(35).integers(1, 1 << 63, size=(2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
