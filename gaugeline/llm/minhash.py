@@ -19,8 +19,8 @@ How it runs
    member the tie of most bands is verified exactly; what the verified ties
    join needs no more comparing.  So of a large group of near copies one part
    is settled, and only the rest is compared, with each other and with it.
-   Where that rest outgrows a block too, members meet by narrow buckets instead
-   of by cluster, if that copies fewer of them.
+   Where that rest outgrows a block too and best ties are of few bands, texts of
+   a template, members meet by narrow buckets instead of by cluster.
 4. The sets of what is left of a cluster go to tasks that compare: an estimate
    from long signatures first, then exact intersections.  What outgrows a block
    is cut, and each pair of blocks is a task of its own.  A task emits no pairs
@@ -66,7 +66,9 @@ MARGIN = 0.096
 #: Members that meet one copy of their leader's set.
 LED = 256
 #: Shingles and members of a block.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 512
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 128
+#: Mean narrow bands of best ties up to which a cluster is one of a template: sets at a similarity of 0.65 share three.
+FEW_BANDS = 3
 
 
 def miss_chance(similarity: float = 0.75, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -223,18 +225,19 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links of members of heavy clusters, and what is still to be compared (MEMBER)."""
-    banded = sets.select("node", F.explode("bands").alias("band"))
-    ties = settle(_ties(banded), "narrow-ties")
-    best = ties.groupBy("node").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("leader"))
-    sure = settle(_verified(best, sets, percent), "verified-ties", few=True)
-    parts = settle(heavy.join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node")), "parts")
+    ties = settle(_ties(sets.select("node", F.explode("bands").alias("band"))), "narrow-ties")
+    best = ties.groupBy("node").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("leader"), F.max("bands").alias("bands"))
+    sure = settle(_verified(best.select("node", "leader"), sets, percent), "verified-ties", few=True)
+    parts = heavy.join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    parts = settle(parts.join(best.select("node", F.col("bands").alias("shared")), "node", "left"), "parts")
     clusters = _mixed(components(ties.select("node", "least")).withColumnRenamed("component", "cluster").join(parts, "node"))
-    wide = clusters.where("rest > 1").select("node", F.col("cluster").alias("home"))
-    buckets = _mixed(banded.join(wide, "node").join(parts, "node").withColumnRenamed("band", "cluster"))
-    copies = [df.groupBy(F.col(by).alias("home")).agg(F.sum("others").alias(name)) for df, by, name in ((clusters, "cluster", "whole"), (buckets, "home", "cut"))]
-    cut = settle(copies[0].join(wide.select("home").distinct(), "home").join(copies[1], "home", "left").where("coalesce(cut, 0) < whole").select("home"), "cut-clusters", few=True)
-    groups = clusters.withColumnRenamed("cluster", "home").join(cut, "home", "left_anti").withColumn("cluster", F.col("home"))
-    groups = groups.unionByName(buckets.join(cut, "home", "left_semi"), allowMissingColumns=True)
+    cut = clusters.groupBy("cluster").agg(F.max("rest").alias("most"), F.avg("shared").alias("shared")).where((F.col("most") > 1) & (F.col("shared") <= FEW_BANDS))
+    cut = settle(cut.select("cluster"), "template-clusters", few=True)
+    groups = clusters.join(cut, "cluster", "left_anti")
+    if not cut.isEmpty():
+        of_template = clusters.join(cut, "cluster", "left_semi").select("node")
+        banded = sets.select("node", "bands").join(of_template, "node", "left_semi").select("node", F.explode("bands").alias("cluster"))
+        groups = groups.unionByName(_mixed(banded.join(parts, "node")))
     own = F.when(F.col("settled"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
     return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")
 
