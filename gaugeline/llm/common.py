@@ -47,7 +47,7 @@ def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     if few:
         df = df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.settled_at = path
     return table
@@ -72,7 +72,7 @@ def with_rows(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "rows")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     keyed = df.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
-    keyed.write.format("parquet").bucketBy(n, "_row").option("path", path).saveAsTable(name)
+    keyed.write.format("parquet").option("compression", "zstd").bucketBy(n, "_row").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
