@@ -3,19 +3,24 @@
 A file is a run of frames, one a document, each a complete zstandard stream of
 the document's ids (little-endian, two bytes an id where the vocabulary allows,
 else four).  Two skippable frames end it: an index of documents (doc_id and
-token count, itself compressed), then the seek table with compressed size,
-plain size and CRC-32 of every frame, its length and a magic number.  A reader
-takes the tail, looks up a document, and decompresses that frame alone.
+token count, itself compressed), then the seek table of the public seekable
+format: compressed size, plain size and the low half of the XXH64 of every
+frame's plain bytes, their number and a magic number.  A reader takes the tail,
+looks up a document, and decompresses that frame alone.
 
 How it runs: ids are made where the texts lie; only compressed frames are
 shuffled, to ranges of doc_id whose bounds come from a distributed quantile
 sketch; each task streams its sorted range to one file in the shared folder.
-A retried task writes a file of its own, and only files named in the manifest
-(written by Spark's commit protocol) count.
+A shard holds about SHARD_DOCS documents at most, so that its index stays small,
+and documents without an id are dealt to shards of their own, ahead of all
+others.  Files are read on end, a block at a time.  A retried task writes a file
+of its own, and only files named in the manifest (written by Spark's commit
+protocol) count.
 
 Defined results: a null or empty text is the end id alone; documents with the
-same doc_id follow each other in the order of their ids' bytes; a null doc_id
-comes first; an empty table gives an empty manifest and no rows.
+same doc_id follow each other in the order of their compressed frames; a null
+doc_id comes first; an empty table gives an empty manifest and no rows; a
+document of 4 GB of ids or more is an error, as the format's sizes end there.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,12 +45,19 @@ SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
-_ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("crc", "<u4")])
+#: Documents of a shard aimed at, and bytes that a reader holds of a file.
+SHARD_DOCS, READ_BYTES = 1_000_000, 8_000_000
+_ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n_tokens", "<u8")])
 
 MANIFEST = "shard long, path string, n_docs long, n_tokens long, width int"
 
 
+def checksum(plain: bytes) -> int:
+    """The low half of XXH64, as the seekable format has it."""
+    return xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF
+
+
 def file_system(uri: str):
     """pyarrow's file system and path for a URI of the shared folder."""
     from pyarrow import fs
@@ -63,9 +76,11 @@ class FrameWriter:
         self._entries: list[tuple] = []
         self._docs: list[tuple] = []
 
-    def add(self, doc_id: int | None, n_tokens: int, packed: bytes, crc: int) -> None:
+    def add(self, doc_id: int | None, n_tokens: int, packed: bytes, check: int) -> None:
+        if n_tokens * self.width >= 1 << 32:
+            raise ValueError(f"document {doc_id} is too long for one frame")
         self._out.write(packed)
-        self._entries.append((len(packed), n_tokens * self.width, crc))
+        self._entries.append((len(packed), n_tokens * self.width, check))
         self._docs.append((doc_id or 0, doc_id is not None, n_tokens))
 
     def close(self) -> tuple[int, int]:
@@ -103,14 +118,28 @@ class FrameReader:
         self._in.seek(where)
         return self._in.read(length)
 
-    def ids(self, k: int) -> np.ndarray:
-        """The ids of the k-th document, checked against its checksum."""
+    def _plain(self, k: int, packed: bytes) -> np.ndarray:
         entry = self.entries[k]
-        plain = self._zstd.decompress(self._at(int(self._starts[k]), int(entry["packed"])), max_output_size=int(entry["plain"]))
-        if zlib.crc32(plain) != entry["crc"]:
+        plain = self._zstd.decompress(packed, max_output_size=int(entry["plain"]))
+        if checksum(plain) != entry["check"]:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(plain, dtype=f"<u{self.width}")
 
+    def ids(self, k: int) -> np.ndarray:
+        """The ids of the k-th document, checked against its checksum."""
+        return self._plain(k, self._at(int(self._starts[k]), int(self.entries[k]["packed"])))
+
+    def all_ids(self, block: int = READ_BYTES) -> Iterator[np.ndarray]:
+        """The ids of every document in order; the file is read a block of whole frames at a time."""
+        k, n = 0, len(self.entries)
+        while k < n:
+            first = int(self._starts[k])
+            end = max(k + 1, int(np.searchsorted(self._starts, first + block, side="right")) - 1)
+            held = memoryview(self._at(first, int(self._starts[end]) - first))
+            for j in range(k, end):
+                yield self._plain(j, held[int(self._starts[j]) - first : int(self._starts[j + 1]) - first])
+            k = end
+
     def find(self, doc_id: int) -> list[np.ndarray]:
         """All documents with this id; only their frames are read."""
         return [self.ids(int(k)) for k in np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["has_id"] == 1))]
@@ -122,9 +151,12 @@ class FrameReader:
 def write_frames(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Encode all documents and write them in ascending doc_id order; gives the manifest."""
     spark = df.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = folder or fresh_path(spark, "frames")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    # a task each, and more where they would hold too many documents
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-named // SHARD_DOCS))
+    nameless = -(-(rows - named) // SHARD_DOCS)  # shards of rows without an id
     wanted = [i / shards for i in range(1, shards)]
     bounds = docs.agg(F.percentile_approx("doc_id", wanted, 100 * shards)).first()[0] if wanted else []
     edges = np.array(sorted(set(bounds or [])), dtype=np.int64)  # fewer than shards values
@@ -137,14 +169,14 @@ def write_frames(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
         for part in parts:
             doc_ids, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
-                sized, packed, crcs = [], [], []
+                sized, packed, checks = [], [], []
                 for ids in encoder(tokenizer_path).ids(texts.slice(a, b - a)):
                     plain = np.append(ids, np.uint32(end_id)).astype(f"<u{width}").tobytes()
                     sized.append(len(plain) // width)
                     packed.append(zstd.compress(plain))
-                    crcs.append(zlib.crc32(plain))
-                shard = [0 if d is None else int(np.searchsorted(edges, d, side="left")) for d in doc_ids[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((shard, pa.int32()), (doc_ids[a:b], pa.int64()), (sized, pa.int64()), (packed, pa.binary()), (crcs, pa.int64()))], ["shard", "doc_id", "n_tokens", "frame", "crc"])
+                    checks.append(checksum(plain))
+                shard = [check % nameless if d is None else nameless + int(np.searchsorted(edges, d, side="left")) for d, check in zip(doc_ids[a:b], checks)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((shard, pa.int32()), (doc_ids[a:b], pa.int64()), (sized, pa.int64()), (packed, pa.binary()), (checks, pa.int64()))], ["shard", "doc_id", "n_tokens", "frame", "check"])
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, shard, name = None, None, ""
@@ -159,8 +191,8 @@ def write_frames(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int64()), (f"{folder}/{name}", pa.string()), (n_docs, pa.int64()), (n_tokens, pa.int64()), (width, pa.int32()))], ["shard", "path", "n_docs", "n_tokens", "width"])
 
     manifest = (
-        docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, frame binary, crc long")
-        .repartitionById(len(edges) + 1, F.col("shard"))
+        docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, frame binary, check long")
+        .repartitionById(nameless + len(edges) + 1, F.col("shard"))
         .sortWithinPartitions("doc_id", "frame")
         .mapInArrow(write, MANIFEST)
     )
@@ -186,7 +218,7 @@ def read_frames(manifest: DataFrame) -> DataFrame:
                 n = reader.docs["n_tokens"].astype(np.int64)
                 starts = before + np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
                 doc_ids = pa.array(reader.docs["doc_id"].astype(np.int64), mask=reader.docs["has_id"] == 0)
-                crcs = [zlib.crc32(reader.ids(k).astype("<u4").tobytes()) for k in range(len(n))]
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in reader.all_ids()]
                 reader.close()
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
