@@ -11,8 +11,9 @@ no course in time: it is cut into frames of SHORT samples at every sample, its
 times are samples, and each band that sounds counts in all of them.  A pair is coded (bin, bin, distance) beside its time, so
 two recordings share a passage where equal codes have a constant time offset.
 
-Both run where the rows lie, with no shuffle.  Frames are transformed in blocks,
-so memory is a small multiple of one payload.
+Both run where the rows lie, with no shuffle.  Rows are taken by the bytes of
+their texts and frames are transformed in blocks, so memory is a small multiple
+of one slice or of one long payload.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; payloads
 with no peak (silence) have empty arrays; rows that repeat give equal values;
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.tokens import batches
+
 RATE = 8000
 FRAME = 256
 HOP = 128
@@ -43,6 +46,8 @@ REACH = 31
 #: Of how many frames a recording is a short one, the frames of a short one, and how many frames are the end of another.
 FEW, SHORT, END = 8, 8, 2
 _BLOCK = 4096
+#: Bytes of texts or recordings that are turned into rows together.
+SLICE = 1_000_000
 _HANN, _SHORT_HANN = ((0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)).astype(np.float32) for n in (FRAME, SHORT))
 
 
@@ -116,11 +121,11 @@ def to_wav(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc_ids, texts = part.columns
-            for a in range(0, len(texts), 512):
-                some = texts.slice(a, 512).to_pylist()
+            for a, b in batches(texts, SLICE):
+                some = texts.slice(a, b - a).to_pylist()
                 media = [wav_bytes(payload(t)) for t in some]
                 sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in some]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 512), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -134,14 +139,15 @@ def fingerprint(media: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc_ids, sizes, stored = part.columns
-            for a in range(0, len(stored), 512):
+            for a, b in batches(stored, SLICE):
                 rows = []
-                for m in stored.slice(a, 512).to_pylist():
+                for m in stored.slice(a, b - a):
+                    m = m.as_py()
                     back = read_wav(m)
                     codes, times = peak_pairs(*band_peaks(back))
                     rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), codes, times))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 512), sizes.slice(a, 512), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [c.split()[0] for c in FINGERPRINT.split(", ")])
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), sizes.slice(a, b - a), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], [c.split()[0] for c in FINGERPRINT.split(", ")])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FINGERPRINT)
 

@@ -42,8 +42,8 @@ def op3_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.media import feature_text, fingerprint, to_wav
 
-    found = fingerprint(to_wav(documents(spark, sf_dir)))
-    return found.withColumn("feature", feature_text(F.col("codes"), F.col("times"))).drop("codes", "times")
+    media = settle(to_wav(documents(spark, sf_dir)), "media")  # the media column, stored and read back
+    return fingerprint(media).withColumn("feature", feature_text(F.col("codes"), F.col("times")))
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import re
 import wave
 import zlib
@@ -23,13 +24,18 @@ def ids_of(path, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array(t.encode(text, add_special_tokens=False).ids + [end], dtype="<u4")
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_give_the_same_ids(made_documents, path):
     texts = [t for _, t in made_documents] + ["a  b", " a", "b ", "a\n b,c. d", "Hi, there.\nOk", "é b́ c", "Σας ΑΣ b", "don't 's a.b! c??", "́a b"]
+    texts += ["hello <|endoftext|> world", "a<|endoftext|>", "<|endoftext|><|startoftext|>", "say <|startoftext|> <|ENDOFTEXT|> x", "<|endoftext |> < |endoftext|>", "<|endof", "text|>"]
+    from tokenizers import Tokenizer
+
+    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    texts += [form for t in added for form in (t, f"x {t} y", f"x{t.upper()}y", t + t)]
+    assert added
     for t, got in zip(texts, tokens.encoder(path).ids(pa.array(texts))):
         assert got.tolist() == ids_of(path, t, 0)[:-1].tolist(), t[:50]
 
@@ -185,12 +191,41 @@ def jaccard(a, b):
 
 def test_weighted_sampling_is_unbiased(spark):
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(40)]
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(40)] + ["one", "one one one one", "one two"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = weighted.fingerprints(df, F.col("text"), "doc_id", samples=256).collect()
-    code = {r["doc_id"]: [r["fingerprint"][8 * k : 8 * k + 8] for k in range(256)] for r in got}
-    near = np.array([(np.mean([x == y for x, y in zip(code[i], code[j])]), jaccard(texts[i], texts[j])) for i in range(40) for j in range(i)])
-    assert abs((near[:, 0] - near[:, 1]).mean()) < 0.06 and np.sqrt(((near[:, 0] - near[:, 1]) ** 2).mean()) < 0.08
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    for samples, draws in ((weighted.SAMPLES, 1), (64, 12)):
+        codes = []
+        for draw in range(draws):
+            salted = df.withColumn("text", F.regexp_replace("text", r"(\S+)", f"$1_{draw}"))
+            got = weighted.fingerprints(salted, F.col("text"), "doc_id", samples=samples).collect()
+            codes.append({r["doc_id"]: [r["fingerprint"][8 * k : 8 * k + 8] for k in range(samples)] for r in got})
+        code = {d: sum((c[d] for c in codes), []) for d in codes[0]}
+        off = np.array([np.mean([x == y for x, y in zip(code[i], code[j])]) - jaccard(texts[i], texts[j]) for i, j in pairs])
+        n = samples * draws
+        # pairs share words and so their luck: a standard error of all is 0.5 / sqrt(n) at most
+        assert abs(off.mean()) < 1 / n**0.5 and np.sqrt((off**2).mean()) < 1 / n**0.5 and np.abs(off).max() < 2.5 / n**0.5
+
+
+def test_samples_follow_their_definition(spark):
+    """Against consistent weighted sampling in plain Python, from the same hashes."""
+    words, counts, samples = ["a", "b", "cd", "é"], [1, 2, 7, 1], 16
+    df = spark.createDataFrame(list(zip(words, counts)), "word string, n long").select("word", "n", F.xxhash64("word").alias("term"), F.ln(F.col("n").cast("double")).alias("w"))
+    hashes = [F.struct(F.xxhash64("term", F.lit(k)).alias("one"), F.xxhash64("term", F.lit(k + 1_000_000)).alias("two"), weighted.sample(F.col("term"), F.col("w"), k).alias("got")).alias(f"_{k}") for k in range(samples)]
+    rows = df.select("n", *hashes).collect()
+    for k in range(samples):
+        near = []
+        for row in rows:
+            bits, more = row[f"_{k}"]["one"] % 2**64, row[f"_{k}"]["two"] % 2**64
+            x, y, z = -math.log1p(-((bits >> 33) + 0.5) / 2**31), -math.log(((more >> 32) + 0.5) / 2**32), -math.log(((more & 0xFFFFFFFF) + 0.5) / 2**32)
+            c, s = x + y, math.log((x + y) / x)
+            r = s + z
+            b = z / r
+            t = math.floor(math.log(row["n"]) / r + b)
+            near.append((1 - math.exp(-math.exp(math.log(c) - r * (t - b + 1))), t, bits))
+            assert abs((row[f"_{k}"]["got"] >> 32) / 2**31 - near[-1][0]) < 1e-6
+            assert row[f"_{k}"]["got"] & 0xFFFFFFFF == (bits ^ (t * 40503)) & 0xFFFFFFFF
+        assert min(range(4), key=lambda i: near[i]) == min(range(4), key=lambda i: rows[i][f"_{k}"]["got"])
 
 
 def test_next_and_edited(odd_documents, no_documents, monkeypatch):
