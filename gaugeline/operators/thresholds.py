@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import ratio
 from gaugeline.operators.catalog import need
+from gaugeline.operators.quantiles import exact_quantiles
+from gaugeline.sources.shared import settle
 from gaugeline.operators.series import filled
 
 
@@ -33,16 +35,21 @@ def binned_threshold(scores: DataFrame, position: str, score: str, bins: int = 5
 
     A bin's threshold is a quantile of its scores times the margin; bins with
     few scores are filled from their neighbours, or by the quantile of all; no
-    threshold is under the floor; a rolling median smooths them.  The scores are
-    read once, grouped by bin and all together; what is ordered is ``bins`` rows.
+    threshold is under the floor; a rolling median smooths them.  Quantiles are
+    exact (see ``exact_quantiles``), from scores that are written first; what is
+    ordered by bin is ``bins`` rows.
     """
     need(scores, position, score)
     if bins < 1:
         raise ValueError("bins must be at least one")
-    rows = scores.select(bin_of(F.col(position), bins).alias("bin"), F.col(score).cast("double").alias("_s"))
-    floor = F.percentile("_s", F.lit(floor_quantile)) if floor_quantile is not None else F.lit(0.0)
-    found = rows.groupBy("bin").agg(F.percentile("_s", F.lit(quantile)).alias("_q"), F.count("*").alias("count")).where("bin is not null")
-    whole = rows.agg((F.percentile("_s", F.lit(quantile)) * margin).alias("_all"), floor.alias("_floor")).withColumn("_one", F.lit(1))
+    rows = settle(scores.select(bin_of(F.col(position), bins).alias("bin"), F.col(score).cast("double").alias("_s")), "binned-scores")
+    found = exact_quantiles(rows, "_s", {"_q": quantile}, by="bin").withColumnRenamed("n", "_n")
+    counted = rows.groupBy("bin").agg(F.count("*").alias("count")).where("bin is not null")
+    found = counted.join(found, "bin", "left")
+    whole = exact_quantiles(rows.select("_s"), "_s", {"_all": quantile, "_floor": floor_quantile or 0.0})
+    floor = F.lit(0.0) if floor_quantile is None else F.col("_floor")
+    # one row, also where there are no scores
+    whole = whole.agg((F.max("_all") * margin).alias("_all"), F.max(floor).alias("_floor")).withColumn("_one", F.lit(1))
     grid = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), F.lit(1).alias("_one"))
     table = grid.join(found, "bin", "left").join(F.broadcast(whole), "_one")  # one row
     order = W.partitionBy("_one").orderBy("bin")
@@ -97,7 +104,10 @@ def apply_phase_threshold(results: DataFrame, table: DataFrame, smooth: int = 11
 
 def summary(scores: DataFrame, score: str, quantile: float) -> DataFrame:
     """Least, mean, largest and a quantile of scores in one row."""
-    return scores.agg(F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("most"), F.percentile(score, F.lit(quantile)).alias("quantile"))
+    one = F.lit(1).alias("_one")
+    found = exact_quantiles(scores, score, {"quantile": quantile}).agg(F.max("quantile").alias("quantile"), F.max(one).alias("_one"))
+    rest = scores.agg(F.min(score).alias("least"), F.avg(score).alias("mean"), F.max(score).alias("most"), F.max(one).alias("_one"))
+    return rest.join(F.broadcast(found), "_one", "left").drop("_one")  # one row each
 
 
 def alarm_summary(results: DataFrame, score: str = "epsilon", alarm: str = "alarm") -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import attention_weights, frame_progress, patch_scores, ratio, stage_of_progress, weighted_mean
 from gaugeline.operators.catalog import need
+from gaugeline.operators.quantiles import exact_quantiles
 from gaugeline.operators.thresholds import lookup, visual_threshold
+from gaugeline.sources.shared import settle
 
 #: Rows of a block of queries and of a block of memory: a task compares one pair of blocks.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool = False, apart: bool = False, block: int = BLOCK) -> DataFrame:
@@ -21,31 +23,38 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool =
 
     Both have an id (query_id, item_id) and a unit vector ``cls``; with
     ``by_stage`` an equal ``stage``, with ``apart`` another ``group`` is asked
-    for.  Blocks of queries meet blocks of memory: no task holds a whole side,
-    each gives k rows a query, and the best k of those are kept.  Equal
-    distances go by item_id.
+    for.  Only rows of one stage meet, as blocks of its queries and blocks of
+    its memory: no task holds a whole side, each gives k rows a query, and the
+    best k of those are kept.  Equal distances go by item_id.
     """
     if k < 1:
         raise ValueError("k must be at least one")
     q = queries.select("query_id", F.col("cls").alias("q_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-1)).cast("long").alias("group"))
     m = memory.select("item_id", F.col("cls").alias("m_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-2)).cast("long").alias("group"))
-    nq, nm = max(1, -(-q.count() // block)), max(1, -(-m.count() // block))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.lit(nm - 1))))
-    m = m.withColumn("mb", F.pmod(F.xxhash64("item_id"), F.lit(nm))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    blocks = lambda df, name: df.groupBy("stage").agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = blocks(q, "nq").join(blocks(m, "nm"), "stage")  # a row a stage that both have
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.join(sizes, "stage").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq"))).withColumn("mb", every("nm")).drop("nq", "nm")
+    m = m.join(sizes, "stage").withColumn("mb", F.pmod(F.xxhash64("item_id"), F.col("nm"))).withColumn("qb", every("nq")).drop("nq", "nm")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = {"query_id": [], "item_id": [], "distance": []}
         if len(a) and len(b):
             b = b.sort_values("item_id")
             far = 1.0 - np.stack(a["q_cls"]).astype(float) @ np.stack(b["m_cls"]).astype(float).T
-            far[(a["stage"].to_numpy()[:, None] != b["stage"].to_numpy()) | (a["group"].to_numpy()[:, None] == b["group"].to_numpy())] = np.inf
-            best = np.argsort(far, axis=1, kind="stable")[:, :k]
-            kept = np.take_along_axis(far, best, axis=1)
-            rows, cols = np.nonzero(np.isfinite(kept))
-            found = {"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[best[rows, cols]], "distance": kept[rows, cols]}
+            far[a["group"].to_numpy()[:, None] == b["group"].to_numpy()] = np.inf
+            # all that are no farther than the k-th; of equal ones the first k by item_id
+            last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
+            rows, cols = np.nonzero((far <= last) & np.isfinite(far))
+            order = np.lexsort((cols, far[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, cols = rows[kept], cols[kept]
+            found = {"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[cols], "distance": far[rows, cols]}
         return pd.DataFrame(found)
 
-    near = q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb")).applyInPandas(compare, "query_id long, item_id long, distance double")
+    by = ("stage", "qb", "mb")
+    near = q.groupBy(*by).cogroup(m.groupBy(*by)).applyInPandas(compare, "query_id long, item_id long, distance double")
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -88,7 +97,8 @@ def _as_queries(memory: DataFrame) -> DataFrame:
 def fixed_threshold(memory: DataFrame, quantile: float = 0.95, margin: float = 1.1, **options) -> DataFrame:
     """One threshold from scores of every frame against the other groups' frames."""
     scores = compare(_as_queries(memory), memory, apart=True, **options)
-    return scores.agg((F.percentile("score", F.lit(quantile)) * margin).alias("threshold"), F.count("*").alias("scores"))
+    found = exact_quantiles(settle(scores.select("score"), "scores"), "score", {"threshold": quantile})
+    return found.agg((F.max("threshold") * margin).alias("threshold"), F.coalesce(F.max("n"), F.lit(0)).alias("scores"))
 
 
 def calibrate(memory: DataFrame, by_stage: bool = False, k: int = 5, threshold: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +108,7 @@ def calibrate(memory: DataFrame, by_stage: bool = False, k: int = 5, threshold:
     side = lambda p: [F.col(c).alias(f"{p}_{n}") for c, n in (("group", "video_id"), ("frame_id", "frame_id"), ("progress", "progress"), ("stage", "stage"), ("timestamp_sec", "timestamp_sec"))]
     rows = found.join(memory.select(F.col("item_id").alias("query_id"), *side("query")), "query_id").join(memory.select("item_id", *side("matched")), "item_id")
     rows = rows.select(F.col("query_video_id").alias("held_out_video_id"), "query_frame_id", "query_progress", "matched_video_id", "matched_frame_id", "matched_progress", "matched_timestamp_sec", "score", "cls_distance", "query_stage", "matched_stage")
+    rows = settle(rows, "calibration")  # matched once for both
     return visual_threshold(rows, **(threshold or {})), rows
 
 
