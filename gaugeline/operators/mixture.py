@@ -3,8 +3,12 @@
 A Gaussian mixture over inputs and outputs together is fitted by sums: in each
 round every partition adds up responsibilities, first and second moments for
 all models at once (with leave-one-out, one model a held-out run), and the
-driver gets K * (1 + d + d*d) numbers a model.  Scoring runs in Arrow batches
-with the model in the task.
+driver gets K * (1 + d + d*d) numbers a model.  Scales of models that leave a run
+out come from one pass: sums of all runs less the run's own.  So do the limits
+of components, and the scores: a batch of rows is scored by the models its runs
+ask for.  Models of very many runs are fitted MODELS at a time, so that what
+the driver and a task hold is bounded; the passes grow with the runs, as each
+held-out run asks for a fit of its own.
 """
 
 from __future__ import annotations
@@ -18,8 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.operators.catalog import need
+from gaugeline.operators.quantiles import exact_quantiles
 
 REG = 1e-5
+#: Fixed values of the density where a matrix has no positive determinant, and the least weight in a logarithm.
+SINGULAR_REG, LEAST_DETERMINANT, LEAST_WEIGHT = 1e-4, 1e-12, 1e-12
+#: Leave-one-out models that are fitted together.
+MODELS = 256
 
 
 @dataclass
@@ -52,7 +61,7 @@ class Mixture:
         x = self.scaled(rows)
         a = [self.columns.index(c) for c in self.inputs]
         b = [self.columns.index(c) for c in self.outputs]
-        density = np.stack([np.log(w + 1e-12) + _log_density(x[:, a], m[a], c[np.ix_(a, a)], self.reg) for w, m, c in zip(self.weights, self.means, self.covariances)])
+        density = np.stack([np.log(w + LEAST_WEIGHT) + _log_density(x[:, a], m[a], c[np.ix_(a, a)], self.reg) for w, m, c in zip(self.weights, self.means, self.covariances)])
         component = density.argmax(axis=0)
         distance = np.empty(len(x))
         for k in range(len(self.weights)):
@@ -75,7 +84,7 @@ def _log_density(x: np.ndarray, mean: np.ndarray, covariance: np.ndarray, reg: f
     matrix = covariance + np.eye(d) * reg
     sign, log_det = np.linalg.slogdet(matrix)
     if sign <= 0:
-        log_det = np.log(max(np.linalg.det(matrix + np.eye(d) * 1e-4), 1e-12))
+        log_det = np.log(max(np.linalg.det(matrix + np.eye(d) * SINGULAR_REG), LEAST_DETERMINANT))
     off = x - mean
     return -0.5 * (d * np.log(2 * np.pi) + log_det + np.einsum("ni,ij,nj->n", off, np.linalg.pinv(matrix), off))
 
@@ -130,24 +139,21 @@ def _from_sums(sums: np.ndarray, d: int, reg: float) -> tuple[np.ndarray, np.nda
 def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None) -> dict:
     """Mixtures of nominal rows (run_id and columns): {None: model}, or one for each held-out run.
 
-    It starts from equal parts by the first input column and stops when the mean
-    log-likelihood of no model gains ``tolerance``.
+    It starts from equal parts by the first input column (of all rows) and stops
+    when the mean log-likelihood of no model gains ``tolerance``.
     """
     columns = list(dict.fromkeys([*inputs, *outputs]))
     need(rows, "run_id", *columns)
     keys = [None] if hold_out is None else list(hold_out)
-    cuts = [k / components for k in range(1, components)]
+    cuts = {f"c{k}": k / components for k in range(1, components)}
+    first = exact_quantiles(rows, columns[0], cuts).first() if cuts else None
+    parts = np.array([first[c] for c in cuts] if first else [], float)
     edges, counts = {}, {}
-    for key in keys:
-        kept = rows if key is None else rows.where(F.col("run_id") != key)
-        first = F.percentile(columns[0], F.array(*map(F.lit, cuts))) if cuts else F.array().cast("array<double>")
-        row = kept.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns], first, F.count("*")).first()
-        d = len(columns)
-        if not row[-1]:
+    for key, (n, mean, deviation) in _scales(rows, columns, keys).items():
+        if not n:
             raise ValueError("at least one nominal row is needed")
-        shift, scale = np.array(row[:d], float), np.array(row[d : 2 * d], float)
-        scale[scale == 0] = 1.0
-        edges[key], counts[key] = (shift, scale, (np.array(row[2 * d], float) - shift[0]) / scale[0]), row[-1]
+        deviation[deviation == 0] = 1.0
+        edges[key], counts[key] = (mean, deviation, (parts - mean[0]) / deviation[0]), n
     models: list = [(k, None) for k in keys]
     last = [-np.inf] * len(keys)
     for _ in range(rounds):
@@ -157,16 +163,51 @@ def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int
         if all(np.isfinite(a) and abs(a - b) < tolerance for a, b in zip(now, last)):
             break
         last = now
-    for key, model in models:
-        kept = rows if key is None else rows.where(F.col("run_id") != key)
-        model.limits = limits(score(kept, model, limited=False), components, margin)
+    for (_, model), found in zip(models, _limits(rows, columns, models, components, margin)):
+        model.limits = found
     return dict(models)
 
 
-def limits(scores: DataFrame, components: int, margin: float) -> dict[int, float]:
-    """The largest distance of each component (of all where it has none), times the margin."""
-    most = {r["component"]: r["most"] for r in component_limits(scores, components, margin).select("component", F.col("limit").alias("most")).collect()}
-    return {k: float(most[k]) for k in range(components)}
+def _scales(rows: DataFrame, columns: list[str], keys: list) -> dict:
+    """Count, means and population deviations of the rows of each model, from one pass: a row a run."""
+    sums = [f for c in columns for f in (F.avg(c), F.var_pop(c))]
+    own = {r[0]: (r[1], np.array(r[2::2], float), np.array(r[3::2], float)) for r in rows.groupBy("run_id").agg(F.count("*"), *sums).collect()}
+    total = sum(n for n, *_ in own.values())
+    mean = sum((n * m for n, m, _ in own.values()), np.zeros(len(columns))) / max(total, 1)
+    square = sum((n * (v + (m - mean) ** 2) for n, m, v in own.values()), np.zeros(len(columns)))
+    out = {}
+    for key in keys:
+        n, m, v = own.get(key, (0, mean, np.zeros(len(columns))))
+        left = total - n
+        rest = mean - n * (m - mean) / max(left, 1)
+        # squares about the mean of all rows, less the run's own, moved to the mean of the rest
+        about = square - n * (v + (m - mean) ** 2) - left * (rest - mean) ** 2
+        out[key] = (left, rest, np.sqrt(np.maximum(about, 0) / max(left, 1)))
+    return out
+
+
+def _limits(rows: DataFrame, columns: list[str], models: list, components: int, margin: float) -> list[dict[int, float]]:
+    """The limits of the components of every model over the rows it was fitted to, from one pass."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = np.full((len(models), components), -np.inf)
+        for part in parts:
+            raw = part[columns].to_numpy(dtype=float)
+            for k, (key, model) in enumerate(models):
+                kept = raw if key is None else raw[(part["run_id"] != key).to_numpy()]
+                if len(kept):
+                    distance, component = model.score(kept)
+                    np.maximum.at(most[k], component, distance)
+        k, c = np.nonzero(np.isfinite(most))
+        yield pd.DataFrame({"model": k, "component": c, "most": most[k, c]})
+
+    seen = rows.select("run_id", *columns).mapInPandas(run, "model int, component int, most double").groupBy("model", "component").agg(F.max("most").alias("most"))
+    found = np.full((len(models), components), -np.inf)
+    for r in seen.collect():  # a row a model and component
+        found[r["model"], r["component"]] = r["most"]
+    whole = np.maximum(np.where(np.isfinite(found.max(axis=1)), found.max(axis=1), 1.0), 1e-6)
+    filled = np.maximum(np.where(np.isfinite(found), found, whole[:, None]), 1e-6) * margin
+    return [dict(enumerate(map(float, row))) for row in filled]
 
 
 def component_limits(scores: DataFrame, components: int, margin: float) -> DataFrame:
@@ -179,16 +220,25 @@ def component_limits(scores: DataFrame, components: int, margin: float) -> DataF
 
 def score(rows: DataFrame, model: Mixture, limited: bool = True) -> DataFrame:
     """``rows`` with mahalanobis, component, component_threshold, epsilon and anomaly."""
-    need(rows, *model.columns)
+    return _scored(rows, lambda part: [(np.arange(len(part)), model)], model.columns, limited)
+
+
+def _scored(rows: DataFrame, models_of, columns: list[str], limited: bool = True) -> DataFrame:
+    need(rows, *columns)
     added = "mahalanobis double, component int" + (", component_threshold double, epsilon double, anomaly boolean" if limited else "")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            distance, component = model.score(part[model.columns].to_numpy(dtype=float)) if len(part) else (np.empty(0), np.empty(0, int))
-            out = part.assign(mahalanobis=distance, component=component.astype("int32"))
+            raw, distance, component, limit = part[columns].to_numpy(dtype=float), np.empty(len(part)), np.empty(len(part), "int32"), np.empty(len(part))
+            for at, model in models_of(part):
+                if len(at):
+                    distance[at], component[at] = model.score(raw[at])
+                    if limited:
+                        limit[at] = [model.limits[k] for k in component[at]]
+            out = part.assign(mahalanobis=distance, component=component)
             if limited:
-                out["component_threshold"] = [model.limits[k] for k in component]
-                out["epsilon"] = out["mahalanobis"] / out["component_threshold"].clip(lower=1e-8)
+                out["component_threshold"] = limit
+                out["epsilon"] = distance / np.maximum(limit, 1e-8)
                 out["anomaly"] = out["epsilon"] > 1
             yield out
 
@@ -198,15 +248,17 @@ def score(rows: DataFrame, model: Mixture, limited: bool = True) -> DataFrame:
 
 def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], **options) -> DataFrame:
     """Scores of every run under a model of all other runs (column held_out_run)."""
-    runs = [r["run_id"] for r in rows.select("run_id").distinct().orderBy("run_id").collect()]
+    runs = [r["run_id"] for r in rows.select("run_id").distinct().orderBy("run_id").collect()]  # a model is kept for each
     if len(runs) < 2:
         raise ValueError("at least two nominal runs are needed")
-    models = fit(rows, inputs, outputs, hold_out=runs, **options)
-    scored = [score(rows.where(F.col("run_id") == r), m).withColumn("held_out_run", F.lit(r)) for r, m in models.items()]
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return out
+    models: dict = {}
+    for k in range(0, len(runs), MODELS):
+        models |= fit(rows, inputs, outputs, hold_out=runs[k : k + MODELS], **options)
+
+    def models_of(part: pd.DataFrame):
+        return [(at, models[run]) for run, at in part.groupby("run_id").indices.items()]
+
+    return _scored(rows, models_of, next(iter(models.values())).columns).withColumn("held_out_run", F.col("run_id"))
 
 
 def single_distance(rows: DataFrame, x: str, y: str, reg: float = REG) -> DataFrame:
