@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,9 +18,10 @@ def sample_at_rate(frames: DataFrame, fps: float = 2.0, start_sec: float = 0.0,
 
     A frame is taken when it reaches the next due time (a nanosecond early is
     in time); the due time then moves on by whole periods until it is later.
-    Where the period is exact in binary this is the first frame of each period,
-    a window; else sums of periods drift, and the sums themselves are followed,
-    in time order within a run.
+    Where the period is exact in binary this is the first frame of each period.
+    Else sums of periods drift, and frames are held against the sums themselves:
+    one is taken if more due times are reached at it than have passed at the
+    frame before.  Both are windows over the frames of a run.
     """
     if fps <= 0:
         raise ValueError("fps must be over zero")
@@ -36,24 +37,37 @@ def sample_at_rate(frames: DataFrame, fps: float = 2.0, start_sec: float = 0.0,
         bucket = F.floor((F.col("time") + 1e-9 - start_sec) / period)
         taken = within.withColumn("_b", bucket).withColumn("_p", F.lag("_b").over(order)).where("_p is null or _b > _p").drop("_b", "_p")
     else:
-        schema = within.select("run_id", "time", "seq").schema
-
-        def follow(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["time", "seq"])
-            due, keep = start_sec, []
-            for t in group["time"]:
-                keep.append(t + 1e-9 >= due)
-                if keep[-1]:
-                    while due <= t:
-                        due += period
-            return group[keep]
-
-        chosen = within.select("run_id", "time", "seq").groupBy("run_id").applyInPandas(follow, schema)
-        taken = within.join(chosen, ["run_id", "time", "seq"], "left_semi")
+        counted = _due_times(within, start_sec, period)
+        taken = counted.withColumn("_p", F.lag("_passed").over(order)).where("(_p is null and _reached > 0) or _reached > _p").select(*frames.columns)
     numbered = taken.withColumn("frame_id", F.row_number().over(order) - 1)
     return numbered if most is None else numbered.where(F.col("frame_id") < most)
 
 
+#: Due times of one row of their table, and the most of all of them (8 bytes each in the driver).
+DUE_CHUNK, MOST_DUE = 64, 50_000_000
+
+
+def _due_times(frames: DataFrame, start_sec: float, period: float) -> DataFrame:
+    """Frames with _reached and _passed: how many due times are at most a nanosecond after them, and not after them.
+
+    Due times are the same for all runs: sums of periods up to the longest time,
+    in chunks that meet the frames of their place by an equi-join.
+    """
+    spark = frames.sparkSession
+    last = frames.agg(F.max("time")).first()[0]
+    n = 2 + max(0, int(((start_sec if last is None else last) - start_sec) / period))
+    if n > MOST_DUE:
+        raise ValueError(f"{n} due times are too many; take a rate whose period is exact in binary")
+    due = np.add.accumulate(np.concatenate([[start_sec], np.full(n, period)]))
+    # sums are off by less than a period, so a frame's due time is in its chunk or beside it
+    chunks = [(k // DUE_CHUNK, k, due[max(0, k - DUE_CHUNK) : k + 2 * DUE_CHUNK].tolist(), max(0, k - DUE_CHUNK)) for k in range(0, len(due), DUE_CHUNK)]
+    table = spark.createDataFrame([(c, before, times) for c, _, times, before in chunks], "_chunk long, _before long, _due array<double>")
+    place = F.least(F.floor((F.col("time") - start_sec) / period / DUE_CHUNK), F.lit(len(chunks) - 1).cast("long"))
+    joined = frames.withColumn("_chunk", place).join(table, "_chunk")
+    upto = lambda t: F.col("_before") + F.size(F.filter("_due", lambda d: d <= t))
+    return joined.withColumn("_reached", upto(F.col("time") + 1e-9)).withColumn("_passed", upto(F.col("time"))).drop("_chunk", "_before", "_due")
+
+
 def sample_evenly(frames: DataFrame, count: int = 4, start_sec: float = 0.0, end_sec: float | None = None) -> DataFrame:
     """At most ``count`` frames a run, evenly spaced by position; halves round to even."""
     if count < 1:
