@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 #: Words that make a marker a failure.
 FAILURE_WORDS = "error|anomaly|fail|failure|failed|nok|not[_ -]?ok|fehler"
+#: What a response may answer, and what is not part of the answer.
+DECISIONS = ["success", "failure", "uncertain"]
+CONFIDENCES = ["high", "medium", "low"]
+REASONING = r"(?is)<think>.*?</think>"
+ANSWER_MARKS = r"(?i)</?answer>|####"
+ANSWER_HEAD = r"(?i)^\s*answer\s*:\s*"
 
 
 def is_failure(marker: Column) -> Column:
@@ -27,18 +33,18 @@ def choice(response: Column, key: str, values: list[str]) -> Column:
 
 
 def decision(response: Column) -> Column:
-    return choice(response, "Decision", ["success", "failure", "uncertain"])
+    return choice(response, "Decision", DECISIONS)
 
 
 def confidence(response: Column) -> Column:
-    return choice(response, "Confidence", ["high", "medium", "low"])
+    return choice(response, "Confidence", CONFIDENCES)
 
 
 def is_meaningful(response: Column, chars: int = 40, words: int = 8) -> Column:
     """Whether enough is left of a response without its reasoning and its answer tags."""
-    seen = F.regexp_replace(response, r"(?is)<think>.*?</think>", " ")
-    seen = F.regexp_replace(seen, r"(?i)</?answer>|####", " ")
-    seen = F.regexp_replace(seen, r"(?i)^\s*answer\s*:\s*", "")
+    seen = F.regexp_replace(response, REASONING, " ")
+    seen = F.regexp_replace(seen, ANSWER_MARKS, " ")
+    seen = F.regexp_replace(seen, ANSWER_HEAD, "")
     return (F.length(F.regexp_replace(seen, r"^\s+|\s+$", "")) >= chars) & (F.size(F.regexp_extract_all(seen, F.lit("[A-Za-z]{2,}"), F.lit(0))) >= words)
 
 
