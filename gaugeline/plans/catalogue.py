@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars, texts
 from gaugeline.operators import catalog, mixture, sampling, series, thresholds, timeline, vectors
+from gaugeline.plans import displays, tasks
+from gaugeline.sources import messages, results, shared
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -150,16 +154,26 @@ def latest_marker_asof(spark, d):
 @query(f"""WITH {EV}, b AS (SELECT *, floor((time + 1e-9) / 65536) AS bucket FROM ev),
 f AS (SELECT *, row_number() OVER (PARTITION BY run_id, bucket ORDER BY time, seq) AS k FROM b),
 n AS (SELECT run_id, seq, round(time, 6) AS time, row_number() OVER (PARTITION BY run_id ORDER BY time, seq) - 1 AS frame_id FROM f WHERE k = 1)
-SELECT * FROM n WHERE frame_id < 20""")
+SELECT * FROM n""")
 def frame_sample(spark, d):
-    rows = sampling.sample_at_rate(events(spark, d).select("run_id", "seq", "time"), fps=2.0**-16, most=20)
+    rows = sampling.sample_at_rate(events(spark, d).select("run_id", "seq", "time"), fps=2.0**-16)
     return rounded(rows.withColumn("frame_id", F.col("frame_id").cast("long")), "time")
 
 
-@query()
+LONG_FPS = 3 / 100_000
+
+
+@query(f"""WITH RECURSIVE {EV}, due(due) AS (SELECT 0.0::DOUBLE UNION ALL SELECT due + {1.0 / LONG_FPS!r}::DOUBLE FROM due WHERE due <= (SELECT max(time) FROM ev)),
+r AS MATERIALIZED (SELECT run_id, seq, time, row_number() OVER (PARTITION BY run_id ORDER BY time, seq) AS i, (SELECT min(due) FROM due WHERE due > ev.time) AS after FROM ev),
+taken(run_id, i, after) AS (
+  SELECT run_id, min(i), arg_min(after, i) FROM r WHERE time + 1e-9 >= 0 GROUP BY run_id
+  UNION ALL
+  SELECT r.run_id, min(r.i), arg_min(r.after, r.i) FROM taken t JOIN r ON r.run_id = t.run_id AND r.i > t.i AND r.time + 1e-9 >= t.after GROUP BY r.run_id)
+SELECT run_id, seq, round(time, 6) AS time, row_number() OVER (PARTITION BY run_id ORDER BY i) - 1 AS frame_id FROM taken JOIN r USING (run_id, i)""")
 def frame_sample_exact(spark, d):
-    """A period that is not exact in binary: followed sum by sum (see tests)."""
-    return sampling.sample_at_rate(events(spark, d).select("run_id", "seq", "time"), fps=1 / 100_000)
+    """A period that is not exact in binary; the SQL follows the sums frame by frame."""
+    rows = sampling.sample_at_rate(events(spark, d).select("run_id", "seq", "time"), fps=LONG_FPS)
+    return rounded(rows.withColumn("frame_id", F.col("frame_id").cast("long")), "time")
 
 
 @query(f"""WITH {EV}, r AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY time, seq) - 1 AS position, count(*) OVER (PARTITION BY run_id) AS n FROM ev),
@@ -254,7 +268,7 @@ curve AS (SELECT b, center, n, quantile_cont(v, 0.5) OVER (ORDER BY b ROWS BETWE
 
 
 PHASED = f"""{EV}, ph AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY time, seq) - 1 AS "index", time / nullif(max(time) OVER (PARTITION BY run_id), 0) AS phase, value AS mahalanobis FROM ev)"""
-PHASE_CURVE = PHASED + ", " + _threshold_sql("SELECT phase, mahalanobis FROM ph WHERE run_id % 3 > 0 AND NOT (phase > 0.4 AND phase < 0.5)", "phase", "mahalanobis", 50, 0.999, 1.6, 5, 0.8, 5)
+PHASE_CURVE = PHASED + ", " + _threshold_sql("SELECT phase, mahalanobis FROM ph", "phase", "mahalanobis", 50, 0.999, 1.6, 5, 0.8, 5)
 
 
 def phased(spark, d):
@@ -265,8 +279,7 @@ def phased(spark, d):
 
 
 def phase_curve(spark, d):
-    rows = phased(spark, d).where("run_id % 3 > 0 and not (phase > 0.4 and phase < 0.5)")
-    return thresholds.phase_threshold(rows)
+    return thresholds.phase_threshold(phased(spark, d))
 
 
 @query(f"WITH {PHASE_CURVE} SELECT round(center, 6) AS phase_center, round(threshold, 6) AS threshold_mahalanobis, n AS count FROM curve")
@@ -274,14 +287,14 @@ def phase_threshold(spark, d):
     return rounded(phase_curve(spark, d), "phase_center", "threshold_mahalanobis")
 
 
-VISUAL = _threshold_sql("SELECT vec_id / (SELECT max(vec_id) FROM embeddings)::DOUBLE AS p, abs(embedding[1]::DOUBLE) AS s FROM embeddings WHERE label < 6", "p", "s", 30, 0.95, 1.1, 3, 0.2, 3)
+VISUAL = _threshold_sql("SELECT vec_id / (SELECT max(vec_id) FROM embeddings)::DOUBLE AS p, abs(embedding[1]::DOUBLE) AS s FROM embeddings", "p", "s", 30, 0.95, 1.1, 3, 0.2, 3)
 
 
 @query(f"WITH {VISUAL} SELECT round(center, 6) AS stage_center, round(threshold, 6) AS adaptive_threshold, n AS count FROM curve")
 def visual_threshold(spark, d):
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
     last = F.broadcast(rows.agg(F.max("vec_id").alias("last")).withColumn("_one", F.lit(1)))
-    scores = rows.where("label < 6").withColumn("_one", F.lit(1)).join(last, "_one").select((F.col("vec_id") / F.col("last")).alias("matched_progress"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("score"))
+    scores = rows.withColumn("_one", F.lit(1)).join(last, "_one").select((F.col("vec_id") / F.col("last")).alias("matched_progress"), F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("score"))
     return rounded(thresholds.visual_threshold(scores), "stage_center", "adaptive_threshold")
 
 
@@ -333,18 +346,71 @@ def gmr_one_component(spark, d):
     return rounded(mixture.score(rows, model).select("run_id", "seq", "mahalanobis"), "mahalanobis", digits=5)
 
 
-@query()
+HELD_OUT = f"""{PHASED}, own AS (SELECT run_id, count(*) AS n, sum(phase) AS x, sum(mahalanobis) AS y, sum(phase * phase) AS xx, sum(mahalanobis * mahalanobis) AS yy, sum(phase * mahalanobis) AS xy FROM ph WHERE phase IS NOT NULL GROUP BY run_id),
+rest AS (SELECT o.run_id, sum(p.n) AS n, sum(p.x) / sum(p.n) AS mx, sum(p.y) / sum(p.n) AS my, sum(p.xx) / sum(p.n) AS xx, sum(p.yy) / sum(p.n) AS yy, sum(p.xy) / sum(p.n) AS xy FROM own o JOIN own p ON p.run_id <> o.run_id GROUP BY o.run_id),
+st AS (SELECT run_id, mx, my, sqrt(xx - mx * mx) AS sx, sqrt(yy - my * my) AS sy, xy - mx * my AS cxy FROM rest),
+hz AS (SELECT run_id, seq, "index", phase, (phase - mx) / sx AS a, (mahalanobis - my) / sy AS b, cxy / (sx * sy) AS r FROM ph JOIN st USING (run_id) WHERE phase IS NOT NULL),
+held AS (SELECT run_id, seq, "index", phase, sqrt(power(b - r / (1 + 2e-5) * a, 2) / (1 + 1e-5 - r * r / (1 + 2e-5) + 2e-5)) AS m FROM hz)"""
+
+
+def held_out(spark, d):
+    rows = phased(spark, d).where("phase is not null").select("run_id", "seq", "index", "phase", F.col("mahalanobis").alias("value"))
+    return mixture.leave_one_out(rows, ["phase"], ["value"], components=1, rounds=2)
+
+
+@query(f"WITH {HELD_OUT} SELECT run_id, seq, round(m, 4) AS mahalanobis, run_id AS held_out_run FROM held")
+def held_out_scores(spark, d):
+    """Every run under a model of all other runs."""
+    return rounded(held_out(spark, d).select("run_id", "seq", "mahalanobis", "held_out_run"), "mahalanobis", digits=4)
+
+
+HELD_CURVE = HELD_OUT + ", " + _threshold_sql("SELECT phase, m AS mahalanobis FROM held", "phase", "mahalanobis", 50, 0.999, 1.6, 5, 0.8, 5)
+
+
+@query(f"WITH {HELD_CURVE} SELECT round(center, 6) AS phase_center, round(threshold, 4) AS threshold_mahalanobis, n AS count FROM curve")
+def held_out_threshold(spark, d):
+    """The threshold over the phase from scores that no run's own model gave."""
+    found = thresholds.phase_threshold(held_out(spark, d))
+    return rounded(rounded(found, "phase_center"), "threshold_mahalanobis", digits=4)
+
+
+@query(f"WITH {HELD_CURVE} SELECT round(center, 6) AS phase_center, round(threshold, 4) AS threshold_mahalanobis, n AS count FROM curve ORDER BY center LIMIT 5")
+def threshold_head(spark, d):
+    """The first rows of a threshold curve, as a report shows them."""
+    return held_out_threshold(spark, d).orderBy("phase_center").limit(5)
+
+
+def _mixture_sql(rounds: int, reg: float = mixture.REG) -> str:
+    """Rounds of expectation and maximization for three components over (phase, value), from equal parts by phase."""
+    sums = "sum({r}) AS n, sum({r} * a) AS a, sum({r} * b) AS b, sum({r} * a * a) AS aa, sum({r} * a * b) AS ab, sum({r} * b * b) AS bb"
+    model = f"""SELECT k, n / sum(n) OVER () AS w, a / n AS m1, b / n AS m2, aa / n - (a / n) * (a / n) + {reg} AS c11, ab / n - (a / n) * (b / n) AS c12, bb / n - (b / n) * (b / n) + {reg} AS c22 FROM """
+    out = f"""{PHASED}, raw AS (SELECT run_id, seq, phase, mahalanobis AS value FROM ph WHERE phase IS NOT NULL),
+sc AS (SELECT avg(phase) AS mx, stddev_pop(phase) AS sx, avg(value) AS my, stddev_pop(value) AS sy, quantile_cont(phase, 1.0 / 3) AS p1, quantile_cont(phase, 2.0 / 3) AS p2 FROM raw),
+x AS MATERIALIZED (SELECT run_id, seq, (phase - mx) / sx AS a, (value - my) / sy AS b, (phase >= p1)::INT + (phase >= p2)::INT AS k FROM raw, sc),
+s1 AS (SELECT k, {sums.format(r='1.0')} FROM x GROUP BY k), g1 AS MATERIALIZED ({model}s1)"""
+    for t in range(2, rounds + 1):
+        out += f""",
+l{t} AS (SELECT x.run_id, x.seq, x.a, x.b, g.k, ln(w) - 0.5 * (ln(c11 * c22 - c12 * c12) + (c22 * (x.a - m1) * (x.a - m1) - 2 * c12 * (x.a - m1) * (x.b - m2) + c11 * (x.b - m2) * (x.b - m2)) / (c11 * c22 - c12 * c12)) AS l FROM x, g{t - 1} g),
+e{t} AS (SELECT *, exp(l - max(l) OVER (PARTITION BY run_id, seq)) AS e FROM l{t}), r{t} AS (SELECT *, e / sum(e) OVER (PARTITION BY run_id, seq) AS r FROM e{t}),
+s{t} AS (SELECT k, {sums.format(r='r')} FROM r{t} GROUP BY k), g{t} AS MATERIALIZED ({model}s{t})"""
+    return out + f""",
+d1 AS (SELECT x.run_id, x.seq, g.k, ln(w + 1e-12) - 0.5 * (ln(c11 + {reg}) + (x.a - m1) * (x.a - m1) / (c11 + {reg})) AS density,
+  sqrt(power(x.b - m2 - (x.a - m1) * c12 / (c11 + {reg}), 2) / (c22 - c12 * c12 / (c11 + {reg}) + 2 * {reg})) AS m FROM x, g{rounds} g),
+found AS (SELECT run_id, seq, arg_max(k, density) AS k, arg_max(m, density) AS m FROM d1 GROUP BY run_id, seq), lim AS (SELECT k, greatest(max(m), 1e-6) * 1.1 AS lim FROM found GROUP BY k)"""
+
+
+@query(f"WITH {_mixture_sql(8)} SELECT run_id, seq, k::INT AS component, round(m, 4) AS mahalanobis, round(m / lim, 4) AS epsilon, m / lim > 1 AS anomaly FROM found JOIN lim USING (k)")
 def gmr_mixture(spark, d):
-    """Three components fitted to all runs (see tests for the fit itself)."""
+    """Three components after eight rounds, the component that predicts, and its limit."""
     rows = phased(spark, d).where("phase is not null").select("run_id", "seq", "index", "phase", F.col("mahalanobis").alias("value"))
-    model = mixture.fit(rows, ["phase"], ["value"], rounds=15)[None]
-    return mixture.score(rows, model)
+    model = mixture.fit(rows, ["phase"], ["value"], rounds=8, tolerance=0.0)[None]
+    return rounded(mixture.score(rows, model).select("run_id", "seq", "component", "mahalanobis", "epsilon", "anomaly"), "mahalanobis", "epsilon", digits=4)
 
 
-@query("WITH s AS (SELECT l_linenumber - 1 AS component, l_quantity * 1.0 AS mahalanobis FROM lineitem WHERE l_linenumber <= 3), k AS (SELECT g AS component FROM generate_series(0, 3) t(g)) SELECT k.component::INT AS component, round(greatest(coalesce((SELECT max(mahalanobis) FROM s WHERE s.component = k.component), (SELECT max(mahalanobis) FROM s)), 1e-6) * 1.1, 6) AS \"limit\" FROM k")
+@query("WITH s AS (SELECT l_linenumber - 1 AS component, l_quantity * 1.0 AS mahalanobis FROM lineitem), k AS (SELECT g AS component FROM generate_series(0, 7) t(g)) SELECT k.component::INT AS component, round(greatest(coalesce((SELECT max(mahalanobis) FROM s WHERE s.component = k.component), (SELECT max(mahalanobis) FROM s)), 1e-6) * 1.1, 6) AS \"limit\" FROM k")
 def component_limits(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 3").select((F.col("l_linenumber") - 1).alias("component"), F.col("l_quantity").alias("mahalanobis"))
-    return rounded(mixture.component_limits(rows, 4, 1.1), "limit")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") - 1).alias("component"), F.col("l_quantity").alias("mahalanobis"))
+    return rounded(mixture.component_limits(rows, 8, 1.1), "limit")
 
 
 KNN = """pairs AS (SELECT q.vec_id AS query_id, m.vec_id AS item_id, 1 - list_dot_product(q.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS distance, q.label AS ql, m.label AS ml,
@@ -471,3 +537,130 @@ def run_grid(spark, d):
     """Names of all recordings of a plan: every item as often as it is repeated."""
     rows = spark.read.parquet(f"{d}/nation.parquet").withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(5))))
     return rows.select(F.format_string("%s_%02d", scalars.slug(F.col("n_name")), F.col("repetition")).alias("run_name"), F.col("n_nationkey").alias("item"), "repetition")
+
+
+@query("SELECT n_nationkey, lower(trim(regexp_replace(n_name, '[^a-zA-Z0-9]+', '_', 'g'), '_')) = n_name AND n_name <> '' AS as_is, lower(trim(regexp_replace(lower(n_name), '[^a-zA-Z0-9]+', '_', 'g'), '_')) = lower(n_name) AS lowered FROM nation")
+def slug_validity(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet")
+    return rows.select("n_nationkey", scalars.is_slug(F.col("n_name")).alias("as_is"), scalars.is_slug(F.lower("n_name")).alias("lowered"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS u FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(list_zip(v, u), lambda p: p[1] * p[2] / greatest(sqrt(list_dot_product(u, u)), 1e-12))), 6) AS projection,
+  round(list_sum(list_transform(u, lambda x: (x - list_min(u)) / (list_max(u) - list_min(u) + 1e-8))), 6) AS attention FROM e""")
+def normalized_vectors(spark, d):
+    """Unit length, and attention spread between 0 and 1."""
+    u = F.transform("embedding", lambda x: x.cast("double") * 3 + 1)
+    total = F.aggregate(scalars.spread(u), F.lit(0.0), lambda s, x: s + x)
+    return rounded(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", scalars.dot(F.col("embedding"), scalars.unit(u)).alias("projection"), total.alias("attention")), "projection", "attention")
+
+
+ALARMS = f"""{LOOKED}, ep AS (SELECT run_id, phase, mahalanobis * 1.7 / greatest(thr, 1e-8) AS e FROM lk WHERE phase IS NOT NULL)"""
+
+
+def judged_phases(spark, d):
+    rows = phased(spark, d).where("phase is not null").withColumn("mahalanobis", F.col("mahalanobis") * 1.7)
+    found = thresholds.lookup(rows, "phase", phase_curve(spark, d), "phase_center", "threshold_mahalanobis", "threshold")
+    return found.withColumn("epsilon", scalars.ratio(F.col("mahalanobis"), F.col("threshold"))).withColumn("alarm", F.col("epsilon") > 1)
+
+
+@query(f"WITH {ALARMS} SELECT run_id, round(phase, 6) AS position, round(e, 6) AS value FROM ep WHERE e > 1")
+def alarm_points(spark, d):
+    return rounded(displays.alarm_points(judged_phases(spark, d), "phase", "epsilon"), "position", "value")
+
+
+@query(f"WITH {ALARMS} SELECT run_id, count(*)::BIGINT AS rows, count(*) FILTER (e > 1)::BIGINT AS alarms, round(max(e), 6) AS most, round(count(*) FILTER (e > 1) / count(*), 6) AS alarm_ratio FROM ep GROUP BY run_id")
+def alarm_summary(spark, d):
+    return rounded(thresholds.alarm_summary(judged_phases(spark, d)), "most", "alarm_ratio")
+
+
+@query(f"WITH {ALARMS} SELECT run_id, round(phase, 6) AS position, line, round(value, 6) AS value FROM (SELECT run_id, phase, unnest(['epsilon', 'thr']) AS line, unnest([e, e / 2]) AS value FROM ep)")
+def plot_curves(spark, d):
+    rows = judged_phases(spark, d).withColumn("thr", F.col("epsilon") / 2)
+    return rounded(displays.curves(rows.select("run_id", "phase", "epsilon", "thr"), "phase", "epsilon", "thr"), "position", "value")
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substring(url, 8) ELSE url END AS path FROM pages")
+def relative_paths(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", catalog.relative_path(F.col("url"), "https:/").alias("path"))
+
+
+@query("SELECT round(length(string_agg('Run ' || page_id || ':\n' || coalesce(html, ''), '\n\n' ORDER BY page_id)), 0)::BIGINT AS chars, md5(string_agg('Run ' || page_id || ':\n' || html, '\n\n' ORDER BY page_id)) AS digest FROM pages")
+def merged_descriptions(spark, d):
+    """Texts of all runs joined in order of their runs, as one prompt holds them."""
+    rows = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("run_id"), F.col("html").alias("response"), F.lit(True).alias("ok"))
+    found = F.replace(F.col("prompt"), F.lit(tasks.MERGE.split("{")[0]), F.lit(""))
+    return tasks.merged(rows).select(F.length(found).cast("long").alias("chars"), F.md5(found).alias("digest"))
+
+
+def made_markers(spark, d) -> DataFrame:
+    """Serialized text messages: a head of four bytes, a length, the bytes and a zero."""
+    raw = F.encode(F.concat("event_type", F.lit(" \u00e9 "), F.col("event_id").cast("string")), "UTF-8")
+    size = F.reverse(F.unhex(F.lpad(F.hex(F.length(raw) + 1), 8, "0"))).cast("binary")
+    ns = scalars.micros(F.col("ts")) * 1000
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), ns.alias("time_ns"), F.concat(F.unhex(F.lit("00010000")), size, raw, F.unhex(F.lit("00"))).alias("payload"))
+    rows = rows.withColumn("start_ns", F.min("time_ns").over(W.partitionBy("run_id")))
+    return rows.select("*", F.lit("/recording_stage").alias("topic"), F.lit(messages.TEXT).alias("message_type"))
+
+
+@query("SELECT user_id::VARCHAR AS run_id, event_id AS seq, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6, 6) AS time, event_type || ' é ' || event_id AS marker FROM events")
+def stage_events(spark, d):
+    return rounded(messages.stage_events(made_markers(spark, d)).select("run_id", "seq", "time", "marker"), "time")
+
+
+def made_signals(spark, d) -> DataFrame:
+    """Serialized wrenches (odd keys) and joint states (even keys) of orders."""
+
+    def run(parts):
+        for part in parts:
+            payload = []
+            for key, *v in zip(part["seq"], part["q"], part["d"], part["t"], part["p"]):
+                if key % 2:
+                    payload.append(b"\0\1\0\0" + struct.pack("<6d", *v, -v[0], -v[1]))
+                else:  # a head (two numbers and a text), two names, and three lists of numbers
+                    body = struct.pack("<iII5s", 0, 0, 5, b"base\0") + b"\0" * 3
+                    body += struct.pack("<II8sI2s", 2, 8, b"Joint A\0", 2, b"b\0")
+                    body += b"\0" * (-len(body) % 4) + struct.pack("<I", 2)
+                    body += b"\0" * (-len(body) % 8) + struct.pack("<2dI", v[0], v[1], 1)
+                    body += b"\0" * (-len(body) % 8) + struct.pack("<dI", v[2], 0)
+                    payload.append(b"\0\1\0\0" + body)
+            yield part[["run_id", "seq"]].assign(payload=payload)
+
+    price = F.col("o_totalprice").cast("double")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").alias("seq"), price.alias("q"), (price / 2).alias("d"), (F.col("o_orderkey") / 4).alias("t"), F.col("o_custkey").cast("double").alias("p"))
+    odd = F.col("seq") % 2 == 1
+    made = rows.mapInPandas(run, "run_id string, seq long, payload binary")
+    return made.select("run_id", "seq", (F.col("seq") * 1_000_000_000).alias("time_ns"), F.lit(1_000_000_000).cast("long").alias("start_ns"), F.when(odd, "/force").otherwise("/joints").alias("topic"), F.when(odd, "geometry_msgs/msg/Wrench").otherwise(messages.JOINTS).alias("message_type"), "payload")
+
+
+SIGNALS = "l AS (SELECT o_custkey::VARCHAR AS run_id, o_orderkey::BIGINT AS seq, (o_orderkey - 1)::DOUBLE AS time, o_totalprice::DOUBLE AS q, o_totalprice::DOUBLE / 2 AS d, o_orderkey / 4.0::DOUBLE AS t, o_custkey::DOUBLE AS p FROM orders)"
+
+
+@query(f"""WITH {SIGNALS}
+SELECT run_id, '/force' AS topic, seq, time, unnest(['force_x', 'force_y', 'force_z', 'torque_x', 'torque_y', 'torque_z']) AS channel, round(unnest([q, d, t, p, -q, -d]), 6) + 0.0::DOUBLE AS value FROM l WHERE seq % 2 = 1
+UNION ALL SELECT run_id, '/joints', seq, time, unnest(['joint_a_position', 'b_position', 'joint_a_velocity']), round(unnest([q, d, t]), 6) FROM l WHERE seq % 2 = 0""")
+def numeric_channels(spark, d):
+    """Wrenches and joint states decoded from their bytes, a row a channel."""
+    return rounded(messages.numeric_channels(made_signals(spark, d)).select("run_id", "topic", "seq", "time", "channel", "value"), "value")
+
+
+@query(f"WITH {SIGNALS} SELECT run_id, seq, time, round(q, 6) AS force_x, round(t, 6) AS force_z, round(-q, 6) AS torque_y FROM l WHERE seq % 2 = 1")
+def wrench_topic(spark, d):
+    """One topic as a wide table by run and time."""
+    found = messages.numeric_topic(made_signals(spark, d), "/force", messages.WRENCH_FIELDS)
+    return rounded(found.select("run_id", "seq", "time", "force_x", "force_z", "torque_y"), "force_x", "force_z", "torque_y")
+
+
+@query("SELECT vec_id AS item_id, label::BIGINT AS \"group\", round(embedding[1]::DOUBLE, 6) AS first, 30 AS bins, 'kept' AS signature FROM embeddings UNION ALL SELECT NULL, NULL, NULL, 30, 'other signature'")
+def memory_round_trip(spark, d):
+    """A nominal memory written and read back, and asked for under another signature."""
+    rows = vectors.with_progress(memory(spark, d).drop("stage"))
+    curve = thresholds.visual_threshold(rows.select(F.col("progress").alias("matched_progress"), F.abs(F.get("embedding" if "embedding" in rows.columns else "cls", F.lit(0)).cast("double")).alias("score")))
+    path, signature = shared.fresh_path(spark, "memory"), {"topic": "/camera", "stage_count": 3, "size": 518}
+    results.save_memory(rows, curve, rows.select("item_id", "progress"), path, signature)
+    held, table, _ = results.load_memory(spark, path, {"size": 518, "topic": "/camera"})
+    assert results.load_memory(spark, shared.fresh_path(spark, "no-memory"), signature) is None
+    bins, lost = table.count(), results.load_memory(spark, path, {**signature, "size": 224})
+    found = held.select("item_id", F.col("group").cast("long").alias("group"), F.get("cls", F.lit(0)).cast("double").alias("first"), F.lit(bins).alias("bins"), F.lit("kept").alias("signature"))
+    other = spark.range(1).select(F.lit(None).cast(held.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("long").alias("group"), F.lit(None).cast("double").alias("first"), F.lit(bins).alias("bins"), F.lit("other signature" if lost is None else "wrong").alias("signature"))
+    return rounded(found.unionByName(other), "first")

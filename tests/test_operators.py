@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars, texts
-from gaugeline.operators import catalog, mixture, sampling, series, thresholds, timeline, vectors
+from gaugeline.operators import catalog, mixture, quantiles, sampling, series, thresholds, timeline, vectors
 
 FAILS = {"Error": True, "errors": False, "stage_error_1": True, "NOT OK": True, "not-ok": True, "x-NOK": True, "failover": False, "Fehler": True, "": False, None: None}
 
@@ -82,6 +82,16 @@ def test_sampling_follows_the_sums(spark, fps, start):
     assert [r["frame_id"] for r in got] == list(range(len(got)))
 
 
+def test_sampling_takes_early_frames_and_at_most_as_many(spark):
+    """A frame less than a nanosecond early is taken, and so is the next one."""
+    times = [0.0, 0.1, 0.3 - 5e-10, 0.3, 0.31, 0.6 - 2e-9, 0.6 - 4e-10, 0.6 + 1e-12, 0.7, 0.9000000001, 30.0, 30.0]
+    rows = frame(spark, [(run, t, k) for run in "ab" for k, t in enumerate(times[: 12 if run == "a" else 5])], "run_id string, time double, seq long")
+    got = sampling.sample_at_rate(rows, 1 / 0.3).orderBy("run_id", "frame_id").collect()
+    assert [(r["run_id"], r["seq"]) for r in got] == [("a", k) for k in greedy(times, 1 / 0.3)] + [("b", k) for k in greedy(times[:5], 1 / 0.3)]
+    assert [r["seq"] for r in sampling.sample_at_rate(rows, 1 / 0.3, most=2).orderBy("run_id", "frame_id").collect()] == [k for n in (12, 5) for k in greedy(times[:n], 1 / 0.3)[:2]]
+    assert sampling.sample_at_rate(rows.limit(0), 3.0).count() == 0
+
+
 def test_sampling_counts_on_the_grid(spark):
     rows = spark.range(1800).select(F.lit("r").alias("run_id"), F.round(F.col("id") / 30, 9).alias("time"), F.col("id").alias("seq"))
     assert [sampling.sample_at_rate(rows, f).count() for f in (2, 5, 10)] == [120, 439, 1039]
@@ -162,6 +172,32 @@ def test_binned_threshold(spark, n):
     assert np.allclose(got["threshold_mahalanobis"], binned(p, s, 50, 0.999, 1.6, 5, 0.8, 5)) and got["count"].sum() == n
 
 
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_quantiles(spark, accuracy):
+    rng = np.random.default_rng(11)
+    groups = {0: rng.normal(size=3000), 1: np.repeat(rng.integers(0, 4, 40), 25).astype(float), 2: np.array([5.0]), 3: np.array([1.0, 2.0])}
+    rows = frame(spark, [(g, float(x)) for g, v in groups.items() for x in v] + [(None, 7.0), (2, None), (9, None)], "g int, x double").repartition(5)
+    asked = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(rows, "x", asked, by="g", accuracy=accuracy).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        assert got[g]["n"] == len(v) and np.allclose([got[g][k] for k in asked], np.quantile(v, list(asked.values())))
+    whole = quantiles.exact_quantiles(rows.where("g is not null"), "x", asked, accuracy=accuracy).first()
+    assert np.allclose([whole[k] for k in asked], np.quantile(np.concatenate(list(groups.values())), list(asked.values())))
+    assert quantiles.exact_quantiles(rows.limit(0), "x", asked).count() == 0
+
+
+def test_components_and_bins_without_rows(spark):
+    rows = frame(spark, [(0, 3.0), (0, 5.0), (2, 1.0)], "component int, mahalanobis double")
+    got = {r["component"]: r["limit"] for r in mixture.component_limits(rows, 4, 1.1).collect()}
+    assert got == pytest.approx({0: 5.5, 1: 5.5, 2: 1.1, 3: 5.5})
+    scores = frame(spark, [(p / 100 + 0.005, 1.0 + p) for p in range(100) if not 40 <= p < 50], "phase double, mahalanobis double")
+    curve = thresholds.phase_threshold(scores, bins=10, quantile=0.5, margin=1.0, floor_quantile=None, smooth=None).orderBy("phase_center").collect()
+    assert [r["count"] for r in curve] == [10] * 4 + [0] + [10] * 5 and curve[4]["threshold_mahalanobis"] == pytest.approx((curve[3]["threshold_mahalanobis"] + curve[5]["threshold_mahalanobis"]) / 2)
+    none = thresholds.phase_threshold(scores.limit(0), bins=3).collect()
+    assert [r["count"] for r in none] == [0, 0, 0]
+
+
 def test_lookup_and_votes(spark):
     rng = np.random.default_rng(1)
     c = np.linspace(0.01, 0.99, 50)
@@ -214,6 +250,14 @@ def test_mixture_fit_gains_and_scores(spark):
     assert (got["epsilon"] <= 1 / 1.1 + 1e-9).all() and not got["anomaly"].any()
     held = mixture.leave_one_out(df, ["phase"], ["u", "v"], rounds=10).toPandas()
     assert sorted(held["held_out_run"].unique()) == [0, 1, 2] and (held["held_out_run"] == held["run_id"]).all()
+    # one after another: the same scales, and the same scores but for where the parts start
+    for run, (n, mean, deviation) in mixture._scales(df, ["phase", "u", "v"], [0, 1, 2]).items():
+        rest = np.array([r[1:] for r in rows if r[0] != run])
+        assert n == len(rest) and np.allclose(mean, rest.mean(0)) and np.allclose(deviation, rest.std(0))
+    alone = mixture.fit(df.where("run_id <> 1"), ["phase"], ["u", "v"], components=1, rounds=3)[None]
+    one = mixture.leave_one_out(df, ["phase"], ["u", "v"], components=1, rounds=3).where("run_id = 1").toPandas()
+    assert np.allclose(one["mahalanobis"], alone.score(one[["phase", "u", "v"]].to_numpy())[0])
+    assert np.allclose(one["component_threshold"], alone.limits[0])
     with pytest.raises(ValueError):
         mixture.leave_one_out(df.where("run_id = 0"), ["phase"], ["u"])
 
