@@ -1,12 +1,16 @@
 """Sum-of-squares packing of documents into fixed token windows.
 
-Each task packs the documents of its own partition, so nothing is shuffled.
 A document's ids are cut into full windows and one tail.  Tails are placed
 online: an array holds, for every fill level, how many open windows have that
 level, and a tail goes to the level (or to a new window) that makes the sum of
 the squared counts least.  This keeps every level in supply, so that windows
-close full.  At the end of a partition the windows still open are poured
-together, cutting where they meet, and at most one stays partly filled.
+close full.
+
+Each task packs the documents of its own partition, so no text is shuffled.
+Windows still open at its end, some hundred whatever its size, send their tails
+on to a few packers, a MERGED-th as many as there are shuffle partitions, which
+place them online again.  What those leave open at the very end is poured
+together, cutting where windows meet, and at most one stays partly filled.
 
 Memory a task: one Arrow batch of texts and the tails of its open windows.
 
@@ -27,10 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm.common import settle
 from gaugeline.llm.tokens import MAX_PIECES, batches, encoder
 
 WINDOW = 1024
 END_ID = 0
+#: Shuffle partitions whose open windows one packer takes.
+MERGED = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 _TYPES = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -97,9 +104,17 @@ class Packer:
         for start in range(0, full, self.window):
             yield from self._close([(doc_id, start, ids[start : start + self.window], total)])
         if full < total:
-            done = self.levels.place((doc_id, full, ids[full:].copy(), total), total - full)
-            if done:
-                yield from self._close(done)
+            yield from self.tail(doc_id, full, ids[full:].copy(), total)
+
+    def tail(self, doc_id: int, start: int, ids: np.ndarray, total: int) -> Iterator[tuple]:
+        done = self.levels.place((doc_id, start, ids, total), len(ids))
+        if done:
+            yield from self._close(done)
+
+    def open_tails(self) -> Iterator[tuple]:
+        """The tails of windows still open."""
+        for window in self.levels.remaining():
+            yield from window
 
     def finish(self) -> Iterator[tuple]:
         pieces, fill = [], 0
@@ -117,16 +132,17 @@ class Packer:
             yield from self._close(pieces)
 
 
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_TYPES)
+
+
 def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most_pieces: int = MAX_PIECES) -> DataFrame:
     """Pieces of all documents with their sequence and place in it (see SCHEMA)."""
+    kinds = _TYPES.append(pa.field("ids", pa.binary()))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], dtype="<u4")
-
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_TYPES)
-
         for part in parts:
             doc_ids, texts = part.column(0).to_pylist(), part.column(1)
             for a, b in batches(texts):
@@ -134,8 +150,25 @@ def pack(df: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int =
                 for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer_path, most_pieces).ids(texts.slice(a, b - a))):
                     found.extend(packer.add(doc_id, np.concatenate([ids, end])))
                 if found:
-                    yield rows(found)
+                    yield pa.RecordBatch.from_arrays([*_rows(found).columns, pa.nulls(len(found), pa.binary())], schema=kinds)
+        if tails := list(packer.open_tails()):
+            rows = [(doc_id, at, len(ids), None, total, None, None, None, None) for doc_id, at, ids, total in tails]
+            yield pa.RecordBatch.from_arrays([*_rows(rows).columns, pa.array([t[2].tobytes() for t in tails], pa.binary())], schema=kinds)
+
+    def go_on(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sequences after those of all first packers
+        packer = Packer(window, (1 << 62) + (TaskContext.get().partitionId() << 36))
+        for part in parts:
+            found = []
+            for doc_id, at, total, ids in zip(*(c.to_pylist() for c in part.columns)):
+                found.extend(packer.tail(doc_id, at, np.frombuffer(ids, dtype="<u4"), total))
+            if found:
+                yield _rows(found)
         if found := list(packer.finish()):
-            yield rows(found)
+            yield _rows(found)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    packed = settle(docs.mapInArrow(start, f"{SCHEMA}, ids binary"), "packed")
+    packers = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // MERGED)
+    rest = packed.where("ids is not null").select("doc_id", "start", "doc_tokens", "ids").repartition(packers)
+    return packed.where("ids is null").drop("ids").unionByName(rest.mapInArrow(go_on, SCHEMA))
