@@ -149,7 +149,8 @@ def _patterns(second: Column, before: Column, after: Column) -> Column:
 
 
 def _seed_mentions(text: Column, kind: int) -> Column:
-    back = r"^\s*+(\S++)(?:\s++(\S++))?"
+    # signs that touch the mention are passed over, as they are at a candidate's ends
+    back = r"""^["'`.,;:!?()\[\]{}<>*#%&$|=~^/\\]*+\s*+(\S++)(?:\s++(\S++))?"""
 
     def made(at, m, before, after):
         words = _let(F.reverse(before), lambda b: F.struct(F.reverse(F.regexp_extract(b, back, 2)).alias("second"), F.reverse(F.regexp_extract(b, back, 1)).alias("first")))
