@@ -2,65 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.sources.shared import fresh_path, release, settle
+
+__all__ = ["WORD", "documents", "fresh_path", "release", "settle", "small_batches", "with_rows", "words_of"]
+
 #: Words of the contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session on one machine (a local master) may have none: a folder of
-    our own is made and set there.  On a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        elif spark.sparkContext.master.split("[")[0] == "local":
-            base = "file://" + tempfile.mkdtemp(prefix="gaugeline-")
-            spark.sparkContext.setCheckpointDir(base)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/gaugeline-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts the lineage with files every executor can read, so a lost executor
-    costs no recomputation of what lies before.  ``release`` deletes it.
-    ``few`` is for sums and edges, rows of a few numbers: what all tasks have
-    computed is dealt evenly to an eighth as many files.
-    """
-    path = fresh_path(df.sparkSession, name)
-    if few:
-        df = df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.settled_at = path
-    return table
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete settled tables that no plan reads any more."""
-    for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.settled_at)
-        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def with_rows(df: DataFrame) -> DataFrame:
     """The table written with a key of each row, _row, in buckets by that key.
 
