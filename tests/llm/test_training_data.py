@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import re
+import time
 import wave
 import zlib
 from collections import Counter
@@ -56,7 +57,7 @@ def test_packing(odd_documents, no_documents, made_documents):
     for parts in by_sequence.values():
         ends = list(itertools.accumulate(n for _, n in sorted(parts)))
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1024
-    assert sum(sum(n for _, n in p) < 1024 for p in by_sequence.values()) <= 3  # one a partition
+    assert sum(sum(n for _, n in p) < 1024 for p in by_sequence.values()) <= 1  # one a packer
 
 
 def test_level_array_takes_the_least_sum_of_squares():
@@ -282,6 +283,80 @@ def test_contexts_reveal_identifiers(spark, odd_documents, no_documents):
     assert private.find(no_documents).count() == 0 and private.redacted_documents(no_documents).count() == 0
 
 
+def test_more_unknown_than_known_and_rounds(spark):
+    """Patterns of one and of two words; what one round reveals makes further patterns good."""
+    rows = [f"note {k} reach me at phone: +1 (555) 555-{1000 + k} today" for k in range(12)]
+    rows += [f"he said phone: 555-{2000 + k} again" for k in range(60)]
+    rows += [f"or by fax line {n} soon" for n in [*(f"555-{2000 + k}" for k in range(20)), *(f"x77-{k}" for k in range(5))]]
+    rows += ['key token = "' + hashlib.sha1(bytes([k])).hexdigest() + '" end' for k in range(9)] + [f'KEY TOKEN = "QX{k}-77-ABC"!! END' for k in range(4)]
+    rows += ["the fax of the day by the year 1999 and the line of the house"] * 3 + [f"in room 1{k}77 of the house" for k in range(9)]
+    rows += [None, ""] + [f"mail user{k}@mail.example.org please" for k in range(4)]
+    df = spark.createDataFrame([(None if k % 7 == 0 else k // 2, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = Counter((r["text"], private.NAMES[a["kind"]], r["text"][a["start"] : a["end"]]) for r in found_texts(df) for a in r["added"])
+    want = Counter((t, "phone", t.split()[3]) for t in rows[12:72]) + Counter((t, "phone", t.split()[4]) for t in rows[72:97])
+    want += Counter((t, "secret", t.split('"')[1]) for t in rows[97:110])
+    assert got == want
+    # the same by plain Python
+    keyed = private.with_rows(df)
+    mention = keyed.select(F.explode(private.mentions(F.coalesce("text", F.lit("")))).alias("m")).select("m.*").collect()
+    plain = bootstrap([(m["instance"], m["kind"], [p for p in m["patterns"] if p]) for m in mention], [t or "" for t in rows])
+    again = private.bootstrap(spark.createDataFrame(mention, "start int, end int, kind int, instance string, patterns array<string>"), keyed.select(F.coalesce("text", F.lit("")).alias("text")))
+    assert {r["instance"]: r["kind"] for r in again.collect()} == plain and len(plain) == 60 + 5 + 4
+
+
+def found_texts(df):
+    rows = private.with_rows(df)
+    return rows.join(private.find_rows(rows), "_row").collect()
+
+
+def bootstrap(mentions, texts):
+    counts = Counter(re.sub("[0-9]+", "9", w) for t in texts for w in t.lower().split())
+    times, of_pattern = Counter(), {}
+    for instance, kind, patterns in mentions:
+        for p in patterns:
+            times[p, instance, kind] += 1
+            of_pattern.setdefault(p, set()).add(instance)
+    wide = {p for p, xs in of_pattern.items() if len(xs) > private.LEAST_KNOWN}
+    every = {p: sum(n for (q, _, _), n in times.items() if q == p) for p in wide}
+    total = {p: max(min(counts[w] for w in p[1:].split(" ")), every[p]) for p in wide}
+    known = {}
+    for (p, instance, kind), _ in sorted(times.items(), key=str):
+        if p in wide and kind is not None:
+            known[instance] = min(kind, known.get(instance, kind))
+    found = {}
+    while True:
+        free = {p: sum(n for (q, x, _), n in times.items() if q == p and x not in known) for p in wide}
+        good = {}
+        for p in wide:
+            for k in set(known.values()):
+                held = {x: n for (q, x, _), n in times.items() if q == p and known.get(x) == k}
+                score = sum(n for (q, x, _), n in times.items() if q == p and x in held) / (total[p] - free[p] + 1)
+                if free[p] and len(held) >= private.LEAST_KNOWN and score >= private.GOOD_CONTEXT:
+                    good[p, k] = min(score, 0.9999)
+        scored = {}
+        for x in {x for (q, x, _) in times if x not in known}:
+            for (p, k), score in good.items():
+                if x in of_pattern[p]:
+                    scored[x, k] = 1 - (1 - scored.get((x, k), 0)) * (1 - score)
+        new = {}
+        for (x, k), score in sorted(scored.items(), key=lambda s: (s[1], -s[0][1])):
+            if score >= private.GOOD_INSTANCE:
+                new[x] = k
+        if not new:
+            return found
+        found |= new
+        known |= new
+
+
+def test_long_texts_take_linear_time(spark):
+    texts = ["12345 " * 170_000, "1.2.3.4 " * 60_000, "a@b.cd " * 60_000, "call +1 (555) 555-0100 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    found = private.find(df).select("doc_id", F.size("base").alias("n"), F.size("added").alias("m"), F.try_element_at("base", F.lit(-1)).alias("last")).orderBy("doc_id").collect()
+    assert [(r["n"], r["m"]) for r in found] == [(0, 0), (60_000, 0), (60_000, 0), (20_000, 0)] and time.time() - began < 120
+    assert [(r["last"]["start"], r["last"]["end"]) for r in found[1:]] == [(8 * 60_000 - 8, 8 * 60_000 - 1), (7 * 60_000 - 7, 7 * 60_000 - 1), (23 * 20_000 - 18, 23 * 20_000 - 1)]
+
+
 def test_mixing(spark, odd_documents, no_documents):
     rng = np.random.default_rng(8)
     rows = [(i, ["a", "b", "c", None][min(3, int(rng.zipf(1.7)) - 1)], int(rng.integers(0, 60))) for i in range(900)] + [(5000, "a", 4000), (5000, "a", 4000)]
@@ -452,6 +527,41 @@ def test_decoding_disguises(spark):
     assert "moron" in r.spelled("you m o r o n go")
 
 
+def all_readings(signs, model):
+    """Every path through a lattice with its score, by plain recursion."""
+
+    def go(k, a, b, last, score, out):
+        if k == len(signs):
+            yield score + model[a][b][0], out
+            return
+        sign = signs[k]
+        options = [(sign, 0.0)] if sign != " " else [(" ", 0.0), ("", toxicity._JOIN_COST)]
+        looks = toxicity.LOOKS.get(sign)
+        options += [(x, toxicity._LOOK_COST) for x in looks or ""] + ([("", toxicity._LOOK_COST)] if looks == "" else [])
+        for x, cost in options:
+            if x == "":
+                yield from go(k + 1, a, b, last, score + cost, out)
+                continue
+            c = toxicity._symbol(x)
+            yield from go(k + 1, b, c, x, score + cost + model[a][b][c], out + x)
+            if x == last and x.isalpha():
+                yield from go(k + 1, a, b, last, score + cost + toxicity._DROP_COST, out)
+
+    return go(0, 0, 0, "", 0.0, "")
+
+
+def test_decoding_finds_the_best_of_all_readings():
+    rng = np.random.default_rng(5)
+    for round_ in range(3):
+        model = toxicity.log_model(rng.integers(0, 50, 28**3).astype(float) ** (1 + round_)).tolist()
+        for _ in range(60):
+            signs = list(rng.choice(list("aabbio013$!|*_é7 "), rng.integers(1, 8)))
+            scores = {}
+            for score, out in all_readings(signs, model):
+                scores[out] = max(score, scores.get(out, -np.inf))
+            assert scores[toxicity.decode(signs, model)] == pytest.approx(max(scores.values()))
+
+
 def test_every_form_of_disguise_is_read(spark):
     text = " ".join(["the idiot and the stupid moron are worthless and pathetic as an ass in the garden of the house"] * 50)
     r = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts(spark.createDataFrame([(text,)], "text string"))))
