@@ -8,6 +8,7 @@ table per Python worker; ids of a text are the ids of its pieces in order.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -30,8 +31,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        #: Literals of added tokens are single ids, as the library reads them by default; texts that hold one are encoded whole.
-        self._added = "|".join(re.escape(t.content) for t in self._tok.get_added_tokens_decoder().values())
+        #: Literals of added tokens are single ids, as the library reads them by default.  Texts that hold
+        #: how all of them begin (in any case, as a letter may count in both) are encoded whole.
+        added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
+        self._added = re.match(r"[^\w\s]*", os.path.commonprefix(added)).group()
+        if added and not self._added:
+            raise ValueError(f"added tokens {added} do not begin with one sign")
         one = lambda t: self._whole([t])[0]
         #: Whether case does not matter; pieces are kept in lower case then.
         self._any_case = one("Ab CD") == one("ab cd")
@@ -97,7 +102,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.match_substring(texts, _MARK))
         if self._added:
-            whole = pc.or_(whole, pc.match_substring_regex(texts, self._added, ignore_case=True))
+            whole = pc.or_(whole, pc.match_substring(texts, self._added))
         if self._any_case:  # a mark could join a lower-case letter that it does not join in upper case
             whole = pc.or_(whole, pc.match_substring_regex(texts, "[\\x{300}-\\x{36f}]"))
         out: list = [None] * len(texts)
