@@ -11,13 +11,14 @@ of the smaller weights over the sum of the larger.
 
 A Gamma(2, 1) number times a uniform one is exponential, and what is left of it
 is another, independent one.  So the three numbers are made of three exponential
-ones x, y and z: c = x + y, r * (1 - b) = ln(c / x), r * b = z.  Then a word that
-occurs once has t = 0 and a = x, and needs nothing but its hash; only repeated
-words take logarithms.  What is compared is 1 - exp(-a), a uniform number where
-the count is one, in 31 bits, and with it 32 bits of (word, t): one minimum of
-one long, so that the aggregation stays in fixed-size buffers and generated code.
-A likeness from SAMPLES samples has a standard error of at most
-0.5 / sqrt(SAMPLES), 0.0625.
+ones x, y and z: c = x + y, r * (1 - b) = ln(c / x), r * b = z.  Then t is 0 where
+(weight - 1) * x < y, as it is for every word that occurs once, and a = x; else
+a = x * exp(-t * r).  What is compared is 1 - exp(-a), which for t = 0 is a
+uniform number: the word's hash itself.  Only repeated words take logarithms.  It
+is held in 63 bits, of which the lower ones tell (word, t) apart: a sample is
+their minimum, one long, so that the aggregation stays in fixed-size buffers and
+in generated code, and what is kept of it are its lower 32 bits.  A likeness from
+SAMPLES samples has a standard error of at most 0.5 / sqrt(SAMPLES), 0.0625.
 
 Neighbours (the next document in descending doc_id order) come from windows
 over ranges of doc_id whose bounds are quantiles, so that no task sorts all;
@@ -43,25 +44,21 @@ SAMPLES = 64
 RANGE_ROWS, MOST_RANGES = 1500, 65536
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """1 - exp(-a) in the upper half, 32 bits of (term, t) in the lower: less is nearer."""
-    bits, more = F.xxhash64(term, F.lit(k)), F.xxhash64(term, F.lit(k + 1_000_000))
-    first, code = F.shiftrightunsigned(bits, 33), bits.bitwiseAND(F.lit(0xFFFFFFFF))
-    x = -F.ln(1 - (first + 0.5) * (1 / (1 << 31)))
-    y = -F.ln((F.shiftrightunsigned(more, 32) + 0.5) * (1 / (1 << 32)))
-    z = -F.ln((more.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * (1 / (1 << 32)))
-    r = F.ln((x + y) / x) + z
-    t = F.floor((log_weight + z) / r)
-    # r * (t - b + 1) is r * (t + 1) - z
-    again = F.floor(-F.expm1(-(x + y) * F.exp(z - r * (t + 1))) * (1 << 31))
-    repeated = F.when(t == 0, first).otherwise(again)
-    upper = F.when(log_weight > 0, repeated).otherwise(first)
-    lower = F.when(log_weight > 0, code.bitwiseXOR(t * 40503).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(code)
-    return F.shiftleft(upper, 32).bitwiseOR(lower)
+def sample(term: Column, weight: Column, k: int) -> Column:
+    """1 - exp(-a) in 63 bits: less is nearer."""
+    plain = F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 1)
+    more = F.xxhash64(term, F.lit(k + 1_000_000))
+    x = -F.log1p(-(plain + 0.5) * 2.0**-63)
+    y = -F.ln((F.shiftrightunsigned(more, 32) + 0.5) * 2.0**-32)
+    z = -F.ln((more.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) * 2.0**-32)
+    r = F.log1p(y / x) + z
+    t = F.floor((F.ln(weight) + z) / r)
+    again = F.least(-F.expm1(-x * F.exp(-t * r)), F.lit(1 - 2.0**-53)) * 2.0**63
+    return F.when(weight == 1, plain).when((weight - 1) * x < y, plain).otherwise(again.cast("long"))
 
 
 def terms(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """Rows (keep, term, log_weight): hashed words of a text with their counts.
+    """Rows (keep, term, weight): hashed words of a text with their counts.
 
     Counting is done inside the row, on the sorted array of hashes: a word's
     count is the distance to the start of the next run.
@@ -71,7 +68,7 @@ def terms(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     runs = hashed.select(*keep, "_h", F.when(F.size("_h") > 0, starts).alias("_s"))
     each = runs.select(*keep, "_h", "_s", F.posexplode_outer("_s").alias("_k", "_i"))
     count = F.coalesce(F.get("_s", F.col("_k") + 1), F.size("_h")) - F.col("_i")
-    return each.select(*keep, F.get("_h", F.col("_i")).alias("term"), F.ln(count.cast("double")).alias("log_weight"))
+    return each.select(*keep, F.get("_h", F.col("_i")).alias("term"), count.alias("weight"))
 
 
 def code_text(codes: list[Column]) -> Column:
@@ -81,7 +78,7 @@ def code_text(codes: list[Column]) -> Column:
 
 def fingerprints(df: DataFrame, text: Column, *key: str, samples: int = SAMPLES) -> DataFrame:
     """key and fingerprint; rows of one key share a text."""
-    drawn = terms(df, text, *key).groupBy(*key).agg(*[F.min(sample(F.col("term"), F.col("log_weight"), k)).alias(f"_{k}") for k in range(samples)])
+    drawn = terms(df, text, *key).groupBy(*key).agg(*[F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"_{k}") for k in range(samples)])
     return drawn.select(*key, code_text([F.coalesce(F.col(f"_{k}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)]).alias("fingerprint"))
 
 
