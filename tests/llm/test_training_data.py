@@ -210,23 +210,25 @@ def test_weighted_sampling_is_unbiased(spark):
 
 def test_samples_follow_their_definition(spark):
     """Against consistent weighted sampling in plain Python, from the same hashes."""
-    words, counts, samples = ["a", "b", "cd", "é"], [1, 2, 7, 1], 16
-    df = spark.createDataFrame(list(zip(words, counts)), "word string, n long").select("word", "n", F.xxhash64("word").alias("term"), F.ln(F.col("n").cast("double")).alias("w"))
-    hashes = [F.struct(F.xxhash64("term", F.lit(k)).alias("one"), F.xxhash64("term", F.lit(k + 1_000_000)).alias("two"), weighted.sample(F.col("term"), F.col("w"), k).alias("got")).alias(f"_{k}") for k in range(samples)]
+    words, counts, samples = ["a", "b", "cd", "é"], [1, 2, 70, 1], 24
+    df = spark.createDataFrame(list(zip(words, counts)), "word string, n int").select("n", F.xxhash64("word").alias("term"))
+    hashes = [F.struct(F.xxhash64("term", F.lit(k)).alias("one"), F.xxhash64("term", F.lit(k + 1_000_000)).alias("two"), weighted.sample(F.col("term"), F.col("n"), k).alias("got")).alias(f"_{k}") for k in range(samples)]
     rows = df.select("n", *hashes).collect()
+    seen = Counter()
     for k in range(samples):
         near = []
         for row in rows:
-            bits, more = row[f"_{k}"]["one"] % 2**64, row[f"_{k}"]["two"] % 2**64
-            x, y, z = -math.log1p(-((bits >> 33) + 0.5) / 2**31), -math.log(((more >> 32) + 0.5) / 2**32), -math.log(((more & 0xFFFFFFFF) + 0.5) / 2**32)
+            bits, more, got = row[f"_{k}"]["one"] % 2**64, row[f"_{k}"]["two"] % 2**64, row[f"_{k}"]["got"]
+            x, y, z = -math.log1p(-((bits >> 1) + 0.5) / 2**63), -math.log(((more >> 32) + 0.5) / 2**32), -math.log(((more & 0xFFFFFFFF) + 0.5) / 2**32)
             c, s = x + y, math.log((x + y) / x)
             r = s + z
             b = z / r
             t = math.floor(math.log(row["n"]) / r + b)
-            near.append((1 - math.exp(-math.exp(math.log(c) - r * (t - b + 1))), t, bits))
-            assert abs((row[f"_{k}"]["got"] >> 32) / 2**31 - near[-1][0]) < 1e-6
-            assert row[f"_{k}"]["got"] & 0xFFFFFFFF == (bits ^ (t * 40503)) & 0xFFFFFFFF
+            near.append(1 - math.exp(-math.exp(math.log(c) - r * (t - b + 1))))
+            assert got / 2**63 == pytest.approx(near[-1], rel=1e-6) and (t > 0 or got == bits >> 1)
+            seen[t] += 1
         assert min(range(4), key=lambda i: near[i]) == min(range(4), key=lambda i: rows[i][f"_{k}"]["got"])
+    assert seen[0] and seen[1] and len(seen) > 2
 
 
 def test_next_and_edited(odd_documents, no_documents, monkeypatch):
