@@ -31,15 +31,15 @@ def with_model(df: DataFrame, name: str, load: Callable[[], object], apply: Call
 def embed(frames: DataFrame, name: str, load, extract) -> DataFrame:
     """Frames with features (a row a patch), attention, cls and grid_size; the image is dropped.
 
-    ``extract`` turns the model and one image row into the four values.
+    ``extract`` turns the model and a batch of images into the four values of each.
     """
-    apply = lambda model, part: pd.DataFrame([extract(model, row) for _, row in part.iterrows()], columns=["features", "attention", "cls", "grid_size"])
+    apply = lambda model, part: pd.DataFrame(list(extract(model, part)), columns=["features", "attention", "cls", "grid_size"])
     return with_model(frames, name, load, apply, EMBEDDED).drop("image")
 
 
 def generate(prompts: DataFrame, name: str, load, answer) -> DataFrame:
-    """Rows (prompt, and what else the model needs) with its response."""
-    apply = lambda model, part: pd.DataFrame({"response": [answer(model, row) for _, row in part.iterrows()]})
+    """Rows (prompt, and what else the model needs) with its response; ``answer`` gives those of a batch."""
+    apply = lambda model, part: pd.DataFrame({"response": list(answer(model, part))})
     return with_model(prompts, name, load, apply, "response string")
 
 

@@ -4,8 +4,9 @@
     spark.read.format("bag").load(folder)
 
 gives run_id, topic, message_type, seq, time_ns, start_ns and payload.  Filters
-on the topic are handed to the file's own index; decoding is a later step, so
-only messages that are kept are decoded.  Storage is SQLite (.db3) or the
+on the topic are handed to the file's own index: chunks without a wanted topic
+are neither read nor decompressed.  Decoding is a later step, so only messages
+that are kept are decoded.  Storage is SQLite (.db3) or the
 chunked log format (.mcap) without compression or with zstandard.  Tasks open
 the files by path: recordings must lie on storage that all executors mount.
 """
@@ -69,6 +70,19 @@ def _string(data: bytes, at: int) -> tuple[str, int]:
     return data[at + 4 : at + 4 + n].decode(), at + 4 + n
 
 
+def _unpacked(path: Path, body: bytes) -> bytes:
+    """The records of a chunk."""
+    kind, at = _string(body, 28)
+    data = body[at + 8 : at + 8 + int.from_bytes(body[at : at + 8], "little")]
+    if kind == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(data, max_output_size=int.from_bytes(body[16:24], "little"))
+    if kind:
+        raise ValueError(f"{path}: no decoder for {kind} chunks")
+    return data
+
+
 def _log_records(path: Path) -> Iterator[tuple[int, bytes]]:
     """Records of a chunked log, chunk by chunk: memory is one chunk."""
     with path.open("rb") as f:
@@ -76,34 +90,72 @@ def _log_records(path: Path) -> Iterator[tuple[int, bytes]]:
             raise ValueError(f"{path} is no chunked log")
         while (head := f.read(9)) and len(head) == 9:
             body = f.read(int.from_bytes(head[1:], "little"))
-            if head[0] != 0x06:
-                yield head[0], body
-                if head[0] == 0x0F:  # the data ends; an index may follow
-                    return
+            if head[0] == 0x06:
+                yield from _records(_unpacked(path, body))
                 continue
-            kind, at = _string(body, 28)
-            data = body[at + 8 : at + 8 + int.from_bytes(body[at : at + 8], "little")]
-            if kind == "zstd":
-                import zstandard
+            yield head[0], body
+            if head[0] == 0x0F:  # the data ends; an index may follow
+                return
 
-                data = zstandard.ZstdDecompressor().decompress(data, max_output_size=int.from_bytes(body[16:24], "little"))
-            elif kind:
-                raise ValueError(f"{path}: no decoder for {kind} chunks")
-            yield from _records(data)
 
+class _Channels:
+    """Topic and type of each channel, from the schema and channel records seen so far."""
 
-def _read_log(path: Path, topics: set[str] | None) -> Iterator[tuple]:
-    types: dict[int, str] = {}
-    channels: dict[int, tuple[str, str]] = {}
-    for op, body in _log_records(path):
+    def __init__(self):
+        self.types: dict[int, str] = {}
+        self.known: dict[int, tuple[str, str]] = {}
+
+    def learn(self, op: int, body: bytes) -> None:
         if op == 0x03:
-            types[int.from_bytes(body[:2], "little")] = _string(body, 2)[0]
+            self.types[int.from_bytes(body[:2], "little")] = _string(body, 2)[0]
         elif op == 0x04:
             channel, schema = struct.unpack_from("<HH", body)
-            channels[channel] = (_string(body, 4)[0], types.get(schema, ""))
-        elif op == 0x05:
+            self.known[channel] = (_string(body, 4)[0], self.types.get(schema, ""))
+
+
+def _index(path: Path) -> tuple[_Channels, list[tuple]] | None:
+    """Channels and chunks (first time, place, channels in it) from the index at a file's end; None where there is none."""
+    with path.open("rb") as f:
+        size = f.seek(0, 2)
+        if size < 45:
+            return None
+        f.seek(size - 37)
+        foot = f.read(37)
+        start = int.from_bytes(foot[9:17], "little")
+        if foot[0] != 0x02 or foot[29:] != _MCAP_MAGIC or not start:
+            return None
+        f.seek(start)
+        data = f.read(size - 37 - start)
+    channels, chunks = _Channels(), []
+    for op, body in _records(data):
+        channels.learn(op, body)
+        if op == 0x08:
+            first, _, place, _, n = struct.unpack_from("<QQQQI", body)
+            chunks.append((first, place, [c for c, _ in struct.iter_unpack("<HQ", body[36 : 36 + n])]))
+    return (channels, sorted(chunks, key=lambda c: c[1])) if chunks else None
+
+
+def _chunk_records(path: Path, channels: _Channels, chunks: list[tuple], topics: set[str] | None) -> Iterator[tuple[int, bytes]]:
+    with path.open("rb") as f:
+        for _, place, held in chunks:
+            # a chunk that lists no channels may hold any
+            if topics is not None and held and all(c in channels.known and channels.known[c][0] not in topics for c in held):
+                continue
+            f.seek(place)
+            head = f.read(9)
+            yield from _records(_unpacked(path, f.read(int.from_bytes(head[1:], "little"))))
+
+
+def _read_log(path: Path, topics: set[str] | None) -> Iterator[tuple]:
+    found = _index(path)
+    channels, records = _Channels(), None
+    if found is not None:
+        channels, records = found[0], _chunk_records(path, *found, topics)
+    for op, body in records or _log_records(path):
+        channels.learn(op, body)
+        if op == 0x05:
             channel, seq, time_ns = struct.unpack_from("<HIQ", body)
-            topic, kind = channels[channel]
+            topic, kind = channels.known[channel]
             if topics is None or topic in topics:
                 yield topic, kind, seq, time_ns, body[22:]
 
@@ -123,6 +175,9 @@ def _start(path: Path) -> int:
 
         with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
             return db.execute("SELECT min(timestamp) FROM messages").fetchone()[0] or 0
+    found = _index(path)
+    if found is not None:
+        return min(first for first, *_ in found[1])
     return min((t for *_, t, _ in _read_log(path, None)), default=0)
 
 

@@ -71,10 +71,11 @@ def test_tasks_and_models(spark):
     class Model:
         calls = 0
 
-    def answer(model, row):
-        model.calls += 1
+    def answer(model, batch):
         long = "The gripper takes the red part and sets it into the holder until it clicks in place."
-        return "Answer:" if row["run_id"] == "b" and model.calls < 3 else long
+        for run in batch["run_id"]:
+            model.calls += 1
+            yield "Answer:" if run == "b" and model.calls < 3 else long
 
     done = tasks.descriptions(inputs, "toy", Model, answer).persist()
     assert done.count() == 2
@@ -87,7 +88,7 @@ def test_tasks_and_models(spark):
     assert models.description_settings({"max_new_tokens": 300, "temperature": 1}) == {"max_new_tokens": 400, "temperature": 1, "do_sample": False, "repetition_penalty": 1.0, "no_repeat_ngram_size": 0}
     assert models.model_settings({"max_memory": {"0": "9GiB", "cpu": "48GiB"}})["max_memory"] == {0: "9GiB", "cpu": "48GiB"}
     frames = spark.createDataFrame([("a", bytearray(b"\x01\x02"))], "run_id string, image binary")
-    row = models.embed(frames, "sum", lambda: 1, lambda m, r: ([[float(sum(r["image"]))]], [1.0], [1.0], m)).first()
+    row = models.embed(frames, "sum", lambda: 1, lambda m, batch: [([[float(sum(x))]], [1.0], [1.0], m) for x in batch["image"]]).first()
     assert row["features"] == [[3.0]] and "image" not in row.asDict()
 
 

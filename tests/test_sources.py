@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from gaugeline.operators import catalog
-from gaugeline.sources import bags, messages, results
+from gaugeline.sources import bags, dispatch, messages, results
 
 T0 = 1_700_000_000_000_000_000
 WRENCH, TEXT, JOINTS, IMAGE = "geometry_msgs/msg/WrenchStamped", "std_msgs/msg/String", "sensor_msgs/msg/JointState", "sensor_msgs/msg/Image"
@@ -93,13 +93,32 @@ def write_mcap(path, compressed):
     path.write_bytes(b"\x89MCAP0\r\n" + rec(1, s("ros2") + s("test")) + rec(6, chunk) + rec(0x0F, struct.pack("<I", 0)) + b"\x89MCAP0\r\n")
 
 
-@pytest.fixture(params=["db3", "mcap", "mcap zstd"])
+def write_indexed(path):
+    """One chunk a message, and an index of the chunks at the end."""
+    rec = lambda op, body: bytes([op]) + struct.pack("<Q", len(body)) + body
+    s = lambda x: struct.pack("<I", len(x)) + x.encode()
+    out, summary = b"\x89MCAP0\r\n" + rec(1, s("ros2") + s("test")), b""
+    for i, (t, kind, dt, data) in enumerate(LOG, 1):
+        known = rec(3, struct.pack("<H", i) + s(kind) + s("ros2msg") + struct.pack("<I", 0)) + rec(4, struct.pack("<HH", i, i) + s(t) + s("cdr") + struct.pack("<I", 0))
+        inner = known + rec(5, struct.pack("<HIQQ", i, i, T0 + dt, T0 + dt) + data)
+        packed = zstandard.ZstdCompressor().compress(inner)
+        chunk = rec(6, struct.pack("<QQQI", T0 + dt, T0 + dt, len(inner), 0) + s("zstd") + struct.pack("<Q", len(packed)) + packed)
+        summary += known + rec(8, struct.pack("<QQQQI", T0 + dt, T0 + dt, len(out), len(chunk), 10) + struct.pack("<HQ", i, 0) + struct.pack("<Q", 0) + s("zstd") + struct.pack("<QQ", len(packed), len(inner)))
+        out += chunk
+    out += rec(0x0F, struct.pack("<I", 0))
+    path.write_bytes(out + summary + rec(2, struct.pack("<QQI", len(out), 0, 0)) + b"\x89MCAP0\r\n")
+
+
+@pytest.fixture(params=["db3", "mcap", "mcap zstd", "mcap indexed"])
 def log(request, spark, tmp_path):
     bags.register(spark)
     if request.param == "db3":
         write_db3(tmp_path / "all" / "run_1")
         return spark.read.format("bag").load(str(tmp_path / "all"))
-    write_mcap(tmp_path / "run_1.mcap", "zstd" in request.param)
+    if "indexed" in request.param:
+        write_indexed(tmp_path / "run_1.mcap")
+    else:
+        write_mcap(tmp_path / "run_1.mcap", "zstd" in request.param)
     return spark.read.format("bag").load(str(tmp_path / "run_1.mcap"))
 
 
@@ -118,6 +137,36 @@ def test_log(log):
     assert log.where(F.col("topic") == "/cam").count() == 1 and log.where(F.col("topic").isin("/cam", "/force")).count() == 2
 
 
+def test_chunks_without_a_wanted_topic_stay_packed(tmp_path, monkeypatch):
+    write_indexed(tmp_path / "run.mcap")
+    opened, plain = [], bags._unpacked
+    monkeypatch.setattr(bags, "_unpacked", lambda *a: opened.append(1) or plain(*a))
+    assert bags._start(tmp_path / "run.mcap") == T0 and not opened
+    assert [t for t, *_ in bags._read_log(tmp_path / "run.mcap", {"/cam"})] == ["/cam"] and len(opened) == 1
+    assert len(list(bags._read_log(tmp_path / "run.mcap", None))) == len(LOG)
+
+
+def test_sources_are_chosen_and_tried_in_turn(spark, tmp_path):
+    bags.register(spark)
+    write_mcap(tmp_path / "run_1.mcap", False)
+    video = lambda s, path: s.createDataFrame([(path,)], "path string")
+    assert dispatch.read_frames(spark, str(tmp_path / "run_1.mcap"), topic="/cam").count() == 1
+    assert dispatch.read_frames(spark, "/somewhere/film.MP4", video=video).first()["path"] == "/somewhere/film.MP4"
+    with pytest.raises(ValueError, match="video"):
+        dispatch.read_frames(spark, "film.mp4")
+    with pytest.raises(ValueError, match="topic"):
+        dispatch.read_frames(spark, str(tmp_path / "run_1.mcap"))
+
+    def broken(path):
+        raise OSError("no such format")
+
+    wrench = lambda path: messages.numeric_topic(spark.read.format("bag").load(path), "/force", messages.WRENCH_FIELDS)
+    rows = dispatch.first_that_reads(str(tmp_path / "run_1.mcap"), {"other": broken, "own": wrench})
+    assert rows.count() == 1 and messages.since_first(rows).first()["time"] == 0.0
+    with pytest.raises(ValueError, match="other: no such format; more: no such format"):
+        dispatch.first_that_reads("x", {"other": broken, "more": broken})
+
+
 def test_paths(tmp_path):
     write_db3(tmp_path / "a" / "run")
     assert bags.resolve_bag(str(tmp_path / "a/run/part_0.db3")) == tmp_path / "a/run"
