@@ -1,4 +1,6 @@
-"""python -m gaugeline topics|stages|manifest PATH [--topic T] [--out FOLDER]"""
+"""python -m gaugeline topics|stages|manifest PATH [--topic T] [--out FOLDER]
+python -m gaugeline time-series TEST --nominal PATH [--nominal PATH ...] [--topic T] [--out FOLDER]
+"""
 
 from __future__ import annotations
 
@@ -7,28 +9,53 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.operators import catalog
+from gaugeline.operators import catalog, thresholds
+from gaugeline.plans import settings, time_series
 from gaugeline.sources import bags, messages, results
 
 
+def score_wrench(spark: SparkSession, nominal: list[str], test: str, topic: str) -> time_series.TimeSeriesResult:
+    """Scores and alarms of a recording's wrench against those of correct runs."""
+    if len(nominal) < 2:
+        raise SystemExit("at least two --nominal recordings are needed")
+    if lost := settings.missing_paths([*nominal, test]):
+        raise SystemExit(f"no such paths: {lost}")
+    wrench = lambda path: messages.numeric_topic(spark.read.format("bag").load(path), topic, messages.WRENCH_FIELDS)
+    known = wrench(nominal[0])
+    for path in nominal[1:]:
+        known = known.unionByName(wrench(path))
+    return time_series.run(known, wrench(test))
+
+
 def main() -> None:
     args = argparse.ArgumentParser(prog="gaugeline", description="Look into recordings.")
-    args.add_argument("what", choices=["topics", "stages", "manifest"])
+    args.add_argument("what", choices=["topics", "stages", "manifest", "time-series"])
     args.add_argument("path")
-    args.add_argument("--topic", default="/recording_stage")
+    args.add_argument("--topic", help="the markers' topic, or the wrench topic of time-series")
+    args.add_argument("--nominal", action="append", default=[], help="a recording of a correct run")
     args.add_argument("--startup", type=float, default=1.0)
     args.add_argument("--out")
     a = args.parse_args()
     spark = SparkSession.builder.appName("gaugeline").getOrCreate()
     bags.register(spark)
+    if a.what == "time-series":
+        result = score_wrench(spark, a.nominal, a.path, a.topic or "/tcp_force")
+        summary = thresholds.alarm_summary(result.alarms, "epsilon_adaptive", "alarm_filtered")
+        if a.out:
+            for name in ("segments", "calibration", "threshold", "alarms"):
+                results.write_csv(getattr(result, name), f"{a.out}/{name}")
+            results.write_csv(summary, f"{a.out}/summary")
+        summary.show(1000, False)
+        return
+    topic = a.topic or "/recording_stage"
     log = spark.read.format("bag").load(a.path)
     if a.what == "topics":
         out = catalog.topic_catalog(log, "run_id")
     elif a.what == "stages":
-        out = messages.stage_events(log, a.topic)
+        out = messages.stage_events(log, topic)
     else:
-        runs = log.groupBy("run_id").agg(F.count("*").alias("message_count"), (F.count_if(F.col("topic") == a.topic) > 0).alias("has_markers"))
-        out = catalog.manifest(runs, messages.stage_events(log, a.topic), a.startup)
+        runs = log.groupBy("run_id").agg(F.count("*").alias("message_count"), (F.count_if(F.col("topic") == topic) > 0).alias("has_markers"))
+        out = catalog.manifest(runs, messages.stage_events(log, topic), a.startup)
     results.write_csv(out, a.out) if a.out else out.show(1000, False)
 
 

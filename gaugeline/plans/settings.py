@@ -23,6 +23,12 @@ def load(path: str | None = None, **given) -> dict:
     return out
 
 
+def save(settings: dict, path: str) -> None:
+    """Settings as a JSON file with sorted keys, as ``load`` reads it."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(settings, indent=2, sort_keys=True) + "\n")
+
+
 def run_grid(spark: SparkSession, items: list[str], repetitions: int, pattern: str = "%s_%02d") -> DataFrame:
     """Every item as often as it is repeated, with the name of its recording."""
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item int, task string")

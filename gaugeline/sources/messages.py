@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.functions.scalars import slug
@@ -81,11 +80,6 @@ def _since_start() -> Column:
     return (F.col("time_ns") - F.col("start_ns")) / F.lit(1e9)
 
 
-def since_first(rows: DataFrame) -> DataFrame:
-    """Time counted from the first sample of each run instead of from the recording's start."""
-    return rows.withColumn("time", (F.col("time_ns") - F.min("time_ns").over(W.partitionBy("run_id"))) / F.lit(1e9))
-
-
 def numeric_channels(messages: DataFrame) -> DataFrame:
     """Long form: run_id, topic, seq, time_ns, time (since the recording began), channel, value."""
 

@@ -93,6 +93,9 @@ def test_tasks_and_models(spark):
 
 
 def test_settings(spark, tmp_path):
+    held = {"test_bag": "b", "nominal_bags": ["a"], "camera_topics": ["/c"]}
+    settings.save(held, str(tmp_path / "deep" / "s.json"))
+    assert settings.load(str(tmp_path / "deep" / "s.json"))["test_bag"] == "b" and (tmp_path / "deep" / "s.json").read_text().index("camera") < 10
     path = tmp_path / "p.json"
     path.write_text(json.dumps({"nominal_bags": ["a"], "test_bag": "b", "camera_topics": ["/c"], "stage_count": 4}))
     assert settings.load(str(path))["stage_count"] == 4 and settings.load(str(path), stage_count=2)["stage_count"] == 2
@@ -110,3 +113,31 @@ def test_sample_stream(spark, tmp_path):
     q.stop()
     got = sorted(r["seq"] for r in spark.table("sampled").collect())
     assert got == [min(i for i in range(200) if i * 33 // 500 == b) for b in range(199 * 33 // 500 + 1)]
+
+
+def test_command_line_scores_a_recording(spark, tmp_path, capsys, monkeypatch):
+    """Recordings written as logs, scored from the command line."""
+    import struct
+    import sys
+
+    from gaugeline import __main__ as command
+
+    rec = lambda op, body: bytes([op]) + struct.pack("<Q", len(body)) + body
+    s = lambda x: struct.pack("<I", len(x)) + x.encode()
+    rows = wrench_runs(spark, ["n1", "n2", "n3", "bad"], bad=["bad"]).orderBy("run_id", "seq").collect()
+    for run in ("n1", "n2", "n3", "bad"):
+        out = b"\x89MCAP0\r\n" + rec(3, struct.pack("<H", 1) + s("geometry_msgs/msg/Wrench") + s("ros2msg") + struct.pack("<I", 0)) + rec(4, struct.pack("<HH", 1, 1) + s("/tcp_force") + s("cdr") + struct.pack("<I", 0))
+        for r in rows:
+            if r["run_id"] == run:
+                ns = int(r["time"] * 1e9)
+                out += rec(5, struct.pack("<HIQQ", 1, r["seq"], ns, ns) + b"\0\1\0\0" + struct.pack("<6d", *r[3:9]))
+        (tmp_path / f"{run}.mcap").write_bytes(out + rec(0x0F, struct.pack("<I", 0)) + b"\x89MCAP0\r\n")
+    nominal = [x for n in ("n1", "n2", "n3") for x in ("--nominal", str(tmp_path / f"{n}.mcap"))]
+    monkeypatch.setattr(sys, "argv", ["gaugeline", "time-series", str(tmp_path / "bad.mcap"), *nominal, "--out", str(tmp_path / "out")])
+    command.main()
+    assert "alarm_ratio" in capsys.readouterr().out
+    found = spark.read.option("header", True).csv(str(tmp_path / "out" / "summary")).first()
+    assert found["run_id"] == "bad" and int(found["alarms"]) > 5
+    monkeypatch.setattr(sys, "argv", ["gaugeline", "time-series", "nowhere.mcap", *nominal])
+    with pytest.raises(SystemExit, match="nowhere"):
+        command.main()

@@ -8,7 +8,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from gaugeline.operators import catalog
+from gaugeline.operators import catalog, series
 from gaugeline.sources import bags, dispatch, messages, results
 
 T0 = 1_700_000_000_000_000_000
@@ -162,7 +162,7 @@ def test_sources_are_chosen_and_tried_in_turn(spark, tmp_path):
 
     wrench = lambda path: messages.numeric_topic(spark.read.format("bag").load(path), "/force", messages.WRENCH_FIELDS)
     rows = dispatch.first_that_reads(str(tmp_path / "run_1.mcap"), {"other": broken, "own": wrench})
-    assert rows.count() == 1 and messages.since_first(rows).first()["time"] == 0.0
+    assert rows.count() == 1 and series.first_sample_time(rows).first()["time"] == 0.0
     with pytest.raises(ValueError, match="other: no such format; more: no such format"):
         dispatch.first_that_reads("x", {"other": broken, "more": broken})
 
