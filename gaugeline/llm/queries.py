@@ -130,4 +130,42 @@ SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * (r.certain + CASE WH
 FROM ranked r LEFT JOIN stops s ON r.source IS NOT DISTINCT FROM s.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_pareto_mixing": OP8_SQL}
+OP3_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(generate_series(1, len(w) - 34)) t(i)
+), repeated AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1
+), words AS (
+  SELECT r, i, w[i] AS word FROM d, unnest(generate_series(1, len(w))) t(i)
+), marked AS (
+  SELECT words.*, count(repeated.i) OVER (PARTITION BY words.r ORDER BY words.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words LEFT JOIN repeated ON words.r = repeated.r AND words.i = repeated.i
+), kept AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM marked GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) t(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT r, count(*) AS n FROM shingles GROUP BY r
+), shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reached AS (
+  SELECT r, r AS m FROM d UNION SELECT reached.r, links.y FROM reached JOIN links ON links.x = reached.m
+), groups AS (
+  SELECT reached.r, min(o.doc_id) AS component_id FROM reached JOIN d o ON o.r = reached.m GROUP BY reached.r
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN groups USING (r) LEFT JOIN sizes USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_tree_repeats": OP3_SQL, "op8_pareto_mixing": OP8_SQL, "op9_circulant_minhash": OP9_SQL}
