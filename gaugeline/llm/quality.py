@@ -40,6 +40,8 @@ SHARDS = 6
 ROUNDS, EPOCHS, BATCH = 3, 2, 64
 #: Rows a shard goes through in a round, counting repeats.
 LEAST_ROWS = 4000
+#: Places that a shard learns from together: of longer samples it takes one such part after another.
+HELD_PLACES = 20_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -136,17 +138,28 @@ def fit(sample: DataFrame, grades: int, rate: float = 0.3) -> tuple[np.ndarray,
     def shards() -> DataFrame:
         return rows.repartition(SHARDS, F.pmod(F.xxhash64("places"), F.lit(SHARDS))).sortWithinPartitions(F.xxhash64("places", "grade"))
 
+    def part_of(held: list[pa.RecordBatch], w: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table["places"].chunk(0)
+        return descend(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), table["grade"].to_numpy().astype(np.int64), w, t, EPOCHS, rate / (1 + k), k)
+
     rows = settle(sample.select("text", "grade").mapInArrow(read, "places array<int>, grade int"), "graded")
     weights, thresholds = np.zeros(PLACES), np.arange(grades - 1) - (grades - 2) / 2.0
     for k in range(ROUNDS):
 
         def learn(parts: Iterator[pa.RecordBatch], w=weights, t=thresholds, k=k) -> Iterator[pa.RecordBatch]:
-            held = [p for p in parts if len(p)]
-            if held:
-                table = pa.Table.from_batches(held).combine_chunks()
-                lists = table["places"].chunk(0) if table["places"].num_chunks else pa.array([], pa.list_(pa.int32()))
-                new, cut = descend(lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64), table["grade"].to_numpy().astype(np.int64), w, t, EPOCHS, rate / (1 + k), k)
-                yield pa.RecordBatch.from_arrays([pa.array([len(table)], pa.int64()), pa.array([np.concatenate([new, cut]).astype(np.float32).tobytes()], pa.binary())], ["n", "model"])
+            held, size, n = [], 0, 0
+            for p in parts:
+                held.append(p)
+                size += len(p.column(0).flatten())
+                n += len(p)
+                if size >= HELD_PLACES:
+                    w, t = part_of(held, w, t, k)
+                    held, size = [], 0
+            if any(map(len, held)):
+                w, t = part_of(held, w, t, k)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([w, t]).astype(np.float32).tobytes()], pa.binary())], ["n", "model"])
 
         found = shards().mapInArrow(learn, "n long, model binary").collect()  # SHARDS rows of fixed length
         if not found:

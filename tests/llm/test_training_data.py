@@ -495,7 +495,9 @@ def test_circulant_signatures_estimate_jaccard():
     assert minhash.miss_chance() < 1e-5 and shingles.shingle_sets(pa.array([None, "a b", "A b"]))[1].tolist() == shingles.shingle_sets(pa.array(["A  b"]))[0].tolist()
 
 
-def test_quality(spark, odd_documents, no_documents, odd_labels):
+@pytest.mark.parametrize("held", [3_000, 20_000_000])
+def test_quality(spark, odd_documents, no_documents, odd_labels, monkeypatch, held):
+    monkeypatch.setattr(quality, "HELD_PLACES", held)  # long samples are learned from in parts
     rng = np.random.default_rng(4)
     good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "over", "green", "hills"], 40))
     make = [lambda: " ".join(w + "!!" for w in good().upper().split()), lambda: good() + " awful awful", lambda: good() + " fine day"]
