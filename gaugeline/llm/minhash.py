@@ -16,7 +16,7 @@ How it runs
    threshold) lies inside a cluster, but for the chance in ``miss_chance``.
 3. A cluster of more than a block is tied anew by narrower bands, which part
    texts that only share a template (their midpoint is at 0.58).  Of each
-   member the tie of most bands is verified exactly; what the verified ties
+   member the ties of most bands are verified exactly; what the verified ties
    join needs no more comparing.  So of a large group of near copies one part
    is settled, and only the rest is compared, with each other and with it.
    Where that rest outgrows a block too and best ties are of few bands, texts of
@@ -48,6 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import settle, with_rows
@@ -63,8 +64,8 @@ NARROW_BANDS, NARROW_ROWS = 230, 10
 #: under the threshold it may be: five standard deviations (3e-7 a pair at it).
 LONG = 512
 MARGIN = 0.096
-#: Members that meet one copy of their leader's set.
-LED = 256
+#: Ties of each member that are verified, those of most bands, and members that meet one copy of their leader's set.
+LEADERS, LED = 3, 256
 #: Shingles and members of a block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 128
 #: Mean narrow bands of best ties up to which a cluster is one of a template: sets at a similarity of 0.65 share three.
@@ -226,8 +227,10 @@ def _mixed(members: DataFrame) -> DataFrame:
 def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links of members of heavy clusters, and what is still to be compared (MEMBER)."""
     ties = settle(_ties(sets.select("node", F.explode("bands").alias("band"))), "narrow-ties")
-    best = ties.groupBy("node").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("leader"), F.max("bands").alias("bands"))
-    sure = settle(_verified(best.select("node", "leader"), sets, percent), "verified-ties", few=True)
+    best = ties.groupBy("node").agg(F.max("bands").alias("bands"))
+    order = W.partitionBy("node").orderBy(F.desc("bands"), "least")
+    asked = ties.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("node", F.col("least").alias("leader"))
+    sure = settle(_verified(settle(asked, "asked-ties", few=True), sets, percent), "verified-ties", few=True)
     parts = heavy.join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
     parts = settle(parts.join(best.select("node", F.col("bands").alias("shared")), "node", "left"), "parts")
     clusters = _mixed(components(ties.select("node", "least")).withColumnRenamed("component", "cluster").join(parts, "node"))
