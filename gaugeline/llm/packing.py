@@ -37,7 +37,7 @@ from gaugeline.llm.tokens import MAX_PIECES, batches, encoder
 WINDOW = 1024
 END_ID = 0
 #: Shuffle partitions whose open windows one packer takes.
-MERGED = 16
+MERGED = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 _TYPES = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
