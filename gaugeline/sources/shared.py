@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +34,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+def settle(df: DataFrame, name: str, few: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    costs no recomputation of what lies before.  ``release`` deletes it.
-    ``few`` is for sums and edges, rows of a few numbers: what all tasks have
-    computed is dealt evenly to an eighth as many files.
+    costs no recomputation of what lies before.  ``few`` is for sums and edges,
+    rows of a few numbers: what all tasks have computed is dealt evenly to an
+    eighth as many files.  In a ``scratch`` only tables to ``keep`` outlive it.
     """
     path = fresh_path(df.sparkSession, name)
     if few:
@@ -45,9 +51,23 @@ def settle(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.settled_at = path
+    if (held := _SCRATCH.get()) is not None and not keep:
+        held.append(table)
     return table
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables settled inside are deleted at its end: what is used after it must be written with ``keep``."""
+    outer = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        held = _SCRATCH.get()
+        _SCRATCH.reset(outer)
+        release(*held)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables that no plan reads any more."""
     for table in tables:
