@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.sources.shared import fresh_path, release, settle
+from gaugeline.sources.shared import fresh_path, release, scratch, settle
 
-__all__ = ["WORD", "documents", "fresh_path", "release", "settle", "small_batches", "with_rows", "words_of"]
+__all__ = ["WORD", "documents", "fresh_path", "release", "scratch", "settle", "small_batches", "with_rows", "words_of"]
 
 #: Words of the contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"

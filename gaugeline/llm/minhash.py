@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle, with_rows
+from gaugeline.llm.common import scratch, settle, with_rows
 from gaugeline.llm.components import components
 from gaugeline.llm.shingles import mixed, shingle_sets
 from gaugeline.llm.tokens import batches
@@ -245,13 +245,8 @@ def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")
 
 
-def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_row, doc_id, n_shingles, component_id and kept for every row of a table ``with_rows``."""
-    sketch = settle(sketches(rows, id_col, text_col), "sketches")
-    # one row of each set stands for the class; its first row may come to name the group
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes")
-    keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
+def _groups(rows: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int, text_col: str) -> DataFrame:
+    """node and component of the classes that have links; ``keyed`` has their bands."""
     clusters = settle(components(_ties(keyed).select("node", "least")).join(classes.select("node", "n_shingles"), "node"), "clusters")
     heavy = settle(_weighed(clusters, "component").where("blocks > 1").select("component"), "heavy-clusters", few=True)
     texts = rows.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
@@ -274,7 +269,18 @@ def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     links = paired.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
-    found = components(links if sure is None else links.unionByName(sure))
+    return components(links if sure is None else links.unionByName(sure))
+
+
+def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_row, doc_id, n_shingles, component_id and kept for every row of a table ``with_rows``."""
+    sketch = settle(sketches(rows, id_col, text_col), "sketches")
+    # one row of each set stands for the class; its first row may come to name the group
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes")
+    keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
+    with scratch():
+        found = settle(_groups(rows, classes, keyed, percent, text_col), "groups", few=True, keep=True)
     of_class = classes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
     firsts = of_class.groupBy("component").agg(F.min("first").alias("first"))
     of_class = of_class.select("digest", "component").join(firsts, "component").select("digest", "first")

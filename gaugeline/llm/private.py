@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import release, settle, with_rows
+from gaugeline.llm.common import scratch, settle, with_rows
 
 #: The base kinds, and the kind that has seeds but no base spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -232,7 +232,6 @@ def bootstrap(mention: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFra
         scored = held.where("kind is null").select("instance", "pattern").distinct().join(good, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         new = scored.where(F.col("score") >= GOOD_INSTANCE).groupBy("instance").agg(F.max_by("as", F.struct("score", -F.col("as"))).alias("kind"))
         new = settle(new, "revealed", few=True)
-        release(good)
         found = new if found is None else found.unionByName(new)
         if new.isEmpty():
             break
@@ -245,8 +244,9 @@ def find_rows(rows: DataFrame, text_col: str = "text") -> DataFrame:
     docs = rows.select("_row", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     read = settle(docs.select("_row", base_spans(F.col("text")).alias("base"), secret_spans(F.col("text")).alias("seeds"), mentions(F.col("text")).alias("mentions")), "mentions")
     mention = read.select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
-    revealed = mention.where("kind is null").select("_row", "start", "end", "instance").join(bootstrap(mention, docs), "instance")
-    revealed = settle(revealed.groupBy("_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("revealed")), "revealed-spans")
+    with scratch():
+        revealed = mention.where("kind is null").select("_row", "start", "end", "instance").join(bootstrap(mention, docs), "instance")
+        revealed = settle(revealed.groupBy("_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("revealed")), "revealed-spans", keep=True)
     added = F.concat("seeds", F.coalesce("revealed", F.array().cast(SPAN)))
     return read.select("_row", "base", "seeds").join(revealed, "_row", "left").select("_row", "base", added.alias("added"))
 

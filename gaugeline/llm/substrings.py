@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle, with_rows
+from gaugeline.llm.common import scratch, settle, with_rows
 from gaugeline.llm.shingles import mixed, rolled, word_hashes
 from gaugeline.llm.tokens import batches
 
@@ -384,7 +384,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     surveyed = settle(survey(rows), "survey")
     classes = settle(surveyed.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("one"), F.count("*").alias("copies")), "equal-texts")
     different = surveyed.join(classes.select(F.col("one").alias("_row")), "_row", "left_semi")
-    by_row = repeated_spans(rows, different).groupBy("_row").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    with scratch():
+        by_row = settle(repeated_spans(rows, different).groupBy("_row").agg(F.collect_list(F.struct("first", "past")).alias("spans")), "spans", keep=True)
     removed = _remove(rows.join(by_row.hint("shuffle_hash"), "_row"))
     out = rows.select("_row", "doc_id").join(surveyed.select("_row", "n_words", "digest", "kept"), "_row").join(removed, "_row", "left").join(classes.select("digest", "copies"), "digest", "left")
     whole = F.coalesce((F.col("copies") > 1) & (F.col("n_words") >= WINDOW), F.lit(False))
