@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm.common import settle
 from gaugeline.llm.labelled import labelled_sample
-from gaugeline.llm.tokens import batches
+from gaugeline.llm.tokens import batches, strings
 
 PLACES = 1 << 17
 SHARDS = 6
@@ -66,7 +66,7 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Places of words and shapes of texts on end, and the count of places of each text."""
     split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = strings(coded.dictionary)
     word = np.fromiter((_place(w.lower()) for w in words), dtype=np.int32, count=len(words))
     shape = np.fromiter((_place("\x00" + _shape(w)[:24]) for w in words), dtype=np.int32, count=len(words))
     index, counts = coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)

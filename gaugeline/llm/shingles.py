@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from gaugeline.llm.tokens import strings
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
@@ -34,7 +36,7 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     counts = pc.list_value_length(split).to_numpy().astype(np.int64)
     counts[pc.equal(texts, "").to_numpy(zero_copy_only=False)] = 0
     coded = split.flatten().filter(pc.not_equal(split.flatten(), "")).dictionary_encode()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, strings(coded.dictionary)), dtype=np.uint64, count=len(coded.dictionary))
     return hashes[coded.indices.to_numpy()], counts
 
 

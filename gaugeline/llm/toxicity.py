@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.labelled import labelled_sample
-from gaugeline.llm.tokens import batches
+from gaugeline.llm.tokens import batches, strings
 
 #: Symbols of the language model: 0 a word's end, 1-26 letters, 27 any other letter.
 SYMBOLS = 28
@@ -175,7 +175,7 @@ def _restored(texts: pa.Array, restorer: Restorer) -> Iterator[tuple[np.ndarray,
     texts = pc.utf8_lower(pc.fill_null(texts, ""))
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
-    words = [restorer.readings(w) for w in coded.dictionary.to_pylist()]
+    words = [restorer.readings(w) for w in strings(coded.dictionary)]
     spelled = {int(k): restorer.spelled(texts[int(k)].as_py()) for k in np.flatnonzero(pc.match_substring_regex(texts, r"(?:^|\s)\S[ \t]\S[ \t]\S(?:\s|$)").to_numpy(zero_copy_only=False))}
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     return owner, coded.indices.to_numpy(), words, spelled
