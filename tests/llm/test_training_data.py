@@ -595,3 +595,21 @@ def test_toxicity(spark, odd_documents, no_documents, odd_labels):
     scored = toxicity.toxicity(odd_documents, odd_labels, F.col("toxic"))
     assert scored.count() == odd_documents.count() and scored.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.toxicity(no_documents, odd_labels, F.col("toxic")).count() == 0
+
+
+def test_null_and_shared_ids_everywhere(spark, odd_labels):
+    """Every row has its own result, whatever its id."""
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (1, "first text of the id"), (1, "second text of the id"), (2, "")]
+    df = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars long").repartition(2)
+    ids = Counter(d for d, _ in rows)
+    count = lambda found: Counter(r["doc_id"] for r in found.select("doc_id").collect())
+    for found in (
+        quality.graded(df, odd_labels), substrings.remove_repeats(df), media.fingerprint(media.to_wav(df)), weighted.compare_with_next(df), private.find(df),
+        minhash.near_duplicates(df), toxicity.toxicity(df, odd_labels, F.col("toxic")), packing.pack(df, BYTES).where("start = 0"),
+    ):
+        assert count(found) == ids, found.columns
+    framed = frames.read_frames(frames.write_frames(df, WORDS, 2, shards=2)).orderBy("start").collect()
+    assert [r["doc_id"] for r in framed] == [None] * 3 + [1, 1, 2] and [r["start"] for r in framed] == list(itertools.accumulate((r["n_tokens"] for r in framed[:-1]), initial=0))
+    assert Counter(r["ids_crc32"] for r in framed) == Counter(zlib.crc32(ids_of(WORDS, t or "", 2).tobytes()) for _, t in rows)
+    assert {r["doc_id"] for r in mixing.mixed_documents(df).collect()} <= set(ids)
+    assert len(minhash.kept_documents(df).collect()) == 5 and private.redacted_documents(df).count() == 6
