@@ -281,9 +281,11 @@ def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     with scratch():
         found = settle(_groups(rows, classes, keyed, percent, text_col), "groups", few=True, keep=True)
-    of_class = classes.join(found, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("component"))
-    firsts = of_class.groupBy("component").agg(F.min("first").alias("first"))
-    of_class = of_class.select("digest", "component").join(firsts, "component").select("digest", "first")
+    # of each group the first row; classes without links name themselves
+    linked = classes.join(found, "node").select("digest", "component", "first")
+    firsts = settle(linked.groupBy("component").agg(F.min("first").alias("named")), "firsts", few=True)
+    named = linked.select("digest", "component").join(firsts, "component").select("digest", "named")
+    of_class = classes.select("digest", "first").join(named, "digest", "left").select("digest", F.coalesce("named", "first").alias("first"))
     out = sketch.select("_row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     kept = F.col("digest").isNull() | (F.col("first._row") == F.col("_row"))
