@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import documents, settle
+from gaugeline.llm.common import documents, settle, small_batches
 
 
 def tokenizer_file(name: str) -> str:
@@ -84,7 +84,28 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op7_bootstrapped_contexts, op8_pareto_mixing, op9_circulant_minhash, op10_noisy_channel_toxicity)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.conversations import prefix_trie, rebuilt
+
+    small_batches(spark)
+    turns, ids = rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie(turns, ["own", "rank"], ids)
+
+
+def op12_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.periodic import looped, periodic_runs
+
+    docs = documents(spark, sf_dir)
+    return periodic_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_sum_of_squares_packing, op3_suffix_tree_repeats, op4_media_columns, op5_seekable_frames, op6_weighted_sampling, op7_bootstrapped_contexts, op8_pareto_mixing, op9_circulant_minhash, op10_noisy_channel_toxicity, op11_prefix_trie, op12_pigeonhole_simhash, op13_periodic_runs)}
 OP8_SQL = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents

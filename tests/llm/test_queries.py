@@ -18,6 +18,8 @@ COLUMNS = {
     "op7_bootstrapped_contexts": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op8_pareto_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_circulant_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op12_pigeonhole_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op10_noisy_channel_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
