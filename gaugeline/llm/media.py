@@ -2,14 +2,14 @@
 
 ``to_wav`` stores each payload losslessly as 8-bit mono samples.  ``fingerprint``
 opens the stored bytes with the wave module, takes windowed Fourier transforms
-of overlapping frames, keeps in each frequency band the bins that peak over
-their neighbours in time, and pairs every peak with the next few that follow
-within a time limit.  Its first and last sample are held on (a short one has
-silence around), so that every sample lies in two frames or more.  At the end of a recording each band that
-sounds counts, as nothing follows to peak over.  A recording of few frames has
-no course in time: it is cut into frames of SHORT samples at every sample, its
-times are samples, and each band that sounds counts in all of them.  A pair is coded (bin, bin, distance) beside its time, so
-two recordings share a passage where equal codes have a constant time offset.
+of overlapping frames, keeps in each frequency band the bins that are louder
+than the band is in all frames NEAR around, and pairs every peak with the next
+few that follow within a time limit.  The first and last sample are held on, so
+that every sample lies in two frames or more; in the last END frames each band
+that sounds counts, as nothing follows to peak over.  All recordings, short or
+long, are transformed alike and times are frames, so a peak depends on the
+samples about it alone.  A pair is coded (bin, bin, distance) beside its time:
+two recordings that share a passage have equal codes with a constant offset.
 
 Both run where the rows lie, with no shuffle.  Rows are taken by the bytes of
 their texts and frames are transformed in blocks, so memory is a small multiple
@@ -36,19 +36,19 @@ from pyspark.sql import functions as F
 from gaugeline.llm.tokens import batches
 
 RATE = 8000
-FRAME = 256
-HOP = 128
-#: First bins of the bands, and one past the last.
-BANDS = (1, 8, 20, 48, 129)
+FRAME = 64
+HOP = 32
+#: First bins of the bands, and one past the last; a window spreads what is constant over bins 0 and 1.
+BANDS = (2, 5, 10, 18, 33)
 #: Following peaks that a peak is paired with, and the most frames between them.
 FAN_OUT = 3
 REACH = 31
-#: Of how many frames a recording is a short one, the frames of a short one, and how many frames are the end of another.
-FEW, SHORT, END = 8, 8, 2
+#: Frames to either side that a peak is louder than, and last frames of a recording.
+NEAR, END = 8, 2
 _BLOCK = 4096
 #: Bytes of texts or recordings that are turned into rows together.
 SLICE = 1_000_000
-_HANN, _SHORT_HANN = ((0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)).astype(np.float32) for n in (FRAME, SHORT))
+_HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
 
 
 def payload(text: str | None, unit: int = 64) -> bytes:
@@ -74,30 +74,27 @@ def read_wav(media: bytes) -> bytes:
 
 def band_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Times (frames) and bins of spectral peaks, by time and then bin."""
-    short = len(samples) <= (FEW - 1) * HOP
-    frame, hop, window = (SHORT, 1, _SHORT_HANN) if short else (FRAME, HOP, _HANN)
     x = np.frombuffer(samples, dtype=np.uint8)
-    before = frame // 2
-    n = 1 + -(-len(x) // hop)
-    around = (before, frame + (n - 1) * hop - before - len(x))
-    x = np.pad(x, around, constant_values=128) if short else np.pad(x, around, "edge")
-    frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
+    before = FRAME // 2
+    n = 1 + -(-len(x) // HOP)
+    x = np.pad(x, (before, FRAME + (n - 1) * HOP - before - len(x)), "edge")
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     level = np.empty((n, len(BANDS) - 1), dtype=np.float32)
     place = np.empty((n, len(BANDS) - 1), dtype=np.int64)
     for a in range(0, n, _BLOCK):
-        spectrum = np.fft.rfft((frames[a : a + _BLOCK].astype(np.float32) - 128) * window, FRAME, axis=1)
+        spectrum = np.fft.rfft((frames[a : a + _BLOCK].astype(np.float32) - 128) * _HANN, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         for b, (low, high) in enumerate(zip(BANDS, BANDS[1:])):
             at = power[:, low:high].argmax(axis=1)
             level[a : a + _BLOCK, b] = power[np.arange(len(at)), low + at]
             place[a : a + _BLOCK, b] = low + at
     # silence rounds to almost nothing and has no peaks
-    sounds = level > 1e-3
-    peak = sounds & (level > level.mean(axis=0))
-    peak[1:] &= level[1:] > level[:-1]
-    peak[:-1] &= level[:-1] >= level[1:]
-    whole = 0 if short else n - END
-    peak[whole:] = sounds[whole:]
+    peak = level > 1e-3
+    sounds = peak[n - END :].copy()
+    for k in range(1, min(NEAR, n - 1) + 1):
+        peak[k:] &= level[k:] > level[:-k]
+        peak[:-k] &= level[:-k] >= level[k:]
+    peak[n - END :] = sounds
     times, bands = np.nonzero(peak)
     return times, place[times, bands]
 

@@ -33,9 +33,11 @@ Nothing is capped: large buckets and clusters only make more blocks.
 Defined results: null, empty and blank texts have no shingles, link with
 nothing and are kept; with fewer words than a shingle the whole sequence is
 one; repeated rows are one class; an empty table gives no rows; other columns
-are ignored.  Of each group exactly one row is kept: that of the least doc_id
-(a null one last, then any one row), and the group is named by that id, null
-where no row of it has one.
+are ignored.  Of each group exactly one row stands for it: that of the least
+doc_id (a null one last, then any one row), and the group is named by that id,
+null where no row of it has one.  ``near_duplicates`` says of every row whether
+it has that id (``kept``: all rows that repeat it, none without an id) and
+whether it is that one row (``stands``); ``kept_documents`` keeps that row.
 """
 
 from __future__ import annotations
@@ -273,7 +275,7 @@ def _groups(rows: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int,
 
 
 def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_row, doc_id, n_shingles, component_id and kept for every row of a table ``with_rows``."""
+    """_row, doc_id, n_shingles, component_id, kept and stands for every row of a table ``with_rows``."""
     sketch = settle(sketches(rows, id_col, text_col), "sketches")
     # one row of each set stands for the class; its first row may come to name the group
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
@@ -288,17 +290,17 @@ def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     of_class = classes.select("digest", "first").join(named, "digest", "left").select("digest", F.coalesce("named", "first").alias("first"))
     out = sketch.select("_row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
-    kept = F.col("digest").isNull() | (F.col("first._row") == F.col("_row"))
-    return out.select("_row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    stands = F.col("digest").isNull() | (F.col("first._row") == F.col("_row"))
+    return out.select("_row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), stands.alias("stands"))
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
+    """doc_id, n_shingles, component_id, kept and stands for every row."""
     return decided(with_rows(df.select(id_col, text_col)), percent, id_col, text_col).drop("_row")
 
 
 def kept_documents(df: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``df`` that stay: one row of each group, and all that link with nothing."""
     rows = with_rows(df)
-    gone = decided(rows, percent).where("not kept").select("_row")
+    gone = decided(rows, percent).where("not stands").select("_row")
     return rows.join(gone, "_row", "left_anti").select(*df.columns)

@@ -18,9 +18,10 @@ bucket where its words run out.  What comes out is one small row a source with
 the rank ``q`` to stop at; documents are judged by it where they lie.
 
 Defined results: null text has size 0; the null source is a source of its own,
-after all others; documents of equal rank (repeated rows) are taken together;
-documents of size 0 get the certain copies only; a null doc_id is an id like any
-other; an empty table gives no rows; other columns stay.
+after all others; documents of size 0 get the certain copies only; rows with a
+null id, or one that other rows have too, draw by id and number of the row, so
+reruns agree as long as the table's files do; an empty table gives no rows;
+other columns stay.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import settle, words_of
+from gaugeline.llm.common import settle, with_rows, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -46,9 +47,23 @@ def length_class(size: Column) -> Column:
     return F.length(F.bin(size)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A fixed number in (0, 1) of each document, from 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def keyed(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A table with _row and its _key, a text that a row's random number is made from.
+
+    It is the id if no other row has it, else the id and the number of the row.
+    Null and shared ids are looked for once; where there are none, ids serve.
+    """
+    of = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    shared = settle(rows.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 OR _id IS NULL").select("_id", F.lit(True).alias("_shared")), "shared-ids", few=True)
+    if shared.isEmpty():
+        return rows.withColumn("_key", of)
+    joined = rows.join(shared, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn("_key", F.concat_ws("#", of, F.when(F.col("_shared"), F.col("_row").cast("string")))).drop("_id", "_shared")
+
+
+def uniform(key: Column, seed: str) -> Column:
+    """A fixed number in (0, 1) of each key, from 52 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(seed), key))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -73,15 +88,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def _rank(doc_id: Column, p: Column, seed: str) -> Column:
-    u = uniform(doc_id, seed)
+def _rank(key: Column, p: Column, seed: str) -> Column:
+    u = uniform(key, seed)
     return F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
 
 
 def stops(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "mix", buckets: int = BUCKETS) -> DataFrame:
     """A row a source: source, source_size, target, certain, rate, stop.
 
-    ``sized`` has doc_id, source, size.  A document's p is least(1, rate * class),
+    ``sized`` has _key, doc_id, source, size.  A document's p is least(1, rate * class),
     and it is drawn if its rank is at most ``stop`` (null: none).
     """
     classes = sized.groupBy("source", length_class(F.col("size")).alias("class")).agg(F.sum("size").alias("words"))
@@ -99,7 +114,7 @@ def stops(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
         .agg(F.coalesce(F.max(F.when(F.col("fits"), F.struct("class", "rate")))["rate"], F.lit(0.0)).alias("rate"))
     )
     rates = settle(rates, "mix-rates", few=True)
-    ranked = _by_source(sized, rates).select("source", "doc_id", "size", "left", _rank(F.col("doc_id"), F.least(F.lit(1.0), F.col("rate") * length_class(F.col("size"))), seed).alias("q")).where("q is not null and size > 0")
+    ranked = _by_source(sized, rates).select("source", "_key", "size", "left", _rank(F.col("_key"), F.least(F.lit(1.0), F.col("rate") * length_class(F.col("size"))), seed).alias("q")).where("q is not null and size > 0")
     ranked = ranked.withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * buckets))
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     sums = ranked.groupBy("source", "left", "bucket").agg(F.sum("size").alias("words"), F.max("q").alias("last"))
@@ -111,7 +126,7 @@ def stops(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     )
     crossing = settle(crossing.select("source", "at.bucket", "at.before", "whole"), "mix-crossing", few=True)
     inside = _by_source(ranked, crossing.where("bucket is not null").withColumnRenamed("bucket", "at")).where("bucket = at")
-    in_order = W.partitionBy("source").orderBy("q", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    in_order = W.partitionBy("source").orderBy("q", "_key").rowsBetween(W.unboundedPreceding, -1)
     drawn = inside.withColumn("sofar", F.col("before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))).where(F.col("sofar") + F.col("size") / 2 <= F.col("left")).groupBy("source").agg(F.max("q").alias("inner"))
     ends = _by_source(_by_source(rates, crossing, "left"), drawn, "left")
     # written, so that its true size (a row a source) decides on broadcasting it
@@ -124,10 +139,10 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
     return left.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def mix(df: DataFrame, sources: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """All rows and columns of ``df`` with ``_mix``: size, source_size, target, copies."""
+def mix(df: DataFrame, sources: DataFrame, size: Column, key_col: str, source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """All rows and columns of ``df`` with ``_mix``: size, source_size, target, copies; ``key_col`` as in ``keyed``."""
     ends = sources.select(F.struct("source", "source_size", "target", "certain", "rate", "stop").alias("_end"))
-    q = _rank(F.col(id_col), F.least(F.lit(1.0), F.col("_end.rate") * length_class(F.col("_size"))), seed)
+    q = _rank(F.col(key_col), F.least(F.lit(1.0), F.col("_end.rate") * length_class(F.col("_size"))), seed)
     drawn = F.coalesce((q <= F.col("_end.stop")) & (F.col("_size") > 0), F.lit(False)).cast("int")
     joined = df.withColumn("_size", size).join(ends, F.col(source_col).eqNullSafe(F.col("_end.source")))
     return joined.withColumn("_mix", F.struct(F.col("_size").alias("size"), F.col("_end.source_size").alias("source_size"), F.col("_end.target").alias("target"), (F.col("_end.certain") + drawn).cast("int").alias("copies"))).drop("_size", "_end")
@@ -135,7 +150,8 @@ def mix(df: DataFrame, sources: DataFrame, size: Column, id_col: str = "doc_id",
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``df``, each as often as it is taken."""
-    sized = settle(df.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix(df, stops(sized, **options), word_count(F.col("text")), seed=options.get("seed", "mix"))
+    rows = with_rows(df)
+    sized = keyed(settle(rows.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"))
+    mixed = mix(rows.join(sized.select("_row", "_key"), "_row"), stops(sized, **options), word_count(F.col("text")), "_key", seed=options.get("seed", "mix"))
     copies = F.col("_mix.copies")
     return mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns)

@@ -207,8 +207,8 @@ def _occurrences(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return parts.join(counted, "word", "left").groupBy("pattern").agg(F.greatest(F.min(F.coalesce("n", F.lit(0))), F.max("times")).alias("n"))
 
 
-def bootstrap(mention: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFrame:
-    """instance and kind of what the patterns reveal.
+def bootstrap(mention: DataFrame, texts: DataFrame) -> DataFrame:
+    """instance and kind of what the patterns reveal, round by round until a round reveals nothing.
 
     ``mention`` has instance, kind (null: unknown) and patterns; ``texts`` is
     what ordinary words are counted in.
@@ -221,9 +221,9 @@ def bootstrap(mention: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFra
     total = settle(_occurrences(texts, wanted), "occurrences", few=True)
     seen = settle(every.join(total.select("pattern"), "pattern", "left_semi"), "pattern-graph")
     seeds = settle(seen.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind")), "seeds", few=True)
-    known, found = seeds, None
-    for _ in range(rounds):
-        held = seen.drop("kind").join(known, "instance", "left")
+    known = seeds.withColumn("seed", F.lit(True))
+    while True:  # each round but the last adds an instance, and there are no more than candidates
+        held = seen.drop("kind").join(known.drop("seed"), "instance", "left")
         # distinct instances, so that a passage copied a thousand times is one
         sums = held.groupBy("pattern", "kind").agg(F.sum("times").alias("times"), F.countDistinct("instance").alias("known"))
         free = sums.where("kind is null").select("pattern", F.col("times").alias("free"))
@@ -232,29 +232,26 @@ def bootstrap(mention: DataFrame, texts: DataFrame, rounds: int = 50) -> DataFra
         scored = held.where("kind is null").select("instance", "pattern").distinct().join(good, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("score"))
         new = scored.where(F.col("score") >= GOOD_INSTANCE).groupBy("instance").agg(F.max_by("as", F.struct("score", -F.col("as"))).alias("kind"))
         new = settle(new, "revealed", few=True)
-        found = new if found is None else found.unionByName(new)
         if new.isEmpty():
-            break
-        known = settle(known.unionByName(new), "known", few=True)
-    return found
+            return known.where("not seed").select("instance", "kind")
+        known = settle(known.unionByName(new.withColumn("seed", F.lit(False))), "known", few=True)
 
 
 def find_rows(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """_row, base (spans) and added (seeds of further kinds, and what patterns reveal) of a table ``with_rows``."""
+    """_row, base (spans), seeds (of further kinds) and revealed (by patterns) of a table ``with_rows``."""
     docs = rows.select("_row", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     read = settle(docs.select("_row", base_spans(F.col("text")).alias("base"), secret_spans(F.col("text")).alias("seeds"), mentions(F.col("text")).alias("mentions")), "mentions")
     mention = read.select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
     with scratch():
         revealed = mention.where("kind is null").select("_row", "start", "end", "instance").join(bootstrap(mention, docs), "instance")
         revealed = settle(revealed.groupBy("_row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("revealed")), "revealed-spans", keep=True)
-    added = F.concat("seeds", F.coalesce("revealed", F.array().cast(SPAN)))
-    return read.select("_row", "base", "seeds").join(revealed, "_row", "left").select("_row", "base", added.alias("added"))
+    return read.select("_row", "base", "seeds").join(revealed, "_row", "left").select("_row", "base", "seeds", F.coalesce("revealed", F.array().cast(SPAN)).alias("revealed"))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans) and added (spans that the method adds) of every row."""
+    """doc_id, base (spans), added (spans that the method adds) and how many of these patterns revealed, of every row."""
     rows = with_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.select("_row", "doc_id").join(find_rows(rows), "_row").select("doc_id", "base", "added")
+    return rows.select("_row", "doc_id").join(find_rows(rows), "_row").select("doc_id", "base", F.concat("seeds", "revealed").alias("added"), F.size("revealed").cast("long").alias("n_revealed"))
 
 
 def span_text(spans: Column) -> Column:
@@ -279,7 +276,7 @@ def redact(text: Column, spans: Column) -> Column:
 def redacted_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with personal data replaced in their texts."""
     rows = with_rows(df)
-    found = find_rows(rows).select("_row", F.concat("base", "added").alias("_spans"))
+    found = find_rows(rows).select("_row", F.concat("base", "seeds", "revealed").alias("_spans"))
     out = rows.join(found.hint("shuffle_hash"), "_row").withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("_spans"))))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

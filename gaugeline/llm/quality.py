@@ -40,7 +40,7 @@ SHARDS = 6
 ROUNDS, EPOCHS, BATCH = 3, 2, 64
 #: Rows a shard goes through in a round, counting repeats.
 LEAST_ROWS = 4000
-#: Places that a shard learns from together: of longer samples it takes one such part after another.
+#: Places that a shard learns from at a time: it goes through its rows part by part, each of about so many.
 HELD_PLACES = 20_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
@@ -68,7 +68,7 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     coded = split.flatten().dictionary_encode()
     words = strings(coded.dictionary)
     word = np.fromiter((_place(w.lower()) for w in words), dtype=np.int32, count=len(words))
-    shape = np.fromiter((_place("\x00" + _shape(w)[:24]) for w in words), dtype=np.int32, count=len(words))
+    shape = np.fromiter((_place("\x00" + _shape(w)) for w in words), dtype=np.int32, count=len(words))
     index, counts = coded.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
     again = np.concatenate([[False], index[1:] == index[:-1]]) if len(index) else np.empty(0, bool)
     again[(np.cumsum(counts) - counts)[counts > 0]] = False

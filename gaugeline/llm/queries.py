@@ -58,27 +58,29 @@ def op7_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"), "n_revealed")
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugeline.llm.mixing import mix, stops, word_count
+    from gaugeline.llm.mixing import keyed, mix, stops, word_count
 
-    sized = settle(documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    mixed = mix(sized, stops(sized), F.col("size"))
+    rows = documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = keyed(settle(rows, "mix-sizes"))
+    mixed = mix(sized, stops(sized), F.col("size"), key_col="_key")
     return mixed.select("doc_id", "size", "_mix.source_size", "_mix.target", (F.col("size") * F.col("_mix.copies")).alias("taken"))
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.minhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("stands")
 
 
 def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.toxicity import toxicity
 
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # a row without an id has no label to learn from, and is not held out either
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     scored = toxicity(documents(spark, sf_dir), labels, F.col("toxic"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -189,4 +191,59 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN groups USING (r) LEFT JOIN sizes USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_suffix_tree_repeats": OP3_SQL, "op8_pareto_mixing": OP8_SQL, "op9_circulant_minhash": OP9_SQL}
+#: crc32 of an id in decimal, bit by bit: a byte comes with the first of its eight steps.
+CRC32 = """xor(list_reduce(flatten(list_transform(range(1, len({0}::VARCHAR) + 1), lambda i: [ascii(({0}::VARCHAR)[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384) ELSE xor(a, x) >> 1 END, 4294967295), 4294967295)"""
+
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, {CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT ids.conv_id, 1 AS own, r, role, text FROM ids JOIN turns ON turns.conv_id = ids.conv_id AND r > h
+  UNION ALL SELECT ids.conv_id, 0, r, role, text FROM ids JOIN turns ON turns.conv_id = ids.conv_id - ((ids.conv_id % 5) + 5) % 5 AND r <= h
+), paths AS (
+  SELECT ids.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY own, r) FILTER (role IS NOT NULL), []) AS path FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY ids.conv_id
+), nodes AS (
+  SELECT d AS depth, path[1:d] AS node, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d) AS ends
+  FROM paths, unnest(generate_series(0, len(path))) t(d) GROUP BY d, path[1:d]
+), below AS (
+  SELECT up.depth, up.node, count(*) AS n_children FROM nodes up JOIN nodes down ON down.depth = up.depth + 1 AND down.node[1:up.depth] = up.node GROUP BY ALL
+), known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].text) ELSE 0 END AS saved FROM nodes LEFT JOIN below USING (depth, node)
+), sums AS (
+  SELECT d AS depth, node[1:d] AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM known, unnest(generate_series(0, depth)) t(d) GROUP BY d, node[1:d]
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN sums USING (depth, node) LEFT JOIN nodes up ON up.depth = k.depth - 1 AND up.node = k.node[1:k.depth - 1]
+"""
+
+OP13_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, {CRC32.format("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), words AS (
+  SELECT r, n, i, CASE WHEN i < a OR a IS NULL THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END AS word
+  FROM placed, unnest(generate_series(0, n - 1)) t(i)
+), equal AS (
+  SELECT x.r, x.i, y.i - x.i AS p FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT r, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM equal) GROUP BY r, p, island HAVING count(*) + p >= greatest(6, 4 * p)
+), runs AS (
+  SELECT r, start, length, min(p) AS period FROM stretches GROUP BY r, start, length
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.r = words.r AND words.i >= runs.start + runs.period AND words.i < runs.start + runs.length) GROUP BY r
+), per_text AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    arg_min({{'start': start, 'length': length, 'period': period}}, {{'l': -length, 's': start, 'p': period}}) AS best FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM placed LEFT JOIN per_text USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_suffix_tree_repeats": OP3_SQL, "op8_pareto_mixing": OP8_SQL, "op9_circulant_minhash": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op13_periodic_runs": OP13_SQL}

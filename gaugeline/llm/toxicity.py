@@ -1,7 +1,7 @@
 """Toxicity of restored text: noisy-channel decoding, then a learned lexicon.
 
 Words may be disguised: digits and signs for letters, letters stretched, words
-spelled out with spaces.  A disguised word is a lattice: each sign stands for
+spelled out letter by letter, with any white space between.  A disguised word is a lattice: each sign stands for
 itself or for letters it resembles, a repeated letter may be dropped, a gap
 between single letters is a word end or nothing.  Signs at a word's ends may be
 letters or mere marks, so the word is read with and without them.  Of a longer
@@ -17,7 +17,9 @@ restored once; the model is a bounded table that travels with the tasks.
 
 Defined results: null and empty texts have the score of no evidence; repeated
 rows have equal scores; without labels of both kinds every score is the share
-of toxic labels; an empty table gives no rows; language, source, ids and labels
+of toxic labels; an empty table gives no rows; rows with null or shared ids are scored by their
+own text like any other; a word of any letters may be spelled out, of three or
+more; language, source, ids and labels
 of a row never enter its score, nor do other columns.
 """
 
@@ -45,12 +47,14 @@ _CODE[128:] = 27
 #: Letters that signs resemble.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "", "_": "", ".": "", "-": ""}
 _LOOK_COST, _DROP_COST, _JOIN_COST = math.log(0.3), math.log(0.3), math.log(0.7)
-#: Signs of a lattice; longer words are read in parts.
-LONGEST = 40
+#: Signs of a lattice, so that its memory is bounded; what is longer is read in overlapping parts of so many.
+LONGEST = 1000
 #: A sign that stands for a letter, a mark between letters, or a repeated letter.
 _DISGUISED = re.compile(r"[0-9@$!|+(€£]|[a-z][*_.\-]+[a-z]|([^\W\d_])\1|(.)\2\2")
 _RUN = re.compile(r"(.)\1{2,}")
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Signs that are no letter and resemble none.
+_MARKS = set(".,;:?\"'`~#%^&)]}{[<>=/\\-_*")
 _EDGES = " \t\r\n.,;:?\"'`~#%^&)]}{[<>=/\\*_-"
 #: Signs at a word's ends that are marks or letters.
 _ENDS = "!|+$@(€£"
@@ -160,7 +164,7 @@ class Restorer:
             # a long run is many words: overlapping parts bound the lattice
             for a in range(0, len(letters), LONGEST // 2):
                 part = letters[a : a + LONGEST]
-                if len(set(part)) > 2:
+                if not set(part) <= _MARKS:
                     found += decode(list(" ".join(part).lower()), self._model).split()
         return found
 
@@ -176,7 +180,7 @@ def _restored(texts: pa.Array, restorer: Restorer) -> Iterator[tuple[np.ndarray,
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
     words = [restorer.readings(w) for w in strings(coded.dictionary)]
-    spelled = {int(k): restorer.spelled(texts[int(k)].as_py()) for k in np.flatnonzero(pc.match_substring_regex(texts, r"(?:^|\s)\S[ \t]\S[ \t]\S(?:\s|$)").to_numpy(zero_copy_only=False))}
+    spelled = {int(k): restorer.spelled(texts[int(k)].as_py()) for k in np.flatnonzero(pc.match_substring_regex(texts, r"(?:^|\s)\S\s+\S\s+\S(?:\s|$)").to_numpy(zero_copy_only=False))}
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
     return owner, coded.indices.to_numpy(), words, spelled
 

@@ -15,7 +15,7 @@ COLUMNS = {
     "op4_media_columns": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codes array<int>, times array<int>",
     "op5_seekable_frames": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op6_weighted_sampling": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    "op7_bootstrapped_contexts": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op7_bootstrapped_contexts": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_revealed bigint",
     "op8_pareto_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_circulant_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op12_pigeonhole_simhash": "doc_id bigint, fingerprint string, component_id bigint",
@@ -53,7 +53,8 @@ def test_query(spark, documents, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{D}/{table}.parquet'")
     want = con.sql(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, D)
     assert sorted(got.columns) == sorted(want.columns)

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gaugeline.llm import components, frames, media, minhash, mixing, packing, private, quality, shingles, substrings, tokens, toxicity, weighted
@@ -172,6 +173,12 @@ def test_short_recordings_and_ends_have_features():
             text = " ".join(words * repeats)[cut:]
             assert feature(text) != feature(text[:-16] + "QJXZ 0123 JQXZ 9")
     assert media.band_peaks(bytes([128]) * 640)[0].size == 0 and feature(None) == feature("")
+    # one transform for all sizes: what two texts share has equal codes at equal times
+    for size in (200, 830, 900, 2000):
+        longer = "".join(chr(97 + x) for x in np.random.default_rng(size).integers(0, 26, size + 130))
+        codes = [set(zip(*(x.tolist() for x in media.peak_pairs(*media.band_peaks(media.payload(t)))))) for t in (longer, longer[:size])]
+        inside = {(c, t) for c, t in codes[1] if t + (c & 31) < size // media.HOP - media.NEAR - 2}
+        assert inside <= codes[0] and len(codes[1]) < size
 
 
 def test_peaks_of_a_tone_and_shifted_pairs():
@@ -294,7 +301,7 @@ def test_more_unknown_than_known_and_rounds(spark):
     rows += ["the fax of the day by the year 1999 and the line of the house"] * 3 + [f"in room 1{k}77 of the house" for k in range(9)]
     rows += [None, ""] + [f"mail user{k}@mail.example.org please" for k in range(4)]
     df = spark.createDataFrame([(None if k % 7 == 0 else k // 2, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
-    got = Counter((r["text"], private.NAMES[a["kind"]], r["text"][a["start"] : a["end"]]) for r in found_texts(df) for a in r["added"])
+    got = Counter((r["text"], private.NAMES[a["kind"]], r["text"][a["start"] : a["end"]]) for r in found_texts(df) for a in r["seeds"] + r["revealed"])
     want = Counter((t, "phone", t.split()[3]) for t in rows[12:72]) + Counter((t, "phone", t.split()[4]) for t in rows[72:97])
     want += Counter((t, "secret", t.split('"')[1]) for t in rows[97:110])
     assert got == want
@@ -350,6 +357,18 @@ def bootstrap(mentions, texts):
         known |= new
 
 
+def test_rounds_go_on_until_none_reveals_more(spark):
+    """A chain: each round's instances make the next pattern good."""
+    rows = [f"step0 +1 (555) 555-{1000 + k} end" for k in range(5)]
+    for r in range(7):
+        rows += [f"step{'x' * r} id-{r}-{k} end{'y' * r}" for k in range(4)] + [f"step{'x' * (r + 1)} id-{r}-{k} end{'y' * (r + 1)}" for k in range(4)]
+    rows += [f"step +1 (555) 555-{1000 + k} fin" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = private.find(df).collect()
+    assert {rows[r["doc_id"]][s["start"] : s["end"]] for r in found for s in r["added"]} == {f"id-{r}-{k}" for r in range(7) for k in range(4)}
+    assert all(r["n_revealed"] == len(r["added"]) for r in found)
+
+
 def test_long_texts_take_linear_time(spark):
     texts = ["12345 " * 170_000, "1.2.3.4 " * 60_000, "a@b.cd " * 60_000, "call +1 (555) 555-0100 " * 20_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
@@ -362,7 +381,7 @@ def test_long_texts_take_linear_time(spark):
 def test_mixing(spark, odd_documents, no_documents):
     rng = np.random.default_rng(8)
     rows = [(i, ["a", "b", "c", None][min(3, int(rng.zipf(1.7)) - 1)], int(rng.integers(0, 60))) for i in range(900)] + [(5000, "a", 4000), (5000, "a", 4000)]
-    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sized = mixing.keyed(mixing.settle(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "_row long, doc_id long, source string, size long"), "sized"))
     ends = {r["source"]: r for r in mixing.stops(sized, buckets=16).collect()}
     total = Counter()
     for _, s, n in rows:
@@ -379,7 +398,7 @@ def test_mixing(spark, odd_documents, no_documents):
             left -= target[s]
             del open_[s]
     assert all(np.isclose(ends[s]["target"], target[s]) and ends[s]["source_size"] == total[s] for s in total)
-    got = mixing.mix(sized, spark.createDataFrame(list(ends.values()), "source string, source_size long, target double, certain long, rate double, stop double"), F.col("size")).collect()
+    got = mixing.mix(sized, spark.createDataFrame(list(ends.values()), "source string, source_size long, target double, certain long, rate double, stop double"), F.col("size"), "_key").collect()
     taken = Counter()
     for r in got:
         assert r["_mix"]["copies"] in (0, 1, 2)
@@ -389,6 +408,16 @@ def test_mixing(spark, odd_documents, no_documents):
     assert mixed.columns == odd_documents.columns and mixed.count() > 0 and mixing.mixed_documents(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: k % 2, lambda k: None if k % 2 else k])
+def test_mixing_meets_its_targets_with_null_and_shared_ids(spark, ids):
+    rows = [(ids(k), "word " * 100, "abc"[k % 3]) for k in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    taken = Counter(r["source"] for r in mixing.mixed_documents(df).collect())
+    share = 1.5 * 18_000 / 6  # the first source stops at twice its size, the others share the rest
+    targets = {"a": 12_000, "b": (27_000 - 12_000) / 3, "c": 2 * (27_000 - 12_000) / 3}
+    assert share * 3 > 12_000 and all(abs(100 * taken[s] - targets[s]) <= 100 for s in "abc")
+
+
 def test_near_duplicates(spark, odd_documents, no_documents, monkeypatch):
     rng = np.random.default_rng(6)
     docs = []
@@ -414,7 +443,7 @@ def test_near_duplicates(spark, odd_documents, no_documents, monkeypatch):
         if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
             a, b = sorted((root(i), root(j)))
             parent[b] = a
-    want = [(i, len(s), root(i), root(i) == i) for i, s in enumerate(sets)]
+    want = [(i, len(s), root(i), root(i) == i, root(i) == i) for i, s in enumerate(sets)]
     for size in (2, 3, 512):
         monkeypatch.setattr(minhash, "BLOCK_MEMBERS", size)
         assert [tuple(r) for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == want
@@ -469,7 +498,8 @@ def test_one_row_of_each_group_stays(spark):
     assert len(v) == 1 and v[0][0] is None and kept.pop(v[0]) == 1
     assert kept == Counter([rows[0], *rows[3:7], *rows[8:10]])
     got = minhash.near_duplicates(df)
-    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"] and got.count() == len(rows) and got.where("kept").count() == 8
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept", "stands"] and got.count() == len(rows) and got.where("stands").count() == 8
+    assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in got.collect())
     assert got.where("component_id = 1").count() == 4
 
 
@@ -529,6 +559,7 @@ def test_decoding_disguises(spark):
     assert [r.word(w) for w in ("1d10t", "st*pid", "m0r0n", "idiooot", "p@thetic", "garden")][0::2] == ["idiot", "moron", "pathetic"]
     assert r.word("idiooot") == "idiot" and r.word("garden") == "garden"
     assert "moron" in r.spelled("you m o r o n go")
+    assert "moron" in r.spelled("you\nm\no\nr \no\tn\ngo") and r.spelled("an e e n") and not r.spelled("- - - -") and not r.spelled("a b")
 
 
 def all_readings(signs, model):
@@ -613,3 +644,33 @@ def test_null_and_shared_ids_everywhere(spark, odd_labels):
     assert Counter(r["ids_crc32"] for r in framed) == Counter(zlib.crc32(ids_of(WORDS, t or "", 2).tobytes()) for _, t in rows)
     assert {r["doc_id"] for r in mixing.mixed_documents(df).collect()} <= set(ids)
     assert len(minhash.kept_documents(df).collect()) == 5 and private.redacted_documents(df).count() == 6
+
+
+def test_quality_scores_as_plain_python(spark):
+    """Places, repeats and tails of every text by their definition, whole words and shapes of any length."""
+    rng = np.random.default_rng(2)
+    long = "ab1!" * 12
+    texts = [None, "", "one", "Go go go", f"{long} {long}X9 {long}x9", "The 2nd  THE\n2nd!", *(" ".join(rng.choice(["aa", "Bb", "c1", "c2", "DD"], 30)) for _ in range(40))]
+    weights, thresholds = rng.normal(size=quality.PLACES), np.array([-0.4, 0.7])
+    rows = quality.grade(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights, thresholds).collect()
+    place = lambda part: xxhash.xxh32_intdigest(part) % quality.PLACES
+    for r in rows:
+        words, total = (texts[r["doc_id"]] or "").split() or [""], 0.0
+        for k, w in enumerate(words):
+            shape = re.sub(r"\d+", "9", re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() and len(m.group()) > 1 else "a", w))
+            again = k > 0 and words[k - 1] == w
+            total += weights[place(w.lower())] + weights[place("\x00" + shape)] + weights[place("\x01again" if again else "\x01new")]
+        score = total / math.sqrt(3 * len(words))
+        tail = [1 / (1 + math.exp(t - score)) for t in thresholds]
+        assert np.isclose(r["score"], score, atol=1e-4) and np.allclose(r["tail"], tail, atol=1e-4) and np.isclose(r["expected_grade"], sum(tail), atol=1e-4)
+    a, b = (quality.hashed(pa.array([f"x{'-' * 30}{end}"]))[0][1] for end in ("!", "?"))
+    assert a != b
+
+
+def test_labelled_sample_is_bounded_and_settled(spark):
+    from gaugeline.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(k % 3, f"t{k}") for k in range(90)] + [(None, "x"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, None), (7, 1), (None, 1)], "doc_id long, g int")
+    found = [sorted(map(tuple, labelled_sample(docs.repartition(n), labels.repartition(n), F.col("g")).collect())) for n in (1, 3)]
+    assert found[0] == found[1] and sorted(g for _, g in found[0]) == [0, 1]
