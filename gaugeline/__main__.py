@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import catalog, thresholds
@@ -20,13 +20,27 @@ def score_wrench(spark: SparkSession, nominal: list[str], test: str, topic: str)
         raise SystemExit("at least two --nominal recordings are needed")
     if lost := settings.missing_paths([*nominal, test]):
         raise SystemExit(f"no such paths: {lost}")
-    wrench = lambda path: messages.numeric_topic(spark.read.format("bag").load(path), topic, messages.WRENCH_FIELDS)
+    wrench = lambda path: messages.numeric_topic(bags.read(spark, path, [topic]), topic, messages.WRENCH_FIELDS)
     known = wrench(nominal[0])
     for path in nominal[1:]:
         known = known.unionByName(wrench(path))
     return time_series.run(known, wrench(test))
 
 
+def bag_manifest(spark: SparkSession, path: str, topic: str, startup: float) -> DataFrame:
+    """The manifest of a folder of recordings; of damaged ones it says what is wrong.
+
+    Counts come from the recordings' indexes.  The markers' topic alone is read,
+    once for its markers and once for what of the files cannot be read.
+    """
+    runs = catalog.indexed_runs(spark.read.format("bag_index").option("mode", "PERMISSIVE").load(path), topic)
+    log = bags.read(spark, path, [topic], tolerant=True)
+    damage = log.where("read_error is not null").groupBy("run_id").agg(catalog.read_errors().alias("_damage"))
+    errors = F.nullif(F.array_join(F.array_distinct(F.array_compact(F.array("read_error", "_damage"))), "; "), F.lit(""))
+    runs = runs.join(damage, "run_id", "left").withColumn("read_error", errors).drop("_damage")
+    return catalog.manifest(runs, messages.stage_events(log, topic), startup)
+
+
 def main() -> None:
     args = argparse.ArgumentParser(prog="gaugeline", description="Look into recordings.")
     args.add_argument("what", choices=["topics", "stages", "manifest", "time-series"])
@@ -48,14 +62,12 @@ def main() -> None:
         summary.show(1000, False)
         return
     topic = a.topic or "/recording_stage"
-    log = spark.read.format("bag").load(a.path)
     if a.what == "topics":
-        out = catalog.topic_catalog(log, "run_id")
+        out = catalog.indexed_catalog(spark.read.format("bag_index").load(a.path), "run_id")
     elif a.what == "stages":
-        out = messages.stage_events(log, topic)
+        out = messages.stage_events(bags.read(spark, a.path, [topic]), topic)
     else:
-        runs = log.groupBy("run_id").agg(F.count("*").alias("message_count"), (F.count_if(F.col("topic") == topic) > 0).alias("has_markers"))
-        out = catalog.manifest(runs, messages.stage_events(log, topic), a.startup)
+        out = bag_manifest(spark, a.path, topic, a.startup)
     results.write_csv(out, a.out) if a.out else out.show(1000, False)
 
 

@@ -7,7 +7,7 @@ from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeline.sources import messages
+from gaugeline.sources import bags, messages
 
 #: Endings of video files; all else is a recording.
 VIDEOS = (".mp4", ".avi", ".mov", ".mkv")
@@ -21,7 +21,7 @@ def read_frames(spark: SparkSession, path: str, topic: str | None = None, video:
         return video(spark, path)
     if topic is None:
         raise ValueError(f"{path}: a recording needs a topic")
-    return messages.frames(spark.read.format("bag").load(path), topic, decoder)
+    return messages.frames(bags.read(spark, path, [topic]), topic, decoder)
 
 
 def first_that_reads(path: str, readers: dict[str, Callable[[str], DataFrame]]) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.functions.scalars import slug
-
+#: Message types and the fields of numeric ones.
 WRENCH = {"geometry_msgs/msg/Wrench", "geometry_msgs/msg/WrenchStamped"}
 POSE = {"geometry_msgs/msg/Pose", "geometry_msgs/msg/PoseStamped"}
 JOINTS = "sensor_msgs/msg/JointState"
@@ -22,85 +23,152 @@ POSE_FIELDS = ["position_x", "position_y", "position_z", "orientation_x", "orien
 
 
 class Cursor:
-    """Walks one payload; values are aligned to their size after the four-byte head."""
+    """Walks one payload; values are aligned to their size after the four-byte head.
+
+    ``fixed`` are the places of the bytes that decide where the rest lies.
+    """
 
     def __init__(self, data: bytes):
         self.order = "<" if data[1] == 1 else ">"
         self.data, self.at = data, 4
+        self.fixed = [(1, 2)]
 
-    def take(self, kind: str, n: int = 1) -> tuple:
+    def place(self, kind: str, n: int = 1) -> int:
+        """Where n values lie; the next thing comes after them."""
         size = struct.calcsize(kind)
         self.at += -(self.at - 4) % size
-        out = struct.unpack_from(f"{self.order}{n}{kind}", self.data, self.at)
+        at = self.at
         self.at += n * size
-        return out
+        if self.at > len(self.data):
+            raise ValueError(f"payload of {len(self.data)} bytes ends within {n} values at {at}")
+        return at
+
+    def take(self, kind: str, n: int = 1) -> tuple:
+        return struct.unpack_from(f"{self.order}{n}{kind}", self.data, self.place(kind, n))
 
     def count(self) -> int:
-        return self.take("I")[0]
+        n = self.take("I")[0]
+        self.fixed.append((self.at - 4, self.at))
+        return n
 
-    def text(self) -> str:
+    def text(self, fixed: bool = False) -> str:
         n = self.count()
-        out = self.data[self.at : self.at + max(n - 1, 0)].decode("utf-8", "replace")
-        self.at += n
-        return out
+        at = self.place("B", n)
+        if fixed:
+            self.fixed.append((at, at + n))
+        return self.data[at : at + max(n - 1, 0)].decode("utf-8", "replace")
 
     def raw(self) -> bytes:
         n = self.count()
-        out = self.data[self.at : self.at + n]
-        self.at += n
-        return out
+        at = self.place("B", n)
+        return self.data[at : at + n]
 
-    def doubles(self, n: int) -> tuple:
-        return self.take("d", n) if n else ()
+    def doubles(self, n: int) -> list[int]:
+        """Places of n numbers."""
+        at = self.place("d", n) if n else self.at
+        return [at + 8 * k for k in range(n)]
 
     def header(self) -> None:
         self.take("i"), self.take("I"), self.text()
 
 
-def numeric_values(payload: bytes, kind: str) -> dict[str, float]:
-    """Channels of a wrench, pose or joint state; joints without a name are numbered."""
+def joint_channel(name: str, field: str) -> str:
+    return re.sub("[^a-zA-Z0-9]+", "_", name).strip("_").lower() + "_" + field
+
+
+def layout(payload: bytes, kind: str) -> tuple[list[str], list[int], Cursor]:
+    """Channels of a wrench, pose or joint state and where their numbers lie; joints without a name are numbered."""
     c = Cursor(payload)
     if kind in WRENCH | POSE:
         if kind.endswith("Stamped"):
             c.header()
         fields = WRENCH_FIELDS if kind in WRENCH else POSE_FIELDS
-        return dict(zip(fields, c.doubles(len(fields))))
+        return list(fields), c.doubles(len(fields)), c
     if kind == JOINTS:
         c.header()
-        names = [c.text() for _ in range(c.count())]
-        out = {}
-        for name in ("position", "velocity", "effort"):
-            for k, v in enumerate(c.doubles(c.count())):
-                out[f"{names[k] if k < len(names) else f'joint_{k}'}\x00{name}"] = v
-        return out
+        names = [c.text(fixed=True) for _ in range(c.count())]
+        channels, places = [], []
+        for field in ("position", "velocity", "effort"):
+            at = c.doubles(c.count())
+            channels += [joint_channel(names[k] if k < len(names) else f"joint_{k}", field) for k in range(len(at))]
+            places += at
+        return channels, places, c
     raise TypeError(f"no numeric channels in {kind}")
 
 
+def decoded(payloads: pa.Array, kinds: list[str]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Rows that share a layout, its channels, and their numbers (rows x channels).
+
+    Of rows of one type and length the first is parsed; all that agree with it
+    in the bytes that decide the layout are read by its places in one gather.
+    """
+    payloads = payloads.cast(pa.binary())
+    if not len(payloads):
+        return
+    ends = np.frombuffer(payloads.buffers()[1], dtype=np.int32)[payloads.offset : payloads.offset + len(payloads) + 1].astype(np.int64)
+    data = np.frombuffer(payloads.buffers()[2] or b"", dtype=np.uint8)
+    alike: dict[tuple[str, int], list[int]] = {}
+    for row, key in enumerate(zip(kinds, np.diff(ends).tolist())):
+        alike.setdefault(key, []).append(row)
+    for (kind, size), rows in alike.items():
+        left = np.array(rows)
+        bytes_ = data[ends[left][:, None] + np.arange(size)]
+        while len(left):
+            channels, places, cursor = layout(bytes_[0].tobytes(), kind)
+            fixed = np.concatenate([np.arange(a, b) for a, b in cursor.fixed])
+            same = (bytes_[:, fixed] == bytes_[0, fixed]).all(axis=1)
+            at = (np.array(places, dtype=np.int64)[:, None] + np.arange(8)).ravel()
+            numbers = np.ascontiguousarray(bytes_[same][:, at]).view(f"{cursor.order}f8")
+            yield left[same], channels, numbers.astype(np.float64)
+            left, bytes_ = left[~same], bytes_[~same]
+
+
 def _since_start() -> Column:
     return (F.col("time_ns") - F.col("start_ns")) / F.lit(1e9)
 
 
+_KEYS = ["run_id", "topic", "seq", "time_ns", "time"]
+_KEY_SCHEMA = "run_id string, topic string, seq long, time_ns long, time double"
+
+
+def _numeric(messages: DataFrame) -> DataFrame:
+    return messages.where("payload is not null").select("run_id", "topic", "seq", "time_ns", _since_start().alias("time"), "message_type", "payload")
+
+
 def numeric_channels(messages: DataFrame) -> DataFrame:
     """Long form: run_id, topic, seq, time_ns, time (since the recording began), channel, value."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield part.assign(channels=[numeric_values(p, k) for p, k in zip(part.pop("payload"), part.pop("message_type"))])
+            for rows, channels, numbers in decoded(part.column("payload"), part.column("message_type").to_pylist()):
+                if not channels:
+                    continue
+                key = part.select(_KEYS).take(pa.array(np.repeat(rows, len(channels))))
+                names = pa.DictionaryArray.from_arrays(np.tile(np.arange(len(channels), dtype=np.int32), len(rows)), pa.array(channels)).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([*key.columns, names, pa.array(numbers.ravel())], [*_KEYS, "channel", "value"])
 
-    read = messages.select("run_id", "topic", "seq", "time_ns", _since_start().alias("time"), "message_type", "payload")
-    read = read.mapInPandas(run, "run_id string, topic string, seq long, time_ns long, time double, channels map<string,double>")
-    long = read.select("run_id", "topic", "seq", "time_ns", "time", F.explode("channels").alias("channel", "value"))
-    joint = F.concat_ws("_", slug(F.split_part("channel", F.lit("\x00"), F.lit(1))), F.split_part("channel", F.lit("\x00"), F.lit(2)))
-    return long.withColumn("channel", F.when(F.contains("channel", F.lit("\x00")), joint).otherwise(F.col("channel")))
+    return _numeric(messages).mapInArrow(run, f"{_KEY_SCHEMA}, channel string, value double")
 
 
-def wide(channels: DataFrame, names: list[str]) -> DataFrame:
-    """A column a channel, by run and time."""
-    return channels.groupBy("run_id", "topic", "seq", "time_ns", "time").pivot("channel", names).agg(F.first("value")).orderBy("run_id", "time_ns", "seq")
+def numeric_topic(messages: DataFrame, topic: str, names: list[str]) -> DataFrame:
+    """A column a channel of one topic, in no order; null where a message lacks the channel.
 
+    Wide columns come out of the bytes as they are: no row is shuffled or
+    sorted.  Of joints whose channels have the same name the first counts.
+    """
 
-def numeric_topic(messages: DataFrame, topic: str, names: list[str]) -> DataFrame:
-    return wide(numeric_channels(messages.where(F.col("topic") == topic)), names)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            values = np.full((len(names), len(part)), np.nan)
+            there = np.zeros((len(names), len(part)), dtype=bool)
+            for rows, channels, numbers in decoded(part.column("payload"), part.column("message_type").to_pylist()):
+                for k, name in enumerate(names):
+                    if name in channels:
+                        values[k, rows], there[k, rows] = numbers[:, channels.index(name)], True
+            columns = [pa.array(v, mask=~t) for v, t in zip(values, there)]
+            yield pa.RecordBatch.from_arrays([*part.select(_KEYS).columns, *columns], [*_KEYS, *names])
+
+    return _numeric(messages.where(F.col("topic") == topic)).mapInArrow(run, _KEY_SCHEMA + "".join(f", `{c}` double" for c in names))
 
 
 def numeric_topics(messages: DataFrame, topics: dict[str, list[str]]) -> dict[str, DataFrame]:

@@ -2,12 +2,15 @@
 
 import sqlite3
 import struct
+import zlib
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from gaugeline import __main__ as main
 from gaugeline.operators import catalog, series
 from gaugeline.sources import bags, dispatch, messages, results
 
@@ -81,35 +84,51 @@ def write_db3(folder):
         db.executemany("INSERT INTO messages (topic_id, timestamp, data) VALUES (?, ?, ?)", [(ids[t], T0 + dt, data) for t, _, dt, data in LOG])
 
 
-def write_mcap(path, compressed):
+def packed(kind, data):
+    import pyarrow as pa
+
+    return {"zstd": zstandard.ZstdCompressor().compress, "lz4": lambda x: pa.Codec("lz4").compress(x).to_pybytes(), "": bytes}[kind](data)
+
+
+def write_mcap(path, codec):
     rec = lambda op, body: bytes([op]) + struct.pack("<Q", len(body)) + body
     s = lambda x: struct.pack("<I", len(x)) + x.encode()
     inner = b""
     for i, (t, kind, dt, data) in enumerate(LOG, 1):
         inner += rec(3, struct.pack("<H", i) + s(kind) + s("ros2msg") + struct.pack("<I", 0)) + rec(4, struct.pack("<HH", i, i) + s(t) + s("cdr") + struct.pack("<I", 0))
         inner += rec(5, struct.pack("<HIQQ", i, i, T0 + dt, T0 + dt) + data)
-    packed = zstandard.ZstdCompressor().compress(inner) if compressed else inner
-    chunk = struct.pack("<QQQI", T0, T0 + 2_000_000_000, len(inner), 0) + s("zstd" if compressed else "") + struct.pack("<Q", len(packed)) + packed
+    body = packed(codec, inner)
+    chunk = struct.pack("<QQQI", T0, T0 + 2_000_000_000, len(inner), zlib.crc32(inner)) + s(codec) + struct.pack("<Q", len(body)) + body
     path.write_bytes(b"\x89MCAP0\r\n" + rec(1, s("ros2") + s("test")) + rec(6, chunk) + rec(0x0F, struct.pack("<I", 0)) + b"\x89MCAP0\r\n")
 
 
-def write_indexed(path):
-    """One chunk a message, and an index of the chunks at the end."""
+def write_indexed(path, rows=None, statistics=False):
+    """One chunk a message, a message index behind it, and an index of the chunks at the end; gives their places and sizes."""
+    rows, places = LOG if rows is None else rows, []
+    number = {t: k for k, t in enumerate(dict.fromkeys(t for t, *_ in rows), 1)}
     rec = lambda op, body: bytes([op]) + struct.pack("<Q", len(body)) + body
     s = lambda x: struct.pack("<I", len(x)) + x.encode()
     out, summary = b"\x89MCAP0\r\n" + rec(1, s("ros2") + s("test")), b""
-    for i, (t, kind, dt, data) in enumerate(LOG, 1):
+    for k, (t, kind, dt, data) in enumerate(rows, 1):
+        i = number[t]
         known = rec(3, struct.pack("<H", i) + s(kind) + s("ros2msg") + struct.pack("<I", 0)) + rec(4, struct.pack("<HH", i, i) + s(t) + s("cdr") + struct.pack("<I", 0))
-        inner = known + rec(5, struct.pack("<HIQQ", i, i, T0 + dt, T0 + dt) + data)
-        packed = zstandard.ZstdCompressor().compress(inner)
-        chunk = rec(6, struct.pack("<QQQI", T0 + dt, T0 + dt, len(inner), 0) + s("zstd") + struct.pack("<Q", len(packed)) + packed)
-        summary += known + rec(8, struct.pack("<QQQQI", T0 + dt, T0 + dt, len(out), len(chunk), 10) + struct.pack("<HQ", i, 0) + struct.pack("<Q", 0) + s("zstd") + struct.pack("<QQ", len(packed), len(inner)))
-        out += chunk
+        inner = known + rec(5, struct.pack("<HIQQ", i, k, T0 + dt, T0 + dt) + data)
+        body = packed("zstd", inner)
+        chunk = rec(6, struct.pack("<QQQI", T0 + dt, T0 + dt, len(inner), zlib.crc32(inner)) + s("zstd") + struct.pack("<Q", len(body)) + body)
+        index = rec(7, struct.pack("<HIQQ", i, 16, T0 + dt, len(known)))
+        summary += known + rec(8, struct.pack("<QQQQI", T0 + dt, T0 + dt, len(out), len(chunk), 10) + struct.pack("<HQ", i, len(out) + len(chunk)) + struct.pack("<Q", len(index)) + s("zstd") + struct.pack("<QQ", len(body), len(inner)))
+        places.append((len(out), len(chunk)))
+        out += chunk + index
+    if statistics:
+        counts = b"".join(struct.pack("<HQ", i, sum(r[0] == t for r in rows)) for t, i in number.items())
+        times = [T0 + r[2] for r in rows]
+        summary += rec(0x0B, struct.pack("<QHIIII", len(rows), 0, 0, 0, 0, len(rows)) + struct.pack("<QQI", min(times), max(times), len(counts)) + counts)
     out += rec(0x0F, struct.pack("<I", 0))
     path.write_bytes(out + summary + rec(2, struct.pack("<QQI", len(out), 0, 0)) + b"\x89MCAP0\r\n")
+    return places
 
 
-@pytest.fixture(params=["db3", "mcap", "mcap zstd", "mcap indexed"])
+@pytest.fixture(params=["db3", "mcap", "mcap zstd", "mcap lz4", "mcap indexed"])
 def log(request, spark, tmp_path):
     bags.register(spark)
     if request.param == "db3":
@@ -118,7 +137,7 @@ def log(request, spark, tmp_path):
     if "indexed" in request.param:
         write_indexed(tmp_path / "run_1.mcap")
     else:
-        write_mcap(tmp_path / "run_1.mcap", "zstd" in request.param)
+        write_mcap(tmp_path / "run_1.mcap", request.param[5:])
     return spark.read.format("bag").load(str(tmp_path / "run_1.mcap"))
 
 
@@ -146,9 +165,148 @@ def test_chunks_without_a_wanted_topic_stay_packed(tmp_path, monkeypatch):
     assert len(list(bags._read_log(tmp_path / "run.mcap", None))) == len(LOG)
 
 
+def bytes_asked(monkeypatch):
+    asked, plain = [], bags._read_at
+    monkeypatch.setattr(bags, "_read_at", lambda f, place, size: asked.append((place, size)) or plain(f, place, size))
+    return asked
+
+
+MANY = [(f"/t{k % 3}", WRENCH if k % 3 else TEXT, k * 1_000_000, wrench(k, 0, 0, 0, 0, k) if k % 3 else text(f"marker {k}" + "x" * 500)) for k in range(60)]
+
+
+def test_times_choose_chunks(tmp_path, monkeypatch):
+    places = write_indexed(tmp_path / "run.mcap", MANY)
+    asked = bytes_asked(monkeypatch)
+    span = bags.Span(T0 + 10_000_000, T0 + 19_000_000)
+    found = list(bags._read_log(tmp_path / "run.mcap", {"/t0"}, span))
+    assert [m[2] for m in found] == [13, 16, 19] and {a for a in asked if a in places} == {places[k] for k in (12, 15, 18)}
+    assert len(list(bags._read_log(tmp_path / "run.mcap", None, bags.Span(None, T0 + 4_000_000)))) == 5
+    assert bags.Span().meets(1, 2) and not bags.Span(3).meets(1, 2) and not bags.Span(None, 0).meets(1, 2)
+
+
+def test_filters_of_one_frame_do_not_meet(spark, tmp_path):
+    bags.register(spark)
+    write_indexed(tmp_path / "run.mcap", MANY)
+    log = spark.read.format("bag").load(str(tmp_path / "run.mcap"))
+    one, two = log.where("topic = '/t0'"), log.where("topic = '/t1' AND time_ns > 0")
+    assert {r["topic"]: r["count"] for r in one.union(two).groupBy("topic").count().collect()} == {"/t0": 20, "/t1": 20} and log.count() == 60
+
+
+def test_wanted_topics_and_times_reach_the_file(spark, tmp_path):
+    bags.register(spark)
+    write_indexed(tmp_path / "run.mcap", MANY)
+    write_db3(tmp_path / "all" / "run_1")
+    path = str(tmp_path / "run.mcap")
+    # a chunk outside the wanted times is damaged, and nobody notices
+    raw = bytearray((tmp_path / "run.mcap").read_bytes())
+    raw[bags._index(tmp_path / "run.mcap").chunks[50].place + 60] ^= 255
+    (tmp_path / "run.mcap").write_bytes(raw)
+    assert bags.read(spark, path, low=T0 + 10_000_000, high=T0 + 19_000_000).count() == 10
+    assert bags.read(spark, path, ["/t1"], high=T0 + 7_000_000).count() == 3 and bags.read(spark, path, ["/t1", "/t0"]).count() == 40
+    with pytest.raises(PySparkException):
+        bags.read(spark, path, ["/t2"]).count()
+    assert bags.read(spark, str(tmp_path / "all"), low=T0 + 500_000_001).count() == 2
+
+
+@pytest.mark.parametrize("statistics", [True, False])
+def test_index_tells_counts_and_times_without_payloads(spark, tmp_path, monkeypatch, statistics):
+    bags.register(spark)
+    places = write_indexed(tmp_path / "run.mcap", MANY, statistics)
+    asked = bytes_asked(monkeypatch)
+    origin, first, last, topics = bags._log_summary(tmp_path / "run.mcap", None)
+    assert (origin, first, last) == ("statistics" if statistics else "message index", T0, T0 + 59_000_000) and set(topics.values()) == {20}
+    chunk_bytes = [n for a, n in asked if any(p <= a < p + size for p, size in places)]
+    assert chunk_bytes == [] and sum(n for _, n in asked) < (tmp_path / "run.mcap").stat().st_size / 2
+    index = spark.read.format("bag_index").load(str(tmp_path / "run.mcap"))
+    log = spark.read.format("bag").load(str(tmp_path / "run.mcap"))
+    assert catalog.indexed_catalog(index).collect() == catalog.topic_catalog(log).collect()
+    assert catalog.indexed_durations(index).collect() == catalog.durations(log).collect()
+
+
+@pytest.mark.parametrize("kind", ["db3", "mcap", "lz4"])
+def test_index_of_other_storage(spark, tmp_path, kind):
+    bags.register(spark)
+    if kind == "db3":
+        write_db3(tmp_path / "run_1")
+    else:
+        write_mcap(tmp_path / "run_1.mcap", kind.replace("mcap", ""))
+    path = str(tmp_path / ("run_1" if kind == "db3" else "run_1.mcap"))
+    index, log = spark.read.format("bag_index").load(path), spark.read.format("bag").load(path)
+    assert {r["origin"] for r in index.collect()} == {"sums" if kind == "db3" else "scan"}
+    assert catalog.indexed_catalog(index).collect() == catalog.topic_catalog(log).collect() and catalog.indexed_durations(index).collect() == catalog.durations(log).collect()
+
+
+def test_one_file_in_parts_gives_the_rows_of_one(spark, tmp_path):
+    bags.register(spark)
+    write_indexed(tmp_path / "run.mcap", MANY)
+    write_db3(tmp_path / "run_1")
+    for path, rows in ((tmp_path / "run.mcap", 60), (tmp_path / "run_1", len(LOG))):
+        whole, parted = spark.read.format("bag").load(str(path)), spark.read.format("bag").option("maxPartitionBytes", 1500).load(str(path))
+        assert parted.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert sorted(map(str, parted.collect())) == sorted(map(str, whole.collect())) and whole.count() == rows
+    places = [c.place for c in bags._index(tmp_path / "run.mcap").chunks]
+    parts = bags.file_parts(tmp_path / "run.mcap", 1500)
+    assert [p for part in parts for p in part] == places
+    sizes = {c.place: c.size for c in bags._index(tmp_path / "run.mcap").chunks}
+    assert all(sum(sizes[p] for p in part) <= 1500 or len(part) == 1 for part in parts)
+
+
+def test_damaged_recordings_stay_in_the_manifest(spark, tmp_path):
+    bags.register(spark)
+    for name in ("sound", "cut", "chunk", "page", "none"):
+        write_db3(tmp_path / "all" / name)
+        if name not in ("sound", "page"):
+            (tmp_path / "all" / name / "part_0.db3").unlink()
+    write_indexed(tmp_path / "all" / "chunk" / "a.mcap", [("/recording_stage", TEXT, k, text(f"m{k}")) for k in range(6)])
+    place, size = [(c.place, c.size) for c in bags._index(tmp_path / "all" / "chunk" / "a.mcap").chunks][2]
+    raw = bytearray((tmp_path / "all" / "chunk" / "a.mcap").read_bytes())
+    raw[place + size - 5] ^= 255
+    (tmp_path / "all" / "chunk" / "a.mcap").write_bytes(raw)
+    write_mcap(tmp_path / "all" / "cut" / "a.mcap", "")
+    whole = (tmp_path / "all" / "cut" / "a.mcap").read_bytes()
+    (tmp_path / "all" / "cut" / "a.mcap").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "all" / "none" / "a.mcap").write_bytes(b"no log at all")
+    (tmp_path / "all" / "page" / "part_0.db3").write_bytes(b"SQLite format 3\0" + bytes(5000))
+    path = str(tmp_path / "all")
+    log = spark.read.format("bag").option("mode", "PERMISSIVE").load(path)
+    # the chunks around a bad one are read
+    assert sorted(r["marker"] for r in messages.stage_events(log.where("run_id = 'chunk'")).collect()) == ["m0", "m1", "m3", "m4", "m5"]
+    bad = {r["run_id"]: r["read_error"] for r in log.where("read_error is not null").collect()}
+    assert set(bad) == {"cut", "chunk", "page", "none"} and f"chunk at {place}" in bad["chunk"] and "cut off" in bad["cut"]
+    rows = {r["run_id"]: r for r in main.bag_manifest(spark, path, "/recording_stage", 1.0).collect()}
+    assert set(rows) == {"sound", "cut", "chunk", "page", "none"}
+    assert rows["sound"]["read_status"] == "ok" and rows["sound"]["label"] == "fail" and rows["sound"]["message_count"] == len(LOG)
+    assert all(rows[r]["read_status"].startswith("error: ") and rows[r]["label"] == "unknown" for r in ("cut", "chunk", "page", "none"))
+    assert rows["chunk"]["message_count"] == 6 and rows["none"]["message_count"] == 0
+    with pytest.raises(PySparkException):
+        spark.read.format("bag").load(path).count()
+
+
+def test_numbers_of_any_layout_in_one_batch(spark):
+    """Byte orders, frame names and joint lists that change from message to message."""
+    big = lambda *v: b"\0\0\0\0" + struct.pack(">6d", *v)
+    rows = [("/w", "geometry_msgs/msg/Wrench", big(*range(6))), ("/w", "geometry_msgs/msg/Wrench", b"\0\1\0\0" + struct.pack("<6d", *range(6, 12)))]
+    rows += [("/w", WRENCH, bytes(Put().put("i", k).put("I", 2).text("f" * (k % 3)).put("d", *range(k, k + 6)).b)) for k in range(7)]
+    rows += [("/j", JOINTS, joints(["A b", "c"], [k, k + 1], [k + 2])) for k in range(3)] + [("/j", JOINTS, joints(["c", "A b"], [5, 6], [])), ("/j", JOINTS, joints([], [7], [])), ("/j", JOINTS, joints([], [], []))]
+    plain = spark.createDataFrame([("r", t, k, i, 10**9 * i, 0, bytes(p), None) for i, (t, k, p) in enumerate(rows)], "run_id string, topic string, message_type string, seq long, time_ns long, start_ns long, payload binary, read_error string")
+    df = plain.repartition(2)
+    df = df.unionByName(df.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "topic" else F.lit("/w").alias("topic") for f in df.schema]))
+    wide = messages.numeric_topic(df, "/w", messages.WRENCH_FIELDS)
+    assert {r["seq"]: tuple(r[f] for f in messages.WRENCH_FIELDS) for r in wide.collect()} == {0: tuple(range(6)), 1: tuple(range(6, 12)), **{k + 2: tuple(range(k, k + 6)) for k in range(7)}}
+    plan = messages.numeric_topic(plain, "/w", messages.WRENCH_FIELDS)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and not any(x in plan for x in ("Exchange", "Sort ", "Generate", "Pivot"))
+    got = {(r["seq"], r["channel"]): r["value"] for r in messages.numeric_channels(df.where("topic = '/j'")).collect()}
+    want = {(9 + k, c): v for k in range(3) for c, v in (("a_b_position", k), ("c_position", k + 1), ("a_b_velocity", k + 2))}
+    assert got == want | {(12, "c_position"): 5, (12, "a_b_position"): 6, (13, "joint_0_position"): 7}
+    joint = messages.numeric_topic(df, "/j", ["c_position", "a_b_velocity"]).collect()
+    assert {r["seq"]: (r["c_position"], r["a_b_velocity"]) for r in joint} == {9: (1, 2), 10: (2, 3), 11: (3, 4), 12: (5, None), 13: (None, None), 14: (None, None)}
+    with pytest.raises(PySparkException):
+        messages.numeric_topic(df.withColumn("payload", F.substring("payload", 1, 40)), "/w", messages.WRENCH_FIELDS).collect()
+
+
 def test_sources_are_chosen_and_tried_in_turn(spark, tmp_path):
     bags.register(spark)
-    write_mcap(tmp_path / "run_1.mcap", False)
+    write_mcap(tmp_path / "run_1.mcap", "")
     video = lambda s, path: s.createDataFrame([(path,)], "path string")
     assert dispatch.read_frames(spark, str(tmp_path / "run_1.mcap"), topic="/cam").count() == 1
     assert dispatch.read_frames(spark, "/somewhere/film.MP4", video=video).first()["path"] == "/somewhere/film.MP4"
