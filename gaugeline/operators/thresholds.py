@@ -36,17 +36,19 @@ def binned_threshold(scores: DataFrame, position: str, score: str, bins: int = 5
     A bin's threshold is a quantile of its scores times the margin; bins with
     few scores are filled from their neighbours, or by the quantile of all; no
     threshold is under the floor; a rolling median smooths them.  Quantiles are
-    exact (see ``exact_quantiles``), from scores that are written first; what is
-    ordered by bin is ``bins`` rows.
+    exact (see ``exact_quantiles``): bins and all scores are counted in the same
+    passes over scores that are written first.
     """
     need(scores, position, score)
     if bins < 1:
         raise ValueError("bins must be at least one")
     rows = settle(scores.select(bin_of(F.col(position), bins).alias("bin"), F.col(score).cast("double").alias("_s")), "binned-scores")
-    found = exact_quantiles(rows, "_s", {"_q": quantile}, by="bin").withColumnRenamed("n", "_n")
+    # every bin and all scores together (bin -1) in the same passes
+    each = rows.select(F.explode(F.array("bin", F.lit(-1))).alias("bin"), "_s")
+    quantiles = settle(exact_quantiles(each, "_s", {"_q": quantile, "_floor": floor_quantile or 0.0}, by="bin").drop("n"), "bin-quantiles", few=True)
     counted = rows.groupBy("bin").agg(F.count("*").alias("count")).where("bin is not null")
-    found = counted.join(found, "bin", "left")
-    whole = exact_quantiles(rows.select("_s"), "_s", {"_all": quantile, "_floor": floor_quantile or 0.0})
+    found = counted.join(quantiles.drop("_floor"), "bin", "left")
+    whole = quantiles.where("bin = -1").select(F.col("_q").alias("_all"), "_floor")
     floor = F.lit(0.0) if floor_quantile is None else F.col("_floor")
     # one row, also where there are no scores
     whole = whole.agg((F.max("_all") * margin).alias("_all"), F.max(floor).alias("_floor")).withColumn("_one", F.lit(1))

@@ -172,19 +172,34 @@ def test_binned_threshold(spark, n):
     assert np.allclose(got["threshold_mahalanobis"], binned(p, s, 50, 0.999, 1.6, 5, 0.8, 5)) and got["count"].sum() == n
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles(spark, accuracy):
-    rng = np.random.default_rng(11)
-    groups = {0: rng.normal(size=3000), 1: np.repeat(rng.integers(0, 4, 40), 25).astype(float), 2: np.array([5.0]), 3: np.array([1.0, 2.0])}
-    rows = frame(spark, [(g, float(x)) for g, v in groups.items() for x in v] + [(None, 7.0), (2, None), (9, None)], "g int, x double").repartition(5)
-    asked = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.999, "e": 1.0}
-    got = {r["g"]: r for r in quantiles.exact_quantiles(rows, "x", asked, by="g", accuracy=accuracy).collect()}
-    assert set(got) == set(groups)
-    for g, v in groups.items():
-        assert got[g]["n"] == len(v) and np.allclose([got[g][k] for k in asked], np.quantile(v, list(asked.values())))
-    whole = quantiles.exact_quantiles(rows.where("g is not null"), "x", asked, accuracy=accuracy).first()
-    assert np.allclose([whole[k] for k in asked], np.quantile(np.concatenate(list(groups.values())), list(asked.values())))
+@pytest.mark.parametrize("few", [0, 7, 4096])
+def test_exact_quantiles(spark, few, monkeypatch):
+    """All digits counted, some, or none: the same ranks."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), np.round(rng.normal(size=400), 1), [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf] * 2])
+    groups = [None if k % 50 == 0 else f"g{k % 3}" for k in range(len(values))]
+    rows = spark.createDataFrame([(g, None if k % 41 == 0 else float(v)) for k, (g, v) in enumerate(zip(groups, values))] + [("g9", 1.5), ("g8", None), ("g1", float("nan"))], "g string, x double").repartition(3)
+    asked = {"low": 0.0, "q": 0.31, "mid": 0.5, "high": 0.99, "top": 1.0}
+    held = {}
+    for k, (g, v) in enumerate(zip(groups, values)):
+        if g is not None and k % 41:
+            held.setdefault(g, []).append(v)
+
+    def same(a, b):
+        return (np.isnan(a) and np.isnan(b)) or a == b or np.isclose(a, b, rtol=1e-12)
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        got = {r["g"]: r for r in quantiles.exact_quantiles(rows, "x", asked, by="g").collect()}
+        assert set(got) == {"g0", "g1", "g2", "g9"} and got["g9"]["mid"] == 1.5
+        for g, x in held.items():
+            assert got[g]["n"] == len(x) and all(same(got[g][name], np.quantile(x, f)) for name, f in asked.items())
+        whole = quantiles.exact_quantiles(rows.where("g is not null"), "x", asked).first()
+        x = [v for vs in held.values() for v in vs] + [1.5]
+        assert whole["n"] == len(x) and all(same(whole[name], np.quantile(x, f)) for name, f in asked.items())
     assert quantiles.exact_quantiles(rows.limit(0), "x", asked).count() == 0
+    keys = quantiles.order_keys(np.sort(values))
+    assert (np.diff(keys) >= 0).all() and (quantiles.key_values(keys) == np.sort(values)).all()
 
 
 def test_components_and_bins_without_rows(spark):
