@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,49 +19,186 @@ from gaugeline.sources.shared import settle
 
 #: Rows of a block of queries and of a block of memory: a task compares one pair of blocks.
 BLOCK = 2048
+#: Cells that each stage's memory is cut into, by its nearest pivot, and rows a pivot is chosen from.
+PIVOTS, SAMPLED = 48, 32
+#: Bytes of memory vectors up to which all of them go to every task.
+BROADCAST_BYTES = 32 << 20
+#: Bounds are sums of rounded numbers; a cell is left out only if it is farther by more than this.
+SLACK = 1e-6
 
 
-def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool = False, apart: bool = False, block: int = BLOCK) -> DataFrame:
-    """query_id, item_id, distance and rank of the k nearest memory items of each query.
+def _sides(queries: DataFrame, memory: DataFrame, by_stage: bool, apart: bool) -> tuple[DataFrame, DataFrame]:
+    stage = (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage")
+    group = lambda other: (F.col("group") if apart else F.lit(other)).cast("long").alias("group")
+    q, m = queries.select("query_id", F.col("cls").alias("v"), stage, group(-1)), memory.select("item_id", F.col("cls").alias("v"), stage, group(-2))
+    return q.where("v is not null and stage is not null"), m.where("v is not null and stage is not null")
 
-    Both have an id (query_id, item_id) and a unit vector ``cls``; with
-    ``by_stage`` an equal ``stage``, with ``apart`` another ``group`` is asked
-    for.  Only rows of one stage meet, as blocks of its queries and blocks of
-    its memory: no task holds a whole side, each gives k rows a query, and the
-    best k of those are kept.  Equal distances go by item_id.
-    """
-    if k < 1:
-        raise ValueError("k must be at least one")
-    q = queries.select("query_id", F.col("cls").alias("q_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-1)).cast("long").alias("group"))
-    m = memory.select("item_id", F.col("cls").alias("m_cls"), (F.col("stage") if by_stage else F.lit(0)).cast("int").alias("stage"), (F.col("group") if apart else F.lit(-2)).cast("long").alias("group"))
-    blocks = lambda df, name: df.groupBy("stage").agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = blocks(q, "nq").join(blocks(m, "nm"), "stage")  # a row a stage that both have
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def _best(far: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least of each row that are finite; columns are in the order of their items."""
+    # all that are no farther than the k-th; of equal ones the first k by item
+    last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
+    rows, cols = np.nonzero((far <= last) & np.isfinite(far))
+    order = np.lexsort((items[cols], far[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[kept]
+
+
+NEAR = "query_id long, item_id long, distance double"
+
+
+def _against_all(q: DataFrame, m: DataFrame, k: int) -> DataFrame:
+    """Every query against a memory that is small enough to go to every task."""
+    held = m.toArrow().combine_chunks()
+    table = {c: held[c].to_numpy() for c in ("item_id", "stage", "group")} | {"v": _matrix(held["v"].combine_chunks())}
+    shared = q.sparkSession.sparkContext.broadcast(table)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ = shared.value
+        for part in parts:
+            ids, stages, groups = (part.column(c).to_numpy() for c in ("query_id", "stage", "group"))
+            v = _matrix(part.column("v"))
+            for stage in np.unique(stages):
+                mine = np.flatnonzero(all_["stage"] == stage)
+                asked = np.flatnonzero(stages == stage)
+                for a in range(0, len(asked) if len(mine) else 0, 256):
+                    some = asked[a : a + 256]
+                    far = 1.0 - v[some] @ all_["v"][mine].T
+                    far[groups[some][:, None] == all_["group"][mine]] = np.inf
+                    rows, cols = _best(far, all_["item_id"][mine], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][rows]), pa.array(all_["item_id"][mine][cols]), pa.array(far[rows, cols])], ["query_id", "item_id", "distance"])
+
+    return q.mapInArrow(run, NEAR)
+
+
+def _spread(vectors: np.ndarray, n: int) -> np.ndarray:
+    """Up to n of the vectors, each the one farthest from those before it."""
+    chosen, apart = [0], np.full(len(vectors), np.inf)
+    while len(chosen) < n:
+        apart = np.minimum(apart, ((vectors - vectors[chosen[-1]]) ** 2).sum(axis=1))
+        if apart.max() <= 0:
+            break
+        chosen.append(int(apart.argmax()))
+    return vectors[chosen]
+
+
+def _celled(df: DataFrame, pivots: dict[int, np.ndarray], rows: int) -> DataFrame:
+    """The table with cell (the nearest pivot of the row's stage), off (how far from it) and length."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            v, stages = _matrix(part.column("v")), part.column("stage").to_numpy()
+            cell, off = np.zeros(len(part), dtype=np.int32), np.zeros(len(part))
+            for stage in np.unique(stages):
+                at, known = np.flatnonzero(stages == stage), pivots.get(int(stage))
+                if known is not None:
+                    apart = np.sqrt(np.maximum((v[at] ** 2).sum(axis=1)[:, None] + (known**2).sum(axis=1) - 2 * v[at] @ known.T, 0))
+                    cell[at], off[at] = apart.argmin(axis=1), apart.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(off), pa.array(np.sqrt((v**2).sum(axis=1)))], [*part.schema.names, "cell", "off", "length"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    return df.mapInArrow(run, f"{schema}, cell int, off double, length double").withColumn("part", F.pmod(F.xxhash64(df.columns[0]), F.lit(rows)))
+
+
+def _pairs(q: DataFrame, m: DataFrame, cells: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
+    """The k nearest that each query finds in the cells (stage, qc, mc, radius, nq, nm) its own is to meet."""
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = q.join(sizes, "stage").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq"))).withColumn("mb", every("nm")).drop("nq", "nm")
-    m = m.join(sizes, "stage").withColumn("mb", F.pmod(F.xxhash64("item_id"), F.col("nm"))).withColumn("qb", every("nq")).drop("nq", "nm")
+    asks = q.join(cells.withColumnRenamed("qc", "cell"), ["stage", "cell"]).withColumn("qb", F.pmod("part", F.col("nq"))).withColumn("mb", every("nm"))
+    holds = m.join(cells.withColumnRenamed("mc", "cell"), ["stage", "cell"]).withColumn("mb", F.pmod("part", F.col("nm"))).withColumn("qb", every("nq"))
+    asks = asks.select("stage", F.col("cell").alias("qc"), "mc", "qb", "mb", "query_id", "v", "group", "length", "bound", "radius")
+    holds = holds.select("stage", "qc", F.col("cell").alias("mc"), "qb", "mb", "item_id", "v", "group")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = {"query_id": [], "item_id": [], "distance": []}
         if len(a) and len(b):
-            b = b.sort_values("item_id")
-            far = 1.0 - np.stack(a["q_cls"]).astype(float) @ np.stack(b["m_cls"]).astype(float).T
-            far[a["group"].to_numpy()[:, None] == b["group"].to_numpy()] = np.inf
-            # all that are no farther than the k-th; of equal ones the first k by item_id
-            last = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if far.shape[1] > k else np.inf
-            rows, cols = np.nonzero((far <= last) & np.isfinite(far))
-            order = np.lexsort((cols, far[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            rows, cols = rows[kept], cols[kept]
-            found = {"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[cols], "distance": far[rows, cols]}
-        return pd.DataFrame(found)
-
-    by = ("stage", "qb", "mb")
-    near = q.groupBy(*by).cogroup(m.groupBy(*by)).applyInPandas(compare, "query_id long, item_id long, distance double")
+            v = np.stack(a["v"]).astype(float)
+            # no item of the cell is nearer than its pivot less the cell's radius: queries that have k nearer ones are done
+            pivot = pivots[int(a["stage"].iloc[0])][int(a["mc"].iloc[0])]
+            least = 1.0 - v @ pivot - a["length"].to_numpy() * a["radius"].to_numpy()
+            open_ = ~(least > a["bound"].to_numpy() + SLACK)
+            a, v = a[open_], v[open_]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "item_id": [], "distance": []}).astype({"query_id": "int64", "item_id": "int64"})
+        far = 1.0 - v @ np.stack(b["v"]).astype(float).T
+        far[a["group"].to_numpy()[:, None] == b["group"].to_numpy()] = np.inf
+        rows, cols = _best(far, b["item_id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[cols], "distance": far[rows, cols]})
+
+    by = ("stage", "qc", "mc", "qb", "mb")
+    return asks.groupBy(*by).cogroup(holds.groupBy(*by)).applyInPandas(compare, NEAR)
+
+
+def _pruned(q: DataFrame, m: DataFrame, k: int, block: int, pivots_: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates of all queries, and the pairs of cells that met (first and later)."""
+    # pivots come from the rows of least hash of each stage, a bounded number of vectors
+    order = W.partitionBy("stage").orderBy(F.xxhash64("item_id"), "item_id")
+    sample = m.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLED * pivots_).select("stage", "_r", "v").toPandas().sort_values("_r")
+    pivots = {int(stage): _spread(np.stack(rows["v"]).astype(float), pivots_) for stage, rows in sample.groupby("stage")}
+    parts = 1 << 20
+    q, m = settle(_celled(q, pivots, parts), "query-cells"), settle(_celled(m, pivots, parts), "memory-cells")
+    blocks = F.ceil(F.count("*") / block)
+    of_q = q.groupBy("stage", F.col("cell").alias("qc")).agg(blocks.alias("nq"), F.max("off").alias("reach"), F.max("length").alias("longest"), F.count("*").alias("queries"))
+    of_m = m.groupBy("stage", F.col("cell").alias("mc")).agg(blocks.alias("nm"), F.max("off").alias("radius"), F.count("*").alias("items"))
+    # a row a pair of cells of one stage: pivots by pivots, whatever the tables
+    between = [(s, i, j, float(np.dot(p[i], p[j])), float(np.linalg.norm(p[j]))) for s, p in pivots.items() for i in range(len(p)) for j in range(len(p))]
+    known = q.sparkSession.createDataFrame(between, "stage int, qc int, mc int, dot double, size double")
+    pairs = settle(known.join(of_q, ["stage", "qc"]).join(of_m, ["stage", "mc"]), "cell-pairs", few=True)
+    # first each cell meets the one whose pivot is nearest; what it finds bounds the k-th distance
+    nearest_ = W.partitionBy("stage", "qc").orderBy(F.desc("dot"), "mc")
+    first = settle(pairs.withColumn("_r", F.row_number().over(nearest_)).where("_r = 1").drop("_r"), "first-cells", few=True)
+    open_ = q.withColumn("bound", F.lit(float("inf")))
+    found = settle(_pairs(open_, m, first, pivots, k), "first-candidates")
+    by_distance = W.partitionBy("query_id").orderBy("distance", "item_id")
+    bounds = found.withColumn("_r", F.row_number().over(by_distance)).where(F.col("_r") == k).select("query_id", F.col("distance").alias("_bound"))
+    bounded = settle(q.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("_bound", F.lit(float("inf")))).drop("_bound"), "bounded-queries")
+    farthest = bounded.groupBy("stage", F.col("cell").alias("qc")).agg(F.max("bound").alias("farthest"))
+    # dot(q, x) <= dot(p, r) + |q - p| |r| + |q| |x - r| for the pivots p and r of q and x
+    least = 1 - (F.col("dot") + F.col("reach") * F.col("size") + F.col("longest") * F.col("radius"))
+    later = pairs.join(first.select("stage", "qc", F.col("mc").alias("_m")), ["stage", "qc"]).where("mc <> _m").drop("_m")
+    later = settle(later.join(farthest, ["stage", "qc"]).where(least <= F.col("farthest") + SLACK), "later-cells", few=True)
+    met = first.select("queries", "items").unionByName(later.select("queries", "items"))
+    return found.unionByName(_pairs(bounded, m, later, pivots, k)), met
+
+
+def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool = False, apart: bool = False, block: int = BLOCK, pivots: int = PIVOTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, item_id, distance and rank of the k nearest memory items of each query.
+
+    Both have an id (query_id, item_id) and a vector ``cls`` of floats; the
+    distance is 1 less their dot product, and with ``by_stage`` an equal
+    ``stage``, with ``apart`` another ``group`` is asked for.  Equal distances
+    go by item_id.  A memory of at most ``broadcast_bytes`` goes to every task,
+    and queries are not shuffled.  A larger one is cut into cells around pivots:
+    each cell of queries meets the nearest cell of memory first, and then only
+    those that can hold something nearer than the k-th found, by the cells'
+    radii; in a pair that meets, queries whose own k-th is nearer are passed
+    over.  The result is exact either way.  Rows without a vector have no
+    neighbours; an empty memory gives no rows.
+    """
+    if k < 1:
+        raise ValueError("k must be at least one")
+    q, m = _sides(queries, memory, by_stage, apart)
+    rows, width = m.agg(F.count("*"), F.max(F.size("v"))).first()
+    if rows * (width or 0) * 8 <= broadcast_bytes:
+        near = _against_all(q, m, k) if rows else q.limit(0).select("query_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("distance"))
+        order = W.partitionBy("query_id").orderBy("distance", "item_id")
+        return near.withColumn("rank", F.row_number().over(order))
+    near, _ = _pruned(q, m, k, block, pivots)
     order = W.partitionBy("query_id").orderBy("distance", "item_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def compared_share(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool = False, apart: bool = False, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """Of all pairs of a query and an item of its stage how many lie in cells that must meet: pairs, met, share."""
+    q, m = _sides(queries, memory, by_stage, apart)
+    all_ = q.groupBy("stage").agg(F.count("*").alias("a")).join(m.groupBy("stage").agg(F.count("*").alias("b")), "stage").agg(F.sum(F.col("a") * F.col("b")).alias("pairs"))
+    met = _pruned(q, m, k, block, pivots)[1].agg(F.sum(F.col("queries") * F.col("items")).alias("met"))
+    return all_.join(F.broadcast(met)).select("pairs", "met", (F.col("met") / F.col("pairs")).alias("share"))  # one row each
+
+
 def frame_score(features: Column, attention: Column, nominal: Column, nominal_attention: Column, power: float = 1.5, least: float = 0.15) -> Column:
     """Patch differences of two frames, weighted by attention, as one number."""
     return weighted_mean(patch_scores(features, nominal), attention_weights(attention, nominal_attention, power, least))

@@ -277,19 +277,42 @@ def test_mixture_fit_gains_and_scores(spark):
         mixture.leave_one_out(df.where("run_id = 0"), ["phase"], ["u"])
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_nearest_in_blocks(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(7, 0), (4096, 0), (7, 1 << 25)])
+def test_nearest_in_blocks(spark, block, most):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(60, 8))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     v[5] = v[9]
     m = frame(spark, [(i, x.tolist(), i % 4, i % 3) for i, x in enumerate(v)], "item_id long, cls array<double>, group int, stage int")
-    got = vectors.nearest(m.withColumnRenamed("item_id", "query_id"), m, 4, by_stage=True, apart=True, block=block).toPandas()
+    got = vectors.nearest(m.withColumnRenamed("item_id", "query_id"), m, 4, by_stage=True, apart=True, block=block, pivots=4, broadcast_bytes=most).toPandas()
     for q in range(60):
         far = sorted((round(1 - v[q] @ v[i], 12), i) for i in range(60) if i % 3 == q % 3 and i % 4 != q % 4)[:4]
         assert got[got["query_id"] == q].sort_values("rank")["item_id"].tolist() == [i for _, i in far]
 
 
+def test_nearest_leaves_far_cells_out(spark):
+    """Vectors in clusters: the same rows as comparing all, from a part of the pairs; lengths differ, ties go by id."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = centres[rng.integers(0, 12, 900)] + 0.02 * rng.normal(size=(900, 16))
+    v[:300] /= np.linalg.norm(v[:300], axis=1, keepdims=True)
+    v[40] = v[41] = v[42]
+    m = frame(spark, [(i, x.tolist(), i % 5) for i, x in enumerate(v)] + [(5000, None, 1)], "item_id long, cls array<double>, group int")
+    q = m.where("item_id % 3 = 0 OR item_id = 5000").withColumnRenamed("item_id", "query_id")
+    got = vectors.nearest(q, m, 3, apart=True, block=50, pivots=12, broadcast_bytes=0).toPandas()
+    far = 1 - v @ v.T
+    far[np.arange(900)[:, None] % 5 == np.arange(900) % 5] = np.inf
+    for i in range(0, 900, 3):
+        want = sorted(range(900), key=lambda j: (round(far[i, j], 12), j))[:3]
+        assert got[got["query_id"] == i].sort_values("rank")["item_id"].tolist() == want
+    assert len(got) == 900
+    share = vectors.compared_share(q, m, 3, apart=True, block=50, pivots=12).first()
+    assert share["pairs"] == 300 * 900 and share["share"] < 0.6
+    for most in (0, 1 << 25):
+        assert vectors.nearest(q, m.limit(0), 3, broadcast_bytes=most).count() == 0
+
+
 def test_weights_check_their_arguments():
     for bad in ({"power": 0}, {"least": 1.5}):
         with pytest.raises(ValueError):
