@@ -3,16 +3,19 @@
 A Gaussian mixture over inputs and outputs together is fitted by sums: in each
 round every partition adds up responsibilities, first and second moments for
 all models at once (with leave-one-out, one model a held-out run), and the
-driver gets K * (1 + d + d*d) numbers a model.  Scales of models that leave a run
-out come from one pass: sums of all runs less the run's own.  So do the limits
-of components, and the scores: a batch of rows is scored by the models its runs
-ask for.  Models of very many runs are fitted MODELS at a time, so that what
-the driver and a task hold is bounded; the passes grow with the runs, as each
-held-out run asks for a fit of its own.
+driver gets K * (1 + d + d*d) numbers a model.  Every model stops by itself, so
+what it becomes does not depend on the models that share its passes.
+
+Leave-one-out goes by tiles of runs: scales of its models come from sums of all
+runs less the run's own, which are written once; the models of a tile are
+fitted, score the rows of its runs, and are gone before the next tile, so
+neither the driver nor a task ever holds more than a tile's models.  The passes
+over the rows grow with the tiles, as each held-out run asks for a fit of its own.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,12 +26,15 @@ from pyspark.sql import functions as F
 
 from gaugeline.operators.catalog import need
 from gaugeline.operators.quantiles import exact_quantiles
+from gaugeline.sources.shared import fresh_path, settle
 
 REG = 1e-5
 #: Fixed values of the density where a matrix has no positive determinant, and the least weight in a logarithm.
 SINGULAR_REG, LEAST_DETERMINANT, LEAST_WEIGHT = 1e-4, 1e-12, 1e-12
-#: Leave-one-out models that are fitted together.
+#: Leave-one-out models that are fitted together, about.
 MODELS = 256
+#: Rounds of moving seeds to the means of their rows before the first round of a mixture.
+MOVES = 3
 
 
 @dataclass
@@ -44,6 +50,10 @@ class Mixture:
     scale: np.ndarray
     reg: float = REG
     limits: dict[int, float] = field(default_factory=dict)
+    #: Rounds of the fit, the mean log-likelihood in its last one, and whether it had stopped to gain.
+    rounds: int = 0
+    likelihood: float = -np.inf
+    converged: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -94,41 +104,105 @@ def scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-def _moments(rows: DataFrame, columns: list[str], models: list[tuple[object, Mixture | None]], components: int, edges: dict) -> list:
-    """Sums for every model over rows whose run is not held out; without a model rows go to components by the first column."""
+@dataclass
+class _Job:
+    """A mixture in the making: the run it leaves out, its scales, where it starts, and what it is so far."""
+
+    key: object
+    rows: int
+    shift: np.ndarray
+    scale: np.ndarray
+    #: Cuts of the first column, or seeds (components x columns), both scaled.
+    begin: np.ndarray
+    model: Mixture | None = None
+
+    def kept(self, part: pd.DataFrame, raw: np.ndarray) -> np.ndarray:
+        return ((raw if self.key is None else raw[(part["run_id"] != self.key).to_numpy()]) - self.shift) / self.scale
+
+    def responsibilities(self, x: np.ndarray, components: int) -> tuple[np.ndarray, float]:
+        """Shares of the components in each row, and the log-likelihood of the rows."""
+        if self.model is None:
+            if self.begin.ndim == 1:
+                return np.eye(components)[np.searchsorted(self.begin, x[:, 0], side="right")], 0.0
+            return np.eye(components)[_squares(x, self.begin).argmin(axis=1)], 0.0
+        m = self.model
+        log = np.stack([np.log(w + 1e-300) + _log_density(x, mean, c, 0.0) for w, mean, c in zip(m.weights, m.means, m.covariances)], axis=1)
+        top = log.max(axis=1, keepdims=True)
+        share = np.exp(log - top)
+        total = share.sum(axis=1, keepdims=True)
+        return share / total, float((top + np.log(total)).sum())
+
+
+def _squares(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - seeds[None, :, :]) ** 2).sum(axis=2)
+
+
+def _moments(rows: DataFrame, columns: list[str], jobs: list[_Job], components: int) -> list[tuple[np.ndarray, float]]:
+    """Sums and log-likelihood of every job over the rows of the runs that it does not leave out."""
     d = len(columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: np.zeros((components, 1 + d + d * d)) for k, _ in models}
-        likelihood = dict.fromkeys(total, 0.0)
+        total, likelihood = np.zeros((len(jobs), components, 1 + d + d * d)), np.zeros(len(jobs))
         for part in parts:
             raw = part[columns].to_numpy(dtype=float)
-            for key, model in models:
-                kept = raw if key is None else raw[(part["run_id"] != key).to_numpy()]
-                if not len(kept):
-                    continue
-                x = (kept - edges[key][0]) / edges[key][1]
-                if model is None:
-                    r = np.eye(components)[np.searchsorted(edges[key][2], x[:, 0], side="right")]
-                else:
-                    log = np.stack([np.log(w + 1e-300) + _log_density(x, m, c, 0.0) for w, m, c in zip(model.weights, model.means, model.covariances)], axis=1)
-                    top = log.max(axis=1, keepdims=True)
-                    share = np.exp(log - top)
-                    likelihood[key] += float((top[:, 0] + np.log(share.sum(axis=1))).sum())
-                    r = share / share.sum(axis=1, keepdims=True)
-                second = np.einsum("nk,ni,nj->kij", r, x, x).reshape(components, d * d)
-                total[key] += np.concatenate([r.sum(axis=0)[:, None], r.T @ x, second], axis=1)
-        yield pd.DataFrame({"model": range(len(models)), "likelihood": [likelihood[k] for k, _ in models], "sums": [total[k].ravel() for k, _ in models]})
+            for k, job in enumerate(jobs):
+                x = job.kept(part, raw)
+                if len(x):
+                    r, gained = job.responsibilities(x, components)
+                    likelihood[k] += gained
+                    second = np.einsum("nk,ni,nj->kij", r, x, x).reshape(components, d * d)
+                    total[k] += np.concatenate([r.sum(axis=0)[:, None], r.T @ x, second], axis=1)
+        yield pd.DataFrame({"model": range(len(jobs)), "likelihood": likelihood, "sums": [t.ravel() for t in total]})
 
     used = rows.select("run_id", *columns).mapInPandas(run, "model int, likelihood double, sums array<double>")
     each = used.select("model", "likelihood", F.posexplode("sums").alias("at", "x")).groupBy("model", "at").agg(F.sum("x").alias("x"), F.sum("likelihood").alias("l"))
-    out = [[np.zeros(components * (1 + d + d * d)), 0.0] for _ in models]
+    out = [[np.zeros(components * (1 + d + d * d)), 0.0] for _ in jobs]
     for r in each.collect():
         out[r["model"]][0][r["at"]] = r["x"]
         out[r["model"]][1] = r["l"]
     return [(s.reshape(components, 1 + d + d * d), l) for s, l in out]
 
 
+def _seeded(rows: DataFrame, columns: list[str], jobs: list[_Job], components: int, seed: int) -> None:
+    """Start every job from rows drawn one after the other, each with a chance by its square distance to those before.
+
+    A row's fixed random number u and square distance D make the key -ln(u) / D;
+    the least key of all rows is such a draw, so a draw is one minimum a job.
+    Seeds then move to the means of their rows a few times.
+    """
+    for job in jobs:
+        job.begin = np.empty((0, len(columns)))
+    for step in range(components):
+
+        def draw(parts: Iterator[pd.DataFrame], step=step) -> Iterator[pd.DataFrame]:
+            best: list = [(np.inf, None)] * len(jobs)
+            for part in parts:
+                raw = part[columns].to_numpy(dtype=float)
+                for k, job in enumerate(jobs):
+                    x = job.kept(part, raw)
+                    h = part["_h"].to_numpy() if job.key is None else part["_h"].to_numpy()[(part["run_id"] != job.key).to_numpy()]
+                    if len(x):
+                        with np.errstate(over="ignore", divide="ignore"):
+                            h = (h.view(np.uint64) ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+                            u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+                            apart = _squares(x, job.begin).min(axis=1) if step else np.ones(len(x))
+                            key = -np.log(np.maximum(u, 2.0**-54)) / apart
+                        at = int(key.argmin())
+                        if key[at] < best[k][0]:
+                            best[k] = (float(key[at]), x[at].tolist())
+            yield pd.DataFrame([(k, *b) for k, b in enumerate(best) if b[1] is not None], columns=["job", "key", "x"])
+
+        salted = rows.select("run_id", *columns, F.xxhash64(*columns, F.lit(seed), F.lit(step)).alias("_h"))
+        drawn = salted.mapInPandas(draw, "job int, key double, x array<double>").groupBy("job").agg(F.min_by("x", F.struct("key", "x")).alias("x"))
+        found = {r["job"]: r["x"] for r in drawn.collect()}  # a row a job
+        for k, job in enumerate(jobs):
+            job.begin = np.vstack([job.begin, found.get(k, job.begin[-1] if len(job.begin) else np.zeros(len(columns)))])
+    for _ in range(MOVES):
+        for job, (sums, _) in zip(jobs, _moments(rows, columns, jobs, components)):
+            some = sums[:, 0] > 0
+            job.begin[some] = sums[some, 1 : 1 + len(columns)] / sums[some, :1]
+
+
 def _from_sums(sums: np.ndarray, d: int, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = sums[:, 0] + 10 * np.finfo(float).eps
     means = sums[:, 1 : 1 + d] / n[:, None]
@@ -136,48 +210,72 @@ def _from_sums(sums: np.ndarray, d: int, reg: float) -> tuple[np.ndarray, np.nda
     return n / n.sum(), means, second - np.einsum("ki,kj->kij", means, means) + np.eye(d) * reg
 
 
-def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None) -> dict:
+def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None, start: str = "parts", restarts: int = 1, seed: int = 0, sums: DataFrame | None = None) -> dict:
     """Mixtures of nominal rows (run_id and columns): {None: model}, or one for each held-out run.
 
-    It starts from equal parts by the first input column (of all rows) and stops
-    when the mean log-likelihood of no model gains ``tolerance``.
+    ``start`` is "parts", equal parts by the first input column of all rows, or
+    "seeds", drawn by distance as k-means++ draws them: of ``restarts`` of these
+    the one of most likelihood is taken.  A model stops when its mean
+    log-likelihood gains less than ``tolerance``; one that has not after
+    ``rounds`` is given with ``converged`` false and a warning.  ``sums`` are
+    those of ``run_sums``, if they are known already.
     """
     columns = list(dict.fromkeys([*inputs, *outputs]))
     need(rows, "run_id", *columns)
+    if start not in ("parts", "seeds"):
+        raise ValueError(f"unknown start {start!r}")
     keys = [None] if hold_out is None else list(hold_out)
-    cuts = {f"c{k}": k / components for k in range(1, components)}
+    cuts = {f"c{k}": k / components for k in range(1, components)} if start == "parts" else {}
     first = exact_quantiles(rows, columns[0], cuts).first() if cuts else None
     parts = np.array([first[c] for c in cuts] if first else [], float)
-    edges, counts = {}, {}
-    for key, (n, mean, deviation) in _scales(rows, columns, keys).items():
+    jobs = []
+    for key, (n, mean, deviation) in _scales(run_sums(rows, columns) if sums is None else sums, columns, keys).items():
         if not n:
             raise ValueError("at least one nominal row is needed")
         deviation[deviation == 0] = 1.0
-        edges[key], counts[key] = (mean, deviation, (parts - mean[0]) / deviation[0]), n
-    models: list = [(k, None) for k in keys]
-    last = [-np.inf] * len(keys)
-    for _ in range(rounds):
-        found = _moments(rows, columns, models, components, edges)
-        models = [(k, Mixture(inputs, outputs, *_from_sums(s, len(columns), reg), edges[k][0], edges[k][1], reg)) for k, (s, _) in zip(keys, found)]
-        now = [l / counts[k] if l else -np.inf for k, (_, l) in zip(keys, found)]
-        if all(np.isfinite(a) and abs(a - b) < tolerance for a, b in zip(now, last)):
+        jobs += [_Job(key, n, mean, deviation, (parts - mean[0]) / deviation[0]) for _ in range(restarts if start == "seeds" else 1)]
+    if start == "seeds":
+        _seeded(rows, columns, jobs, components, seed)
+    active = list(jobs)
+    for turn in range(1, rounds + 1):
+        for job, (found, likelihood) in zip(active, _moments(rows, columns, active, components)):
+            before, now = job.model, likelihood / job.rows if job.model else -np.inf
+            job.model = Mixture(inputs, outputs, *_from_sums(found, len(columns), reg), job.shift, job.scale, reg, rounds=turn, likelihood=now)
+            job.model.converged = before is not None and bool(np.isfinite(now) and abs(now - before.likelihood) < tolerance)
+        active = [job for job in active if not job.model.converged]
+        if not active:
             break
-        last = now
+    best: dict = {}
+    for job in jobs:
+        if job.key not in best or job.model.likelihood > best[job.key].likelihood:
+            best[job.key] = job.model
+    if late := [k for k, m in best.items() if not m.converged and tolerance > 0]:
+        warnings.warn(f"{len(late)} of {len(best)} mixtures still gained after {rounds} rounds", stacklevel=2)
+    models = list(best.items())
     for (_, model), found in zip(models, _limits(rows, columns, models, components, margin)):
         model.limits = found
-    return dict(models)
+    return best
+
 
+def run_sums(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, means and variances of the columns of each run: a row a run."""
+    return rows.groupBy("run_id").agg(F.count("*").alias("_n"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("_mean", F.avg), ("_var", F.var_pop))])
 
-def _scales(rows: DataFrame, columns: list[str], keys: list) -> dict:
-    """Count, means and population deviations of the rows of each model, from one pass: a row a run."""
-    sums = [f for c in columns for f in (F.avg(c), F.var_pop(c))]
-    own = {r[0]: (r[1], np.array(r[2::2], float), np.array(r[3::2], float)) for r in rows.groupBy("run_id").agg(F.count("*"), *sums).collect()}
-    total = sum(n for n, *_ in own.values())
-    mean = sum((n * m for n, m, _ in own.values()), np.zeros(len(columns))) / max(total, 1)
-    square = sum((n * (v + (m - mean) ** 2) for n, m, v in own.values()), np.zeros(len(columns)))
+
+def _scales(sums: DataFrame, columns: list[str], keys: list) -> dict:
+    """Count, means and population deviations of the rows of each model: one row of all, and one of each run left out."""
+    n, weighted = F.col("_n"), lambda c: F.sum(F.col("_n") * c)
+    mean = {c: weighted(F.col(f"_mean_{c}")) / F.sum(n) for c in columns}
+    row = sums.agg(F.coalesce(F.sum(n), F.lit(0)), *mean.values()).first()
+    total, mean = row[0], np.array([x or 0.0 for x in row[1:]])
+    square = sums.agg(*[F.coalesce(weighted(F.col(f"_var_{c}") + (F.col(f"_mean_{c}") - float(m)) ** 2), F.lit(0.0)) for c, m in zip(columns, mean)]).first()
+    square = np.array(list(square), float)
+    out_runs = [k for k in keys if k is not None]
+    own = {r["run_id"]: r for r in sums.where(F.col("run_id").isin(out_runs)).collect()} if out_runs else {}  # the runs left out
     out = {}
     for key in keys:
-        n, m, v = own.get(key, (0, mean, np.zeros(len(columns))))
+        r = own.get(key)
+        n, m, v = (r["_n"], np.array([r[f"_mean_{c}"] for c in columns], float), np.array([r[f"_var_{c}"] for c in columns], float)) if r else (0, mean, np.zeros(len(columns)))
         left = total - n
         rest = mean - n * (m - mean) / max(left, 1)
         # squares about the mean of all rows, less the run's own, moved to the mean of the rest
@@ -246,19 +344,30 @@ def _scored(rows: DataFrame, models_of, columns: list[str], limited: bool = True
     return rows.mapInPandas(run, f"{schema}, {added}")
 
 
-def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], **options) -> DataFrame:
-    """Scores of every run under a model of all other runs (column held_out_run)."""
-    runs = [r["run_id"] for r in rows.select("run_id").distinct().orderBy("run_id").collect()]  # a model is kept for each
-    if len(runs) < 2:
+def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models: int = MODELS, **options) -> DataFrame:
+    """Scores of every run under a model of all other runs (column held_out_run), tile by tile of about ``models`` runs."""
+    columns = list(dict.fromkeys([*inputs, *outputs]))
+    need(rows, "run_id", *columns)
+    spark = rows.sparkSession
+    sums = settle(run_sums(rows, columns), "run-sums", few=True)
+    runs = sums.count()
+    if runs < 2:
         raise ValueError("at least two nominal runs are needed")
-    models: dict = {}
-    for k in range(0, len(runs), MODELS):
-        models |= fit(rows, inputs, outputs, hold_out=runs[k : k + MODELS], **options)
-
-    def models_of(part: pd.DataFrame):
-        return [(at, models[run]) for run, at in part.groupby("run_id").indices.items()]
-
-    return _scored(rows, models_of, next(iter(models.values())).columns).withColumn("held_out_run", F.col("run_id"))
+    tiles, path, schema = -(-runs // models), fresh_path(spark, "held-out-scores"), None
+    of_tile = lambda t: F.pmod(F.xxhash64("run_id"), F.lit(tiles)) == t
+    for t in range(tiles):
+        held = [r["run_id"] for r in sums.where(of_tile(t)).select("run_id").orderBy("run_id").collect()]  # a tile's runs
+        if not held:
+            continue
+        found = fit(rows, inputs, outputs, hold_out=held, sums=sums, **options)
+
+        def models_of(part: pd.DataFrame, found=found):
+            return [(at, found[run]) for run, at in part.groupby("run_id").indices.items()]
+
+        scored = _scored(rows.where(of_tile(t)), models_of, columns).withColumn("held_out_run", F.col("run_id"))
+        schema = scored.schema
+        scored.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def single_distance(rows: DataFrame, x: str, y: str, reg: float = REG) -> DataFrame:

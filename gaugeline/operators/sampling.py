@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,29 +45,48 @@ def sample_at_rate(frames: DataFrame, fps: float = 2.0, start_sec: float = 0.0,
     return numbered if most is None else numbered.where(F.col("frame_id") < most)
 
 
-#: Due times of one row of their table, and the most of all of them (8 bytes each in the driver).
-DUE_CHUNK, MOST_DUE = 64, 50_000_000
+#: Due times that are summed up together.
+DUE_BLOCK = 1 << 16
+
+
+class DueTimes:
+    """Sums of periods from a start, one after the other, of which only every ``DUE_BLOCK``-th is kept."""
+
+    def __init__(self, start: float, period: float):
+        self._period, self._firsts = period, [start]
+
+    def _block(self, first: float) -> np.ndarray:
+        return np.add.accumulate(np.concatenate([[first], np.full(DUE_BLOCK, self._period)]))
+
+    def upto(self, times: np.ndarray) -> np.ndarray:
+        """How many due times are at most each time."""
+        if not len(times):
+            return np.zeros(0, dtype=np.int64)
+        while self._firsts[-1] <= times.max():
+            self._firsts.append(self._block(self._firsts[-1])[-1])
+        block = np.searchsorted(self._firsts, times, side="right") - 1
+        out = np.zeros(len(times), dtype=np.int64)
+        for b in np.unique(block[block >= 0]):  # neighbouring frames share a block
+            mine = block == b
+            out[mine] = b * DUE_BLOCK + np.searchsorted(self._block(self._firsts[b])[:-1], times[mine], side="right")
+        return out
 
 
 def _due_times(frames: DataFrame, start_sec: float, period: float) -> DataFrame:
     """Frames with _reached and _passed: how many due times are at most a nanosecond after them, and not after them.
 
-    Due times are the same for all runs: sums of periods up to the longest time,
-    in chunks that meet the frames of their place by an equi-join.
+    Each task sums up the due times of its own frames: no table of them, no join.
     """
-    spark = frames.sparkSession
-    last = frames.agg(F.max("time")).first()[0]
-    n = 2 + max(0, int(((start_sec if last is None else last) - start_sec) / period))
-    if n > MOST_DUE:
-        raise ValueError(f"{n} due times are too many; take a rate whose period is exact in binary")
-    due = np.add.accumulate(np.concatenate([[start_sec], np.full(n, period)]))
-    # sums are off by less than a period, so a frame's due time is in its chunk or beside it
-    chunks = [(k // DUE_CHUNK, k, due[max(0, k - DUE_CHUNK) : k + 2 * DUE_CHUNK].tolist(), max(0, k - DUE_CHUNK)) for k in range(0, len(due), DUE_CHUNK)]
-    table = spark.createDataFrame([(c, before, times) for c, _, times, before in chunks], "_chunk long, _before long, _due array<double>")
-    place = F.least(F.floor((F.col("time") - start_sec) / period / DUE_CHUNK), F.lit(len(chunks) - 1).cast("long"))
-    joined = frames.withColumn("_chunk", place).join(table, "_chunk")
-    upto = lambda t: F.col("_before") + F.size(F.filter("_due", lambda d: d <= t))
-    return joined.withColumn("_reached", upto(F.col("time") + 1e-9)).withColumn("_passed", upto(F.col("time"))).drop("_chunk", "_before", "_due")
+    at = frames.columns.index("time")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        due = DueTimes(start_sec, period)
+        for part in parts:
+            times = part.column(at).to_numpy().astype(float)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(due.upto(times + 1e-9)), pa.array(due.upto(times))], [*part.schema.names, "_reached", "_passed"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    return frames.mapInArrow(run, f"{schema}, _reached long, _passed long")
 
 
 def sample_evenly(frames: DataFrame, count: int = 4, start_sec: float = 0.0, end_sec: float | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars, texts
 from gaugeline.operators import catalog, mixture, sampling, series, thresholds, timeline, vectors
-from gaugeline.plans import displays, tasks
+from gaugeline.plans import displays, tasks, vision
 from gaugeline.sources import messages, results, shared
 
 QUERIES: dict = {}
@@ -355,7 +355,7 @@ held AS (SELECT run_id, seq, "index", phase, sqrt(power(b - r / (1 + 2e-5) * a,
 
 def held_out(spark, d):
     rows = phased(spark, d).where("phase is not null").select("run_id", "seq", "index", "phase", F.col("mahalanobis").alias("value"))
-    return mixture.leave_one_out(rows, ["phase"], ["value"], components=1, rounds=2)
+    return mixture.leave_one_out(rows, ["phase"], ["value"], components=1)
 
 
 @query(f"WITH {HELD_OUT} SELECT run_id, seq, round(m, 4) AS mahalanobis, run_id AS held_out_run FROM held")
@@ -380,33 +380,54 @@ def threshold_head(spark, d):
     return held_out_threshold(spark, d).orderBy("phase_center").limit(5)
 
 
-def _mixture_sql(rounds: int, reg: float = mixture.REG) -> str:
-    """Rounds of expectation and maximization for three components over (phase, value), from equal parts by phase."""
-    sums = "sum({r}) AS n, sum({r} * a) AS a, sum({r} * b) AS b, sum({r} * a * a) AS aa, sum({r} * a * b) AS ab, sum({r} * b * b) AS bb"
-    model = f"""SELECT k, n / sum(n) OVER () AS w, a / n AS m1, b / n AS m2, aa / n - (a / n) * (a / n) + {reg} AS c11, ab / n - (a / n) * (b / n) AS c12, bb / n - (b / n) * (b / n) + {reg} AS c22 FROM """
-    out = f"""{PHASED}, raw AS (SELECT run_id, seq, phase, mahalanobis AS value FROM ph WHERE phase IS NOT NULL),
-sc AS (SELECT avg(phase) AS mx, stddev_pop(phase) AS sx, avg(value) AS my, stddev_pop(value) AS sy, quantile_cont(phase, 1.0 / 3) AS p1, quantile_cont(phase, 2.0 / 3) AS p2 FROM raw),
-x AS MATERIALIZED (SELECT run_id, seq, (phase - mx) / sx AS a, (value - my) / sy AS b, (phase >= p1)::INT + (phase >= p2)::INT AS k FROM raw, sc),
-s1 AS (SELECT k, {sums.format(r='1.0')} FROM x GROUP BY k), g1 AS MATERIALIZED ({model}s1)"""
+def _mixture_sql(held_out: bool, rounds: int = 60, tolerance: float = 1e-3, reg: float = mixture.REG) -> str:
+    """Rounds of expectation and maximization for three components over (phase, value), from equal parts by phase.
+
+    h names a model: the run that it leaves out, or none.  A model that has
+    stopped to gain stays as it is.
+    """
+    each = lambda text, glue=", ": glue.join(text.replace("#", str(k)) for k in (1, 2, 3))
+    sums = each("sum(r#) AS n#, sum(r# * a) AS a#, sum(r# * b) AS b#, sum(r# * a * a) AS aa#, sum(r# * a * b) AS ab#, sum(r# * b * b) AS bb#")
+    names = each("w#, m#, v#, c#, d#, e#")
+    model = each(f"n# / (n1 + n2 + n3) AS w#, a# / n# AS m#, b# / n# AS v#, aa# / n# - (a# / n#) * (a# / n#) + {reg} AS c#, ab# / n# - (a# / n#) * (b# / n#) AS d#, bb# / n# - (b# / n#) * (b# / n#) + {reg} AS e#")
+    density = each("ln(w#) - 0.5 * (ln(c# * e# - d# * d#) + (e# * (a - m#) * (a - m#) - 2 * d# * (a - m#) * (b - v#) + c# * (b - v#) * (b - v#)) / (c# * e# - d# * d#)) AS l#")
+    models, others = ("SELECT DISTINCT run_id AS h FROM raw", "raw.run_id <> hs.h") if held_out else ("SELECT NULL AS h", "true")
+    out = f"""{PHASED}, raw AS (SELECT run_id, seq, phase, mahalanobis AS value FROM ph WHERE phase IS NOT NULL), hs AS ({models}),
+cut AS (SELECT quantile_cont(phase, 1.0 / 3) AS p1, quantile_cont(phase, 2.0 / 3) AS p2 FROM raw),
+sc AS (SELECT h, avg(phase) AS mx, stddev_pop(phase) AS sx, avg(value) AS my, stddev_pop(value) AS sy FROM hs JOIN raw ON {others} GROUP BY h),
+x AS MATERIALIZED (SELECT hs.h, (phase - mx) / sx AS a, (value - my) / sy AS b, (phase >= p1)::INT + (phase >= p2)::INT + 1 AS k FROM hs JOIN raw ON {others} JOIN sc ON sc.h IS NOT DISTINCT FROM hs.h, cut),
+r1 AS (SELECT h, a, b, {each("(k = #)::DOUBLE AS r#")} FROM x), s1 AS (SELECT h, {sums} FROM r1 GROUP BY h),
+g1 AS MATERIALIZED (SELECT h, {model}, NULL::DOUBLE AS ll, false AS done FROM s1)"""
     for t in range(2, rounds + 1):
         out += f""",
-l{t} AS (SELECT x.run_id, x.seq, x.a, x.b, g.k, ln(w) - 0.5 * (ln(c11 * c22 - c12 * c12) + (c22 * (x.a - m1) * (x.a - m1) - 2 * c12 * (x.a - m1) * (x.b - m2) + c11 * (x.b - m2) * (x.b - m2)) / (c11 * c22 - c12 * c12)) AS l FROM x, g{t - 1} g),
-e{t} AS (SELECT *, exp(l - max(l) OVER (PARTITION BY run_id, seq)) AS e FROM l{t}), r{t} AS (SELECT *, e / sum(e) OVER (PARTITION BY run_id, seq) AS r FROM e{t}),
-s{t} AS (SELECT k, {sums.format(r='r')} FROM r{t} GROUP BY k), g{t} AS MATERIALIZED ({model}s{t})"""
+l{t} AS (SELECT x.h, a, b, {density} FROM x JOIN g{t - 1} g ON g.h IS NOT DISTINCT FROM x.h WHERE NOT done),
+q{t} AS (SELECT *, greatest(l1, l2, l3) AS top FROM l{t}), z{t} AS (SELECT *, {each("exp(l# - top)", " + ")} AS total FROM q{t}),
+r{t} AS (SELECT h, a, b, top + ln(total) AS ll, {each("exp(l# - top) / total AS r#")} FROM z{t}), s{t} AS (SELECT h, {sums}, avg(ll) AS ll FROM r{t} GROUP BY h),
+g{t} AS MATERIALIZED (SELECT n.h, {model}, n.ll, coalesce(abs(n.ll - o.ll) < {tolerance}, false) AS done FROM s{t} n JOIN g{t - 1} o ON n.h IS NOT DISTINCT FROM o.h UNION ALL SELECT h, {names}, ll, done FROM g{t - 1} WHERE done)"""
+    density = each(f"ln(w# + 1e-12) - 0.5 * (ln(c# + {reg}) + (a - m#) * (a - m#) / (c# + {reg})) AS l#, sqrt(power(b - v# - (a - m#) * d# / (c# + {reg}), 2) / (e# - d# * d# / (c# + {reg}) + 2 * {reg})) AS m#_")
+    scored = "raw.run_id = hs.h" if held_out else "true"
     return out + f""",
-d1 AS (SELECT x.run_id, x.seq, g.k, ln(w + 1e-12) - 0.5 * (ln(c11 + {reg}) + (x.a - m1) * (x.a - m1) / (c11 + {reg})) AS density,
-  sqrt(power(x.b - m2 - (x.a - m1) * c12 / (c11 + {reg}), 2) / (c22 - c12 * c12 / (c11 + {reg}) + 2 * {reg})) AS m FROM x, g{rounds} g),
-found AS (SELECT run_id, seq, arg_max(k, density) AS k, arg_max(m, density) AS m FROM d1 GROUP BY run_id, seq), lim AS (SELECT k, greatest(max(m), 1e-6) * 1.1 AS lim FROM found GROUP BY k)"""
+y AS (SELECT run_id, seq, hs.h, (phase - mx) / sx AS a, (value - my) / sy AS b FROM hs JOIN raw ON {scored} JOIN sc ON sc.h IS NOT DISTINCT FROM hs.h),
+d AS (SELECT run_id, seq, {density} FROM y JOIN g{rounds} g ON g.h IS NOT DISTINCT FROM y.h),
+found AS (SELECT run_id, seq, CASE WHEN l1 >= l2 AND l1 >= l3 THEN 0 WHEN l2 >= l3 THEN 1 ELSE 2 END AS k, CASE WHEN l1 >= l2 AND l1 >= l3 THEN m1_ WHEN l2 >= l3 THEN m2_ ELSE m3_ END AS m FROM d)"""
 
 
-@query(f"WITH {_mixture_sql(8)} SELECT run_id, seq, k::INT AS component, round(m, 4) AS mahalanobis, round(m / lim, 4) AS epsilon, m / lim > 1 AS anomaly FROM found JOIN lim USING (k)")
+@query(f"WITH {_mixture_sql(False)}, lim AS (SELECT k, greatest(max(m), 1e-6) * 1.1 AS lim FROM found GROUP BY k) SELECT run_id, seq, k::INT AS component, round(m, 4) AS mahalanobis, round(m / lim, 4) AS epsilon, m / lim > 1 AS anomaly FROM found JOIN lim USING (k)")
 def gmr_mixture(spark, d):
-    """Three components after eight rounds, the component that predicts, and its limit."""
+    """Three components, fitted until they stop to gain, the component that predicts, and its limit."""
     rows = phased(spark, d).where("phase is not null").select("run_id", "seq", "index", "phase", F.col("mahalanobis").alias("value"))
-    model = mixture.fit(rows, ["phase"], ["value"], rounds=8, tolerance=0.0)[None]
+    model = mixture.fit(rows, ["phase"], ["value"])[None]
     return rounded(mixture.score(rows, model).select("run_id", "seq", "component", "mahalanobis", "epsilon", "anomaly"), "mahalanobis", "epsilon", digits=4)
 
 
+@query(f"WITH {_mixture_sql(True)} SELECT run_id, seq, run_id AS held_out_run, k::INT AS component, round(m, 4) AS mahalanobis FROM found")
+def held_out_mixture(spark, d):
+    """Every run under a mixture of all other runs, with the defaults: three components, until each stops to gain."""
+    rows = shared.settle(phased(spark, d).where("phase is not null").select("run_id", "seq", "phase", F.col("mahalanobis").alias("value")), "phased")
+    found = mixture.leave_one_out(rows, ["phase"], ["value"])
+    return rounded(found.select("run_id", "seq", "held_out_run", "component", "mahalanobis"), "mahalanobis", digits=4)
+
+
 @query("WITH s AS (SELECT l_linenumber - 1 AS component, l_quantity * 1.0 AS mahalanobis FROM lineitem), k AS (SELECT g AS component FROM generate_series(0, 7) t(g)) SELECT k.component::INT AS component, round(greatest(coalesce((SELECT max(mahalanobis) FROM s WHERE s.component = k.component), (SELECT max(mahalanobis) FROM s)), 1e-6) * 1.1, 6) AS \"limit\" FROM k")
 def component_limits(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_linenumber") - 1).alias("component"), F.col("l_quantity").alias("mahalanobis"))
@@ -585,12 +606,13 @@ def relative_paths(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", catalog.relative_path(F.col("url"), "https:/").alias("path"))
 
 
-@query("SELECT round(length(string_agg('Run ' || page_id || ':\n' || coalesce(html, ''), '\n\n' ORDER BY page_id)), 0)::BIGINT AS chars, md5(string_agg('Run ' || page_id || ':\n' || html, '\n\n' ORDER BY page_id)) AS digest FROM pages")
+@query("""SELECT task, part, length(string_agg('Run ' || page_id || ':\n' || coalesce(html, ''), '\n\n' ORDER BY page_id))::BIGINT AS chars, md5(string_agg('Run ' || page_id || ':\n' || html, '\n\n' ORDER BY page_id)) AS digest
+FROM (SELECT *, split_part(url, '/', 3) AS task, ((row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1) // 16)::BIGINT AS part FROM pages) GROUP BY ALL""")
 def merged_descriptions(spark, d):
-    """Texts of all runs joined in order of their runs, as one prompt holds them."""
-    rows = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("run_id"), F.col("html").alias("response"), F.lit(True).alias("ok"))
+    """Texts of the runs of each task (a page's host) joined in order of their runs, as prompts of bounded size hold them."""
+    rows = spark.read.parquet(f"{d}/pages.parquet").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.col("page_id").alias("run_id"), F.col("html").alias("response"), F.lit(True).alias("ok"))
     found = F.replace(F.col("prompt"), F.lit(tasks.MERGE.split("{")[0]), F.lit(""))
-    return tasks.merged(rows).select(F.length(found).cast("long").alias("chars"), F.md5(found).alias("digest"))
+    return tasks.merged(rows, by="host").select("task", "part", F.length(found).cast("long").alias("chars"), F.md5(found).alias("digest"))
 
 
 def made_markers(spark, d) -> DataFrame:
@@ -664,3 +686,54 @@ def memory_round_trip(spark, d):
     found = held.select("item_id", F.col("group").cast("long").alias("group"), F.get("cls", F.lit(0)).cast("double").alias("first"), F.lit(bins).alias("bins"), F.lit("kept").alias("signature"))
     other = spark.range(1).select(F.lit(None).cast(held.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("long").alias("group"), F.lit(None).cast("double").alias("first"), F.lit(bins).alias("bins"), F.lit("other signature" if lost is None else "wrong").alias("signature"))
     return rounded(found.unionByName(other), "first")
+
+
+@query(f"""WITH {SIGNALS} SELECT '/force' AS topic, run_id, seq, round(q, 6) AS first, round(-d, 6) AS last FROM l WHERE seq % 2 = 1
+UNION ALL SELECT '/joints', run_id, seq, round(q, 6), round(t, 6) FROM l WHERE seq % 2 = 0""")
+def selected_topics(spark, d):
+    """Several topics as tables of their own."""
+    wanted = {"/force": ["force_x", "torque_z"], "/joints": ["joint_a_position", "joint_a_velocity"]}
+    found = messages.numeric_topics(made_signals(spark, d), wanted)
+    rows = [found[t].select("topic", "run_id", "seq", F.col(names[0]).alias("first"), F.col(names[1]).alias("last")) for t, names in wanted.items()]
+    return rounded(rows[0].unionByName(rows[1]), "first", "last")
+
+
+@query(f"WITH {SIGNALS} SELECT run_id, seq, round(time - min(time) OVER (PARTITION BY run_id), 6) AS time, round(q, 6) AS force_x FROM l WHERE seq % 2 = 1")
+def first_sample_time(spark, d):
+    """A wrench by time since the run's first sample of the topic."""
+    rows = series.first_sample_time(messages.numeric_topic(made_signals(spark, d), "/force", ["force_x"]))
+    return rounded(rows.select("run_id", "seq", "time", "force_x"), "time", "force_x")
+
+
+def made_images(spark, d) -> DataFrame:
+    """Serialized images of one by two pixels of each event, in five encodings and with rows of odd lengths."""
+
+    def run(parts):
+        for part in parts:
+            payload = []
+            for seq in part["seq"]:
+                encoding, depth = [("rgb8", 3), ("bgr8", 3), ("rgba8", 4), ("bgra8", 4), ("mono8", 1)][seq % 5]
+                step = 2 * depth + seq % 3
+                body = struct.pack("<iII2s2xII", 0, 0, 2, b"c\0", 1, 2) + struct.pack("<I", len(encoding) + 1) + encoding.encode() + b"\0\0"
+                body += b"\0" * (-len(body) % 4) + struct.pack("<II", step, step) + bytes(seq * (k + 1) % 256 for k in range(step))
+                payload.append(b"\0\1\0\0" + body)
+            yield part.assign(payload=payload)
+
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"))
+    made = rows.mapInPandas(run, "run_id string, seq long, payload binary")
+    return made.select("run_id", "seq", F.col("seq").alias("time_ns"), F.lit(0).cast("long").alias("start_ns"), F.lit("/camera").alias("topic"), F.lit("sensor_msgs/msg/Image").alias("message_type"), "payload")
+
+
+@query("""SELECT user_id::VARCHAR AS run_id, event_id AS seq, ['rgb8', 'bgr8', 'rgba8', 'bgra8', 'mono8'][event_id % 5 + 1] AS encoding, 1 AS height, 2 AS width,
+  array_to_string(list_transform(range(6), lambda j: printf('%02X', (event_id * (1 + CASE event_id % 5 WHEN 0 THEN j WHEN 1 THEN (j // 3) * 3 + 2 - j % 3 WHEN 2 THEN (j // 3) * 4 + j % 3 WHEN 3 THEN (j // 3) * 4 + 2 - j % 3 ELSE j // 3 END)) % 256)), '') AS rgb FROM events""")
+def image_frames(spark, d):
+    """Images of five encodings decoded to packed RGB."""
+    return messages.frames(made_images(spark, d), "/camera").select("run_id", "seq", "encoding", "height", "width", F.hex("image").alias("rgb"))
+
+
+@query("""SELECT vec_id AS frame_id, label::BIGINT AS "group", round(vec_id / greatest(max(vec_id) OVER (PARTITION BY label), 1), 6) AS progress,
+  least(3, floor(3.0 * vec_id / greatest(max(vec_id) OVER (PARTITION BY label), 1))::INT + 1) AS stage, 'frame_progress' AS stage_source, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings""")
+def nominal_memory(spark, d):
+    """A memory of embedded frames with the progress and stage of each."""
+    found = vision.nominal_memory(memory(spark, d).drop("item_id", "stage"))
+    return rounded(found.select("frame_id", F.col("group").cast("long").alias("group"), "progress", F.col("stage").cast("int").alias("stage"), "stage_source", F.get("cls", F.lit(0)).cast("double").alias("first")), "progress", "first")

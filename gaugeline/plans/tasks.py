@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.functions import models, texts
@@ -27,11 +28,27 @@ def descriptions(inputs: DataFrame, name: str, load, answer) -> DataFrame:
     return first.where("ok").unionByName(again)
 
 
-def merged(described: DataFrame) -> DataFrame:
-    """One prompt that joins all descriptions, in order of their runs."""
-    rows = F.array_sort(F.collect_list(F.struct("run_id", "response")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("Run "), r["run_id"].cast("string"), F.lit(":\n"), r["response"])), "\n\n")
-    return described.where("ok").agg(text.alias("descriptions")).select(F.replace(F.lit(MERGE), F.lit("{descriptions}"), "descriptions").alias("prompt"))
+#: Descriptions of one prompt: a model reads only so much at a time.
+MERGED = 16
+
+
+def merged(described: DataFrame, by: str | None = None, most: int = MERGED) -> DataFrame:
+    """Prompts (task, part, prompt) that join at most ``most`` descriptions each, in order of their runs.
+
+    ``described`` has run_id, response, ok and, with ``by``, the column of the
+    task; without it all runs are of one task.  What a model makes of the parts
+    of a task is described again (run_id: the part) until one part is left.
+    """
+    if most < 2:
+        raise ValueError("a prompt joins at least two descriptions")
+    rows = described.where("ok").select((F.col(by).cast("string") if by else F.lit("")).alias("task"), "run_id", "response")
+    # numbered by ids alone: what is sorted of a task has no texts
+    place = F.row_number().over(W.partitionBy("task").orderBy("run_id")) - 1
+    parts = rows.select("task", "run_id").distinct().select("task", "run_id", F.floor(place / most).alias("part"))
+    held = F.array_sort(F.collect_list(F.struct("run_id", "response")))
+    text = F.array_join(F.transform(held, lambda r: F.concat(F.lit("Run "), r["run_id"].cast("string"), F.lit(":\n"), r["response"])), "\n\n")
+    joined = rows.join(parts, ["task", "run_id"]).groupBy("task", "part").agg(text.alias("descriptions"))
+    return joined.select("task", "part", F.replace(F.lit(MERGE), F.lit("{descriptions}"), "descriptions").alias("prompt"))
 
 
 def judgements(answered: DataFrame, mode: str) -> DataFrame:

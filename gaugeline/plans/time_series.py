@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from gaugeline.operators import mixture, series, thresholds
+from gaugeline.sources.shared import settle
 
 INPUTS = ["phase"]
 OUTPUTS = list(series.WRENCH)
@@ -21,7 +22,7 @@ class TimeSeriesResult:
     alarms: DataFrame
 
 
-def run(nominal: DataFrame, test: DataFrame, length: int = 500, components: int = 3, inputs=INPUTS, outputs=OUTPUTS, rounds: int = 60, segment: dict | None = None, curve: dict | None = None, alarm: dict | None = None) -> TimeSeriesResult:
+def run(nominal: DataFrame, test: DataFrame, length: int = 500, components: int = 3, inputs=INPUTS, outputs=OUTPUTS, rounds: int = 60, start: str = "parts", restarts: int = 1, segment: dict | None = None, curve: dict | None = None, alarm: dict | None = None) -> TimeSeriesResult:
     """``nominal`` and ``test`` have run_id, seq, time and the wrench channels.
 
     Every nominal run is scored by a model of the others; those scores give the
@@ -29,12 +30,10 @@ def run(nominal: DataFrame, test: DataFrame, length: int = 500, components: int
     """
     known, _ = series.synchronize(nominal, length, **(segment or {}))
     asked, segments = series.synchronize(test, length, **(segment or {}))
-    known = known.persist()  # read once a round of the fit
-    try:
-        calibration = mixture.leave_one_out(known, list(inputs), list(outputs), components=components, rounds=rounds)
-        table = thresholds.phase_threshold(calibration, **(curve or {}))
-        model = mixture.fit(known, list(inputs), list(outputs), components=components, rounds=rounds)[None]
-    finally:
-        known.unpersist()
+    known = settle(known, "nominal-runs")  # read once a round of each fit
+    options = {"components": components, "rounds": rounds, "start": start, "restarts": restarts}
+    calibration = mixture.leave_one_out(known, list(inputs), list(outputs), **options)
+    table = thresholds.phase_threshold(calibration, **(curve or {}))
+    model = mixture.fit(known, list(inputs), list(outputs), **options)[None]
     scores = mixture.score(asked.withColumnRenamed("sample", "index"), model)
     return TimeSeriesResult(segments, calibration, table, scores, thresholds.apply_phase_threshold(scores, table, **(alarm or {})))

@@ -266,7 +266,7 @@ def test_mixture_fit_gains_and_scores(spark):
     held = mixture.leave_one_out(df, ["phase"], ["u", "v"], rounds=10).toPandas()
     assert sorted(held["held_out_run"].unique()) == [0, 1, 2] and (held["held_out_run"] == held["run_id"]).all()
     # one after another: the same scales, and the same scores but for where the parts start
-    for run, (n, mean, deviation) in mixture._scales(df, ["phase", "u", "v"], [0, 1, 2]).items():
+    for run, (n, mean, deviation) in mixture._scales(mixture.run_sums(df, ["phase", "u", "v"]), ["phase", "u", "v"], [0, 1, 2]).items():
         rest = np.array([r[1:] for r in rows if r[0] != run])
         assert n == len(rest) and np.allclose(mean, rest.mean(0)) and np.allclose(deviation, rest.std(0))
     alone = mixture.fit(df.where("run_id <> 1"), ["phase"], ["u", "v"], components=1, rounds=3)[None]
@@ -275,6 +275,56 @@ def test_mixture_fit_gains_and_scores(spark):
     assert np.allclose(one["component_threshold"], alone.limits[0])
     with pytest.raises(ValueError):
         mixture.leave_one_out(df.where("run_id = 0"), ["phase"], ["u"])
+    # tiles of one run or of all: a model does not depend on those beside it
+    tiles = [mixture.leave_one_out(df, ["phase"], ["u", "v"], models=n).orderBy("run_id", "phase").toPandas() for n in (1, 256)]
+    assert np.allclose(tiles[0]["mahalanobis"], tiles[1]["mahalanobis"]) and (tiles[0]["component"] == tiles[1]["component"]).all()
+    with pytest.warns(UserWarning, match="1 of 1 mixtures still gained after 2 rounds"):
+        assert not mixture.fit(df, ["phase"], ["u", "v"], rounds=2)[None].converged
+
+
+def plain_mixture(x, components, starts, rounds=100, reg=1e-5, tolerance=1e-3):
+    """The best mean log-likelihood of several starts by k-means++ and moved means, in plain NumPy."""
+    best, d = -np.inf, x.shape[1]
+    for seed in range(starts):
+        rng = np.random.default_rng(seed)
+        seeds = [x[rng.integers(len(x))]]
+        while len(seeds) < components:
+            apart = ((x[:, None] - np.array(seeds)) ** 2).sum(2).min(1)
+            seeds.append(x[rng.choice(len(x), p=apart / apart.sum())])
+        seeds = np.array(seeds)
+        for _ in range(50):
+            own = ((x[:, None] - seeds) ** 2).sum(2).argmin(1)
+            seeds = np.array([x[own == k].mean(0) if (own == k).any() else seeds[k] for k in range(components)])
+        r, last = np.eye(components)[own], -np.inf
+        for _ in range(rounds):
+            n = r.sum(0) + 1e-15
+            means = r.T @ x / n[:, None]
+            cov = [((r[:, k, None] * (x - means[k])).T @ (x - means[k])) / n[k] + reg * np.eye(d) for k in range(components)]
+            log = np.stack([np.log(n[k] / n.sum()) - 0.5 * (d * np.log(2 * np.pi) + np.linalg.slogdet(c)[1] + np.einsum("ni,ij,nj->n", x - means[k], np.linalg.inv(c), x - means[k])) for k, c in enumerate(cov)], axis=1)
+            top = log.max(1)
+            now = (top + np.log(np.exp(log - top[:, None]).sum(1))).mean()
+            r = np.exp(log - top[:, None])
+            r /= r.sum(1, keepdims=True)
+            if abs(now - last) < tolerance:
+                break
+            last = now
+        best = max(best, now)
+    return best
+
+
+def test_seeded_start_is_as_likely_as_plain_restarts(spark):
+    """Clusters that equal parts by the first column cut across."""
+    rng = np.random.default_rng(12)
+    centres = np.array([[0, 6], [0.3, -6], [0.1, 0], [5, 1]])
+    x = centres[rng.integers(0, 4, 500)] + rng.normal(0, 0.4, (500, 2))
+    df = frame(spark, [(k % 3, float(a), float(b)) for k, (a, b) in enumerate(x)], "run_id long, phase double, u double").repartition(3)
+    found = mixture.fit(df, ["phase"], ["u"], components=4, start="seeds", restarts=5)[None]
+    z = (x - x.mean(0)) / x.std(0)
+    assert found.converged and found.likelihood >= plain_mixture(z, 4, 5) - 0.02
+    again = mixture.fit(df.repartition(2), ["phase"], ["u"], components=4, start="seeds", restarts=5)[None]
+    assert np.isclose(again.likelihood, found.likelihood) and found.likelihood >= mixture.fit(df, ["phase"], ["u"], components=4)[None].likelihood - 1e-9
+    held = mixture.leave_one_out(df, ["phase"], ["u"], components=4, start="seeds", restarts=2)
+    assert held.count() == 500 and held.where("mahalanobis is null").count() == 0
 
 
 @pytest.mark.parametrize(("block", "most"), [(7, 0), (4096, 0), (7, 1 << 25)])

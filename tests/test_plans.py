@@ -1,6 +1,7 @@
 """Whole plans on small made-up runs, and the streams."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -80,6 +81,11 @@ def test_tasks_and_models(spark):
     done = tasks.descriptions(inputs, "toy", Model, answer).persist()
     assert done.count() == 2
     assert "Run a:" in tasks.merged(done).first()["prompt"]
+    many = spark.createDataFrame([(f"t{k % 2}", k, f"text {k}", k != 4) for k in range(11)], "task string, run_id int, response string, ok boolean")
+    parts = {(r["task"], r["part"]): [int(x) for x in re.findall(r"Run (\d+):", r["prompt"])] for r in tasks.merged(many, by="task", most=3).collect()}
+    assert parts == {("t0", 0): [0, 2, 6], ("t0", 1): [8, 10], ("t1", 0): [1, 3, 5], ("t1", 1): [7, 9]}
+    with pytest.raises(ValueError):
+        tasks.merged(many, most=1)
     answered = spark.createDataFrame([("t1", "fail", "Decision: FAILURE\nConfidence: high"), ("t2", "normal", "no idea")], "test_bag string, ground_truth_label string, response string")
     got = [(r["decision"], r["confidence"]) for r in tasks.judgements(answered, "raw").orderBy("test_bag").collect()]
     assert got == [("failure", "high"), ("not_parsed", "not_parsed")]
