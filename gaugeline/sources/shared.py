@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -34,7 +34,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_SCRATCH: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+#: Tables of the scratches that are open, the inner ones last.
+_SCRATCH: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
+
+
+def remember(table: DataFrame, path: str, keep: bool = False, name: str | None = None) -> DataFrame:
+    """Have a table under a path (and of a name in the catalog) go when the open scratch ends; with ``keep`` the one around it."""
+    table.settled_at, table.settled_as = path, name
+    stack = _SCRATCH.get()
+    at = len(stack) - (2 if keep else 1)
+    if at >= 0:
+        stack[at].append(table)
+    return table
 
 
 def settle(df: DataFrame, name: str, few: bool = False, keep: bool = False) -> DataFrame:
@@ -49,28 +60,32 @@ def settle(df: DataFrame, name: str, few: bool = False, keep: bool = False) -> D
     if few:
         df = df.repartition(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table.settled_at = path
-    if (held := _SCRATCH.get()) is not None and not keep:
-        held.append(table)
-    return table
+    return remember(df.sparkSession.read.schema(df.schema).parquet(path), path, keep)
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables settled inside are deleted at its end: what is used after it must be written with ``keep``."""
-    outer = _SCRATCH.set([])
+    outer = _SCRATCH.set((*_SCRATCH.get(), []))
     try:
         yield
     finally:
-        held = _SCRATCH.get()
+        held = _SCRATCH.get()[-1]
         _SCRATCH.reset(outer)
         release(*held)
 
 
+def finished(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` describes, written; all that was settled on the way is deleted."""
+    with scratch():
+        return settle(build(), name, keep=True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete settled tables that no plan reads any more."""
     for table in tables:
+        if table.settled_as:
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.settled_as}")
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.settled_at)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
