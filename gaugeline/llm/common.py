@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.sources.shared import fresh_path, release, scratch, settle
+from gaugeline.sources.shared import finished, fresh_path, release, remember, scratch, settle
 
-__all__ = ["WORD", "documents", "fresh_path", "release", "scratch", "settle", "small_batches", "with_rows", "words_of"]
+__all__ = ["WORD", "documents", "finished", "fresh_path", "release", "scratch", "settle", "small_batches", "with_rows", "words_of"]
 
 #: Words of the contracts: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,7 +18,8 @@ def with_rows(df: DataFrame) -> DataFrame:
     """The table written with a key of each row, _row, in buckets by that key.
 
     Ids may be null or shared; the key is not.  Texts are shuffled once, here:
-    later joins by _row bring their small side to the buckets.
+    later joins by _row bring their small side to the buckets.  In a scratch the
+    table, in the catalog and in the shared folder, goes with it.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -26,7 +27,7 @@ def with_rows(df: DataFrame) -> DataFrame:
     name = path.rsplit("/", 1)[1].replace("-", "_")
     keyed = df.withColumn("_row", F.monotonically_increasing_id()).repartition(n, "_row")
     keyed.write.format("parquet").option("compression", "zstd").bucketBy(n, "_row").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return remember(spark.table(name), path, name=name)
 
 
 def words_of(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import documents, settle, small_batches
+from gaugeline.llm.common import documents, finished, settle, small_batches
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,7 +36,7 @@ def op5_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.substrings import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir))
+    return finished(lambda: remove_repeats(documents(spark, sf_dir)), "repeats-removed")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +55,9 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.private import KINDS, find, span_text
 
-    found = find(documents(spark, sf_dir))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"), "n_revealed")
+    return finished(lambda: find(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.concat("base", "added")).alias("spans"), "n_revealed"), "personal-data")
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +72,7 @@ def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.minhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir)).drop("stands")
+    return finished(lambda: near_duplicates(documents(spark, sf_dir)).drop("stands"), "near-duplicates")
 
 
 def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +89,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.conversations import prefix_trie, rebuilt
 
     small_batches(spark)
-    turns, ids = rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return prefix_trie(turns, ["own", "rank"], ids)
+    def build() -> DataFrame:
+        turns, ids = rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+        return prefix_trie(turns, ["own", "rank"], ids)
+
+    return finished(build, "trie")
 
 
 def op12_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.simhash import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir))
+    return finished(lambda: near_duplicates(documents(spark, sf_dir)), "fingerprint-groups")
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

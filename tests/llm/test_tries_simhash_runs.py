@@ -327,3 +327,21 @@ def test_periodic_query_against_plain_python(spark):
     assert len(rows) > 150 and any(found[d][1] for d, _ in rows)
     for d, t in rows:
         assert found[d] == plain_periodic(d, t, True)
+
+
+def test_nothing_is_left_behind(spark):
+    """Of each query only its result stays in the shared folder, and no table in the catalog."""
+    from gaugeline.sources.shared import shared_dir
+
+    def held():
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return {str(f.getPath().getName()) for f in files.listStatus(path)} if files.exists(path) else set()
+
+    tables = {t.name for t in spark.catalog.listTables()}
+    for name, kept in (("op3_suffix_tree_repeats", "repeats-removed"), ("op9_circulant_minhash", "near-duplicates"), ("op11_prefix_trie", "trie"), ("op12_pigeonhole_simhash", "fingerprint-groups"), ("op7_bootstrapped_contexts", "personal-data")):
+        before = held()
+        queries.QUERIES[name](spark, D).count()
+        assert [x.rsplit("-", 1)[0] for x in held() - before] == [kept]
+        assert {t.name for t in spark.catalog.listTables()} == tables
