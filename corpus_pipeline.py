@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import minhash, mixing, packing, private, quality
-from gaugeline.llm.common import fresh_path, small_batches
+from gaugeline.llm.common import finished, release, small_batches
 from gaugeline.llm.queries import tokenizer_file
 
 
@@ -56,10 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what the last one returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = fresh_path(spark, f"stage-{k + 1}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        after = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        if k:
+            release(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
