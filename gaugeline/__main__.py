@@ -1,16 +1,20 @@
 """python -m gaugeline topics|stages|manifest PATH [--topic T] [--out FOLDER]
 python -m gaugeline time-series TEST --nominal PATH [--nominal PATH ...] [--topic T] [--out FOLDER]
+python -m gaugeline vision SETTINGS.json --model MODULE:NAME --out FOLDER
+python -m gaugeline judge SETTINGS.json --model MODULE:NAME --description FILE --out FOLDER
 """
 
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.operators import catalog, thresholds
-from gaugeline.plans import settings, time_series
+from gaugeline.plans import launch, settings, time_series
 from gaugeline.sources import bags, messages, results
 
 
@@ -43,15 +47,27 @@ def bag_manifest(spark: SparkSession, path: str, topic: str, startup: float) ->
 
 def main() -> None:
     args = argparse.ArgumentParser(prog="gaugeline", description="Look into recordings.")
-    args.add_argument("what", choices=["topics", "stages", "manifest", "time-series"])
+    args.add_argument("what", choices=["topics", "stages", "manifest", "time-series", "vision", "judge"])
     args.add_argument("path")
     args.add_argument("--topic", help="the markers' topic, or the wrench topic of time-series")
     args.add_argument("--nominal", action="append", default=[], help="a recording of a correct run")
     args.add_argument("--startup", type=float, default=1.0)
+    args.add_argument("--model", help="module:name of an object with load() and extract() or answer()")
+    args.add_argument("--description", help="a file with the description of a correct execution")
     args.add_argument("--out")
     a = args.parse_args()
     spark = SparkSession.builder.appName("gaugeline").getOrCreate()
     bags.register(spark)
+    if a.what in ("vision", "judge"):
+        if not a.model or not a.out or (a.what == "judge" and not a.description):
+            args.error("--model and --out are needed, and --description for judge")
+        given, model = json.loads(Path(a.path).read_text()), launch.named_model(a.model)
+        if a.what == "judge":
+            launch.run_judging(spark, given, Path(a.description).read_text(), model, a.out).show(1000, False)
+        else:
+            for found in launch.run_vision(spark, given, model, a.out).values():
+                thresholds.alarm_summary(found).show(1000, False)
+        return
     if a.what == "time-series":
         result = score_wrench(spark, a.nominal, a.path, a.topic or "/tcp_force")
         summary = thresholds.alarm_summary(result.alarms, "epsilon_adaptive", "alarm_filtered")
