@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugeline.functions import scalars, texts
+from gaugeline.functions import models, scalars, texts
 from gaugeline.operators import catalog, mixture, sampling, series, thresholds, timeline, vectors
 from gaugeline.plans import displays, tasks, vision
 from gaugeline.sources import messages, results, shared
@@ -737,3 +737,70 @@ def nominal_memory(spark, d):
     """A memory of embedded frames with the progress and stage of each."""
     found = vision.nominal_memory(memory(spark, d).drop("item_id", "stage"))
     return rounded(found.select("frame_id", F.col("group").cast("long").alias("group"), "progress", F.col("stage").cast("int").alias("stage"), "stage_source", F.get("cls", F.lit(0)).cast("double").alias("first")), "progress", "first")
+
+
+@query(f"WITH {SIGNALS} SELECT run_id, count(*)::BIGINT AS messages, round(max(time), 6) AS last FROM l WHERE seq % 2 = 1 GROUP BY run_id")
+def topic_messages(spark, d):
+    """Messages of one topic that must be there and of an allowed type."""
+    log = made_signals(spark, d)
+    found = catalog.require_topic(log, "/force", messages.WRENCH)
+    for topic, types in (("/nothing", None), ("/force", messages.POSE)):
+        try:
+            catalog.require_topic(log, topic, types)
+        except (ValueError, TypeError):
+            continue
+        raise AssertionError(f"{topic} was taken")
+    last = F.max((F.col("time_ns") - F.col("start_ns")) / F.lit(1e9)).alias("last")
+    return rounded(found.groupBy("run_id").agg(F.count("*").alias("messages"), last), "last")
+
+
+@query("SELECT event_id, (event_id % 7) // 3 AS \"row\", (event_id % 7) % 3 AS \"column\", left('Time ' || event_id || ', camera of the ' || event_type || ' with a name that goes on and on:', 55) AS caption FROM events")
+def sheet_layout(spark, d):
+    """Places and captions of inputs on a sheet of three columns."""
+    label = F.format_string("Time %d, camera of the %s with a name that goes on and on:", F.col("event_id"), F.col("event_type"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 7).alias("input_index"), label.alias("label"))
+    return displays.storyboard(rows, 3).select("event_id", "row", "column", "caption")
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT vec_id, round(list_max(u), 6) AS most, round(list_sum(u), 6) AS total FROM (SELECT vec_id, list_transform(v, lambda x: (x - list_min(v)) / (list_max(v) - list_min(v) + 1e-8)) AS u FROM e)""")
+def overlay_strength(spark, d):
+    """Weighted patch scores as the strength of a heat map."""
+    strength = displays.overlay(F.transform("embedding", lambda x: x.cast("double")))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", strength.alias("s"))
+    return rounded(rows.select("vec_id", F.array_max("s").alias("most"), F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("total")), "most", "total")
+
+
+@query("""SELECT event_id, printf('t %.2f s', event_id / 4.0) || '|' || printf('score %.4f / %.4f (adaptive)', event_id / 8.0, 2.5) || '|' || printf('ratio %.2f ', event_id / 20.0) || CASE WHEN event_id / 20.0 > 1 THEN 'ALARM' ELSE 'normal' END
+  || '|' || printf('match %s frame %d at %.2f', event_type, event_id % 90, 0.5) || '|' || printf('distance %.4f', event_id / 16.0) AS lines FROM events""")
+def panel_lines(spark, d):
+    """Lines of text that stand on the frames of a result video; the numbers here need no rounding."""
+    e = F.col("event_id")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        e.alias("frame_id"), F.col("user_id").alias("run_id"), (e / 4).alias("timestamp_sec"), (e / 8).alias("score"), F.lit(2.5).alias("threshold"), F.lit("adaptive").alias("threshold_mode"), (e / 20).alias("epsilon"), (e / 20 > 1).alias("alarm"),
+        F.col("event_type").alias("matched_video_id"), (e % 90).alias("matched_frame_id"), F.lit(0.5).alias("matched_progress"), (e / 16).alias("cls_distance"),
+    )
+    return displays.panel(rows).select(F.col("frame_id").alias("event_id"), F.array_join("lines", "|").alias("lines"))
+
+
+@query("SELECT page_id, url, length(html)::BIGINT AS chars FROM pages")
+def csv_round_trip(spark, d):
+    """A table written as CSV with a head and read back."""
+    rows = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.length("html").cast("long").alias("chars"))
+    path = shared.fresh_path(spark, "csv")
+    results.write_csv(results.csv_ready(rows), path)
+    return spark.read.schema(rows.schema).option("header", True).csv(path)
+
+
+@query("""WITH p AS (SELECT event_id, list_transform(range(6), lambda j: (event_id * (1 + CASE event_id % 5 WHEN 0 THEN j WHEN 1 THEN (j // 3) * 3 + 2 - j % 3 WHEN 2 THEN (j // 3) * 4 + j % 3 WHEN 3 THEN (j // 3) * 4 + 2 - j % 3 ELSE j // 3 END)) % 256) AS v FROM events)
+SELECT event_id AS seq, list_sum(v[1:3])::DOUBLE AS patch_1, list_sum(v[4:6])::DOUBLE AS patch_2, round(list_max(v) / 255.0, 6) AS attention, 2 AS grid_size FROM p""")
+def model_features(spark, d):
+    """Features of decoded images by a caller's model: here one that adds up the pixels."""
+
+    def extract(model, batch):
+        for image in batch["image"]:
+            yield [[float(sum(image[:3]))], [float(sum(image[3:]))]], [max(image) / 255.0], [model], 2
+
+    found = models.embed(messages.frames(made_images(spark, d), "/camera"), "pixel sums", float, extract)
+    patch = lambda k: F.get(F.get("features", F.lit(k)), F.lit(0))
+    return rounded(found.select("seq", patch(0).alias("patch_1"), patch(1).alias("patch_2"), F.get("attention", F.lit(0)).alias("attention"), "grid_size"), "attention")
