@@ -40,7 +40,7 @@ def without_nan(x: Column) -> Column:
 
 def number(x: Column) -> Column:
     """As a double; null where it is none."""
-    return without_nan(x.cast("string").try_cast("double"))
+    return without_nan(x.try_cast("double"))
 
 
 def clamp(x: Column, low, high) -> Column:

@@ -11,6 +11,10 @@ from gaugeline.operators.catalog import need
 
 WRENCH = ("force_x", "force_y", "force_z", "torque_x", "torque_y", "torque_z")
 
+#: Fixed values of the baseline rule: rows of the head at least, the share of it that is quiet, quiet rows at least, the
+#: factor from a median deviation to a standard deviation, and the deviation under which it counts as none.
+LEAST_HEAD, QUIET, LEAST_QUIET, NORMAL_DEVIATION, LEAST_DEVIATION = 20, 0.75, 10, 1.4826, 1e-6
+
 
 def filled(value: Column, index: Column, run: W) -> Column:
     """A value, or the line between its neighbours by row number, or the next, or the last one."""
@@ -74,14 +78,14 @@ def active_segment(series: DataFrame, signal: str = "force_mag", baseline: float
     run = W.partitionBy("run_id")
     x = F.col("_x")
     rows = series.select("run_id", F.col("time").cast("double").alias("time"), number(F.col(signal)).alias("_x"), F.row_number().over(run.orderBy("time", "seq")).alias("_i"), F.count("*").over(run).alias("_n"))
-    rows = rows.withColumn("_b", F.least(F.col("_n"), F.greatest(F.lit(20), F.floor(F.col("_n") * baseline))))
+    rows = rows.withColumn("_b", F.least(F.col("_n"), F.greatest(F.lit(LEAST_HEAD), F.floor(F.col("_n") * baseline))))
     head = F.col("_i") <= F.col("_b")
-    rows = rows.withColumn("_q", F.percentile(F.when(head, x), F.lit(0.75)).over(run))
-    rows = rows.withColumn("_enough", F.count_if(head & (x <= F.col("_q"))).over(run) >= F.least(F.lit(10), F.col("_b")))
+    rows = rows.withColumn("_q", F.percentile(F.when(head, x), F.lit(QUIET)).over(run))
+    rows = rows.withColumn("_enough", F.count_if(head & (x <= F.col("_q"))).over(run) >= F.least(F.lit(LEAST_QUIET), F.col("_b")))
     rows = rows.withColumn("_c", F.when(head & (~F.col("_enough") | (x <= F.col("_q"))), x))
     rows = rows.withColumn("_m", F.percentile("_c", F.lit(0.5)).over(run))
-    rows = rows.withColumn("_mad", 1.4826 * F.percentile(F.abs(F.col("_c") - F.col("_m")), F.lit(0.5)).over(run)).withColumn("_sd", F.stddev_pop("_c").over(run))
-    rows = rows.withColumn("_std", F.when(F.col("_mad") < 1e-6, F.col("_sd")).otherwise(F.col("_mad")))
+    rows = rows.withColumn("_mad", NORMAL_DEVIATION * F.percentile(F.abs(F.col("_c") - F.col("_m")), F.lit(0.5)).over(run)).withColumn("_sd", F.stddev_pop("_c").over(run))
+    rows = rows.withColumn("_std", F.when(F.col("_mad") < LEAST_DEVIATION, F.col("_sd")).otherwise(F.col("_mad")))
     rows = rows.withColumn("_thr", F.col("_m") + F.greatest(factor * F.col("_std"), F.lit(float(least_change))))
     active = F.when(x > F.col("_thr"), F.col("time"))
     found = rows.groupBy("run_id").agg(F.first("_m").alias("baseline_median"), F.first("_std").alias("baseline_std"), F.first("_thr").alias("threshold"), F.min(active).alias("_first"), F.max(active).alias("_last"), F.min("time").alias("_from"), F.max("time").alias("_to"))
@@ -92,7 +96,7 @@ def active_segment(series: DataFrame, signal: str = "force_mag", baseline: float
     )
 
 
-def trim(series: DataFrame, segments: DataFrame, least_rows: int = 20) -> DataFrame:
+def trim(series: DataFrame, segments: DataFrame, least_rows: int = LEAST_HEAD) -> DataFrame:
     """Rows inside each run's segment, time from its first kept row.
 
     Under ``least_rows`` rows the whole run stays (used_full_trajectory).
