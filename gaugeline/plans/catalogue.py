@@ -754,7 +754,7 @@ def topic_messages(spark, d):
     return rounded(found.groupBy("run_id").agg(F.count("*").alias("messages"), last), "last")
 
 
-@query("SELECT event_id, (event_id % 7) // 3 AS \"row\", (event_id % 7) % 3 AS \"column\", left('Time ' || event_id || ', camera of the ' || event_type || ' with a name that goes on and on:', 55) AS caption FROM events")
+@query("SELECT event_id, ((event_id % 7) // 3)::INT AS \"row\", ((event_id % 7) % 3)::INT AS \"column\", left('Time ' || event_id || ', camera of the ' || event_type || ' with a name that goes on and on:', 55) AS caption FROM events")
 def sheet_layout(spark, d):
     """Places and captions of inputs on a sheet of three columns."""
     label = F.format_string("Time %d, camera of the %s with a name that goes on and on:", F.col("event_id"), F.col("event_type"))
