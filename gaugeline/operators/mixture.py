@@ -210,7 +210,7 @@ def _from_sums(sums: np.ndarray, d: int, reg: float) -> tuple[np.ndarray, np.nda
     return n / n.sum(), means, second - np.einsum("ki,kj->kij", means, means) + np.eye(d) * reg
 
 
-def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None, start: str = "parts", restarts: int = 1, seed: int = 0, sums: DataFrame | None = None) -> dict:
+def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None, start: str = "parts", restarts: int = 1, seed: int = 0, sums: DataFrame | None = None, limits: bool = True) -> dict:
     """Mixtures of nominal rows (run_id and columns): {None: model}, or one for each held-out run.
 
     ``start`` is "parts", equal parts by the first input column of all rows, or
@@ -218,7 +218,8 @@ def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int
     the one of most likelihood is taken.  A model stops when its mean
     log-likelihood gains less than ``tolerance``; one that has not after
     ``rounds`` is given with ``converged`` false and a warning.  ``sums`` are
-    those of ``run_sums``, if they are known already.
+    those of ``run_sums``, if they are known already.  Without ``limits`` the
+    components have none, which saves a pass.
     """
     columns = list(dict.fromkeys([*inputs, *outputs]))
     need(rows, "run_id", *columns)
@@ -251,8 +252,8 @@ def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int
             best[job.key] = job.model
     if late := [k for k, m in best.items() if not m.converged and tolerance > 0]:
         warnings.warn(f"{len(late)} of {len(best)} mixtures still gained after {rounds} rounds", stacklevel=2)
-    models = list(best.items())
-    for (_, model), found in zip(models, _limits(rows, columns, models, components, margin)):
+    models = list(best.items()) if limits else []
+    for (_, model), found in zip(models, _limits(rows, columns, models, components, margin) if models else []):
         model.limits = found
     return best
 
@@ -344,10 +345,81 @@ def _scored(rows: DataFrame, models_of, columns: list[str], limited: bool = True
     return rows.mapInPandas(run, f"{schema}, {added}")
 
 
-def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models: int = MODELS, **options) -> DataFrame:
-    """Scores of every run under a model of all other runs (column held_out_run), tile by tile of about ``models`` runs."""
+def _run_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, means and covariances of the columns of each run: a row a run."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    return rows.groupBy("run_id").agg(F.count("*").alias("_n"), F.array(*[F.avg(c) for c in columns]).alias("_mean"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("_cov"))
+
+
+def _full(upper: np.ndarray, d: int) -> np.ndarray:
+    """Symmetric matrices from the rows of their upper halves."""
+    out = np.empty((len(upper), d, d))
+    i, j = np.triu_indices(d)
+    out[:, i, j] = out[:, j, i] = upper
+    return out
+
+
+def _one_component(rows: DataFrame, inputs: list[str], outputs: list[str], reg: float = REG) -> DataFrame:
+    """Scores of every run under one component of all other runs, without a fit of its own.
+
+    One component takes every row whole in every round, so a model is the
+    moments of all runs less those of its own: a pass for the runs' moments,
+    one over a row a run for their total, one that scores.
+    """
+    columns = list(dict.fromkeys([*inputs, *outputs]))
+    d = len(columns)
+    a, b = [columns.index(c) for c in inputs], [columns.index(c) for c in outputs]
+    sums = settle(_run_moments(rows, columns), "run-moments", few=True)
+    weighted = lambda c: F.sum(F.col("_n") * c)
+    first = sums.agg(F.count("*"), F.sum("_n"), *[weighted(F.get("_mean", F.lit(i))) / F.sum("_n") for i in range(d)]).first()
+    if first[0] < 2:
+        raise ValueError("at least two nominal runs are needed")
+    n, mean = first[1], np.array(first[2:], float)
+    off = [F.get("_mean", F.lit(i)) - float(m) for i, m in enumerate(mean)]
+    i, j = np.triu_indices(d)
+    square = sums.agg(*[weighted(F.get("_cov", F.lit(k)) + off[int(x)] * off[int(y)]) for k, (x, y) in enumerate(zip(i, j))]).first()
+    square = _full(np.array([list(square)], float), d)[0]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own, which = np.unique(part["run_id"].to_numpy(), return_index=True)
+            at = np.searchsorted(own, part["run_id"].to_numpy())
+            held = part.iloc[which]
+            count, means, cov = held["_n"].to_numpy(dtype=float), np.stack(held["_mean"]).astype(float), _full(np.stack(held["_cov"]).astype(float), d)
+            # moments about the mean of all rows, less the run's own, moved to the mean of the rest
+            left, away = n - count, means - mean
+            shift = mean - (count / left)[:, None] * away
+            moved = shift - mean
+            rest = square - count[:, None, None] * (cov + away[:, :, None] * away[:, None, :]) - left[:, None, None] * moved[:, :, None] * moved[:, None, :]
+            rest /= left[:, None, None]
+            scale = np.sqrt(np.maximum(rest[:, range(d), range(d)], 0))
+            scale[scale == 0] = 1.0
+            rest = rest / scale[:, :, None] / scale[:, None, :] + np.eye(d) * reg
+            known = np.linalg.pinv(rest[:, a][:, :, a] + np.eye(len(a)) * reg)
+            gain = rest[:, b][:, :, a] @ known
+            told = rest[:, b][:, :, b] - gain @ rest[:, a][:, :, b]
+            told = np.linalg.pinv(0.5 * (told + told.transpose(0, 2, 1)) + 2 * np.eye(len(b)) * reg)
+            x = (part[columns].to_numpy(dtype=float) - shift[at]) / scale[at]
+            apart = x[:, b] - np.einsum("nij,nj->ni", gain[at], x[:, a])
+            distance = np.sqrt(np.maximum(np.einsum("ni,nij,nj->n", apart, told[at], apart), 0))
+            yield part.drop(columns=["_n", "_mean", "_cov"]).assign(mahalanobis=distance, component=np.zeros(len(part), "int32"), held_out_run=part["run_id"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    joined = rows.join(sums, "run_id").select(*rows.columns, "_n", "_mean", "_cov")
+    return joined.mapInPandas(run, f"{schema}, mahalanobis double, component int, held_out_run {kinds['run_id']}")
+
+
+def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models: int = MODELS, limits: bool = True, **options) -> DataFrame:
+    """Scores of every run under a model of all other runs (column held_out_run), tile by tile of about ``models`` runs.
+
+    Without ``limits`` there are no component_threshold, epsilon and anomaly,
+    and one component needs no tiles (``_one_component``).
+    """
     columns = list(dict.fromkeys([*inputs, *outputs]))
     need(rows, "run_id", *columns)
+    if not limits and options.get("components", 3) == 1:
+        return _one_component(rows, inputs, outputs, options.get("reg", REG))
     spark = rows.sparkSession
     sums = settle(run_sums(rows, columns), "run-sums", few=True)
     runs = sums.count()
@@ -359,12 +431,12 @@ def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models
         held = [r["run_id"] for r in sums.where(of_tile(t)).select("run_id").orderBy("run_id").collect()]  # a tile's runs
         if not held:
             continue
-        found = fit(rows, inputs, outputs, hold_out=held, sums=sums, **options)
+        found = fit(rows, inputs, outputs, hold_out=held, sums=sums, limits=limits, **options)
 
         def models_of(part: pd.DataFrame, found=found):
             return [(at, found[run]) for run, at in part.groupby("run_id").indices.items()]
 
-        scored = _scored(rows.where(of_tile(t)), models_of, columns).withColumn("held_out_run", F.col("run_id"))
+        scored = _scored(rows.where(of_tile(t)), models_of, columns, limits).withColumn("held_out_run", F.col("run_id"))
         schema = scored.schema
         scored.write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)

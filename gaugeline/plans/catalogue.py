@@ -355,7 +355,7 @@ held AS (SELECT run_id, seq, "index", phase, sqrt(power(b - r / (1 + 2e-5) * a,
 
 def held_out(spark, d):
     rows = phased(spark, d).where("phase is not null").select("run_id", "seq", "index", "phase", F.col("mahalanobis").alias("value"))
-    return mixture.leave_one_out(rows, ["phase"], ["value"], components=1)
+    return mixture.leave_one_out(rows, ["phase"], ["value"], components=1, limits=False)
 
 
 @query(f"WITH {HELD_OUT} SELECT run_id, seq, round(m, 4) AS mahalanobis, run_id AS held_out_run FROM held")
@@ -424,7 +424,7 @@ def gmr_mixture(spark, d):
 def held_out_mixture(spark, d):
     """Every run under a mixture of all other runs, with the defaults: three components, until each stops to gain."""
     rows = shared.settle(phased(spark, d).where("phase is not null").select("run_id", "seq", "phase", F.col("mahalanobis").alias("value")), "phased")
-    found = mixture.leave_one_out(rows, ["phase"], ["value"])
+    found = mixture.leave_one_out(rows, ["phase"], ["value"], limits=False)
     return rounded(found.select("run_id", "seq", "held_out_run", "component", "mahalanobis"), "mahalanobis", digits=4)
 
 

@@ -282,6 +282,26 @@ def test_mixture_fit_gains_and_scores(spark):
         assert not mixture.fit(df, ["phase"], ["u", "v"], rounds=2)[None].converged
 
 
+def test_one_component_leave_one_out_starts_no_fit(spark, monkeypatch):
+    """The moments of all runs less a run's own: the same scores as fits, run by run, without one."""
+    rng = np.random.default_rng(5)
+    rows = [(run, int(k), float(a), float(a * 2 + run + rng.normal()), float(rng.normal() * (run + 1)), 4.0) for run in range(9) for k, a in enumerate(rng.random(3 + run * 4))]
+    df = frame(spark, rows, "run_id long, seq int, phase double, u double, v double, same double").repartition(3)
+    inputs, outputs = ["phase", "same"], ["u", "v"]
+    want = {r: mixture.fit(df.where(f"run_id <> {r}"), inputs, outputs, components=1, limits=False)[None] for r in range(9)}
+
+    def none(*_, **__):
+        raise AssertionError("a fit was started")
+
+    monkeypatch.setattr(mixture, "fit", none)
+    got = mixture.leave_one_out(df, inputs, outputs, components=1, limits=False).toPandas()
+    assert len(got) == len(rows) and (got["held_out_run"] == got["run_id"]).all() and (got["component"] == 0).all()
+    for run, mine in got.groupby("run_id"):
+        assert np.allclose(mine["mahalanobis"], want[run].score(mine[["phase", "same", "u", "v"]].to_numpy())[0])
+    with pytest.raises(ValueError):
+        mixture.leave_one_out(df.where("run_id = 0"), ["phase"], ["u"], components=1, limits=False)
+
+
 def plain_mixture(x, components, starts, rounds=100, reg=1e-5, tolerance=1e-3):
     """The best mean log-likelihood of several starts by k-means++ and moved means, in plain NumPy."""
     best, d = -np.inf, x.shape[1]
