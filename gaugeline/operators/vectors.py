@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +16,7 @@ from gaugeline.operators.quantiles import exact_quantiles
 from gaugeline.operators.thresholds import lookup, visual_threshold
 from gaugeline.sources.shared import settle
 
-#: Rows of a block of queries and of a block of memory: a task compares one pair of blocks.
+#: Rows of a block of queries and of a block of memory.
 BLOCK = 2048
 #: Cells that each stage's memory is cut into, by its nearest pivot, and rows a pivot is chosen from.
 PIVOTS, SAMPLED = 48, 32
@@ -87,81 +86,152 @@ def _spread(vectors: np.ndarray, n: int) -> np.ndarray:
     return vectors[chosen]
 
 
-def _celled(df: DataFrame, pivots: dict[int, np.ndarray], rows: int) -> DataFrame:
-    """The table with cell (the nearest pivot of the row's stage), off (how far from it) and length."""
+def _held(blob: bytes, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(blob, dtype=kind)
+
+
+def _celled(df: DataFrame, pivots: dict[int, np.ndarray], base: dict[int, int], sample: dict | None = None, k: int = 0) -> DataFrame:
+    """Rows of stages that have pivots, with cell (the nearest pivot, numbered over all stages), off (how far from it), length and bound.
+
+    The k-th least distance to the sampled items of the stage bounds that to all items.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            v, stages = _matrix(part.column("v")), part.column("stage").to_numpy()
-            cell, off = np.zeros(len(part), dtype=np.int32), np.zeros(len(part))
+            v, stages, groups = _matrix(part.column("v")), part.column("stage").to_numpy(), part.column("group").to_numpy()
+            cell, off, bound = np.full(len(part), -1, dtype=np.int32), np.zeros(len(part)), np.full(len(part), np.inf)
             for stage in np.unique(stages):
                 at, known = np.flatnonzero(stages == stage), pivots.get(int(stage))
-                if known is not None:
-                    apart = np.sqrt(np.maximum((v[at] ** 2).sum(axis=1)[:, None] + (known**2).sum(axis=1) - 2 * v[at] @ known.T, 0))
-                    cell[at], off[at] = apart.argmin(axis=1), apart.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(off), pa.array(np.sqrt((v**2).sum(axis=1)))], [*part.schema.names, "cell", "off", "length"])
+                if known is None:
+                    continue
+                apart = np.sqrt(np.maximum((v[at] ** 2).sum(axis=1)[:, None] + (known**2).sum(axis=1) - 2 * v[at] @ known.T, 0))
+                cell[at], off[at] = base[int(stage)] + apart.argmin(axis=1), apart.min(axis=1)
+                if sample and len(sample[int(stage)][0]) >= k:
+                    theirs, their_groups = sample[int(stage)]
+                    for x in (at[i : i + 512] for i in range(0, len(at), 512)):
+                        far = 1.0 - v[x] @ theirs.T
+                        far[(groups[x][:, None] == their_groups) | ~np.isfinite(far)] = np.inf
+                        bound[x] = np.partition(far, k - 1, axis=1)[:, k - 1]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell), pa.array(off), pa.array(np.sqrt((v**2).sum(axis=1))), pa.array(bound)], [*part.schema.names, "cell", "off", "length", "bound"])
 
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{schema}, cell int, off double, length double").withColumn("part", F.pmod(F.xxhash64(df.columns[0]), F.lit(rows)))
-
-
-def _pairs(q: DataFrame, m: DataFrame, cells: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
-    """The k nearest that each query finds in the cells (stage, qc, mc, radius, nq, nm) its own is to meet."""
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asks = q.join(cells.withColumnRenamed("qc", "cell"), ["stage", "cell"]).withColumn("qb", F.pmod("part", F.col("nq"))).withColumn("mb", every("nm"))
-    holds = m.join(cells.withColumnRenamed("mc", "cell"), ["stage", "cell"]).withColumn("mb", F.pmod("part", F.col("nm"))).withColumn("qb", every("nq"))
-    asks = asks.select("stage", F.col("cell").alias("qc"), "mc", "qb", "mb", "query_id", "v", "group", "length", "bound", "radius")
-    holds = holds.select("stage", "qc", F.col("cell").alias("mc"), "qb", "mb", "item_id", "v", "group")
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) and len(b):
-            v = np.stack(a["v"]).astype(float)
-            # no item of the cell is nearer than its pivot less the cell's radius: queries that have k nearer ones are done
-            pivot = pivots[int(a["stage"].iloc[0])][int(a["mc"].iloc[0])]
-            least = 1.0 - v @ pivot - a["length"].to_numpy() * a["radius"].to_numpy()
-            open_ = ~(least > a["bound"].to_numpy() + SLACK)
-            a, v = a[open_], v[open_]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "item_id": [], "distance": []}).astype({"query_id": "int64", "item_id": "int64"})
-        far = 1.0 - v @ np.stack(b["v"]).astype(float).T
-        far[a["group"].to_numpy()[:, None] == b["group"].to_numpy()] = np.inf
-        rows, cols = _best(far, b["item_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[cols], "distance": far[rows, cols]})
-
-    by = ("stage", "qc", "mc", "qb", "mb")
-    return asks.groupBy(*by).cogroup(holds.groupBy(*by)).applyInPandas(compare, NEAR)
+    return df.mapInArrow(run, f"{schema}, cell int, off double, length double, bound double").where("cell >= 0")
+
+
+def _blocks(rows: DataFrame, counts: dict[int, int], block: int, make, schema: str) -> DataFrame:
+    """A row for each block of about ``block`` rows of one cell: ids, groups and vectors as bytes, and what ``make`` adds."""
+    parts = {cell: -(-n // block) for cell, n in counts.items()}
+    spark = rows.sparkSession
+    sizes = F.broadcast(spark.createDataFrame([(c, n) for c, n in parts.items()], "cell int, _parts int"))  # a row a cell
+    id_col = rows.columns[0]
+    spread = max(1, min(sum(parts.values()), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(parts.values()) // 16)))
+    dealt = rows.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_parts"))).drop("_parts").repartition(spread, "cell", "part")
+
+    def gather(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        flat = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        held = [group.column(id_col).to_numpy().astype(np.int64).tobytes(), group.column("group").to_numpy().astype(np.int64).tobytes(), flat.tobytes()]
+        cell, more = group.column("cell")[0].as_py(), make(group)
+        names = ["cell", "n", "ids", "groups", "v", *more]
+        return pa.table([pa.array([cell], pa.int32()), pa.array([len(group)], pa.int32()), *(pa.array([x], pa.binary()) for x in held), *more.values()], names)
+
+    return dealt.groupBy("cell", "part").applyInArrow(gather, f"cell int, n int, ids binary, groups binary, v binary, {schema}")
+
+
+def _merged(found: tuple[np.ndarray, np.ndarray], rows: np.ndarray, items: np.ndarray, far: np.ndarray, k: int) -> None:
+    """Take candidates of some rows into the k best (distances, items) of a block."""
+    distance, item = found
+    some = np.unique(rows)
+    at = np.concatenate([np.repeat(some, k), rows])
+    d, i = np.concatenate([distance[some].ravel(), far]), np.concatenate([item[some].ravel(), items])
+    order = np.lexsort((i, d, at))
+    at, d, i = at[order], d[order], i[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    kept = rank < k
+    distance[at[kept], rank[kept]], item[at[kept], rank[kept]] = d[kept], i[kept]
+
+
+def _pairs(asks: DataFrame, holds: DataFrame, pivots: list[np.ndarray], kind: np.dtype, kind_m: np.dtype, k: int) -> DataFrame:
+    """The k nearest that the queries of each block find in the cells that it wants.
+
+    Blocks are read where they lie: a task goes through pairs of a part of the
+    queries' blocks and the memory's blocks one after the other, keeps the k best
+    of its queries, and gives them once.  Vectors are not copied for the pairs.
+    """
+    spark = asks.sparkSession
+    theirs = holds.select(F.col("cell").alias("mc"), F.col("ids").alias("items"), F.col("groups").alias("their_groups"), F.col("v").alias("theirs"), "radius")
+    met = asks.join(theirs.hint("shuffle_replicate_nl"), F.array_contains("wants", F.col("mc")))
+    left, right = asks.rdd.getNumPartitions(), theirs.rdd.getNumPartitions()
+    # a part of the queries meets all memory in one task, or in a few where there are fewer parts than the session has slots
+    met = met.coalesce(max(1, left) * max(1, min(right, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, left)))))
+    met = met.select("cell", "ids", "groups", "v", "lengths", "bounds", "mc", "items", "their_groups", "theirs", "radius")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple] = {}
+        for part in parts:
+            for at in range(len(part)):
+                own, blob, groups, v, lengths, bounds, cell, items, their_groups, theirs, radius = (c[at].as_py() for c in part.columns)
+                ids, groups, length, bound = _held(blob, np.int64), _held(groups, np.int64), _held(lengths), _held(bounds)
+                items, their_groups = _held(items, np.int64), _held(their_groups, np.int64)
+                if (own, blob) not in best:
+                    best[own, blob] = (ids, (np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)))
+                found = best[own, blob][1]
+                v = _held(v, kind).astype(float).reshape(len(ids), -1)
+                # no item of the block is nearer than its pivot less the radius: queries that have k nearer ones are done
+                least = 1.0 - v @ pivots[cell] - length * radius
+                open_ = np.flatnonzero(~(least > np.minimum(bound, found[0][:, -1]) + SLACK))
+                w = _held(theirs, kind_m).astype(float).reshape(len(items), -1).T if len(open_) else None
+                for x in (open_[i : i + 512] for i in range(0, len(open_), 512)):
+                    far = 1.0 - v[x] @ w
+                    far[groups[x][:, None] == their_groups] = np.inf
+                    nearer = np.flatnonzero(np.fmin.reduce(far, axis=1) <= np.minimum(bound[x] + SLACK, found[0][x, -1]))
+                    if len(nearer):
+                        rows, cols = _best(far[nearer], items, k)
+                        _merged(found, x[nearer][rows], items[cols], far[nearer[rows], cols], k)
+        for ids, (distance, item) in best.values():
+            rows, cols = np.nonzero(np.isfinite(distance))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[rows, cols]), pa.array(distance[rows, cols])], ["query_id", "item_id", "distance"])
+
+    return met.mapInArrow(run, NEAR)
 
 
 def _pruned(q: DataFrame, m: DataFrame, k: int, block: int, pivots_: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates of all queries, and the pairs of cells that met (first and later)."""
+    """Candidates of all queries, and the blocks of queries with the cells that they meet."""
     # pivots come from the rows of least hash of each stage, a bounded number of vectors
     order = W.partitionBy("stage").orderBy(F.xxhash64("item_id"), "item_id")
-    sample = m.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLED * pivots_).select("stage", "_r", "v").toPandas().sort_values("_r")
-    pivots = {int(stage): _spread(np.stack(rows["v"]).astype(float), pivots_) for stage, rows in sample.groupby("stage")}
-    parts = 1 << 20
-    q, m = settle(_celled(q, pivots, parts), "query-cells"), settle(_celled(m, pivots, parts), "memory-cells")
-    blocks = F.ceil(F.count("*") / block)
-    of_q = q.groupBy("stage", F.col("cell").alias("qc")).agg(blocks.alias("nq"), F.max("off").alias("reach"), F.max("length").alias("longest"), F.count("*").alias("queries"))
-    of_m = m.groupBy("stage", F.col("cell").alias("mc")).agg(blocks.alias("nm"), F.max("off").alias("radius"), F.count("*").alias("items"))
-    # a row a pair of cells of one stage: pivots by pivots, whatever the tables
-    between = [(s, i, j, float(np.dot(p[i], p[j])), float(np.linalg.norm(p[j]))) for s, p in pivots.items() for i in range(len(p)) for j in range(len(p))]
-    known = q.sparkSession.createDataFrame(between, "stage int, qc int, mc int, dot double, size double")
-    pairs = settle(known.join(of_q, ["stage", "qc"]).join(of_m, ["stage", "mc"]), "cell-pairs", few=True)
-    # first each cell meets the one whose pivot is nearest; what it finds bounds the k-th distance
-    nearest_ = W.partitionBy("stage", "qc").orderBy(F.desc("dot"), "mc")
-    first = settle(pairs.withColumn("_r", F.row_number().over(nearest_)).where("_r = 1").drop("_r"), "first-cells", few=True)
-    open_ = q.withColumn("bound", F.lit(float("inf")))
-    found = settle(_pairs(open_, m, first, pivots, k), "first-candidates")
-    by_distance = W.partitionBy("query_id").orderBy("distance", "item_id")
-    bounds = found.withColumn("_r", F.row_number().over(by_distance)).where(F.col("_r") == k).select("query_id", F.col("distance").alias("_bound"))
-    bounded = settle(q.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("_bound", F.lit(float("inf")))).drop("_bound"), "bounded-queries")
-    farthest = bounded.groupBy("stage", F.col("cell").alias("qc")).agg(F.max("bound").alias("farthest"))
-    # dot(q, x) <= dot(p, r) + |q - p| |r| + |q| |x - r| for the pivots p and r of q and x
-    least = 1 - (F.col("dot") + F.col("reach") * F.col("size") + F.col("longest") * F.col("radius"))
-    later = pairs.join(first.select("stage", "qc", F.col("mc").alias("_m")), ["stage", "qc"]).where("mc <> _m").drop("_m")
-    later = settle(later.join(farthest, ["stage", "qc"]).where(least <= F.col("farthest") + SLACK), "later-cells", few=True)
-    met = first.select("queries", "items").unionByName(later.select("queries", "items"))
-    return found.unionByName(_pairs(bounded, m, later, pivots, k)), met
+    sample = m.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLED * pivots_).select("stage", "_r", "v", "group").toPandas().sort_values("_r")
+    sampled = {int(stage): (np.stack(rows["v"]).astype(float), rows["group"].to_numpy()) for stage, rows in sample.groupby("stage")}
+    pivots = {stage: _spread(v, pivots_) for stage, (v, _) in sampled.items()}
+    base = dict(zip(pivots, np.cumsum([0, *(len(p) for p in pivots.values())]).tolist()))
+    all_pivots = [p for known in pivots.values() for p in known]
+    kinds = [np.dtype("float32" if dict(side.dtypes)["v"] == "array<float>" else "float64") for side in (q, m)]
+    q, m = (side.withColumn("v", F.col("v").cast(f"array<{'float' if kind == np.float32 else 'double'}>")) for side, kind in zip((q, m), kinds))
+    q, m = settle(_celled(q, pivots, base, sampled, k), "query-cells"), settle(_celled(m, pivots, base), "memory-cells")
+    of_q = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    of_m = {r["cell"]: (r["n"], r["radius"]) for r in m.groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()}
+
+    def wants(group: pa.Table) -> dict[str, pa.Array]:
+        cell = group.column("cell")[0].as_py()
+        reach, longest, farthest = (group.column(c).to_numpy().max() for c in ("off", "length", "bound"))
+        stage = next(s for s, b in base.items() if b <= cell < b + len(pivots[s]))
+        met = []
+        for other in range(base[stage], base[stage] + len(pivots[stage])):
+            if other in of_m:
+                # dot(q, x) <= dot(p, r) + |q - p| |r| + |q| |x - r| for the pivots p and r of q and x
+                p, r = all_pivots[cell], all_pivots[other]
+                least = 1 - (p @ r + reach * np.linalg.norm(r) + longest * of_m[other][1])
+                if not least > farthest + SLACK:
+                    met.append(other)
+        return {"lengths": pa.array([group.column("length").to_numpy().tobytes()], pa.binary()), "bounds": pa.array([group.column("bound").to_numpy().tobytes()], pa.binary()), "wants": pa.array([met], pa.list_(pa.int32()))}
+
+    def radius(group: pa.Table) -> dict[str, pa.Array]:
+        return {"radius": pa.array([group.column("off").to_numpy().max()], pa.float64())}
+
+    asks = settle(_blocks(q, of_q, block, wants, "lengths binary, bounds binary, wants array<int>"), "query-blocks")
+    holds = settle(_blocks(m, {c: n for c, (n, _) in of_m.items()}, block, radius, "radius double"), "memory-blocks")
+    items = q.sparkSession.createDataFrame([(c, n) for c, (n, _) in of_m.items()], "cell int, items long")
+    met = asks.select(F.col("n").alias("queries"), F.explode("wants").alias("cell")).join(F.broadcast(items), "cell")
+    return _pairs(asks, holds, all_pivots, *kinds, k), met
 
 
 def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool = False, apart: bool = False, block: int = BLOCK, pivots: int = PIVOTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -171,10 +241,10 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int = 5, by_stage: bool =
     distance is 1 less their dot product, and with ``by_stage`` an equal
     ``stage``, with ``apart`` another ``group`` is asked for.  Equal distances
     go by item_id.  A memory of at most ``broadcast_bytes`` goes to every task,
-    and queries are not shuffled.  A larger one is cut into cells around pivots:
-    each cell of queries meets the nearest cell of memory first, and then only
-    those that can hold something nearer than the k-th found, by the cells'
-    radii; in a pair that meets, queries whose own k-th is nearer are passed
+    and queries are not shuffled.  A larger one is cut into blocks of cells
+    around pivots: a block of queries meets the cells that can hold something
+    nearer than the k-th of a bounded sample, by the cells' radii, and in a
+    block that meets, queries that have found k nearer ones meanwhile are passed
     over.  The result is exact either way.  Rows without a vector have no
     neighbours; an empty memory gives no rows.
     """

@@ -383,6 +383,20 @@ def test_nearest_leaves_far_cells_out(spark):
         assert vectors.nearest(q, m.limit(0), 3, broadcast_bytes=most).count() == 0
 
 
+def test_nearest_moves_each_vector_once(spark):
+    """Pairs of blocks are read where they lie: no exchange of the plan copies a vector for each block it meets."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 8))
+    m = frame(spark, [(i, x.tolist(), i % 5) for i, x in enumerate(v)], "item_id long, cls array<double>, group int")
+    found = vectors.nearest(m.withColumnRenamed("item_id", "query_id"), m, 3, apart=True, block=20, pivots=6, broadcast_bytes=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    far = 1 - v @ v.T
+    far[np.arange(400)[:, None] % 5 == np.arange(400) % 5] = np.inf
+    got = found.orderBy("query_id", "rank").toPandas()
+    assert got["item_id"].tolist() == np.argsort(far, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
 def test_weights_check_their_arguments():
     for bad in ({"power": 0}, {"least": 1.5}):
         with pytest.raises(ValueError):
