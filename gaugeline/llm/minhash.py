@@ -60,6 +60,8 @@ from gaugeline.llm.tokens import batches
 
 SLOTS = 1 << 20
 BANDS, ROWS = 32, 4
+#: Bands that are tied first, before what they tie counts as one in the others.
+EARLY = 8
 #: Bands within clusters of more than a block; a link at 0.75 is missed with 1.6e-6.
 NARROW_BANDS, NARROW_ROWS = 230, 10
 #: Coordinates of the estimate that precedes an exact comparison, and how far
@@ -189,6 +191,18 @@ def _ties(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "band").where("node <> least").groupBy("node", "least").agg(F.count("*").alias("bands"))
 
 
+def _joined(banded: DataFrame) -> DataFrame:
+    """Edges (node, least) that join what shares a key in ``bands``; a key belongs to one band.
+
+    Ties of the first bands come first; what they tie to one node is that node
+    to the other bands, so a large group of near copies is not tied once a band.
+    """
+    early = settle(_ties(banded.select("node", F.explode(F.slice("bands", 1, EARLY)).alias("band"))).select("node", "least"), "early-ties", few=True)
+    first = components(early).withColumnRenamed("component", "stands")
+    later = banded.join(first, "node", "left").select(F.coalesce("stands", "node").alias("node"), F.explode(F.slice("bands", EARLY + 1, BANDS)).alias("band"))
+    return early.unionByName(_ties(later).select("node", "least"))
+
+
 def _weighed(members: DataFrame, *by: str) -> DataFrame:
     """How many blocks the members of each group fill."""
     return members.groupBy(*by).agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
@@ -247,9 +261,9 @@ def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")
 
 
-def _groups(rows: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int, text_col: str) -> DataFrame:
-    """node and component of the classes that have links; ``keyed`` has their bands."""
-    clusters = settle(components(_ties(keyed).select("node", "least")).join(classes.select("node", "n_shingles"), "node"), "clusters")
+def _groups(rows: DataFrame, classes: DataFrame, banded: DataFrame, percent: int, text_col: str) -> DataFrame:
+    """node and component of the classes that have links; ``banded`` has their bands."""
+    clusters = settle(components(_joined(settle(banded, "bands"))).join(classes.select("node", "n_shingles"), "node"), "clusters")
     heavy = settle(_weighed(clusters, "component").where("blocks > 1").select("component"), "heavy-clusters", few=True)
     texts = rows.select(F.col("_row").alias("node"), F.col(text_col).alias("text"))
     light = clusters.join(heavy, "component", "left_anti")
@@ -280,9 +294,9 @@ def decided(rows: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col
     # one row of each set stands for the class; its first row may come to name the group
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
     classes = settle(sketch.where("digest is not null").groupBy("digest").agg(F.min("_row").alias("node"), F.max("n_shingles").alias("n_shingles"), F.min(order).alias("first")), "classes")
-    keyed = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("band"))
+    banded = sketch.where("digest is not null").select(F.col("_row").alias("node"), "bands").join(classes.select("node"), "node", "left_semi")
     with scratch():
-        found = settle(_groups(rows, classes, keyed, percent, text_col), "groups", few=True, keep=True)
+        found = settle(_groups(rows, classes, banded, percent, text_col), "groups", few=True, keep=True)
     # of each group the first row; classes without links name themselves
     linked = classes.join(found, "node").select("digest", "component", "first")
     firsts = settle(linked.groupBy("component").agg(F.min("first").alias("named")), "firsts", few=True)

@@ -674,3 +674,27 @@ def test_labelled_sample_is_bounded_and_settled(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, None), (7, 1), (None, 1)], "doc_id long, g int")
     found = [sorted(map(tuple, labelled_sample(docs.repartition(n), labels.repartition(n), F.col("g")).collect())) for n in (1, 3)]
     assert found[0] == found[1] and sorted(g for _, g in found[0]) == [0, 1]
+
+
+def test_bands_after_the_first_tie_what_those_left_apart(spark):
+    """The components of all bands, from fewer ties: near copies are tied by the first bands alone."""
+    rng = np.random.default_rng(3)
+    centre = rng.integers(0, 1 << 40, minhash.BANDS)
+    rows = []
+    for node in range(240):
+        bands = rng.integers(1 << 41, 1 << 42, minhash.BANDS)
+        if node < 120:  # near copies: most bands are the centre's
+            bands = np.where(rng.random(minhash.BANDS) < 0.9, centre, bands)
+        elif node < 200:  # chains by one band, early or late
+            # a key belongs to one band
+            bands[node // 2 % minhash.BANDS] = (1 << 50) + node // 2
+            bands[node // 10 % minhash.BANDS] = (1 << 51) + node // 10
+        rows.append((node, bands.tolist()))
+    banded = spark.createDataFrame(rows, "node long, bands array<long>")
+    keyed = banded.select("node", F.explode("bands").alias("band"))
+    plain = lambda edges: sorted(map(tuple, components.components(edges.select("node", "least")).collect()))
+    joined = minhash._joined(banded)
+    assert plain(joined) == plain(minhash._ties(keyed))
+    ties = lambda bands: minhash._ties(bands).agg(F.sum("bands")).first()[0]
+    first = joined.where("node < 120").count()
+    assert first < ties(keyed) / 4
