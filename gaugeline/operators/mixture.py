@@ -3,7 +3,9 @@
 A Gaussian mixture over inputs and outputs together is fitted by sums: in each
 round every partition adds up responsibilities, first and second moments for
 all models at once (with leave-one-out, one model a held-out run), and the
-driver gets K * (1 + d + d*d) numbers a model.  Every model stops by itself, so
+driver gets their sums, K * (1 + d + d*(d+1)/2) numbers a model.  A log density
+is a weighted sum of a row's terms (1, columns, products of two), so densities
+of many rows under all models, and the sums, are products of matrices.  Every model stops by itself, so
 what it becomes does not depend on the models that share its passes.
 
 Leave-one-out goes by tiles of runs: scales of its models come from sums of all
@@ -16,11 +18,12 @@ over the rows grow with the tiles, as each held-out run asks for a fit of its ow
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ REG = 1e-5
 #: Fixed values of the density where a matrix has no positive determinant, and the least weight in a logarithm.
 SINGULAR_REG, LEAST_DETERMINANT, LEAST_WEIGHT = 1e-4, 1e-12, 1e-12
 #: Leave-one-out models that are fitted together, about.
-MODELS = 256
+MODELS = 2048
+#: Numbers of a matrix of rows and models in a task, and models whose sums travel together.
+CELLS, TOGETHER = 1 << 17, 64
 #: Rounds of moving seeds to the means of their rows before the first round of a mixture.
 MOVES = 3
 
@@ -89,14 +94,20 @@ def _inverse(matrix: np.ndarray, reg: float) -> np.ndarray:
     return np.linalg.pinv(matrix + np.eye(len(matrix)) * reg)
 
 
+def _precision(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and log determinant of a matrix, or of each of a stack."""
+    sign, log_det = np.linalg.slogdet(matrix)
+    if np.any(sign <= 0):
+        lifted = np.linalg.det(matrix + np.eye(matrix.shape[-1]) * SINGULAR_REG)
+        log_det = np.where(sign > 0, log_det, np.log(np.maximum(lifted, LEAST_DETERMINANT)))
+    return np.linalg.pinv(matrix), log_det
+
+
 def _log_density(x: np.ndarray, mean: np.ndarray, covariance: np.ndarray, reg: float) -> np.ndarray:
     d = len(mean)
-    matrix = covariance + np.eye(d) * reg
-    sign, log_det = np.linalg.slogdet(matrix)
-    if sign <= 0:
-        log_det = np.log(max(np.linalg.det(matrix + np.eye(d) * SINGULAR_REG), LEAST_DETERMINANT))
+    inverse, log_det = _precision(covariance + np.eye(d) * reg)
     off = x - mean
-    return -0.5 * (d * np.log(2 * np.pi) + log_det + np.einsum("ni,ij,nj->n", off, np.linalg.pinv(matrix), off))
+    return -0.5 * (d * np.log(2 * np.pi) + log_det + np.einsum("ni,ij,nj->n", off, inverse, off))
 
 
 def scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,48 +130,125 @@ class _Job:
     def kept(self, part: pd.DataFrame, raw: np.ndarray) -> np.ndarray:
         return ((raw if self.key is None else raw[(part["run_id"] != self.key).to_numpy()]) - self.shift) / self.scale
 
-    def responsibilities(self, x: np.ndarray, components: int) -> tuple[np.ndarray, float]:
-        """Shares of the components in each row, and the log-likelihood of the rows."""
-        if self.model is None:
-            if self.begin.ndim == 1:
-                return np.eye(components)[np.searchsorted(self.begin, x[:, 0], side="right")], 0.0
-            return np.eye(components)[_squares(x, self.begin).argmin(axis=1)], 0.0
-        m = self.model
-        log = np.stack([np.log(w + 1e-300) + _log_density(x, mean, c, 0.0) for w, mean, c in zip(m.weights, m.means, m.covariances)], axis=1)
-        top = log.max(axis=1, keepdims=True)
-        share = np.exp(log - top)
-        total = share.sum(axis=1, keepdims=True)
-        return share / total, float((top + np.log(total)).sum())
+    def begun(self, x: np.ndarray, components: int) -> np.ndarray:
+        """Shares of the components in each row before the first round."""
+        if self.begin.ndim == 1:
+            return np.eye(components)[np.searchsorted(self.begin, x[:, 0], side="right")]
+        return np.eye(components)[_squares(x, self.begin).argmin(axis=1)]
 
 
 def _squares(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - seeds[None, :, :]) ** 2).sum(axis=2)
 
 
+def _terms(x: np.ndarray) -> np.ndarray:
+    """One, the columns, and the products of two of them."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
+
+
+def _moved(jobs: list[_Job], shift: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands that turn rows in common scales into those of each job."""
+    own = np.stack([job.scale for job in jobs])
+    return scale / own, (shift - np.stack([job.shift for job in jobs])) / own
+
+
+def _forms(jobs: list[_Job], components: int, shift: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
+    """Of each component the weights (terms x jobs) that make its log density, with its share, of the terms of rows in common scales."""
+    d, (factor, summand) = len(shift), _moved(jobs, shift, scale)
+    i, j = np.triu_indices(d)
+    out = []
+    for k in range(components):
+        inverse, log_det = _precision(np.stack([job.model.covariances[k] for job in jobs]))
+        inverse = inverse * factor[:, :, None] * factor[:, None, :]
+        mean = (np.stack([job.model.means[k] for job in jobs]) - summand) / factor
+        pull = np.einsum("mij,mj->mi", inverse, mean)
+        share = np.log(np.array([job.model.weights[k] for job in jobs]) + 1e-300)
+        least = share - 0.5 * (d * np.log(2 * np.pi) + log_det + (mean * pull).sum(axis=1))
+        out.append(np.ascontiguousarray(np.column_stack([least, pull, np.where(i == j, -0.5, -1.0) * inverse[:, i, j]]).T))
+    return out
+
+
+def _left_out(keys: list) -> Callable[[pd.Series], tuple[np.ndarray, np.ndarray]]:
+    """Of rows by their run: the pairs of a row and a job (by its key) that leaves that run out."""
+    jobs = np.array([k for k, key in enumerate(keys) if key is not None], int)
+    code, known = pd.factorize(pd.Series([keys[k] for k in jobs]))
+    jobs, count = jobs[np.argsort(code, kind="stable")], np.bincount(code, minlength=len(known))
+    start = np.cumsum(count) - count
+
+    def pairs(runs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        of = pd.Index(known).get_indexer(runs)
+        rows = np.flatnonzero(of >= 0)
+        n = count[of[rows]]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(rows, n), jobs[np.repeat(start[of[rows]], n) + nth]
+
+    return pairs
+
+
 def _moments(rows: DataFrame, columns: list[str], jobs: list[_Job], components: int) -> list[tuple[np.ndarray, float]]:
     """Sums and log-likelihood of every job over the rows of the runs that it does not leave out."""
-    d = len(columns)
+    d, shift, scale = len(columns), jobs[0].shift, jobs[0].scale
+    begins = jobs if jobs[0].model is None else []
+    forms = [] if begins else _forms(jobs, components, shift, scale)
+    n, width, keys = len(jobs), 1 + d + d * (d + 1) // 2, [job.key for job in jobs]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, likelihood = np.zeros((len(jobs), components, 1 + d + d * d)), np.zeros(len(jobs))
+        total, likelihood = np.zeros((components, width, n)), np.zeros(n)
+        left_out, some = _left_out(keys), max(1, CELLS // n)
         for part in parts:
             raw = part[columns].to_numpy(dtype=float)
-            for k, job in enumerate(jobs):
-                x = job.kept(part, raw)
-                if len(x):
-                    r, gained = job.responsibilities(x, components)
-                    likelihood[k] += gained
-                    second = np.einsum("nk,ni,nj->kij", r, x, x).reshape(components, d * d)
-                    total[k] += np.concatenate([r.sum(axis=0)[:, None], r.T @ x, second], axis=1)
-        yield pd.DataFrame({"model": range(len(jobs)), "likelihood": likelihood, "sums": [t.ravel() for t in total]})
-
-    used = rows.select("run_id", *columns).mapInPandas(run, "model int, likelihood double, sums array<double>")
-    each = used.select("model", "likelihood", F.posexplode("sums").alias("at", "x")).groupBy("model", "at").agg(F.sum("x").alias("x"), F.sum("likelihood").alias("l"))
-    out = [[np.zeros(components * (1 + d + d * d)), 0.0] for _ in jobs]
-    for r in each.collect():
-        out[r["model"]][0][r["at"]] = r["x"]
-        out[r["model"]][1] = r["l"]
-    return [(s.reshape(components, 1 + d + d * d), l) for s, l in out]
+            terms = _terms((raw - shift) / scale)
+            out_rows, out_jobs = left_out(part["run_id"])
+            if begins:
+                order = np.argsort(out_jobs, kind="stable")
+                ends = np.searchsorted(out_jobs[order], np.arange(n + 1))
+                for k, job in enumerate(begins):
+                    share = job.begun((raw - job.shift) / job.scale, components)
+                    share[out_rows[order[ends[k] : ends[k + 1]]]] = 0
+                    total[:, :, k] += share.T @ terms
+                continue
+            cuts = np.searchsorted(out_rows, np.arange(0, len(part) + some, some))
+            for b, a in enumerate(range(0, len(part), some)):
+                t, at = terms[a : a + some], slice(cuts[b], cuts[b + 1])
+                own = out_rows[at] - a, out_jobs[at]
+                level = [t @ form for form in forms]  # rows x jobs, one a component
+                top = level[0].copy()
+                for x in level[1:]:
+                    np.maximum(top, x, out=top)
+                whole = np.zeros_like(top)
+                for x in level:
+                    x -= top
+                    np.exp(x, out=x)
+                    whole += x
+                top += np.log(whole)
+                np.reciprocal(whole, out=whole)
+                # the run that a job leaves out adds nothing to it
+                top[own] = whole[own] = 0
+                likelihood += top.sum(axis=0)
+                for k, x in enumerate(level):
+                    x *= whole
+                    total[k] += t.T @ x
+        flat = np.concatenate([total.reshape(-1, n), likelihood[None]])
+        groups = range(0, n, TOGETHER)
+        yield pd.DataFrame({"first": groups, "sums": [flat[:, g : g + TOGETHER].tobytes() for g in groups]})
+
+    def add(group: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
+        return pa.table({"first": group.column("first").slice(0, 1), "sums": pa.array([added.tobytes()], pa.binary())})
+
+    used = rows.select("run_id", *columns).mapInPandas(run, "first int, sums binary")
+    flat = np.zeros((components * width + 1, n))
+    for r in used.groupBy("first").applyInArrow(add, "first int, sums binary").collect():  # the sums of some jobs
+        flat[:, r["first"] : r["first"] + TOGETHER] = np.frombuffer(r["sums"]).reshape(len(flat), -1)
+    # from common scales to those of each job
+    (factor, summand), sums = _moved(jobs, shift, scale), flat[:-1].T.reshape(n, components, width)
+    count, x = sums[:, :, :1], sums[:, :, 1 : 1 + d] * factor[:, None, :]
+    square = _full(sums[:, :, 1 + d :].reshape(n * components, -1), d).reshape(n, components, d, d) * (factor[:, :, None] * factor[:, None, :])[:, None]
+    across = x[:, :, :, None] * summand[:, None, None, :]
+    square += across + across.swapaxes(2, 3) + count[..., None] * (summand[:, :, None] * summand[:, None, :])[:, None]
+    out = np.concatenate([count, x + count * summand[:, None, :], square.reshape(n, components, d * d)], axis=2)
+    return list(zip(out, flat[-1].tolist()))
 
 
 def _seeded(rows: DataFrame, columns: list[str], jobs: list[_Job], components: int, seed: int) -> None:
@@ -421,6 +509,8 @@ def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models
     if not limits and options.get("components", 3) == 1:
         return _one_component(rows, inputs, outputs, options.get("reg", REG))
     spark = rows.sparkSession
+    # every round goes through the rows with all models of a tile: they are dealt to all slots, however few they are
+    rows = settle(rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "held-out-rows")
     sums = settle(run_sums(rows, columns), "run-sums", few=True)
     runs = sums.count()
     if runs < 2:

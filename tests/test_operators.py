@@ -347,6 +347,34 @@ def test_seeded_start_is_as_likely_as_plain_restarts(spark):
     assert held.count() == 500 and held.where("mahalanobis is null").count() == 0
 
 
+def test_many_held_out_mixtures_share_their_passes(spark, monkeypatch):
+    """300 runs are one tile: a pass a round for all models, each of which is that of a fit without the run."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (1200, 2)) * [1, 3] + np.array([[-4, 50], [0, 40], [4, 60]])[rng.integers(0, 3, 1200)]
+    df = frame(spark, [(k % 300, float(a), float(b)) for k, (a, b) in enumerate(x)], "run_id long, phase double, u double").repartition(3)
+    passes, moments = [], mixture._moments
+    monkeypatch.setattr(mixture, "_moments", lambda *args: passes.append(len(args[2])) or moments(*args))
+    got = mixture.leave_one_out(df, ["phase"], ["u"], rounds=4, tolerance=0, limits=False).toPandas()
+    assert passes == [300] * 4 and len(got) == 1200
+    monkeypatch.undo()
+    cuts = mixture.exact_quantiles(df, "phase", {"a": 1 / 3, "b": 2 / 3}).first()
+    for run in (0, 17, 299):
+        kept, own = x[np.arange(1200) % 300 != run], x[np.arange(1200) % 300 == run]
+        z, r = (kept - kept.mean(0)) / kept.std(0), np.eye(3)[np.searchsorted([cuts["a"], cuts["b"]], kept[:, 0], side="right")]
+        for _ in range(4):
+            n = r.sum(0)
+            means = r.T @ z / n[:, None]
+            covariances = np.array([(r[:, k, None] * (z - means[k])).T @ (z - means[k]) / n[k] + mixture.REG * np.eye(2) for k in range(3)])
+            log = np.stack([np.log(n[k] / n.sum()) + mixture._log_density(z, means[k], covariances[k], 0.0) for k in range(3)], axis=1)
+            r = np.exp(log - log.max(axis=1, keepdims=True))
+            r /= r.sum(axis=1, keepdims=True)
+        model = mixture.Mixture(["phase"], ["u"], n / n.sum(), means, covariances, kept.mean(0), kept.std(0))
+        distance, component = model.score(own)
+        mine = got[got.run_id == run].sort_values("phase")
+        order = np.argsort(own[:, 0])
+        assert np.allclose(mine.mahalanobis, distance[order], atol=1e-8) and list(mine.component) == list(component[order])
+
+
 @pytest.mark.parametrize(("block", "most"), [(7, 0), (4096, 0), (7, 1 << 25)])
 def test_nearest_in_blocks(spark, block, most):
     rng = np.random.default_rng(4)
