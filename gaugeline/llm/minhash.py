@@ -70,6 +70,8 @@ LONG = 512
 MARGIN = 0.096
 #: Ties of each member that are verified, those of most bands, and members that meet one copy of their leader's set.
 LEADERS, LED = 3, 256
+#: Marks that tell which narrow keys only one member has, and the pieces that they are merged by.
+MARKS, PIECES = 1 << 25, 16
 #: Shingles and members of a block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 128
 #: Mean narrow bands of best ties up to which a cluster is one of a template: sets at a similarity of 0.65 share three.
@@ -203,6 +205,48 @@ def _joined(banded: DataFrame) -> DataFrame:
     return early.unionByName(_ties(later).select("node", "least"))
 
 
+def _shared_keys(banded: DataFrame) -> DataFrame:
+    """node and band of the keys in ``bands`` that tie: those of one node alone are left out before anything is shuffled.
+
+    A bounded table of marks says which keys may be met twice.  Keys that share
+    a mark by chance stay, so with very many keys more rows come out, never less.
+    """
+    spark = banded.sparkSession
+    marks, size = (lambda bands: bands.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(MARKS - 1)), MARKS // PIECES // 8
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(MARKS, bool), np.zeros(MARKS, bool)
+        for part in parts:
+            at, n = np.unique(marks(part.column(0)), return_counts=True)
+            twice[at[(n > 1) | once[at]]] = True
+            once[at] = True
+        once, twice = (np.packbits(x).reshape(PIECES, size) for x in (once, twice))
+        for k in range(PIECES):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([once[k].tobytes()], pa.binary()), pa.array([twice[k].tobytes()], pa.binary())], ["piece", "once", "twice"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for a, b in zip(group.column("once"), group.column("twice")):
+            a, b = (np.frombuffer(x.as_py(), np.uint8) for x in (a, b))
+            twice |= b | (once & a)
+            once |= a
+        return pa.table({"piece": group.column("piece").slice(0, 1), "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    marked = banded.select("bands").mapInArrow(mark, "piece int, once binary, twice binary").groupBy("piece").applyInArrow(merge, "piece int, twice binary")
+    held = {r["piece"]: r["twice"] for r in marked.collect()}  # of bounded size
+    shared = spark.sparkContext.broadcast(b"".join(held.get(k, bytes(size)) for k in range(PIECES)))
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        for part in parts:
+            node, bands = part.columns
+            tie = twice[marks(bands)]
+            of = np.repeat(node.to_numpy(), bands.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(of[tie]), pa.array(bands.flatten().to_numpy(zero_copy_only=False)[tie])], ["node", "band"])
+
+    return banded.select("node", "bands").mapInArrow(keys, "node long, band long")
+
+
 def _weighed(members: DataFrame, *by: str) -> DataFrame:
     """How many blocks the members of each group fill."""
     return members.groupBy(*by).agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
@@ -242,7 +286,8 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links of members of heavy clusters, and what is still to be compared (MEMBER)."""
-    ties = settle(_ties(sets.select("node", F.explode("bands").alias("band"))), "narrow-ties")
+    keyed = settle(_shared_keys(sets), "narrow-keys")
+    ties = settle(_ties(keyed), "narrow-ties")
     best = ties.groupBy("node").agg(F.max("bands").alias("bands"))
     order = W.partitionBy("node").orderBy(F.desc("bands"), "least")
     asked = ties.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("node", F.col("least").alias("leader"))
@@ -255,7 +300,8 @@ def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     groups = clusters.join(cut, "cluster", "left_anti")
     if not cut.isEmpty():
         of_template = clusters.join(cut, "cluster", "left_semi").select("node")
-        banded = sets.select("node", "bands").join(of_template, "node", "left_semi").select("node", F.explode("bands").alias("cluster"))
+        # a bucket of one member has one part
+        banded = keyed.join(of_template, "node", "left_semi").select("node", F.col("band").alias("cluster"))
         groups = groups.unionByName(_mixed(banded.join(parts, "node")))
     own = F.when(F.col("settled"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
     return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")

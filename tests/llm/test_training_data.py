@@ -698,3 +698,21 @@ def test_bands_after_the_first_tie_what_those_left_apart(spark):
     ties = lambda bands: minhash._ties(bands).agg(F.sum("bands")).first()[0]
     first = joined.where("node < 120").count()
     assert first < ties(keyed) / 4
+
+
+def test_narrow_keys_of_one_member_alone_are_not_shuffled(spark):
+    """Keys that two members have all come out, and few others; ties and their bands are those of all keys."""
+    rng = np.random.default_rng(5)
+    bands = rng.integers(-(1 << 62), 1 << 62, (300, minhash.NARROW_BANDS))
+    centre = rng.integers(-(1 << 62), 1 << 62, minhash.NARROW_BANDS)
+    bands[:150] = np.where(rng.random((150, minhash.NARROW_BANDS)) < 0.1, centre, bands[:150])
+    banded = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(bands)], "node long, bands array<long>").repartition(5)
+    keyed = banded.select("node", F.explode("bands").alias("band"))
+    found = minhash._shared_keys(banded).collect()
+    values, n = np.unique(bands, return_counts=True)
+    tied = set(values[n > 1].tolist())
+    want = {(k, int(x)) for k, row in enumerate(bands) for x in row if int(x) in tied}
+    assert want <= set(map(tuple, found)) and len(found) == len(set(found)) < len(want) + 0.02 * bands.size
+    plain = lambda rows: sorted(map(tuple, minhash._ties(rows).collect()))
+    assert plain(minhash._shared_keys(banded)) == plain(keyed)
+    assert minhash._shared_keys(banded.limit(0)).count() == 0
