@@ -15,12 +15,15 @@ How it runs
    Components of these ties are clusters: a link (Jaccard at or over the
    threshold) lies inside a cluster, but for the chance in ``miss_chance``.
 3. A cluster of more than a block is tied anew by narrower bands, which part
-   texts that only share a template (their midpoint is at 0.58).  Of each
-   member the ties of most bands are verified exactly; what the verified ties
-   join needs no more comparing.  So of a large group of near copies one part
-   is settled, and only the rest is compared, with each other and with it.
-   Where that rest outgrows a block too and best ties are of few bands, texts of
-   a template, members meet by narrow buckets instead of by cluster.
+   texts that only share a template (their midpoint is at 0.58).  Its members
+   meet in groups of bounded size, a task each, and a member makes one row, not
+   one a band; of a key that several groups of a cluster have, each sends one
+   member on.  Of each member the ties of most bands are verified exactly; what
+   the verified ties join needs no more comparing.  So of a large group of near
+   copies one part is settled, and only the rest is compared, with each other
+   and with it.  Where that rest outgrows a block too and best ties are of few
+   bands, texts of a template, members meet by narrow buckets instead of by
+   cluster.
 4. The sets of what is left of a cluster go to tasks that compare: an estimate
    from long signatures first, then exact intersections.  What outgrows a block
    is cut, and each pair of blocks is a task of its own.  A task emits no pairs
@@ -70,7 +73,9 @@ LONG = 512
 MARGIN = 0.096
 #: Ties of each member that are verified, those of most bands, and members that meet one copy of their leader's set.
 LEADERS, LED = 3, 256
-#: Marks that tell which narrow keys only one member has, and the pieces that they are merged by.
+#: Members of a large cluster whose narrow keys meet in one task.
+MEET = 4096
+#: Marks that tell which narrow keys only one row has, and the pieces that they are merged by.
 MARKS, PIECES = 1 << 25, 16
 #: Shingles and members of a block.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1_000_000, 128
@@ -206,7 +211,7 @@ def _joined(banded: DataFrame) -> DataFrame:
 
 
 def _shared_keys(banded: DataFrame) -> DataFrame:
-    """node and band of the keys in ``bands`` that tie: those of one node alone are left out before anything is shuffled.
+    """node and band of the keys in ``bands`` that tie: those of one row alone are left out before anything is shuffled.
 
     A bounded table of marks says which keys may be met twice.  Keys that share
     a mark by chance stay, so with very many keys more rows come out, never less.
@@ -247,6 +252,58 @@ def _shared_keys(banded: DataFrame) -> DataFrame:
     return banded.select("node", "bands").mapInArrow(keys, "node long, band long")
 
 
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least that edges (a, b) join it with."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _met(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """A row for each member of a large cluster (wide), from ties by narrow keys within its group of about MEET members.
+
+    tied: the least member that ties join it with; shared: the bands of its best
+    tie; leaders: the least members of its buckets, those of most bands; heads,
+    where the cluster has several groups: the keys whose least member it is.
+    """
+    groups = settle(large.groupBy("wide").agg(F.ceil(F.count("*") / MEET).alias("groups")), "groups-to-meet", few=True)
+    dealt = large.join(groups, "wide").select("node", "wide", "groups", F.pmod(F.xxhash64("node"), F.col("groups")).alias("group"))
+
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node").combine_chunks()
+        node, bands = group.column("node").to_numpy(), group.column("bands").combine_chunks()
+        n, keys = len(node), bands.flatten().to_numpy(zero_copy_only=False)
+        # members are in order, so the first of a bucket is its least
+        order = np.argsort(keys, kind="stable")
+        owner, sorted_ = np.repeat(np.arange(n), bands.value_lengths().to_numpy(zero_copy_only=False))[order], keys[order]
+        starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(sorted_)])
+        least = np.repeat(owner[starts], np.diff(np.append(starts, len(sorted_))))
+        pairs, count = np.unique((owner * n + least)[owner != least], return_counts=True)
+        a, b = np.divmod(pairs, n)
+        best = np.lexsort((b, -count, a))
+        a, b, count = a[best], b[best], count[best]
+        first = np.searchsorted(a, np.arange(n + 1))
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, a, count)
+        asked = np.arange(len(a)) - first[a] < LEADERS
+        per_node = lambda owners, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int64()))
+        if group.column("groups")[0].as_py() > 1:
+            by_head = np.argsort(owner[starts], kind="stable")
+            heads = per_node(owner[starts][by_head], sorted_[starts][by_head])
+        else:
+            heads = pa.nulls(n, pa.list_(pa.int64()))
+        return pa.table([pa.array(node), pa.array(node[_labels(n, a, b)]), pa.array(most, mask=most == 0), per_node(a[asked], node[b[asked]]), heads], ["node", "tied", "shared", "leaders", "heads"])
+
+    rows = sets.select("node", "bands").join(dealt, "node")
+    return settle(rows.groupBy("wide", "group").applyInArrow(meet, "node long, tied long, shared long, leaders array<long>, heads array<long>"), "met-members")
+
+
 def _weighed(members: DataFrame, *by: str) -> DataFrame:
     """How many blocks the members of each group fill."""
     return members.groupBy(*by).agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
@@ -285,23 +342,29 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _parted(heavy: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links of members of heavy clusters, and what is still to be compared (MEMBER)."""
-    keyed = settle(_shared_keys(sets), "narrow-keys")
-    ties = settle(_ties(keyed), "narrow-ties")
-    best = ties.groupBy("node").agg(F.max("bands").alias("bands"))
-    order = W.partitionBy("node").orderBy(F.desc("bands"), "least")
-    asked = ties.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("node", F.col("least").alias("leader"))
+    """Verified links of members of heavy clusters (wide, node, n_shingles), and what is still to be compared (MEMBER)."""
+    met = _met(heavy, sets)
+    best, asked, tied = met.select("node", "shared"), met.select("node", F.explode("leaders").alias("leader")), met.select("node", F.col("tied").alias("least"))
+    heads = met.where("heads is not null").select("node", F.col("heads").alias("bands"))
+    if not heads.isEmpty():
+        # groups of one cluster are tied by one member a key
+        ties = settle(_ties(settle(_shared_keys(heads), "keys-of-groups")), "ties-of-groups")
+        order = W.partitionBy("node").orderBy(F.desc("bands"), "least")
+        best = best.unionByName(ties.select("node", F.col("bands").alias("shared"))).groupBy("node").agg(F.max("shared").alias("shared"))
+        asked = asked.unionByName(ties.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("node", F.col("least").alias("leader")))
+        tied = tied.unionByName(ties.select("node", "least"))
     sure = settle(_verified(settle(asked, "asked-ties", few=True), sets, percent), "verified-ties", few=True)
-    parts = heavy.join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
-    parts = settle(parts.join(best.select("node", F.col("bands").alias("shared")), "node", "left"), "parts")
-    clusters = _mixed(components(ties.select("node", "least")).withColumnRenamed("component", "cluster").join(parts, "node"))
+    parts = heavy.select("node", "n_shingles").join(components(sure).withColumnRenamed("component", "joined"), "node", "left").withColumn("joined", F.coalesce("joined", "node"))
+    parts = settle(parts.join(best, "node", "left"), "parts")
+    clusters = _mixed(components(tied).withColumnRenamed("component", "cluster").join(parts, "node"))
     cut = clusters.groupBy("cluster").agg(F.max("rest").alias("most"), F.avg("shared").alias("shared")).where((F.col("most") > 1) & (F.col("shared") <= FEW_BANDS))
     cut = settle(cut.select("cluster"), "template-clusters", few=True)
     groups = clusters.join(cut, "cluster", "left_anti")
     if not cut.isEmpty():
         of_template = clusters.join(cut, "cluster", "left_semi").select("node")
         # a bucket of one member has one part
-        banded = keyed.join(of_template, "node", "left_semi").select("node", F.col("band").alias("cluster"))
+        keyed = settle(_shared_keys(sets.select("node", "bands").join(of_template, "node", "left_semi")), "narrow-keys")
+        banded = keyed.select("node", F.col("band").alias("cluster"))
         groups = groups.unionByName(_mixed(banded.join(parts, "node")))
     own = F.when(F.col("settled"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
     return sure, groups.select("cluster", own.alias("own"), "others", "joined", "node")
@@ -317,7 +380,7 @@ def _groups(rows: DataFrame, classes: DataFrame, banded: DataFrame, percent: int
     members = _sets(texts.join(light.select("node").hint("shuffle_hash"), "node")).join(light, "node").select(*MEMBER, "grams")
     sure = None
     if not heavy.isEmpty():
-        large = settle(clusters.join(heavy, "component", "left_semi").select("node", "n_shingles"), "heavy-nodes")
+        large = settle(clusters.join(heavy, "component", "left_semi").select(F.col("component").alias("wide"), "node", "n_shingles"), "heavy-nodes")
         sets = settle(_sets(texts.join(large.select("node"), "node"), narrow=True), "heavy-sets")
         sure, parted = _parted(large, sets, percent)
         members = members.unionByName(parted.join(sets.select("node", "grams"), "node").select(*MEMBER, "grams"))

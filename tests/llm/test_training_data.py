@@ -716,3 +716,51 @@ def test_narrow_keys_of_one_member_alone_are_not_shuffled(spark):
     plain = lambda rows: sorted(map(tuple, minhash._ties(rows).collect()))
     assert plain(minhash._shared_keys(banded)) == plain(keyed)
     assert minhash._shared_keys(banded.limit(0)).count() == 0
+
+
+def test_members_of_a_large_cluster_make_a_row_each(spark, monkeypatch):
+    """Near copies share most narrow keys: none of the tables on the way has a row a key."""
+    rng = np.random.default_rng(9)
+    base = [f"t{x}" for x in rng.integers(0, 100_000, 200)]
+    docs = []
+    for _ in range(300):
+        words = list(base)
+        words[rng.integers(200)] = f"n{rng.integers(99999)}"
+        docs.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    plain, rows = minhash.settle, {}
+
+    def counting(table, name, **options):
+        out = plain(table, name, **options)
+        rows[name] = max(out.count(), rows.get(name, 0))
+        return out
+
+    monkeypatch.setattr(minhash, "settle", counting)
+    found = minhash.near_duplicates(df).collect()
+    assert {r["component_id"] for r in found} == {0} and len(found) == 300
+    narrow = list(rows).index("heavy-sets")
+    assert rows["verified-ties"] and max(list(rows.values())[narrow:]) <= minhash.LEADERS * 300
+
+
+@pytest.mark.parametrize("meet", [4096, 60])
+def test_members_meet_as_all_keys_tie_them(spark, monkeypatch, meet):
+    rng = np.random.default_rng(5)
+    bands = rng.integers(-(1 << 62), 1 << 62, (300, minhash.NARROW_BANDS))
+    centre = rng.integers(-(1 << 62), 1 << 62, minhash.NARROW_BANDS)
+    bands[:150] = np.where(rng.random((150, minhash.NARROW_BANDS)) < 0.1, centre, bands[:150])
+    bands[200:220, 7] = 12345
+    sets = spark.createDataFrame([(3 * k, b"", row.tolist()) for k, row in enumerate(bands)], "node long, grams binary, bands array<long>").repartition(5)
+    monkeypatch.setattr(minhash, "MEET", meet)
+    ties = minhash._ties(sets.select("node", F.explode("bands").alias("band"))).collect()
+    met = minhash._met(sets.select(F.lit(0).cast("long").alias("wide"), "node"), sets).collect()
+    assert sorted(r["node"] for r in met) == list(range(0, 900, 3))
+    heads = spark.createDataFrame([(r["node"], r["heads"]) for r in met if r["heads"]], "node long, bands array<long>")
+    more = minhash._ties(minhash._shared_keys(heads)).select("node", "least")
+    plain = lambda edges: sorted(map(tuple, components.components(spark.createDataFrame(edges, "node long, least long")).collect()))
+    assert plain([(r["node"], r["tied"]) for r in met] + [tuple(r) for r in more.collect()]) == plain([(r["node"], r["least"]) for r in ties])
+    if meet == 4096:
+        best = {r["node"]: sorted((-x["bands"], x["least"]) for x in ties if x["node"] == r["node"]) for r in met}
+        assert all(r["leaders"] == [b for _, b in best[r["node"]][: minhash.LEADERS]] and r["shared"] == (-best[r["node"]][0][0] if best[r["node"]] else None) for r in met)
+        assert heads.isEmpty()
+    else:
+        assert minhash._shared_keys(heads).count() < minhash._shared_keys(sets).count() / 2
