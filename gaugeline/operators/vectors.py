@@ -151,6 +151,28 @@ def _merged(found: tuple[np.ndarray, np.ndarray], rows: np.ndarray, items: np.nd
     distance[at[kept], rank[kept]], item[at[kept], rank[kept]] = d[kept], i[kept]
 
 
+class _Screen:
+    """Which pairs of two blocks may be within a distance, by products in single precision and a bound of their error."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray):
+        self.lengths = np.sqrt((v**2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            longest = float(np.sqrt((w.astype(float) ** 2).sum(axis=1).max()))
+            # numbers that single precision does not hold are multiplied as doubles
+            kind = np.float32 if self.lengths.max() < 1e15 and longest < 1e15 else np.float64
+            self.v, self.w = v.astype(kind), w.astype(kind).T
+        # both roundings of the inputs and those of the sum, twice over
+        self.error = (v.shape[1] + 4) * 2.0**-23 * self.lengths * longest
+
+    def within(self, rows: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``rows`` and columns of the pairs that may be no farther than ``most``, none of those left out."""
+        least = np.nextafter((1.0 - most - self.error[rows] - 2.0**-40).astype(self.v.dtype), -np.inf, dtype=self.v.dtype)
+        product = self.v[rows] @ self.w
+        some = np.flatnonzero(~(product.max(axis=1) < least))  # few rows, once k near ones are known
+        at, cols = np.nonzero(~(product[some] < least[some, None]))
+        return some[at], cols
+
+
 def _pairs(asks: DataFrame, holds: DataFrame, pivots: list[np.ndarray], kind: np.dtype, kind_m: np.dtype, k: int) -> DataFrame:
     """The k nearest that the queries of each block find in the cells that it wants.
 
@@ -180,14 +202,21 @@ def _pairs(asks: DataFrame, holds: DataFrame, pivots: list[np.ndarray], kind: np
                 # no item of the block is nearer than its pivot less the radius: queries that have k nearer ones are done
                 least = 1.0 - v @ pivots[cell] - length * radius
                 open_ = np.flatnonzero(~(least > np.minimum(bound, found[0][:, -1]) + SLACK))
-                w = _held(theirs, kind_m).astype(float).reshape(len(items), -1).T if len(open_) else None
+                if not len(open_):
+                    continue
+                w = _held(theirs, kind_m).reshape(len(items), -1)
+                screen = _Screen(v, w)
                 for x in (open_[i : i + 512] for i in range(0, len(open_), 512)):
-                    far = 1.0 - v[x] @ w
-                    far[groups[x][:, None] == their_groups] = np.inf
-                    nearer = np.flatnonzero(np.fmin.reduce(far, axis=1) <= np.minimum(bound[x] + SLACK, found[0][x, -1]))
-                    if len(nearer):
-                        rows, cols = _best(far[nearer], items, k)
-                        _merged(found, x[nearer][rows], items[cols], far[nearer[rows], cols], k)
+                    rows, cols = screen.within(x, np.minimum(bound[x] + SLACK, found[0][x, -1]))
+                    other = groups[x[rows]] != their_groups[cols]
+                    rows, cols = x[rows[other]], cols[other]
+                    for a in range(0, len(rows), 1 << 16):
+                        r, c = rows[a : a + (1 << 16)], cols[a : a + (1 << 16)]
+                        # the same sum for the same vectors, wherever they lie: copies are equally far
+                        far = 1.0 - np.einsum("ij,ij->i", v[r], w[c].astype(float))
+                        near = np.isfinite(far)
+                        if near.any():
+                            _merged(found, r[near], items[c[near]], far[near], k)
         for ids, (distance, item) in best.values():
             rows, cols = np.nonzero(np.isfinite(distance))
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(item[rows, cols]), pa.array(distance[rows, cols])], ["query_id", "item_id", "distance"])

@@ -452,3 +452,16 @@ def test_missing_columns_and_topics_are_named(spark):
         catalog.require_topic(rows, "b")
     with pytest.raises(TypeError):
         catalog.require_topic(rows, "a", {"y"})
+
+
+def test_nearest_tells_single_precision_apart(spark):
+    """Distances that differ by less than single precision shows come out in their order, and copies tie by id in any block."""
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(30, 16)) * np.array([[1.0], [1e3], [1e-3]]).repeat(10, axis=0)
+    v = np.concatenate([u[i // 8] * (1 + 1e-11 * (i % 8)) for i in range(240)]).reshape(240, 16)
+    v = np.concatenate([v, u, u, 1e20 * u[:2]])  # copies, and numbers beyond the squares of single precision
+    m = frame(spark, [(i, x.tolist(), i % 3) for i, x in enumerate(v)], "item_id long, cls array<double>, group int")
+    got = vectors.nearest(m.withColumnRenamed("item_id", "query_id"), m, 4, apart=True, block=40, pivots=5, broadcast_bytes=0).orderBy("query_id", "rank").toPandas()
+    far = 1.0 - np.array([np.einsum("ij,ij->i", np.broadcast_to(x, v.shape), v) for x in v])
+    far[np.arange(len(v))[:, None] % 3 == np.arange(len(v)) % 3] = np.inf
+    assert got["item_id"].tolist() == np.argsort(far, axis=1, kind="stable")[:, :4].ravel().tolist()
