@@ -13,6 +13,11 @@ runs less the run's own, which are written once; the models of a tile are
 fitted, score the rows of its runs, and are gone before the next tile, so
 neither the driver nor a task ever holds more than a tile's models.  The passes
 over the rows grow with the tiles, as each held-out run asks for a fit of its own.
+
+Of many runs most leave models that hardly differ.  Their sums over all rows
+follow from those at one model near them (``nearby``), within a bound that is
+computed for each (``OFF``), so a task takes such a run through all its rounds
+with the run's own rows alone, and tiles are for the runs that no centre is near.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.operators.catalog import need
+from gaugeline.operators.nearby import Centre, Series, order_of, shares
 from gaugeline.operators.quantiles import exact_quantiles
 from gaugeline.sources.shared import fresh_path, settle
 
@@ -38,6 +44,14 @@ SINGULAR_REG, LEAST_DETERMINANT, LEAST_WEIGHT = 1e-4, 1e-12, 1e-12
 MODELS = 2048
 #: Numbers of a matrix of rows and models in a task, and models whose sums travel together.
 CELLS, TOGETHER = 1 << 17, 64
+#: Left-out mixtures, and pairs of one and a row, up to which they are fitted over the rows; the most centres of others at once.
+FEW, FEW_PAIRS, CENTRES = 1024, 1 << 28, 8
+#: Rows of the longest run that a task holds whole, and about those of its group.
+LONG, GROUP = 1 << 17, 50_000
+#: What the sums of a mixture near a centre may be off by, a row; least variance, of all rows' 1, of the rows that a run leaves.
+OFF, LEAST_VARIANCE = 1e-12, 1e-6
+#: What became of a run's mixture: settled, out of rounds, not settled in the rounds so far, too far from all centres.
+SETTLED, STOPPED, LATER, FAR = range(4)
 #: Rounds of moving seeds to the means of their rows before the first round of a mixture.
 MOVES = 3
 
@@ -153,17 +167,17 @@ def _moved(jobs: list[_Job], shift: np.ndarray, scale: np.ndarray) -> tuple[np.n
     return scale / own, (shift - np.stack([job.shift for job in jobs])) / own
 
 
-def _forms(jobs: list[_Job], components: int, shift: np.ndarray, scale: np.ndarray) -> list[np.ndarray]:
-    """Of each component the weights (terms x jobs) that make its log density, with its share, of the terms of rows in common scales."""
-    d, (factor, summand) = len(shift), _moved(jobs, shift, scale)
+def _forms(weights: np.ndarray, means: np.ndarray, covariances: np.ndarray, factor: np.ndarray, summand: np.ndarray) -> list[np.ndarray]:
+    """Of each component the weights (terms x models) that make its log density, with its share, of the terms of rows in common scales."""
+    d = means.shape[-1]
     i, j = np.triu_indices(d)
     out = []
-    for k in range(components):
-        inverse, log_det = _precision(np.stack([job.model.covariances[k] for job in jobs]))
+    for k in range(weights.shape[1]):
+        inverse, log_det = _precision(covariances[:, k])
         inverse = inverse * factor[:, :, None] * factor[:, None, :]
-        mean = (np.stack([job.model.means[k] for job in jobs]) - summand) / factor
+        mean = (means[:, k] - summand) / factor
         pull = np.einsum("mij,mj->mi", inverse, mean)
-        share = np.log(np.array([job.model.weights[k] for job in jobs]) + 1e-300)
+        share = np.log(weights[:, k] + 1e-300)
         least = share - 0.5 * (d * np.log(2 * np.pi) + log_det + (mean * pull).sum(axis=1))
         out.append(np.ascontiguousarray(np.column_stack([least, pull, np.where(i == j, -0.5, -1.0) * inverse[:, i, j]]).T))
     return out
@@ -190,7 +204,8 @@ def _moments(rows: DataFrame, columns: list[str], jobs: list[_Job], components:
     """Sums and log-likelihood of every job over the rows of the runs that it does not leave out."""
     d, shift, scale = len(columns), jobs[0].shift, jobs[0].scale
     begins = jobs if jobs[0].model is None else []
-    forms = [] if begins else _forms(jobs, components, shift, scale)
+    (factor, summand), models = _moved(jobs, shift, scale), [job.model for job in jobs]
+    forms = [] if begins else _forms(*(np.stack([getattr(m, name) for m in models]) for name in ("weights", "means", "covariances")), factor, summand)
     n, width, keys = len(jobs), 1 + d + d * (d + 1) // 2, [job.key for job in jobs]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,22 +248,26 @@ def _moments(rows: DataFrame, columns: list[str], jobs: list[_Job], components:
         groups = range(0, n, TOGETHER)
         yield pd.DataFrame({"first": groups, "sums": [flat[:, g : g + TOGETHER].tobytes() for g in groups]})
 
-    def add(group: pa.Table) -> pa.Table:
-        added = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
-        return pa.table({"first": group.column("first").slice(0, 1), "sums": pa.array([added.tobytes()], pa.binary())})
-
     used = rows.select("run_id", *columns).mapInPandas(run, "first int, sums binary")
     flat = np.zeros((components * width + 1, n))
-    for r in used.groupBy("first").applyInArrow(add, "first int, sums binary").collect():  # the sums of some jobs
+    for r in used.groupBy("first").applyInArrow(_added, "first int, sums binary").collect():  # the sums of some jobs
         flat[:, r["first"] : r["first"] + TOGETHER] = np.frombuffer(r["sums"]).reshape(len(flat), -1)
-    # from common scales to those of each job
-    (factor, summand), sums = _moved(jobs, shift, scale), flat[:-1].T.reshape(n, components, width)
+    return list(zip(_own_scales(flat[:-1].T.reshape(n, components, width), factor, summand), flat[-1].tolist()))
+
+
+def _added(group: pa.Table) -> pa.Table:
+    added = sum(np.frombuffer(x.as_py()) for x in group.column("sums"))
+    return pa.table({"first": group.column("first").slice(0, 1), "sums": pa.array([added.tobytes()], pa.binary())})
+
+
+def _own_scales(sums: np.ndarray, factor: np.ndarray, summand: np.ndarray) -> np.ndarray:
+    """Sums (models x components x terms) of rows in common scales, moved to those of each model, with whole matrices."""
+    (n, components, _), d = sums.shape, factor.shape[1]
     count, x = sums[:, :, :1], sums[:, :, 1 : 1 + d] * factor[:, None, :]
     square = _full(sums[:, :, 1 + d :].reshape(n * components, -1), d).reshape(n, components, d, d) * (factor[:, :, None] * factor[:, None, :])[:, None]
     across = x[:, :, :, None] * summand[:, None, None, :]
     square += across + across.swapaxes(2, 3) + count[..., None] * (summand[:, :, None] * summand[:, None, :])[:, None]
-    out = np.concatenate([count, x + count * summand[:, None, :], square.reshape(n, components, d * d)], axis=2)
-    return list(zip(out, flat[-1].tolist()))
+    return np.concatenate([count, x + count * summand[:, None, :], square.reshape(n, components, d * d)], axis=2)
 
 
 def _seeded(rows: DataFrame, columns: list[str], jobs: list[_Job], components: int, seed: int) -> None:
@@ -292,10 +311,11 @@ def _seeded(rows: DataFrame, columns: list[str], jobs: list[_Job], components: i
 
 
 def _from_sums(sums: np.ndarray, d: int, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = sums[:, 0] + 10 * np.finfo(float).eps
-    means = sums[:, 1 : 1 + d] / n[:, None]
-    second = sums[:, 1 + d :].reshape(-1, d, d) / n[:, None, None]
-    return n / n.sum(), means, second - np.einsum("ki,kj->kij", means, means) + np.eye(d) * reg
+    """Weights, means and covariances by the sums of a model, or of each of a stack."""
+    n = sums[..., 0] + 10 * np.finfo(float).eps
+    means = sums[..., 1 : 1 + d] / n[..., None]
+    second = sums[..., 1 + d :].reshape(*n.shape, d, d) / n[..., None, None]
+    return n / n.sum(axis=-1, keepdims=True), means, second - means[..., :, None] * means[..., None, :] + np.eye(d) * reg
 
 
 def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int = 3, margin: float = 1.1, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, hold_out: list | None = None, start: str = "parts", restarts: int = 1, seed: int = 0, sums: DataFrame | None = None, limits: bool = True) -> dict:
@@ -314,9 +334,7 @@ def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int
     if start not in ("parts", "seeds"):
         raise ValueError(f"unknown start {start!r}")
     keys = [None] if hold_out is None else list(hold_out)
-    cuts = {f"c{k}": k / components for k in range(1, components)} if start == "parts" else {}
-    first = exact_quantiles(rows, columns[0], cuts).first() if cuts else None
-    parts = np.array([first[c] for c in cuts] if first else [], float)
+    parts = _parts(rows, columns[0], components) if start == "parts" else np.empty(0)
     jobs = []
     for key, (n, mean, deviation) in _scales(run_sums(rows, columns) if sums is None else sums, columns, keys).items():
         if not n:
@@ -346,6 +364,13 @@ def fit(rows: DataFrame, inputs: list[str], outputs: list[str], components: int
     return best
 
 
+def _parts(rows: DataFrame, column: str, components: int) -> np.ndarray:
+    """Where a column is cut into equal parts, one a component."""
+    cuts = {f"c{k}": k / components for k in range(1, components)}
+    first = exact_quantiles(rows, column, cuts).first() if cuts else None
+    return np.array([first[c] for c in cuts] if first else [], float)
+
+
 def run_sums(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, means and variances of the columns of each run: a row a run."""
     return rows.groupBy("run_id").agg(F.count("*").alias("_n"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("_mean", F.avg), ("_var", F.var_pop))])
@@ -498,11 +523,160 @@ def _one_component(rows: DataFrame, inputs: list[str], outputs: list[str], reg:
     return joined.mapInPandas(run, f"{schema}, mahalanobis double, component int, held_out_run {kinds['run_id']}")
 
 
+class _LeftOut:
+    """Mixtures of all rows but some of their own, from sums over all rows: own rows of one after the other, in common scales."""
+
+    def __init__(self, x: np.ndarray, first: np.ndarray, base: _Job, begun: np.ndarray, reg: float, weight: float = 1.0):
+        d, (i, j) = x.shape[1], np.triu_indices(x.shape[1])
+        self.terms, self.first, self.reg, self.weight = _terms(x), first, reg, weight
+        self.at = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+        sums = self._less_own(begun[None], base.begun(x, len(begun)).T)
+        left = sums.sum(axis=1)
+        mean = left[:, 1 : 1 + d] / left[:, :1]
+        variance = left[:, 1 + d :][:, i == j] / left[:, :1] - mean**2
+        self.usable = (variance > LEAST_VARIANCE).all(axis=1)
+        deviation = np.sqrt(np.where(variance > LEAST_VARIANCE, variance, 1.0))
+        self.rows, self.moved = left[:, 0], (1 / deviation, -mean / deviation)
+        self.shift, self.scale = base.shift + base.scale * mean, base.scale * deviation
+        self.likelihood, self.gain = np.full(len(first), -np.inf), np.full(len(first), np.inf)
+        self.model = self._made(sums)
+
+    def _less_own(self, sums: np.ndarray, share: np.ndarray) -> np.ndarray:
+        return sums - np.stack([np.add.reduceat(self.weight * s[:, None] * self.terms, self.first) for s in share], axis=1)
+
+    def _made(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _from_sums(_own_scales(sums, *self.moved), self.shift.shape[1], self.reg)
+
+    def forms(self) -> np.ndarray:
+        return np.stack(_forms(*self.model, *self.moved))
+
+    def step(self, forms: np.ndarray, sums: np.ndarray, likelihood: np.ndarray, going: np.ndarray) -> None:
+        """A round: those still going become what the sums over all rows at their forms, less their own rows', make of them."""
+        share, level = shares(np.stack([(self.terms * form.T[self.at]).sum(axis=1) for form in forms]))
+        now = (likelihood - np.add.reduceat(self.weight * level, self.first)) / self.rows
+        self.gain, self.likelihood = np.abs(now - self.likelihood), now
+        for kept, new in zip(self.model, self._made(self._less_own(sums.transpose(2, 0, 1), share))):
+            kept[going] = new[going]
+
+
+def _centres(rows: DataFrame, columns: list[str], series: Series, base: _Job, own: _LeftOut, greatest: np.ndarray, tolerance: float) -> Iterator[tuple[list[Centre], bool]]:
+    """A pass a round: what the rows tell of mixtures near some, which move on each time, and whether all of these gained too little."""
+    while True:
+        forms = own.forms()
+
+        def run(parts: Iterator[pd.DataFrame], forms=forms) -> Iterator[pd.DataFrame]:
+            total = sum(series.sums((part.to_numpy(dtype=float) - base.shift) / base.scale, forms) for part in parts)
+            if np.ndim(total):
+                total = total.ravel()
+                groups = range(0, len(total), 4096)
+                yield pd.DataFrame({"first": groups, "sums": [total[g : g + 4096].tobytes() for g in groups]})
+
+        added = rows.select(*columns).mapInPandas(run, "first int, sums binary").groupBy("first").applyInArrow(_added, "first int, sums binary")
+        total = np.concatenate([np.frombuffer(r["sums"]) for r in sorted(added.collect(), key=lambda r: r["first"])])  # the sums of some centres
+        found = [series.centre(sums, forms[:, :, m], greatest) for m, sums in enumerate(total.reshape(forms.shape[2], -1))]
+        sums, likelihood, _ = (np.concatenate(x, axis=-1) for x in zip(*(series.near([c], forms[:, :, m : m + 1]) for m, c in enumerate(found))))
+        own.step(forms, sums, likelihood, np.ones(len(own.rows), bool))
+        yield found, bool((own.gain < tolerance).all())
+
+
+def _near_centres(rows: DataFrame, sums: DataFrame, inputs: list[str], outputs: list[str], series: Series, components: int = 3, reg: float = REG, rounds: int = 60, tolerance: float = 1e-3, **_) -> DataFrame:
+    """Scores of the runs whose mixtures stay so near a centre's that their sums follow from the sums there, and from the run's own rows.
+
+    The first centre is the mixture of all rows; as long as many runs are too
+    far from it, some of these are the next centres.  A round of the centres is
+    a pass; then a task takes whole runs through all rounds: the sums over all
+    rows at a run's mixture (``nearby``) less those of its own rows make its next
+    mixture, as a fit over the other rows would.  A run is left to that fit when
+    the sums may be off by more than ``OFF`` a row, or when it has more rows than
+    a task should hold.
+    """
+    spark, columns = rows.sparkSession, list(dict.fromkeys([*inputs, *outputs]))
+    d, (i, j) = len(columns), np.triu_indices(len(columns))
+    (n, shift, scale), parts = _scales(sums, columns, [None])[None], _parts(rows, columns[0], components)
+    scale[scale == 0] = 1.0
+    base = _Job(None, n, shift, scale, (parts - shift[0]) / scale[0])
+    begun = _moments(rows, columns, [base], components)[0][0]
+    begun = np.concatenate([begun[:, : 1 + d], begun[:, 1 + d :].reshape(-1, d, d)[:, i, j]], axis=1)
+    extent = rows.agg(*[F.max(F.abs((F.col(c) - float(m)) / float(s))) for c, m, s in zip(columns, shift, scale)]).first()
+    greatest = _terms(np.array([list(extent)], float))[0]
+
+    def left_out(part: pd.DataFrame) -> _LeftOut:
+        ids = part["run_id"].to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return _LeftOut((part[columns].to_numpy(dtype=float) - shift) / scale, first, base, begun, reg)
+
+    def fitted(steps: list[list[Centre]], last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values("run_id", kind="stable")
+            own = left_out(part)
+            state = np.where(own.usable, LATER, FAR)
+            for centres in steps:
+                forms = own.forms()
+                found, likelihood, off = series.near(centres, forms)
+                state[(state == LATER) & ~(off <= OFF * own.rows)] = FAR
+                own.step(forms, found, likelihood, state == LATER)
+                state[(state == LATER) & (own.gain < tolerance)] = SETTLED
+                if not (state == LATER).any():
+                    break
+            if last:
+                state[state == LATER] = STOPPED
+            raw, state_of = part[columns].to_numpy(dtype=float), state[own.at]
+            distance, component = np.zeros(len(part)), np.zeros(len(part), "int32")
+            for m, a, b in zip(range(len(state)), own.first, np.append(own.first[1:], len(part))):
+                if state[m] <= STOPPED:
+                    distance[a:b], component[a:b] = Mixture(inputs, outputs, *(x[m] for x in own.model), own.shift[m], own.scale[m], reg).score(raw[a:b])
+            keep = state_of <= STOPPED
+            keep[own.first] = True  # a row of each run that is not done
+            return part.assign(mahalanobis=distance, component=component, held_out_run=part["run_id"], _state=state_of.astype("int32"))[keep][[*kinds]]
+
+        return run
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"mahalanobis": "double", "component": "int", "held_out_run": rows.schema["run_id"].dataType.simpleString(), "_state": "int"}
+    schema, groups = ", ".join(f"`{c}` {t}" for c, t in kinds.items()), max(spark.sparkContext.defaultParallelism, -(-n // GROUP))
+    group = F.pmod(F.xxhash64("run_id"), F.lit(groups)).cast("int")
+    own = _LeftOut(np.zeros((1, d)), np.zeros(1, int), base, begun, reg, weight=0.0)
+    asked, found, late = sums.where(F.col("_n") <= LONG).select("run_id", "_n"), [], 0
+    while True:
+        centres, steps, going = _centres(rows, columns, series, base, own, greatest, tolerance), [], asked
+        while True:
+            # as many rounds as the centres take until they gain too little, and again for the runs that go on
+            while len(steps) < rounds - 1:
+                step, little = next(centres)
+                steps.append(step)
+                if little:
+                    break
+            last = len(steps) >= rounds - 1
+            whole = rows.join(going.select("run_id"), "run_id", "left_semi").withColumn("_group", group).repartition(groups, "_group")
+            found.append(settle(whole.groupBy("_group").applyInPandas(fitted(steps, last), schema), "held-out-near"))
+            runs = {r["_state"]: r["n"] for r in found[-1].groupBy("_state").agg(F.count_distinct("run_id").alias("n")).collect()}
+            late += runs.get(STOPPED, 0)
+            if not runs.get(LATER):
+                break
+            going = found[-1].where(F.col("_state") == LATER).select("run_id").distinct()
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        every = every.where(F.col("_state") <= STOPPED).drop("_state")
+        before, asked = asked.count(), settle(asked.join(every.select("run_id").distinct(), "run_id", "left_anti"), "held-out-far", few=True)
+        far = asked.count()
+        if far <= FEW or far * n <= FEW_PAIRS or (len(own.rows) > 1 and 4 * far > 3 * before):
+            break
+        chosen = [r["run_id"] for r in asked.where(F.col("_n") <= GROUP // CENTRES).orderBy(F.xxhash64("run_id"), "run_id").limit(CENTRES).collect()]  # the next centres
+        if not chosen:
+            break
+        own = left_out(rows.where(F.col("run_id").isin(chosen)).select("run_id", *columns).toPandas().sort_values("run_id", kind="stable"))  # bounded: their rows
+    if late and tolerance > 0:
+        warnings.warn(f"{late} of {sums.count()} mixtures still gained after {rounds} rounds", stacklevel=3)
+    return every
+
+
 def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models: int = MODELS, limits: bool = True, **options) -> DataFrame:
-    """Scores of every run under a model of all other runs (column held_out_run), tile by tile of about ``models`` runs.
+    """Scores of every run under a model of all other runs (column held_out_run).
 
-    Without ``limits`` there are no component_threshold, epsilon and anomaly,
-    and one component needs no tiles (``_one_component``).
+    Without ``limits`` there are no component_threshold, epsilon and anomaly;
+    one component needs no fit (``_one_component``), and of many runs those
+    near others need no fit over the rows of their own (``_near_centres``).
+    The others are fitted tile by tile of about ``models`` runs.
     """
     columns = list(dict.fromkeys([*inputs, *outputs]))
     need(rows, "run_id", *columns)
@@ -512,13 +686,21 @@ def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models
     # every round goes through the rows with all models of a tile: they are dealt to all slots, however few they are
     rows = settle(rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "held-out-rows")
     sums = settle(run_sums(rows, columns), "run-sums", few=True)
-    runs = sums.count()
+    runs, near, of_runs = sums.count(), None, rows
     if runs < 2:
         raise ValueError("at least two nominal runs are needed")
+    order = order_of(len(columns), options.get("components", 3))
+    if not limits and order and options.get("start", "parts") == "parts" and runs > FEW and runs * sums.agg(F.sum("_n")).first()[0] > FEW_PAIRS:
+        near = _near_centres(rows, sums, inputs, outputs, Series(len(columns), options.get("components", 3), order), **options)
+        left = settle(sums.join(near.select("run_id").distinct(), "run_id", "left_anti").select("run_id"), "held-out-left", few=True)
+        runs = left.count()
+        if not runs:
+            return near
+        of_runs = rows.join(left, "run_id", "left_semi").select(*rows.columns)
     tiles, path, schema = -(-runs // models), fresh_path(spark, "held-out-scores"), None
     of_tile = lambda t: F.pmod(F.xxhash64("run_id"), F.lit(tiles)) == t
     for t in range(tiles):
-        held = [r["run_id"] for r in sums.where(of_tile(t)).select("run_id").orderBy("run_id").collect()]  # a tile's runs
+        held = [r["run_id"] for r in (sums if near is None else left).where(of_tile(t)).select("run_id").orderBy("run_id").collect()]  # a tile's runs
         if not held:
             continue
         found = fit(rows, inputs, outputs, hold_out=held, sums=sums, limits=limits, **options)
@@ -526,10 +708,11 @@ def leave_one_out(rows: DataFrame, inputs: list[str], outputs: list[str], models
         def models_of(part: pd.DataFrame, found=found):
             return [(at, found[run]) for run, at in part.groupby("run_id").indices.items()]
 
-        scored = _scored(rows.where(of_tile(t)), models_of, columns, limits).withColumn("held_out_run", F.col("run_id"))
+        scored = _scored(of_runs.where(of_tile(t)), models_of, columns, limits).withColumn("held_out_run", F.col("run_id"))
         schema = scored.schema
         scored.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    return found if near is None else near.unionByName(found)
 
 
 def single_distance(rows: DataFrame, x: str, y: str, reg: float = REG) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars, texts
-from gaugeline.operators import catalog, mixture, quantiles, sampling, series, thresholds, timeline, vectors
+from gaugeline.operators import catalog, mixture, nearby, quantiles, sampling, series, thresholds, timeline, vectors
 
 FAILS = {"Error": True, "errors": False, "stage_error_1": True, "NOT OK": True, "not-ok": True, "x-NOK": True, "failover": False, "Fehler": True, "": False, None: None}
 
@@ -375,6 +375,56 @@ def test_many_held_out_mixtures_share_their_passes(spark, monkeypatch):
         assert np.allclose(mine.mahalanobis, distance[order], atol=1e-8) and list(mine.component) == list(component[order])
 
 
+def test_sums_near_a_mixture_follow_from_its_own():
+    """What a series gives for mixtures near a centre is what the rows give, up to the bound that it states."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 3))
+    terms, before = mixture._terms(x).T, None
+    centre = rng.normal(size=(3, 10)) * 0.4
+    for order in (3, 5, 7):
+        near = nearby.Series(3, 3, order)
+        found = near.centre((near.sums(x[:250], centre[:, :, None]) + near.sums(x[250:], centre[:, :, None]))[0], centre, np.abs(terms).max(axis=1))
+        off = rng.normal(size=(3, 10, 40)) * np.logspace(-5, -2.3, 40)
+        sums, likelihood, bound = near.near([found], centre[:, :, None] + off)
+        for k in range(40):
+            share, level = nearby.shares((centre + off[:, :, k]) @ terms)
+            rounding = 1e-9
+            assert np.abs(share @ terms.T - sums[:, :, k]).max() <= bound[k] + rounding and abs(level.sum() - likelihood[k]) <= bound[k] + rounding
+        assert np.isfinite(bound).all() and (np.diff(bound[::8]) > 0).all() and (before is None or bound[20] < before / 10)
+        before = bound[20]
+        assert near.near([found], centre[:, :, None] + 10 * rng.normal(size=(3, 10, 1)))[2][0] == np.inf
+
+
+def test_held_out_mixtures_near_centres_need_no_fit(spark, monkeypatch):
+    """Most of 900 runs get the mixture that a fit over the other rows gives, without that fit."""
+    rng = np.random.default_rng(21)
+    x = rng.uniform(-1.5, 1.5, (5400, 2)) * [1, 3] + np.array([[-4, 50], [0, 40], [4, 60]])[rng.integers(0, 3, 5400)]
+    df = frame(spark, [(k % 900, k, float(a), float(b)) for k, (a, b) in enumerate(x)], "run_id long, seq long, phase double, u double").repartition(3)
+    # and a run that a task should not hold
+    df = df.unionByName(df.where("run_id < 10").withColumns({"run_id": F.lit(-1), "seq": F.col("seq") + 10_000}))
+    fit, held = mixture.fit, []
+    monkeypatch.setattr(mixture, "fit", lambda *args, hold_out, **options: held.extend(hold_out) or fit(*args, hold_out=hold_out, **options))
+
+    def scored(few, **options):
+        held.clear()
+        for name, value in {"FEW": few, "FEW_PAIRS": 0, "LONG": 50}.items():
+            monkeypatch.setattr(mixture, name, value, raising=False)
+        return mixture.leave_one_out(df, ["phase"], ["u"], limits=False, **options).orderBy("seq").toPandas()
+
+    want = scored(1000)
+    assert len(held) == 901
+    got = scored(30)
+    assert -1 in held and 1 < len(held) < 200 and len(got) == 5460 and list(got.columns) == list(want.columns)
+    assert (got.held_out_run == got.run_id).all() and (got.component == want.component).all()
+    assert np.allclose(got.mahalanobis, want.mahalanobis, rtol=0, atol=1e-9)
+    # the same mixtures where some settle rounds after others, or none does
+    for options in ({"tolerance": 1e-5}, {"tolerance": 0, "rounds": 4}):
+        want, got = scored(1000, **options), scored(30, **options)
+        assert (got.component == want.component).all() and np.allclose(got.mahalanobis, want.mahalanobis, rtol=0, atol=1e-9)
+    with pytest.warns(UserWarning, match="of 901 mixtures still gained after 2 rounds"):
+        assert len(scored(30, rounds=2)) == 5460 and len(held) < 200
+
+
 @pytest.mark.parametrize(("block", "most"), [(7, 0), (4096, 0), (7, 1 << 25)])
 def test_nearest_in_blocks(spark, block, most):
     rng = np.random.default_rng(4)
